@@ -43,7 +43,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             if not v.size or not np.isfinite(v).all():
                 continue
             squares = float(np.dot(v, v))
-            if not 1e-290 < squares < 1e290:  # out of the range of doubles: brought near 1, which no cosine sees
+            if not 1e-140 < squares < 1e140:  # out of the range of doubles: brought near 1, which no cosine sees
                 if not (top := np.abs(v).max()):
                     continue
                 v = v / top

@@ -7,6 +7,7 @@ expected grade, the sum of P(grade > j).
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -150,14 +151,11 @@ def score(docs: DataFrame, model: OrdinalModel, *, text: str = "text", reject_fr
         for batch in batches:
             z = np.zeros(batch.num_rows)
             for i, words in enumerate(map(_words, batch.column(names.index(text)).to_pylist())):
-                total = 0.0
-                for w in words:
-                    if (x := cache.get(w)) is None:
-                        if len(cache) >= _CACHE_WORDS:
-                            cache.clear()
-                        x = cache[w] = m.word_weight(w)
-                    total += x
-                z[i] = total
+                if len(cache) >= _CACHE_WORDS:
+                    cache.clear()
+                for w in words.difference(cache):
+                    cache[w] = m.word_weight(w)
+                z[i] = math.fsum(map(cache.__getitem__, words))  # exact, so a set's order doesn't matter
             over = m.exceed(z)
             mass = -np.diff(np.hstack([np.ones((len(z), 1)), over, np.zeros((len(z), 1))]), axis=1)
             cols = [over.sum(1), over[:, 0], mass.argmax(1).astype(np.int32), over[:, 0] >= reject_from]
