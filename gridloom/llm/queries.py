@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import ann, bpe, token_counts, token_store, toxicity, url_filters
+from gridloom.llm import ann, bpe, decontam, simhash, token_counts, token_store, toxicity, url_filters
 from gridloom.llm.common import table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -74,6 +74,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -107,6 +111,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_edited(docs, public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", (F.size("hits") > 0).alias("contaminated"), F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"]))).alias("item_ids"),
+        F.array_min(F.transform("hits", lambda h: h["distance"])).alias("least_distance"), F.size("hits").cast("long").alias("n_spans"),
+    )
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(WORD_TOKENIZER))
 
@@ -115,9 +127,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1,
         "op2_byte_bpe": op2,
+        "op4_simhash": op4,
         "op6_nearest_neighbours": op6,
         "op7_toxicity": op7,
         "op8_token_counts": op8,
+        "op9_decontamination": op9,
         "op10_token_store": op10,
     }
 
