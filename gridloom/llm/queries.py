@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import ann, bpe, decontam, simhash, suffix_dedup, token_counts, token_store, toxicity, url_filters
+from gridloom.llm import ann, bpe, decontam, lm_scoring, simhash, suffix_dedup, token_counts, token_store, toxicity, url_filters
 from gridloom.llm.common import table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
+SUBWORD_RANKS = "byte_bpe_50k.tiktoken"
 WORD_TOKENIZER = "word_bpe_49k.json"
 
 
@@ -74,6 +75,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(SUBWORD_RANKS))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -132,6 +137,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1,
         "op2_byte_bpe": op2,
+        "op3_lm_scoring": op3,
         "op4_simhash": op4,
         "op5_suffix_dedup": op5,
         "op6_nearest_neighbours": op6,
