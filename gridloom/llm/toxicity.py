@@ -25,6 +25,8 @@ TRAIN_ROWS = 12_000
 MAX_FEATURES, MIN_DOCS = 4_096, 4
 #: Lengths of the word beginnings that are features.
 PREFIXES = (4, 5, 6)
+#: Evidence that a feature needs beyond what the best of as many useless ones has by chance.
+MARGIN = 6.0
 #: A text is rejected from this probability of a grade over 0.
 REJECT_FROM = 0.5
 WORD = re.compile(r"[^\W\d_]+")
@@ -60,7 +62,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit_ordinal(x: np.ndarray, grades: np.ndarray, n_grades: int, *, l2: float = 2e-3, steps: int = 400, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grades: np.ndarray, n_grades: int, *, l2: float = 1e-6, steps: int = 1500, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by maximum likelihood with an L2 penalty (Adam on the full data).
 
     Threshold j is t_0 + exp(g_1) + ... + exp(g_j), so the order holds by construction.
@@ -117,8 +119,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, tex
     n_bad, n_all = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     if not n_bad or n_bad == n_all:
         return OrdinalModel({}, (50.0, 51.0))
+    # evidence of each feature: the log-likelihood ratio of its share among toxic documents, which chance alone keeps under 2 ln(features)
+    per = per.where(F.col("n") >= MIN_DOCS)
+    rate, share = n_bad / n_all, F.col("bad") / F.col("n")
+    part = lambda k, p, q: F.when(k > 0, k * F.log(p / F.lit(q))).otherwise(0.0)
+    ratio = 2 * (part(F.col("bad"), share, rate) + part(F.col("n") - F.col("bad"), 1 - share, 1 - rate))
     odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (n_all - n_bad + 1))
-    kept = per.where(F.col("n") >= min(MIN_DOCS, max(1, int(n_bad) // 4))).withColumn("odds", odds).where("abs(odds) > 1").orderBy(F.desc(F.abs("odds") * F.sqrt("n")), "f").limit(MAX_FEATURES).collect()
+    evident = 2 * math.log(1 + per.count()) + MARGIN
+    kept = per.select("f", odds.alias("odds"), ratio.alias("ratio")).where(F.col("ratio") > evident).orderBy(F.desc("ratio"), "f").limit(MAX_FEATURES).collect()
     place = {r["f"]: i for i, r in enumerate(kept)}
     strong = np.array([r["odds"] > 2 for r in kept], bool)
 
