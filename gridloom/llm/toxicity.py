@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import map_batches, small_batches, staged
 
-#: Labelled rows that the model is fitted on at most: the documents with the smallest hash of their id.
+#: Labelled rows that the model is fitted on, give or take a few per cent: the documents with the smallest hashes of their ids.
 TRAIN_ROWS = 12_000
 #: Features kept at most, and the documents of the sample that a feature must be in.
 MAX_FEATURES, MIN_DOCS = 4_096, 4
@@ -98,16 +98,19 @@ def severity_grades(hits: np.ndarray, toxic: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic") -> OrdinalModel:
-    """Fit on at most ``train_rows`` labelled documents; without toxic or without clean ones the model rejects nothing.
+    """Fit on about ``train_rows`` labelled documents at most; without toxic or without clean ones the model rejects nothing.
 
     Of several labels of a document the largest counts; null ids and null labels are no labels, null texts have no features.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    ids = (
+    known = (
         labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(toxic).cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
-        .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
+    # hashes are even, so those under a share of their range are about train_rows labels, and no task sorts more
+    share = min(1.0, train_rows / max(1, known.count()))
+    ids = known if share == 1.0 else known.where(F.xxhash64("doc_id").cast("double") < (2 * share - 1) * 2.0**63)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(ids), "doc_id")
     sample = staged(texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text")), "toxicity-sample")
 
@@ -121,9 +124,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, tex
         return OrdinalModel({}, (50.0, 51.0))
     # evidence of each feature: the log-likelihood ratio of its share among toxic documents, which chance alone keeps under 2 ln(features)
     per = per.where(F.col("n") >= MIN_DOCS)
-    rate, share = n_bad / n_all, F.col("bad") / F.col("n")
+    rate, part_bad = n_bad / n_all, F.col("bad") / F.col("n")
     part = lambda k, p, q: F.when(k > 0, k * F.log(p / F.lit(q))).otherwise(0.0)
-    ratio = 2 * (part(F.col("bad"), share, rate) + part(F.col("n") - F.col("bad"), 1 - share, 1 - rate))
+    ratio = 2 * (part(F.col("bad"), part_bad, rate) + part(F.col("n") - F.col("bad"), 1 - part_bad, 1 - rate))
     odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (n_all - n_bad + 1))
     evident = 2 * math.log(1 + per.count()) + MARGIN
     kept = per.select("f", odds.alias("odds"), ratio.alias("ratio")).where(F.col("ratio") > evident).orderBy(F.desc("ratio"), "f").limit(MAX_FEATURES).collect()
