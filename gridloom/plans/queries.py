@@ -502,11 +502,11 @@ def validation_comparison(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("candidate_selection", """
-, c AS (SELECT p_brand AS candidate, CASE WHEN max(p_size) > 49 THEN NULL ELSE CAST(max(p_size) AS INTEGER) END AS max_depth, CAST(min(p_size) AS INTEGER) AS min_samples_leaf, round(avg(p_size) / 50, 2) AS roc_auc_mean, round(count(*) / 100.0, 0) AS average_precision_mean FROM part GROUP BY p_brand)
+, c AS (SELECT p_brand AS candidate, CASE WHEN max(p_size) > 49 THEN NULL ELSE CAST(max(p_size) AS INTEGER) END AS max_depth, CAST(min(p_size) AS INTEGER) AS min_samples_leaf, CAST(floor(CAST(sum(p_size) AS DOUBLE) / count(*)) AS DOUBLE) AS roc_auc_mean, floor(CAST(count(*) AS DOUBLE) / 5) AS average_precision_mean FROM part GROUP BY p_brand)
 SELECT candidate, max_depth, min_samples_leaf, roc_auc_mean, average_precision_mean, CAST(row_number() OVER (ORDER BY average_precision_mean DESC, roc_auc_mean DESC, min_samples_leaf DESC, max_depth ASC NULLS LAST, candidate) AS INTEGER) AS place FROM c""")
 def candidate_selection(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "part").groupBy(F.col("p_brand").alias("candidate")).agg(
-        F.when(F.max("p_size") <= 49, F.max("p_size")).cast("int").alias("max_depth"), F.min("p_size").cast("int").alias("min_samples_leaf"), F.round(F.avg("p_size") / 50, 2).alias("roc_auc_mean"), F.round(F.count("*") / 100.0, 0).cast("double").alias("average_precision_mean")
+        F.when(F.max("p_size") <= 49, F.max("p_size")).cast("int").alias("max_depth"), F.min("p_size").cast("int").alias("min_samples_leaf"), F.floor(F.sum("p_size") / F.count("*")).cast("double").alias("roc_auc_mean"), F.floor(F.count("*") / F.lit(5.0)).cast("double").alias("average_precision_mean")
     )
     return stats.select_candidate(c).drop("selected")
 

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from gridloom.plans import queries
@@ -20,7 +21,7 @@ def duck():
 
 def rows(frame, columns):
     def plain(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "null"
         return repr(round(float(v), 6)) if hasattr(v, "__float__") and not isinstance(v, str) else str(v)
 
