@@ -7,11 +7,15 @@ lookup and one popcount away. Any token is read without decoding others; a run o
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,7 @@ MAGIC = b"DACTOK1\0"
 RANK_BLOCK = 512
 #: Ids of a file at most, beyond the document that passes it: with 16-bit ids about 9 MB.
 FILE_IDS = 4_000_000
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 400_000
 _HEAD = struct.Struct("<8sQQI")
 
 
@@ -119,33 +123,66 @@ def _drops_space(spec: dict) -> bool:
 
 
 class WordEncoder:
-    """``encode(text, add_special_tokens=False).ids`` of a tokenizers file, word by word from a bounded memory where that is the same."""
+    """``encode(text, add_special_tokens=False).ids`` of a tokenizers file, word by word from a bounded memory where that is the same.
+
+    Words that are letters alone are one pre-token each: many are encoded as one text, and cut where tokens end a word.
+    """
+
+    #: Between a letter and a full stop or comma every such tokenizer splits, so stems are remembered without them.
+    _STOPS = re.compile(rb"(?<=[a-z])(?=[.,])")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import json
-
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            self.by_word = _drops_space(json.load(f))
+            spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.by_word = _drops_space(spec)
+        lowers = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
+        self.prepare = (lambda b: self._STOPS.sub(b" ", b.lower())) if lowers else (lambda b: b)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.cache: dict[bytes, bytes] = {}
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if not self.by_word or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.encode().split()
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        plain, rest = [], []
+        for w in words:
+            (plain if (x := w.decode()).isalpha() and self.ends.any() else rest).append((w, x))
+        for lo in range(0, len(plain), 4096):
+            part = plain[lo : lo + 4096]
+            ids = np.array(self._ids([" ".join(x for _, x in part)])[0], "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if cuts.size != len(part) or cuts[-1] != ids.size:
+                rest += part
+                continue
+            raw, edges = ids.tobytes(), (4 * cuts).tolist()
+            for (w, _), a, b in zip(part, [0, *edges], edges, strict=False):
+                self.cache[w] = raw[a:b]
+        for lo in range(0, len(rest), 4096):
+            part = rest[lo : lo + 4096]
+            for (w, _), ids in zip(part, self._ids([x for _, x in part]), strict=True):
+                self.cache[w] = array("I", ids).tobytes()
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        split: list[list[bytes] | None] = []
+        for x in texts:
+            whole = x and (not self.by_word or any(s in x for s in self.special))
+            split.append(None if whole else self.prepare(x.encode()).split() if x else [])
+        used = set(chain.from_iterable(w for w in split if w))
         if len(self.cache) > _CACHE_WORDS:
-            self.cache.clear()
-        if missing := list(set(words).difference(self.cache)):
-            for w, e in zip(missing, self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.cache.__getitem__, words))
+            self.cache = {w: self.cache[w] for w in used.intersection(self.cache)}
+        self._learn(list(used.difference(self.cache)))
+        get = self.cache.__getitem__
+        return [array("I", self.tokenizer.encode(x, add_special_tokens=False).ids).tobytes() if w is None else b"".join(map(get, w)) for x, w in zip(texts, split, strict=True)]
 
 
 @lru_cache(maxsize=1)
@@ -191,8 +228,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: i
             return row
 
         for b in batches:
-            for key, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                code = enc.encode(x) + tail
+            for key, code in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
+                code += tail
                 keys.append(key)
                 codes.append(code)
                 sizes.append(len(code) // 4)
