@@ -75,12 +75,12 @@ def filter_urls(captures: DataFrame, events: DataFrame, *, url: str = "url", fet
     left = kept.withColumn("host", host_of(F.col(url)))
     hosts = captures.select(host_of(F.col(url)).alias("host")).where("host IS NOT NULL").distinct()
     # one host may have a third of all captures: its few segments are repeated so that its captures spread over SALT tasks
-    segments = host_timelines(hosts, validity_intervals(events)).withColumnRenamed("host", "_seg_host").withColumn("_seg_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    segments = host_timelines(hosts, validity_intervals(events)).withColumnsRenamed({"host": "_seg_host", "seg_from": "_seg_from", "seg_to": "_seg_to"}).withColumn("_seg_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     # a null host would send every such capture to one task: they get keys that spread and match nothing
     key = F.coalesce(F.col("host"), F.concat(F.lit("\n"), F.xxhash64(F.col(fetched_at), F.col(url)).cast("string")))
     when = F.col(fetched_at).cast("date")
     salt = F.pmod(F.xxhash64(F.col(url), F.col(fetched_at)), F.lit(SALT)).cast("int")
     joined = left.withColumn("_host_key", key).withColumn("_salt", salt).join(
-        segments, (F.col("_host_key") == F.col("_seg_host")) & (F.col("_salt") == F.col("_seg_salt")) & (when >= F.col("seg_from")) & (when < F.col("seg_to")), "left"
+        segments, (F.col("_host_key") == F.col("_seg_host")) & (F.col("_salt") == F.col("_seg_salt")) & (when >= F.col("_seg_from")) & (when < F.col("_seg_to")), "left"
     )
-    return joined.withColumn("blocked", F.col("matched_key").isNotNull()).drop("_host_key", "_seg_host", "_salt", "_seg_salt", "seg_from", "seg_to")
+    return joined.withColumn("blocked", F.col("matched_key").isNotNull()).drop("_host_key", "_seg_host", "_salt", "_seg_salt", "_seg_from", "_seg_to")

@@ -25,7 +25,7 @@ def test_url_filter_cases(spark):
         ("http://x.bad.example", D(2024, 1, 15), "x.bad.example"), ("http://x.bad.example", D(2024, 2, 15), "x.bad.example"), ("http://tie.example", D(2024, 5, 1), None),
         ("http://null.example", D(2024, 5, 1), None), ("http://localhost:99/", D(2024, 5, 1), "localhost"), (None, D(2024, 5, 1), None), ("not a url", D(2024, 5, 1), None), ("http://bad.example", None, None), ("", D(2024, 1, 1), None),
     ]
-    captures = spark.createDataFrame([(i, u, d, "clash") for i, (u, d, _) in enumerate(cases)] * 2, "page_id long, url string, fetched_at date, key string")
+    captures = spark.createDataFrame([(i, u, d, "clash", d) for i, (u, d, _) in enumerate(cases)] * 2, "page_id long, url string, fetched_at date, key string, seg_from date")
     rows = url_filters.filter_urls(captures, events).collect()
     assert len(rows) == 2 * len(cases)
     for r in rows:
