@@ -6,8 +6,9 @@ the right sorted and with the common prefixes of neighbours, form a tree of comm
 intervals; in each, the bytes to the left of the occurrences, sorted from the right, tell how far which of them agree to the left. An interval
 whose prefix and left agreement make up LENGTH bytes is a repeat, with all its occurrences.
 
-Anchors with too many different surroundings for one task are split by the surroundings: of two occurrences that share LENGTH bytes,
-half of what is still to agree agrees on one side. If nothing is left to agree, a range-partitioned sort finds each one's neighbours.
+Anchors with too many different surroundings for one task are split by the surroundings: two occurrences that share LENGTH bytes share a
+bucket of so many bytes to the left and almost all the rest to the right. Where thousands agree on all of them, a range-partitioned sort
+finds each one's neighbours.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import small_batches, staged, unstage
 
 #: Bytes of a repeat, bytes of an anchor, and occurrences whose tree one task builds in memory.
-LENGTH, GRAM, GROUP = 200, 48, 256
+LENGTH, GRAM, GROUP = 200, 48, 1024
+#: Anchors in a crowd are dealt out by every so many bytes of agreement to the left.
+STEP = 19
 #: Bytes scanned for anchors at a time.
 BLOCK = 1 << 20
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -197,23 +200,22 @@ def _resolve(batches: Iterator[pa.RecordBatch], around: int) -> Iterator[pa.Reco
         yield _rows(_ENDS_ARROW, out)
 
 
-def _halve(batches: Iterator[pa.RecordBatch], around: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, h, f, lefts, rights, al, ar) of crowded buckets, each in two: by the next bytes on the right and on the left.
+def _shares(batches: Iterator[pa.RecordBatch], around: int, step: int) -> Iterator[pa.RecordBatch]:
+    """Buckets (bucket, h, f, a) of rows (h, f, lefts, rights, low): by ``a`` bytes to the left and what is missing, less step - 1, to the right.
 
-    al and ar are the bytes that a bucket's rows agree on. Of the ``need`` bytes two rows still have to agree on, one side has at least half.
+    Two rows that agree on ``around`` bytes in all agree on x to the left; they share the bucket of the multiple of ``step`` at or under x. ``low`` is
+    where the multiples begin: 0 for all of them, a bucket's ``a`` to refine it with step 1.
     """
-    names = ["bucket", "h", "f", "lefts", "rights", "al", "ar"]
+    names, kinds = ["bucket", "h", "f", "a"], [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
     for b in batches:
-        out: list[list] = [[] for _ in names]
-        for bucket, h, f, lefts, rights, al, ar in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            half = -(-(around - al - ar) // 2)
-            key = str(bucket).encode()
-            for side, have, to in ((b"r", rights, (al, ar + half)), (b"l", lefts, (al + half, ar))):
-                agreed = to[1] if side == b"r" else to[0]
-                if len(have) >= agreed:
-                    for c, v in zip(out, (_digest(key, side, have[:agreed]), h, f, lefts, rights, *to), strict=True):
+        out: list[list] = [[], [], [], []]
+        for h, f, lefts, rights, low in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            top = around if step > 1 else min(around, low + STEP - 1)
+            for x in range(low, top + 1, step):
+                y = max(0, around - x - step + 1)
+                if x <= len(lefts) and y <= len(rights):
+                    for c, v in zip(out, (_digest(h.to_bytes(8, "little", signed=True), x.to_bytes(4, "little") + bytes([step > 1]), lefts[:x], rights[:y]), h, f, x), strict=True):
                         c.append(v)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
 
@@ -260,26 +262,37 @@ def _sorted_extents(rows: DataFrame, around: int, left: bool, n: int) -> DataFra
     return inner.unionByName(spark.createDataFrame(pairs, _ENDS)) if pairs else inner
 
 
-def _reaches(contexts: DataFrame, around: int, group: int, n: int) -> DataFrame:
-    """(h, f, l, r): how far repeats reach beyond the anchors with surroundings f; several rows for one f may say so."""
-    level = contexts.select(F.col("h").alias("bucket"), "h", "f", "lefts", "rights", F.lit(0).alias("al"), F.lit(0).alias("ar"))
-    found = None
-    while True:
-        sizes = level.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-        shared = staged(level.join(sizes, "bucket"), "suffix-buckets")
-        small = shared.where(F.col("size") <= group).select("bucket", "h", "f", "lefts", "rights").repartition(n, "bucket").sortWithinPartitions("bucket")
-        parts = [small.mapInArrow(lambda it: _resolve(it, around), _ENDS)]
-        crowded = shared.where(F.col("size") > group).select("bucket", "h", "f", "lefts", "rights", "al", "ar")
-        agreed = crowded.where(F.col("al") + F.col("ar") >= around)
-        todo = crowded.where(F.col("al") + F.col("ar") < around)
-        if not agreed.isEmpty():
-            # every two of a bucket share a repeat: each side on its own reaches as far as the nearest neighbour in its order
-            parts += [_sorted_extents(agreed, around, True, n), _sorted_extents(agreed, around, False, n)]
-        for p in parts:
-            found = p if found is None else found.unionByName(p)
-        if todo.isEmpty():
-            return found
-        level = todo.mapInArrow(lambda it: _halve(it, around), "bucket long, h long, f long, lefts binary, rights binary, al int, ar int")
+def _crowded(contexts: DataFrame, around: int, group: int, n: int) -> DataFrame:
+    """(h, f, l, r) for stored surroundings (h, f, lefts, rights) of anchors that have too many for one task.
+
+    They meet in buckets of nearly all bytes they must agree on; buckets that are still too large are refined to buckets that agree on all of them.
+    Buckets travel as keys; surroundings are joined to those with company.
+    """
+    shape = "bucket long, h long, f long, a int"
+    texts = contexts.withColumnsRenamed({"h": "th", "f": "tf"})
+    same = (F.col("h") == F.col("th")) & (F.col("f") == F.col("tf"))
+
+    def company(rows: DataFrame, step: int) -> DataFrame:
+        keys = rows.mapInArrow(lambda it: _shares(it, around, step), shape).distinct()
+        keys = staged(keys, "suffix-keys")
+        sizes = keys.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+        return staged(keys.join(sizes, "bucket"), "suffix-company")
+
+    def solve(keys: DataFrame) -> DataFrame:
+        small = keys.join(texts, same).select("bucket", "h", "f", "lefts", "rights").repartition(n, "bucket").sortWithinPartitions("bucket")
+        return small.mapInArrow(lambda it: _resolve(it, around), _ENDS)
+
+    first = company(contexts.withColumn("low", F.lit(0)), STEP)
+    found = solve(first.where(F.col("size") <= group))
+    large = first.where(F.col("size") > group)
+    if large.isEmpty():
+        return found
+    again = large.select("h", "f", F.col("a").alias("low")).distinct().join(texts, same).select("h", "f", "lefts", "rights", "low")
+    agreed = company(again, 1)
+    found = found.unionByName(solve(agreed.where(F.col("size") <= group)))
+    # every two of these share a repeat: each side on its own reaches as far as the nearest neighbour in its order
+    rest = agreed.where(F.col("size") > group).join(texts, same).select("bucket", "h", "f", "lefts", "rights")
+    return found.unionByName(_sorted_extents(rest, around, True, n)).unionByName(_sorted_extents(rest, around, False, n))
 
 
 def _release(spark) -> None:
@@ -311,28 +324,36 @@ def repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, group: i
     unstage(spark, every)
     _release(spark)
     forms = staged(occ.groupBy("h", "f").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("one")), "suffix-forms")
-    mixed = forms.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-    ones = forms.join(mixed, "h").select("h", "f", "one.rid", "one.pos").groupBy("rid").agg(F.collect_list(F.struct("h", "f", "pos")).alias("wanted"))
+    mixed = forms.groupBy("h").agg(F.count("*").cast("int").alias("k")).where("k > 1")
+    ones = forms.join(mixed, "h").groupBy("one.rid").agg(F.collect_list(F.struct("h", "f", "one.pos", "k")).alias("wanted"))
 
     def surrounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for x, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 data = x.encode()
                 for w in wanted:
                     p = w["pos"]
-                    for c, v in zip(out, (w["h"], w["f"], data[max(0, p - around) : p][::-1], data[p + gram : p + gram + around]), strict=True):
+                    for c, v in zip(out, (w["h"], w["f"], w["k"], data[max(0, p - around) : p][::-1], data[p + gram : p + gram + around]), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["h", "f", "lefts", "rights"])
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["h", "f", "k", "lefts", "rights"])
 
-    texts = plain.join(ones, "rid").select("text", "wanted")
-    contexts = staged(texts.mapInArrow(surrounded, "h long, f long, lefts binary, rights binary").dropDuplicates(["h", "f"]), "suffix-contexts")
+    texts = plain.join(ones, "rid").select("text", "wanted").mapInArrow(surrounded, "h long, f long, k int, lefts binary, rights binary")
+    contexts = staged(texts, "suffix-contexts")
     _release(spark)
+    few = contexts.where(F.col("k") <= group).select("h", F.col("h").alias("hh"), "f", "lefts", "rights").repartition(n, "h").sortWithinPartitions("h")
+    reach = few.mapInArrow(lambda it: _resolve(it, around), _ENDS)
+    many = contexts.where(F.col("k") > group).select("h", "f", "lefts", "rights")
+    if not many.isEmpty():
+        reach = reach.unionByName(_crowded(many.dropDuplicates(["h", "f"]), around, group, n))
     # equal surroundings reach to their full extent; it is cut at the ends of the text later
-    reach = _reaches(contexts, around, group, n).unionByName(forms.where("n > 1").select("h", "f", F.lit(around).alias("l"), F.lit(around).alias("r")))
+    reach = reach.unionByName(forms.where("n > 1").select("h", "f", F.lit(around).alias("l"), F.lit(around).alias("r")))
     best = reach.groupBy("h", "f").agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    spans = occ.distinct().join(best, ["h", "f"]).select("rid", F.struct((F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + gram + F.col("r")).alias("end")).alias("span"))
-    return spans.groupBy("rid").agg(F.collect_list("span").alias("spans"))
+    spans = occ.join(best, ["h", "f"]).select("rid", F.struct((F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + gram + F.col("r")).alias("end")).alias("span"))
+    out = staged(spans.groupBy("rid").agg(F.collect_set("span").alias("spans")), "suffix-spans")
+    _release(spark)
+    return out
 
 
 def _merge(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
@@ -357,7 +378,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).withColumn("_rid", F.xxhash64(F.col(doc_id).cast("string"), F.col("_text")))
     found = repeats(src.select(F.col("_rid").alias("rid"), F.col("_text").alias("text")), length=length, gram=gram, group=group)
     small_batches(docs.sparkSession)
-    joined = src.join(found.withColumnRenamed("rid", "_r"), F.col("_rid") == F.col("_r"), "left").select(*[F.col(f"`{c}`") for c in keep], "_text", "spans")
+    joined = src.join(found.withColumnsRenamed({"rid": "_r", "spans": "_spans"}), F.col("_rid") == F.col("_r"), "left").select(*[F.col(f"`{c}`") for c in keep], "_text", "_spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
