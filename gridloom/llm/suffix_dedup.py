@@ -204,17 +204,18 @@ def _shares(batches: Iterator[pa.RecordBatch], around: int, step: int) -> Iterat
     """Buckets (bucket, h, f, a) of rows (h, f, lefts, rights, low): by ``a`` bytes to the left and what is missing, less step - 1, to the right.
 
     Two rows that agree on ``around`` bytes in all agree on x to the left; they share the bucket of the multiple of ``step`` at or under x. ``low`` is
-    where the multiples begin: 0 for all of them, a bucket's ``a`` to refine it with step 1.
+    where the multiples begin: 0 for all of them, a bucket's ``a`` to refine it with step 1. ``more`` stands for the next ``step`` bytes to the right.
     """
-    names, kinds = ["bucket", "h", "f", "a"], [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    names, kinds = ["bucket", "h", "f", "a", "more"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
     for b in batches:
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         for h, f, lefts, rights, low in zip(*(c.to_pylist() for c in b.columns), strict=True):
             top = around if step > 1 else min(around, low + STEP - 1)
             for x in range(low, top + 1, step):
                 y = max(0, around - x - step + 1)
                 if x <= len(lefts) and y <= len(rights):
-                    for c, v in zip(out, (_digest(h.to_bytes(8, "little", signed=True), x.to_bytes(4, "little") + bytes([step > 1]), lefts[:x], rights[:y]), h, f, x), strict=True):
+                    more = _digest(rights[y : y + step]) if x >= step and len(rights) >= y + step else None
+                    for c, v in zip(out, (_digest(h.to_bytes(8, "little", signed=True), x.to_bytes(4, "little") + bytes([step > 1]), lefts[:x], rights[:y]), h, f, x, more), strict=True):
                         c.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
@@ -268,15 +269,17 @@ def _crowded(contexts: DataFrame, around: int, group: int, n: int) -> DataFrame:
     They meet in buckets of nearly all bytes they must agree on; buckets that are still too large are refined to buckets that agree on all of them.
     Buckets travel as keys; surroundings are joined to those with company.
     """
-    shape = "bucket long, h long, f long, a int"
+    shape = "bucket long, h long, f long, a int, more long"
     texts = contexts.withColumnsRenamed({"h": "th", "f": "tf"})
     same = (F.col("h") == F.col("th")) & (F.col("f") == F.col("tf"))
 
     def company(rows: DataFrame, step: int) -> DataFrame:
         keys = rows.mapInArrow(lambda it: _shares(it, around, step), shape).distinct()
         keys = staged(keys, "suffix-keys")
-        sizes = keys.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-        return staged(keys.join(sizes, "bucket"), "suffix-company")
+        # if all of a bucket agree on ``step`` more bytes to the right, they are all in the bucket of ``step`` fewer to the left as well
+        whole = (F.count("more") == F.count("*")) & (F.min("more") == F.max("more"))
+        sizes = keys.groupBy("bucket").agg(F.count("*").alias("size"), F.coalesce(whole, F.lit(False)).alias("whole")).where("size > 1 AND NOT whole").drop("whole")
+        return staged(keys.drop("more").join(sizes, "bucket"), "suffix-company")
 
     def solve(keys: DataFrame) -> DataFrame:
         small = keys.join(texts, same).select("bucket", "h", "f", "lefts", "rights").repartition(n, "bucket").sortWithinPartitions("bucket")

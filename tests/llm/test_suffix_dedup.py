@@ -31,7 +31,7 @@ def slow(texts, length):
 
 
 def check(spark, texts, length, gram, group):
-    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, kept string").repartition(5)
+    docs = spark.createDataFrame([(i, t, "clash", 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, kept string, spans int, rid int").repartition(5)
     out = suffix_dedup.remove_repeats(docs, length=length, gram=gram, group=group)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in out.collect()}
     want = slow(texts, length)
