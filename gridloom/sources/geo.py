@@ -9,7 +9,6 @@ import io
 import os
 import sqlite3
 import struct
-import tempfile
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -148,13 +147,11 @@ def read_geopackage(spark: SparkSession, path: str, layer: str, columns: list[st
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for data in b["content"]:
-                with tempfile.NamedTemporaryFile(suffix=".gpkg") as f:  # sqlite needs a file; it lives as long as this parse
-                    f.write(data)
-                    f.flush()
-                    con = sqlite3.connect(f.name)
-                    picked = ", ".join(f'"{c}"' for c in [*columns, geometry])
-                    rows = con.execute(f'SELECT {picked} FROM "{layer}"').fetchall()
-                    con.close()
+                con = sqlite3.connect(":memory:")
+                con.deserialize(data)
+                picked = ", ".join(f'"{c}"' for c in [*columns, geometry])
+                rows = con.execute(f'SELECT {picked} FROM "{layer}"').fetchall()
+                con.close()
                 out = []
                 for *values, blob in rows:
                     envelope = (0, 32, 48, 48, 64)[blob[3] >> 1 & 7] if blob else 0
