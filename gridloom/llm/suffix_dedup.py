@@ -322,7 +322,8 @@ def repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, group: i
 
     plain = docs.select("rid", "text")
     every = staged(plain.where(F.octet_length("text") >= length).mapInArrow(sampled, "h long, f long, rid long, pos int"), "suffix-anchors")
-    twice = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # written first: a join straight over two exchanges is one whose crowded keys Spark can split
+    twice = staged(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "suffix-repeated")
     occ = staged(every.join(twice, "h"), "suffix-occurrences")
     unstage(spark, every)
     _release(spark)
@@ -352,7 +353,7 @@ def repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, group: i
         reach = reach.unionByName(_crowded(many.dropDuplicates(["h", "f"]), around, group, n))
     # equal surroundings reach to their full extent; it is cut at the ends of the text later
     reach = reach.unionByName(forms.where("n > 1").select("h", "f", F.lit(around).alias("l"), F.lit(around).alias("r")))
-    best = reach.groupBy("h", "f").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    best = staged(reach.groupBy("h", "f").agg(F.max("l").alias("l"), F.max("r").alias("r")), "suffix-reach")
     spans = occ.join(best, ["h", "f"]).select("rid", F.struct((F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + gram + F.col("r")).alias("end")).alias("span"))
     out = staged(spans.groupBy("rid").agg(F.collect_set("span").alias("spans")), "suffix-spans")
     _release(spark)
