@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -62,23 +63,23 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit_ordinal(x: np.ndarray, grades: np.ndarray, n_grades: int, *, l2: float = 1e-6, steps: int = 1500, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: tuple[np.ndarray, np.ndarray, np.ndarray], shape: tuple[int, int], grades: np.ndarray, n_grades: int, *, l2: float = 1e-6, steps: int = 1500, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by maximum likelihood with an L2 penalty (Adam on the full data).
 
-    Threshold j is t_0 + exp(g_1) + ... + exp(g_j), so the order holds by construction.
+    ``x`` holds rows, columns and values of the features that are not 0. Threshold j is t_0 + exp(g_1) + ... + exp(g_j), so the order holds by construction.
     """
-    n, d = x.shape
+    (n, d), (rows, cols, values) = shape, x
     w, t0, gaps = np.zeros(d), 1.0, np.zeros(max(0, n_grades - 2))
     m, v = np.zeros(d + 1 + gaps.size), np.zeros(d + 1 + gaps.size)
     for step in range(1, steps + 1):
         cuts = t0 + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-        p = 1 / (1 + np.exp(-np.clip((x @ w)[:, None] - cuts[None, :], -50, 50)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, w[cols] * values, n)[:, None] - cuts[None, :], -50, 50)))
         over = np.hstack([np.ones((n, 1)), p, np.zeros((n, 1))])
         slope = np.hstack([np.zeros((n, 1)), p * (1 - p), np.zeros((n, 1))])
         i = np.arange(n)
         mass = np.maximum(over[i, grades] - over[i, grades + 1], 1e-12)
         up, down = slope[i, grades] / mass, slope[i, grades + 1] / mass
-        g_w = -(x.T @ (up - down)) / n + l2 * w
+        g_w = -np.bincount(cols, (up - down)[rows] * values, d) / n + l2 * w
         g_cut = np.zeros(cuts.size)
         np.add.at(g_cut, np.clip(grades - 1, 0, None), np.where(grades > 0, up, 0) / n)
         np.add.at(g_cut, np.clip(grades, None, cuts.size - 1), -np.where(grades < cuts.size, down, 0) / n)
@@ -114,11 +115,29 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, tex
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(ids), "doc_id")
     sample = staged(texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text")), "toxicity-sample")
 
-    def found(batch: pa.RecordBatch) -> pa.RecordBatch:
-        f = [sorted(_features(x)) for x in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(f, pa.list_(pa.string()))], names=["toxic", "f"])
-
-    per = map_batches(sample, found, "toxic int, f array<string>").select("toxic", F.explode("f").alias("f")).groupBy("f").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every: Counter[str] = Counter()
+        bad: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            keys = list(every)
+            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([bad[k] for k in keys], pa.int64()), pa.array([every[k] for k in keys], pa.int64())], names=["f", "bad", "n"])
+            every.clear()
+            bad.clear()
+            return out
+
+        for b in batches:
+            for is_bad, x in zip(b.column("toxic").to_pylist(), b.column("text").to_pylist(), strict=True):
+                f = _features(x)
+                every.update(f)
+                if is_bad:
+                    bad.update(f)
+                if len(every) > _CACHE_WORDS:
+                    yield flush()
+        if every:
+            yield flush()
+
+    per = sample.select("toxic", "text").mapInArrow(counted, "f string, bad long, n long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     n_bad, n_all = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     if not n_bad or n_bad == n_all:
         return OrdinalModel({}, (50.0, 51.0))
@@ -138,11 +157,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, tex
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(idx, pa.list_(pa.int32()))], names=["doc_id", "toxic", "idx"])
 
     rows = map_batches(sample, sparse, "doc_id long, toxic int, idx array<int>").toArrow().sort_by("doc_id")  # at most train_rows rows of a few indices
-    x = np.zeros((rows.num_rows, max(1, len(kept))), np.float32)
-    for i, idx in enumerate(rows.column("idx").to_pylist()):
-        np.add.at(x[i], idx, 1)
-    bad = rows.column("toxic").to_numpy()
-    w, cuts = fit_ordinal(np.minimum(x, 8), severity_grades(x[:, : len(kept)] @ strong.astype(np.float32), bad), 3)
+    idx = rows.column("idx").combine_chunks()
+    docs_of = np.repeat(np.arange(rows.num_rows), idx.value_lengths().to_numpy())
+    pairs, values = np.unique(docs_of * np.int64(max(1, len(kept))) + idx.flatten().to_numpy(), return_counts=True)
+    r, c = np.divmod(pairs, max(1, len(kept)))
+    bad, hits = rows.column("toxic").to_numpy(), np.bincount(r, values * strong[c], rows.num_rows) if len(kept) else np.zeros(rows.num_rows)
+    w, cuts = fit_ordinal((r, c, np.minimum(values, 8).astype(float)), (rows.num_rows, max(1, len(kept))), severity_grades(hits, bad), 3)
     return OrdinalModel({f: float(w[i]) for f, i in place.items() if abs(w[i]) > 1e-4}, tuple(map(float, cuts)))
 
 

@@ -150,7 +150,7 @@ def test_ordinal_fit_orders_grades():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 3, (600, 5)).astype(float)
     grades = np.digitize(x @ np.array([2.0, -1, 0, 0.5, 0]) + rng.normal(0, 0.3, 600), [1.0, 3.0])
-    w, cuts = toxicity.fit_ordinal(x, grades, 3, l2=1e-4)
+    w, cuts = toxicity.fit_ordinal((*np.nonzero(x), x[np.nonzero(x)]), x.shape, grades, 3, l2=1e-4)
     assert np.all(np.diff(cuts) > 0)
     p = 1 / (1 + np.exp(-((x @ w)[:, None] - cuts[None, :])))
     mass = -np.diff(np.hstack([np.ones((600, 1)), p, np.zeros((600, 1))]), axis=1)
