@@ -1,6 +1,8 @@
 """Language-model scores of whole texts.
 
-Words are counted over all training documents; a causal self-attention model, trained in numpy, reads their subword ids. A word's
+Words are counted over all training documents; a causal self-attention model, trained in numpy, reads their subword ids. Every window
+of every training document trains it: documents are dealt into rounds and shards, each task goes on from the last round's weights over
+its shard, and the weights are averaged by the symbols behind them. A word's
 probability mixes its share of the training tokens with what the attention model gives its subwords in context. The
 model reads windows of two blocks of ids: the second block is scored, the first is its context, so windows overlap by one block and each id is scored
 once. Attention is computed for thousands of windows at a time under one causal mask.
@@ -10,7 +12,7 @@ from __future__ import annotations
 
 import base64
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
 from itertools import chain
@@ -28,11 +30,15 @@ BLOCK = 8
 #: The softmax is a choice of class and of a member in it: CLASSES * MEMBERS symbols.
 CLASSES, MEMBERS = 32, 64
 WIDTH, HEAD, HIDDEN = 24, 16, 32
-#: The attention model learns from about so many training documents of at most so many bytes, the ones with the least hashes.
-SAMPLE_DOCS, SAMPLE_BYTES = 2_000, 32_768
+#: Rounds of training at most, and symbols that one task trains on in a round, about. One of APART documents comes last and fits the mix first.
+ROUNDS, SHARD, APART = 8, 1 << 20, 20
+#: Texts are dealt out in runs of so many symbols; all runs but a text's first begin with two blocks of context.
+RUN, LEAD = 4096 * BLOCK, 2 * BLOCK
+#: Mixing weights at which the slope of the likelihood is taken.
+MIXES = np.linspace(0.02, 0.98, 193)
 #: Windows in one computation: its arrays stay in the processor's cache.
 PART = 2048
-#: Training steps of so many windows.
+#: Training steps at least, of so many windows; a large input takes as many as its windows need.
 STEPS, WINDOWS = 500, 768
 #: At most so many of the most frequent words, of at most so many bytes, whose counts every task holds; the counts of all others are joined.
 HEAD_WORDS, HEAD_BYTES = 200_000, 64
@@ -164,100 +170,265 @@ def _class_order(pairs: np.ndarray) -> np.ndarray:
     return np.concatenate(order)
 
 
-def train(texts: list[list[bytes]], ranks_path: str, *, steps: int = STEPS, seed: int = 7) -> Model:
-    """Fit the attention model to texts given as words (Adam on random windows)."""
-    merge, _ = _merger(ranks_path)
-    seen: Counter[int] = Counter()
-    split: dict[bytes, list[int]] = {}
-    for words in texts:
-        for w in words:
-            if w not in split:
-                ids = merge(w)
-                split[w] = [2 * i + (n == len(ids)) for n, i in enumerate(ids, 1)]
-            seen.update(split[w])
+def bare_model(seen: dict[int, int], ranks_path: str) -> Model:
+    """A model without weights whose symbols are the most frequent of the subwords seen."""
+    kept = sorted(sorted(seen, key=lambda p: (-seen[p], p))[: CLASSES * MEMBERS - FIRST_PIECE])
+    return Model(ranks_path, {p: FIRST_PIECE + n for n, p in enumerate(kept)}, {})
+
+
+def pieces_of(word: bytes, ranks_path: str) -> list[int]:
+    """The word's subwords as id * 2 + whether it ends the word."""
+    ids = _merger(ranks_path)[0](word)
+    return [2 * i + (n == len(ids)) for n, i in enumerate(ids, 1)]
+
+
+def start(pairs: np.ndarray, seed: int = 7) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """First weights, and the symbols' places in the classes, from counts of pairs (input, target)."""
     size = CLASSES * MEMBERS
-    kept = sorted(sorted(seen, key=lambda p: (-seen[p], p))[: size - FIRST_PIECE])
-    model = Model(ranks_path, {p: FIRST_PIECE + n for n, p in enumerate(kept)}, {})
-    memo = {w: np.frombuffer(model.symbols(w), np.int16) for w in split}
-    flat = [np.concatenate([*(memo[w] for w in words), np.array([END], np.int16)]) for words in texts] or [np.array([END], np.int16)]
-    inputs, first, targets, where = windows(flat)
-    real = np.zeros(targets.size, bool)
-    real[where] = True
-    real = real.reshape(targets.shape)
-    pairs = np.zeros((size, size), np.float32)
-    np.add.at(pairs, (inputs[real], targets[real]), 1)
     order = _class_order(pairs)
     place = np.empty(size, np.int64)
     place[order] = np.arange(size)
     rng = np.random.default_rng(seed)
     f32 = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
-    share = (np.bincount(targets[real], minlength=size) + 0.02).astype(np.float64)
+    share = pairs.sum(0, dtype=np.float64) + 0.02
     by_class = share[order].reshape(CLASSES, MEMBERS)
-    p = {
+    return {
         "e": f32(size, WIDTH, scale=0.5), "wq": f32(WIDTH, HEAD, scale=0.2), "wk": f32(WIDTH, HEAD, scale=0.2), "wv": f32(WIDTH, HIDDEN, scale=0.2),
         "wr": f32(WIDTH, HIDDEN, scale=0.2), "b": np.full(HIDDEN, 0.1, np.float32), "near": np.zeros(2 * BLOCK, np.float32), "wc": f32(HIDDEN, CLASSES, scale=0.1),
         "bc": np.log(by_class.sum(1) / share.sum()).astype(np.float32), "wm": f32(CLASSES, HIDDEN, MEMBERS, scale=0.1), "bm": np.log(by_class / by_class.sum(1, keepdims=True)).astype(np.float32),
+    }, place
+
+
+_GAP = np.arange(BLOCK)[:, None] - (np.arange(2 * BLOCK)[None, :] - BLOCK)
+_ROOT = np.float32(HEAD**-0.5)
+
+
+def fold(p: dict[str, np.ndarray], place: np.ndarray) -> dict[str, np.ndarray]:
+    """Weights as tables by symbol."""
+    return {
+        "q": p["e"] @ p["wq"] * _ROOT, "k": p["e"] @ p["wk"], "v": p["e"] @ p["wv"], "r": p["e"] @ p["wr"] + p["b"], "wc": p["wc"], "bc": p["bc"], "wm": p["wm"], "bm": p["bm"],
+        "near": np.where(_GAP >= 0, p["near"][np.maximum(_GAP, 0)], -1e9).astype(np.float32), "place": place,
     }
+
+
+def _by_symbol(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each symbol."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    cut = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])
+    out = np.zeros((CLASSES * MEMBERS, rows.shape[1]), np.float32)
+    out[ids[cut]] = np.add.reduceat(rows.take(order, 0), cut, axis=0)
+    return out
+
+
+def _gradients(p: dict[str, np.ndarray], t: dict[str, np.ndarray], before: np.ndarray, now: np.ndarray, first: np.ndarray, targets: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of the mean loss over the real targets of windows: blocks of inputs ``now`` and the blocks before them."""
+    g, n = {}, len(now)
+    ids = np.concatenate([before, now], axis=1).reshape(-1)
+    one = now.reshape(-1)
+    q, k, v = t["q"].take(one, 0).reshape(n, BLOCK, HEAD), t["k"].take(ids, 0).reshape(n, 2 * BLOCK, HEAD), t["v"].take(ids, 0).reshape(n, 2 * BLOCK, HIDDEN)
+    a = q @ k.transpose(0, 2, 1)
+    a += t["near"]
+    a[first, :, :BLOCK] = -1e9
+    _exp(a)
+    a /= _sums(a).reshape(n, BLOCK, 1)
+    z = (a @ v).reshape(-1, HIDDEN)
+    z += t["r"].take(one, 0)
+    np.maximum(z, 0, out=z)
+    live = np.flatnonzero(real.reshape(-1))
+    spot = t["place"].take(targets.reshape(-1).take(live))
+    order = np.argsort((spot // MEMBERS).astype(np.uint8), kind="stable")
+    live, spot = live[order], spot[order]
+    cls, member, rows = spot // MEMBERS, spot % MEMBERS, np.arange(spot.size)
+    ends = np.searchsorted(cls, np.arange(CLASSES + 1))
+    h, scale = z.take(live, 0), np.float32(1 / max(1, spot.size))
+    y = h @ p["wc"]
+    y += p["bc"]
+    _exp(y)
+    y *= (scale / _sums(y))[:, None]
+    y[rows, cls] -= scale
+    g["wc"], g["bc"] = h.T @ y, y.sum(0)
+    gh = y @ p["wc"].T
+    m = np.empty((spot.size, MEMBERS), np.float32)
+    for c in range(CLASSES):
+        np.matmul(h[ends[c] : ends[c + 1]], p["wm"][c], out=m[ends[c] : ends[c + 1]])
+        m[ends[c] : ends[c + 1]] += p["bm"][c]
+    _exp(m)
+    m *= (scale / _sums(m))[:, None]
+    m[rows, member] -= scale
+    g["wm"], g["bm"] = np.zeros_like(p["wm"]), np.zeros_like(p["bm"])
+    for c in range(CLASSES):
+        lo, hi = ends[c], ends[c + 1]
+        if hi > lo:
+            np.matmul(h[lo:hi].T, m[lo:hi], out=g["wm"][c])
+            m[lo:hi].sum(0, out=g["bm"][c])
+            gh[lo:hi] += m[lo:hi] @ p["wm"][c].T
+    gh *= h > 0
+    gz = np.zeros_like(z)
+    gz[live] = gh
+    gw = gz.reshape(n, BLOCK, HIDDEN)
+    ga = gw @ v.transpose(0, 2, 1)
+    ga -= _sums(ga * a).reshape(n, BLOCK, 1)
+    ga *= a
+    gk, gv, gq = ga.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ gw, ga @ k
+    g["near"] = np.bincount(np.maximum(_GAP, 0).ravel(), np.where(_GAP >= 0, ga.sum(0), 0).ravel(), 2 * BLOCK).astype(np.float32)
+    both = _by_symbol(ids, np.concatenate([gk.reshape(-1, HEAD), gv.reshape(-1, HIDDEN)], axis=1))
+    own = _by_symbol(one, np.concatenate([gq.reshape(-1, HEAD), gz], axis=1))
+    gk, gv, gq, gr = both[:, :HEAD], both[:, HEAD:], own[:, :HEAD] * _ROOT, own[:, HEAD:]
+    g["wk"], g["wv"], g["wq"], g["wr"], g["b"] = p["e"].T @ gk, p["e"].T @ gv, p["e"].T @ gq, p["e"].T @ gr, gr.sum(0)
+    g["e"] = gk @ p["wk"].T + gv @ p["wv"].T + gq @ p["wq"].T + gr @ p["wr"].T
+    return g
+
+
+def fit(p: dict[str, np.ndarray], place: np.ndarray, texts: list[np.ndarray], leads: list[int], *, steps: int, done: float = 0.0, part: float = 1.0, seed: int = 7) -> int:
+    """Go on with weights ``p``, in place, over the symbols of texts (Adam): all windows once, and again while there were under ``steps`` steps.
+
+    The first ``leads`` symbols of a text are context alone. ``done`` and ``part`` are the shares of all training that lie before and in this call. Returns the symbols trained on.
+    """
+    inputs, first, targets, where = windows(texts)
+    lead = np.concatenate([np.arange(len(x)) < n for x, n in zip(texts, leads, strict=True)])
+    real = np.zeros(targets.size, bool)
+    real[where] = ~lead
+    real = real.reshape(targets.shape)
+    usable = np.flatnonzero(real.any(1))
+    if not usable.size:
+        return 0
+    steps = max(steps, -(-usable.size // WINDOWS))
+    rng = np.random.default_rng(seed)
     m1, m2 = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
-    gap = np.arange(BLOCK)[:, None] - (np.arange(2 * BLOCK)[None, :] - BLOCK)
-    causal = gap >= 0
-    root = np.float32(HEAD**-0.5)
+    deck = np.empty(0, np.int64)
     for step in range(1, steps + 1):
-        pick = rng.integers(0, len(inputs), WINDOWS)
-        ids = np.concatenate([inputs[pick - 1], inputs[pick]], axis=1).astype(np.int64)
-        live = causal[None] & ~(first[pick][:, None, None] & (np.arange(2 * BLOCK) < BLOCK)[None, None, :])
-        e = p["e"][ids]
-        now = e[:, BLOCK:]
-        q, k, v = now @ p["wq"], e @ p["wk"], e @ p["wv"]
-        s = np.where(live, q @ k.transpose(0, 2, 1) * root + p["near"][np.maximum(gap, 0)], -1e9)
-        s -= s.max(2, keepdims=True)
-        a = np.exp(s)
-        a /= a.sum(2, keepdims=True)
-        z = a @ v + now @ p["wr"] + p["b"]
-        ok = real[pick].reshape(-1)
-        h = np.maximum(z, 0).reshape(-1, HIDDEN)
-        spot = place[targets[pick].reshape(-1)]
-        cls, member = spot // MEMBERS, spot % MEMBERS
-        g = {key: np.zeros_like(x) for key, x in p.items()}
-        n = max(1, int(ok.sum()))
-        y = h @ p["wc"] + p["bc"]
-        y = np.exp(y - y.max(1, keepdims=True))
-        y /= y.sum(1, keepdims=True)
-        y[np.arange(len(cls)), cls] -= 1
-        y *= ok[:, None] / np.float32(n)
-        g["wc"], g["bc"] = h.T @ y, y.sum(0)
-        gh = y @ p["wc"].T
-        for c in range(CLASSES):
-            idx = np.flatnonzero((cls == c) & ok)
-            if idx.size:
-                y = h[idx] @ p["wm"][c] + p["bm"][c]
-                y = np.exp(y - y.max(1, keepdims=True))
-                y /= y.sum(1, keepdims=True)
-                y[np.arange(idx.size), member[idx]] -= 1
-                y /= np.float32(n)
-                g["wm"][c], g["bm"][c] = h[idx].T @ y, y.sum(0)
-                gh[idx] += y @ p["wm"][c].T
-        gz = (gh * (h > 0)).reshape(z.shape)
-        flat_now, flat_e = now.reshape(-1, WIDTH), e.reshape(-1, WIDTH)
-        g["wr"], g["b"] = flat_now.T @ gz.reshape(-1, HIDDEN), gz.sum((0, 1))
-        ga = gz @ v.transpose(0, 2, 1)
-        gv = a.transpose(0, 2, 1) @ gz
-        gs = a * (ga - (ga * a).sum(2, keepdims=True))
-        g["near"] = np.bincount(np.maximum(gap, 0).ravel(), gs.sum(0).ravel(), 2 * BLOCK).astype(np.float32)
-        gq, gk = gs @ k * root, gs.transpose(0, 2, 1) @ q * root
-        g["wq"], g["wk"], g["wv"] = flat_now.T @ gq.reshape(-1, HEAD), flat_e.T @ gk.reshape(-1, HEAD), flat_e.T @ gv.reshape(-1, HIDDEN)
-        ge = gk @ p["wk"].T + gv @ p["wv"].T
-        ge[:, BLOCK:] += gq @ p["wq"].T + gz @ p["wr"].T
-        np.add.at(g["e"], ids.ravel(), ge.reshape(-1, WIDTH))
-        rate = np.float32(0.01 * min(1, step / 20) * (1 - 0.95 * step / steps))
+        while deck.size < min(WINDOWS, usable.size):
+            deck = np.concatenate([deck, rng.permutation(usable)])
+        pick, deck = deck[:WINDOWS], deck[WINDOWS:]
+        g = _gradients(p, fold(p, place), inputs[pick - 1], inputs[pick], first[pick], targets[pick], real[pick])
+        rate = np.float32(0.01 * min(1, step / 20) * (1 - 0.95 * (done + part * step / steps)))
         for key, x in p.items():
             m1[key] += np.float32(0.1) * (g[key] - m1[key])
             m2[key] += np.float32(0.01) * (g[key] * g[key] - m2[key])
             x -= rate * (m1[key] / np.float32(1 - 0.9**step)) / (np.sqrt(m2[key] / np.float32(1 - 0.99**step)) + np.float32(1e-7))
-    model.tables = {
-        "q": p["e"] @ p["wq"] * root, "k": p["e"] @ p["wk"], "v": p["e"] @ p["wv"], "r": p["e"] @ p["wr"] + p["b"], "wc": p["wc"], "bc": p["bc"], "wm": p["wm"], "bm": p["bm"],
-        "near": np.where(causal, p["near"][np.maximum(gap, 0)], -1e9).astype(np.float32), "place": place,
-    }
+    return int(real.sum())
+
+
+def count_pairs(texts: list[np.ndarray], leads: list[int]) -> np.ndarray:
+    """Counts of pairs (input, target) as a flat array."""
+    size, codes = CLASSES * MEMBERS, []
+    for x, n in zip(texts, leads, strict=True):
+        x = x.astype(np.int64)
+        codes.append((x[n - 1 : -1] if n else np.concatenate([[END], x[:-1]])) * size + x[n:])
+    return np.bincount(np.concatenate(codes), minlength=size * size)
+
+
+def train(texts: list[list[bytes]], ranks_path: str, *, steps: int = STEPS, seed: int = 7) -> Model:
+    """Fit the attention model to texts given as words, in this process."""
+    seen: Counter[int] = Counter()
+    for w, n in Counter(chain.from_iterable(texts)).items():
+        for x in pieces_of(w, ranks_path):
+            seen[x] += n
+    model = bare_model(seen, ranks_path)
+    flat = [np.frombuffer(b"".join([*map(model.symbols, words), np.int16(END).tobytes()]), np.int16) for words in texts] or [np.array([END], np.int16)]
+    none = [0] * len(flat)
+    p, place = start(count_pairs(flat, none).reshape(CLASSES * MEMBERS, -1).astype(np.float32), seed)
+    fit(p, place, flat, none, steps=steps, seed=seed)
+    model.tables = fold(p, place)
+    return model
+
+
+def train_on_all(learn: DataFrame, counts: DataFrame, ranks_path: str, mix_of: Callable[[Model, DataFrame], float], *, steps: int = STEPS, seed: int = 7) -> Model:
+    """Fit the attention model to every window of every row of ``learn`` (_o, a hash, and _text), whose words ``counts`` (word, c) has.
+
+    Documents are dealt by hash into rounds, and in a round into shards of about SHARD symbols, long texts in runs. Each shard's task
+    goes on from the weights of the round before; the mean of their weights, weighted by symbols, is the next round's. One of APART
+    documents is left for a last round; before it ``mix_of`` sees these documents and a model that has not.
+    """
+    spark = learn.sparkSession
+    sc = spark.sparkContext
+    size = CLASSES * MEMBERS
+
+    def subwords(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[int] = Counter()
+        for b in batches:
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for x in pieces_of(w, ranks_path) if w else ():
+                    seen[x] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["piece", "n"])
+
+    seen = counts.select("word", "c").mapInArrow(subwords, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    model = bare_model({r["piece"]: r["n"] for r in seen.collect()}, ranks_path)  # at most two for each rank
+    told = sc.broadcast(model)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[bytes, bytes] = {}
+        end = np.int16(END).tobytes()
+        for b in batches:
+            if len(cache) > _CACHE_WORDS:
+                cache.clear()
+            os, parts, leads, runs = [], [], [], []
+            for o, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = words_of(x)
+                for w in words:
+                    if w not in cache:
+                        cache[w] = told.value.symbols(w)
+                ids = b"".join([*(cache[w] for w in words), end])
+                for n, at in enumerate(range(0, len(ids), 2 * RUN)):
+                    os.append(o)
+                    parts.append(n)
+                    leads.append(LEAD if at else 0)
+                    runs.append(ids[at - 2 * leads[-1] : at + 2 * RUN])
+            yield pa.RecordBatch.from_arrays([pa.array(os, pa.int64()), pa.array(parts, pa.int64()), pa.array(leads, pa.int64()), pa.array(runs, pa.binary())], names=["o", "part", "lead", "ids"])
+
+    runs = staged(learn.select("_o", "_text").mapInArrow(coded, "o long, part long, lead long, ids binary"), "lm-symbols")
+
+    def of(b: pa.RecordBatch) -> tuple[list[np.ndarray], list[int]]:
+        return [np.frombuffer(x, np.int16) for x in b.column(b.num_columns - 1).to_pylist()], b.column(b.num_columns - 2).to_pylist()
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size * size, np.int64)
+        for b in batches:
+            if b.num_rows:
+                n += count_pairs(*of(b))
+        code = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n[code])], names=["code", "n"])
+
+    found = runs.select("lead", "ids").mapInArrow(paired, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # at most size * size
+    pairs = np.zeros(size * size, np.float32)
+    pairs[found.column("code").to_numpy()] = found.column("n").to_numpy()
+    p, place = start(pairs.reshape(size, size), seed)
+    names, shapes = list(p), [x.shape for x in p.values()]
+    cuts = np.cumsum([x.size for x in p.values()])[:-1]
+    total = int(pairs.sum(dtype=np.float64))
+    apart = F.pmod("o", F.lit(APART)) == 0
+    rounds = min(ROUNDS, max(1, total // SHARD))
+    turn = F.pmod(F.xxhash64("o"), F.lit(rounds))
+    plan = [(runs.where(~apart & (turn == r)), total / rounds, steps // rounds) for r in range(rounds)] + [(runs.where(apart), total / APART, 1)]
+
+    for r, (own, symbols, least) in enumerate(plan):
+        if r == rounds:
+            model.tables = fold(p, place)
+            model.mix = mix_of(model, learn.where(F.pmod("_o", F.lit(APART)) == 0))
+        shards = max(1, round(symbols / SHARD))
+        sent = sc.broadcast(p)
+
+        def trained(batches: Iterator[pa.RecordBatch], r: int = r, least: int = least, span: float = 1 / len(plan), sent=sent) -> Iterator[pa.RecordBatch]:
+            held: dict[int, tuple[list[np.ndarray], list[int]]] = {}
+            for b in batches:
+                for shard, x, n in zip(b.column(0).to_pylist(), *of(b), strict=True):
+                    mine = held.setdefault(shard, ([], []))
+                    mine[0].append(x)
+                    mine[1].append(n)
+            for shard, (texts, leads) in held.items():
+                w = {k: x.copy() for k, x in sent.value.items()}
+                n = fit(w, place, texts, leads, steps=least, done=r * span, part=span, seed=seed + shard)
+                flat = np.concatenate([x.reshape(-1) for x in w.values()]).astype(np.float64) * n
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["n", "w"])
+
+        dealt = own.select(F.pmod(F.xxhash64("o", "part", F.lit(1)), F.lit(shards)).alias("shard"), "o", "part", "lead", "ids")
+        dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "o", "part", "ids").select("shard", "lead", "ids")
+        sums = dealt.mapInArrow(trained, "n long, w binary").rdd.map(lambda x: (x[0], np.frombuffer(x[1])))
+        n, flat = sums.treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1])) if not own.isEmpty() else (0, None)
+        if n:
+            p = {k: x.reshape(shape).astype(np.float32) for k, x, shape in zip(names, np.split(flat / n, cuts), shapes, strict=True)}
+    model.tables = fold(p, place)
     return model
 
 
@@ -299,15 +470,19 @@ class Scorer:
         return np.split(summed, np.cumsum([len(s) for _, s in part])[:-1])
 
 
-def fit_mix(scorer: Scorer, texts: list[list[bytes]], share: dict[bytes, float], end_share: float) -> float:
-    """The weight of the words' shares that makes the texts likeliest, by expectation maximisation."""
-    a = np.exp(np.concatenate(scorer.tokens(texts))) if texts else np.empty(0)
-    u = np.array([share.get(w, 0.0) if w is not None else end_share for words in texts for w in [*words, None]])
-    mix = 0.5
-    for _ in range(30):
-        if a.size:
-            mix = float(np.clip(np.mean(mix * u / (mix * u + (1 - mix) * a + 1e-300)), 0.02, 0.98))
-    return mix
+def mix_slopes(u: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Slopes of the log likelihood in the mixing weight at MIXES, for tokens with shares ``u`` and the attention model's probabilities ``a``."""
+    return np.array([np.sum((u - a) / (m * u + (1 - m) * a + 1e-300)) for m in MIXES])
+
+
+def best_mix(slopes: np.ndarray) -> float:
+    """The weight of the words' shares that makes the tokens likeliest: the likelihood is concave, so its slope falls through zero once at most."""
+    if not slopes.any():
+        return 0.5
+    if slopes[0] <= 0 or slopes[-1] >= 0:
+        return float(MIXES[0] if slopes[0] <= 0 else MIXES[-1])
+    i = int(np.flatnonzero(slopes > 0)[-1])
+    return float(MIXES[i] + (MIXES[i + 1] - MIXES[i]) * slopes[i] / (slopes[i] - slopes[i + 1]))
 
 
 def score(docs: DataFrame, ranks_path: str, *, doc_id: str = "doc_id", text: str = "text", steps: int = STEPS) -> DataFrame:
@@ -358,16 +533,34 @@ def score(docs: DataFrame, ranks_path: str, *, doc_id: str = "doc_id", text: str
     head = dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True))
     below = total + 0.1 * (distinct + 1)
 
-    sample = learn.where(F.coalesce(F.octet_length("_text"), F.lit(0)) <= SAMPLE_BYTES).select(F.xxhash64(F.col(doc_id).cast("string"), F.col("_text")).alias("o"), F.col("_text"))
-    # hashes are even, so those under a share of their range are about SAMPLE_DOCS documents, and no task sorts or sends more
-    share_of = min(1.0, SAMPLE_DOCS / max(1, learn.count()))
-    below_cut = sample.where(F.lit(share_of == 1.0) | (F.col("o").cast("double") < (2 * share_of - 1) * 2.0**63))
-    texts = [words_of(r["_text"]) for r in sorted(below_cut.collect(), key=lambda r: (r["o"], r["_text"] or ""))]
-    apart = max(1, len(texts) // 20)
-    model = train(texts[apart:], ranks_path, steps=steps)
-    end_share = (head.get(b"", 0) + 0.1) / below
-    model.mix = fit_mix(Scorer(model), texts[:apart], {w: (c + 0.1) / below for w, c in head.items() if w}, end_share)
-    del texts
+    held_head = spark.sparkContext.broadcast(head)
+
+    def mix_of(model: Model, apart: DataFrame) -> float:
+        told = spark.sparkContext.broadcast(model)
+
+        def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorer, known = Scorer(told.value), held_head.value
+            for b in batches:
+                texts = [words_of(x) for x in b.column(0).to_pylist()]
+                if texts:
+                    flat = [w for words in texts for w in [*words, b""]]
+                    c = [known.get(w, -1) if w else known.get(w, 0) for w in flat]
+                    far = [w if n < 0 else None for w, n in zip(flat, c, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(far, pa.binary()), pa.array(c, pa.int64()), pa.array(np.concatenate(scorer.tokens(texts)))], names=["word", "near", "lp"])
+
+        def slopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(len(MIXES))
+            for b in batches:
+                out += mix_slopes((b.column(0).to_numpy() + 0.1) / below, np.exp(b.column(1).to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], names=["s"])
+
+        rows = staged(apart.select("_text").mapInArrow(tokens, "word binary, near long, lp double"), "lm-mix")
+        near = rows.where("word IS NULL").select(F.col("near").alias("c"), "lp")
+        far = rows.where("word IS NOT NULL").join(counts, "word", "left").select(F.coalesce("c", F.lit(0)).alias("c"), "lp")
+        each = near.unionByName(far).mapInArrow(slopes, "s array<double>").select(F.posexplode("s"))
+        return best_mix(np.array([r["s"] for r in each.groupBy("pos").agg(F.sum("col").alias("s")).orderBy("pos").collect()]))
+
+    model = train_on_all(learn.select(F.xxhash64(F.col(doc_id).cast("string"), F.col("_text")).alias("_o"), "_text"), counts, ranks_path, mix_of, steps=steps)
     shared = spark.sparkContext.broadcast((model, head))  # at most HEAD_WORDS words of HEAD_BYTES bytes, and a model of fixed size
     names = [*keep, "held_out", "_rid", "_word", "_lp", "n_tokens", "_near_known", "_base", "_full"]
 

@@ -86,3 +86,68 @@ def test_score_cases(spark):
 def test_held_out_scores_beat_the_base(spark):
     rows = queries.op3(spark, "/root/testdata/sf0.01").where("held_out").collect()
     assert rows and sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+
+
+def test_gradients_are_slopes():
+    rng = np.random.default_rng(2)
+    size = lm_scoring.CLASSES * lm_scoring.MEMBERS
+    texts = [rng.integers(0, size, n).astype(np.int16) for n in (3, 40, 21)]
+    p, place = lm_scoring.start(lm_scoring.count_pairs(texts, [0, 16, 0]).reshape(size, size).astype(np.float32))
+    inputs, first, targets, where = lm_scoring.windows(texts)
+    real = np.zeros(targets.shape, bool)
+    real.reshape(-1)[where] = True
+    pick = np.arange(len(inputs))
+
+    def loss():
+        lp = lm_scoring.Model(RANKS, {}, lm_scoring.fold(p, place)).log_probs(inputs, first, targets)
+        return -float(lp.astype(float)[real].mean())
+
+    g = lm_scoring._gradients(p, lm_scoring.fold(p, place), inputs[pick - 1], inputs[pick], first, targets, real)
+    assert g.keys() == p.keys()
+    for key, x in p.items():
+        d = g[key] / np.sqrt((g[key] ** 2).sum())
+        old, h = x.copy(), np.float32(0.02)
+        x += h * d
+        up = loss()
+        x[...] = old - h * d
+        down = loss()
+        x[...] = old
+        assert np.isclose((up - down) / (2 * h), (g[key] * d).sum(), rtol=0.05, atol=1e-5), key
+
+
+def test_every_window_trains(monkeypatch):
+    seen = []
+    real_gradients = lm_scoring._gradients
+    monkeypatch.setattr(lm_scoring, "_gradients", lambda p, t, before, now, first, targets, real: seen.append(targets[real]) or real_gradients(p, t, before, now, first, targets, real))
+    monkeypatch.setattr(lm_scoring, "WINDOWS", 7)
+    texts = [np.arange(n, dtype=np.int16) for n in (1, 100, 333)]
+    p, place = lm_scoring.start(np.ones((2048, 2048), np.float32))
+    assert lm_scoring.fit(p, place, texts, [0, 16, 0], steps=1) == 1 + 84 + 333
+    got = Counter(np.concatenate(seen).tolist())
+    assert all(got[int(x)] for x in [*texts[0], *texts[1][16:], *texts[2]])
+
+
+def test_long_documents_train_the_model(spark, monkeypatch):
+    # every text is longer than 32 kB, and its words are new but made of subwords that follow a pattern
+    def text(i):
+        rng = random.Random(i)
+        return " ".join("".join(rng.choice(("alpha", "omega")) for _ in range(6)) + str(rng.randrange(10**6)) for _ in range(1200))
+
+    docs = spark.createDataFrame([(i, text(i)) for i in range(40)], "doc_id long, text string")
+    monkeypatch.setattr(lm_scoring, "SHARD", 1 << 17)
+    rows = lm_scoring.score(docs, RANKS, steps=40).collect()
+    held = [r for r in rows if r["held_out"]]
+    assert held and len(rows) == 40
+    # far below the bare alphabet's 11 nats or more a subword: a word of 40 bytes costs under 14 decades
+    assert sum(r["score"] for r in held) / sum(r["n_tokens"] for r in held) > -14
+
+
+def test_rare_words_have_their_share_in_the_mix(spark, monkeypatch):
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(vocabulary) for _ in range(50))) for i in range(200)], "doc_id long, text string")
+    scores = lambda: {r["doc_id"]: r["score"] for r in lm_scoring.score(docs, RANKS, steps=3).collect()}
+    whole = scores()
+    monkeypatch.setattr(lm_scoring, "HEAD_WORDS", 5)
+    few = scores()
+    assert all(abs(few[i] - whole[i]) < 1e-3 for i in whole)
