@@ -258,6 +258,16 @@ def overlap_differences(spark: SparkSession, d: str) -> DataFrame:
     return raster.overlap_differences(i).select("item_a", "item_b", "pixels", r6("mean_difference"), r6("largest_difference"), "equal_pixels")
 
 
+@query("overlap_differences_all", """
+WITH i AS (SELECT l_partkey AS r, l_linenumber AS item, avg(l_quantity) AS v FROM lineitem GROUP BY ALL)
+SELECT a.item AS item_a, b.item AS item_b, count(*) AS pixels, round(avg(a.v - b.v), 6) AS mean_difference, round(max(abs(a.v - b.v)), 6) AS largest_difference, count(*) FILTER (WHERE a.v - b.v = 0) AS equal_pixels
+FROM i a JOIN i b ON a.r = b.r AND a.item < b.item GROUP BY ALL""", base=False)
+def overlap_differences_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of items; ``overlap_differences`` and its SQL are held to the first three."""
+    i = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("row"), F.col("l_linenumber").alias("item")).agg(F.avg("l_quantity").alias("value")).withColumn("col", F.lit(0))
+    return raster.overlap_differences(i).select("item_a", "item_b", "pixels", r6("mean_difference"), r6("largest_difference"), "equal_pixels")
+
+
 @query("column_jumps", f"""
 WITH g AS ({_GRID}), s AS (SELECT c, abs(v - lag(v) OVER (PARTITION BY r ORDER BY c)) AS j, c - lag(c) OVER (PARTITION BY r ORDER BY c) AS gap FROM g), ok AS (SELECT c, j FROM s WHERE gap = 1)
 SELECT c AS col, round(avg(j), 6) AS mean_jump, count(*) AS steps, round((SELECT quantile_cont(j, 0.99) FROM ok), 6) AS p99, avg(j) > (SELECT quantile_cont(j, 0.99) FROM ok) AS over_p99 FROM ok GROUP BY c""", base=False)
