@@ -15,8 +15,11 @@ BATCH_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or FALLBACK_DIR
+    """The folder all executors share, from ``spark.checkpoint.dir``; on one machine without that setting, a folder of its own."""
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if path is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return path or FALLBACK_DIR
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -47,6 +50,24 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as it takes to clash with no column of ``df``, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` but those called ``names``, compared without case as Spark does."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` with one output batch for each input batch."""
 

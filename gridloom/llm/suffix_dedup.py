@@ -6,15 +6,18 @@ the right sorted and with the common prefixes of neighbours, form a tree of comm
 intervals; in each, the bytes to the left of the occurrences, sorted from the right, tell how far which of them agree to the left. An interval
 whose prefix and left agreement make up LENGTH bytes is a repeat, with all its occurrences.
 
-Anchors with too many different surroundings for one task are split by the surroundings: two occurrences that share LENGTH bytes share a
-bucket of so many bytes to the left and almost all the rest to the right. Where thousands agree on all of them, a range-partitioned sort
-finds each one's neighbours.
+The suffix array of all anchors is dealt out by ranges, so an anchor with any number of surroundings spreads over tasks; each task scans the
+intervals of its range. Occurrences in different ranges agree to the right exactly as far as both agree with a suffix at a range's end
+between them. Those of an anchor that crosses range ends are sorted once more, by what stands left of them, under each of the few range ends that
+halve the anchor's ranges again and again; the same scan then settles what lies in one range of that order. What lies in two ranges of both orders is told
+by two numbers, the agreement with a range's end on either side, and a count of them for each possible string of LENGTH bytes.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import small_batches, staged, unstage
+from gridloom.llm.common import small_batches, staged, unstage, unused, without
 
-#: Bytes of a repeat, bytes of an anchor, and occurrences whose tree one task builds in memory.
-LENGTH, GRAM, GROUP = 200, 48, 1024
-#: Anchors in a crowd are dealt out by every so many bytes of agreement to the left.
-STEP = 19
+#: Bytes of a repeat and bytes of an anchor.
+LENGTH, GRAM = 200, 48
 #: Bytes scanned for anchors at a time.
 BLOCK = 1 << 20
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -156,146 +157,174 @@ def extents(lefts: list[bytes], rights: list[bytes], need: int) -> tuple[list[in
     return far_left, far_right
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list, ...]]:
-    """Columns of each run of rows with equal first ``keys`` columns."""
-    held, key = None, None
-    for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if row[:keys] != key:
-                if held:
-                    yield tuple(map(list, zip(*held, strict=True)))
-                held, key = [], row[:keys]
-            held.append(row)
-    if held:
-        yield tuple(map(list, zip(*held, strict=True)))
+def nested(depths: list[int], lefts: list[bytes], need: int) -> tuple[list[int], list[int]]:
+    """As ``extents`` for occurrences sorted by ``lefts`` of which two agree to the right as far as the lesser of their ``depths``.
+
+    The same stack scan over the common prefixes of what stands to the left; in an interval the best partner is the deepest other one.
+    """
+    m = len(lefts)
+    far_left, far_right, depth = np.full(m, -1), np.full(m, -1), np.array(depths)
+    for a, first, last in intervals([agree(x, y) for x, y in zip(lefts, lefts[1:], strict=False)]):
+        part = depth[first : last + 1]
+        top = int(part.argmax())
+        second = int(max(part[:top].max(initial=-1), part[top + 1 :].max(initial=-1)))
+        if a + second < need:
+            continue
+        reach = np.minimum(part, part[top])
+        reach[top] = second
+        ok = np.flatnonzero(reach + a >= need)
+        far_left[first + ok] = np.maximum(far_left[first + ok], a)
+        far_right[first + ok] = np.maximum(far_right[first + ok], reach[ok])
+    return far_left.tolist(), far_right.tolist()
 
 
 _ENDS = "h long, f long, l int, r int"
+_ENDS_ARROW = [("h", pa.int64()), ("f", pa.int64()), ("l", pa.int32()), ("r", pa.int32())]
+_SCAN = f"{_ENDS}, pid int, edge int, key long, side binary, tie long"
+_SCAN_ARROW = [*_ENDS_ARROW, ("pid", pa.int32()), ("edge", pa.int32()), ("key", pa.int64()), ("side", pa.binary()), ("tie", pa.int64())]
 
 
-def _rows(schema: list[tuple[str, pa.DataType]], columns: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema, strict=True)], names=[n for n, _ in schema])
+class _Rows:
+    """Rows that leave as batches."""
 
+    def __init__(self, kinds: list[tuple[str, pa.DataType]], size: int = 10_000):
+        self.kinds, self.size, self.columns = kinds, size, [[] for _ in kinds]
 
-_ENDS_ARROW = [("h", pa.int64()), ("f", pa.int64()), ("l", pa.int32()), ("r", pa.int32())]
-_NEAR_ARROW = [*_ENDS_ARROW, ("pid", pa.int32()), ("edge", pa.int32()), ("bucket", pa.int64()), ("side", pa.binary())]
+    def add(self, *row) -> None:
+        for c, v in zip(self.columns, row, strict=True):
+            c.append(v)
 
+    def flush(self, least: int = 1) -> Iterator[pa.RecordBatch]:
+        if len(self.columns[0]) >= least:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(self.columns, self.kinds, strict=True)], names=[n for n, _ in self.kinds])
+            self.columns = [[] for _ in self.kinds]
+
+    def full(self) -> Iterator[pa.RecordBatch]:
+        return self.flush(self.size)
+
+
+def _scan(batches: Iterator[pa.RecordBatch], solve: Callable[[list[tuple]], tuple[list[int], list[int]]]) -> Iterator[pa.RecordBatch]:
+    """Extents within runs of one key of rows (key, side, tie, h, f, ...) in sorted order, and the first and last row of the range as edges."""
+    pid, out, held, last = TaskContext.get().partitionId(), _Rows(_SCAN_ARROW), [], None
+
+    def settle() -> None:
+        if len(held) > 1:
+            for row, a, b in zip(held, *solve(held), strict=True):
+                if a >= 0:
+                    out.add(row[3], row[4], a, b, pid, 0, None, None, None)
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if last is None:
+                out.add(row[3], row[4], -1, -1, pid, 1, *row[:3])
+            elif row[0] != last[0]:
+                settle()
+                held = []
+                yield from out.full()
+            held.append(row)
+            last = row
+    if last is not None:
+        settle()
+        out.add(last[3], last[4], -1, -1, pid, 2, *last[:3])
+    yield from out.flush()
 
-def _digest(*parts: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(b"\0".join(parts), digest_size=8).digest(), "little", signed=True)
 
+def _ranges(scanned: DataFrame) -> tuple[dict[int, list[tuple[bytes, int]]], dict[int, list[tuple[int, int, int]]]]:
+    """For each key that crosses range ends: the last rows (side, tie) before them, and a balanced tree over them as nodes (number, lower, upper).
 
-def _resolve(batches: Iterator[pa.RecordBatch], around: int) -> Iterator[pa.RecordBatch]:
-    """Extents in the buckets (bucket, h, f, lefts, rights), sorted by bucket."""
-    out: list[list] = [[], [], [], []]
-    for _, h, f, lefts, rights in _groups(batches, 1):
-        for row in zip(h, f, *extents(lefts, rights, around), strict=True):
-            if row[2] >= 0:
-                for c, v in zip(out, row, strict=True):
-                    c.append(v)
-        if len(out[0]) > 10_000:
-            yield _rows(_ENDS_ARROW, out)
-            out = [[], [], [], []]
-    if out[0]:
-        yield _rows(_ENDS_ARROW, out)
+    Two rows a range come to the driver, a range being a task's share of the sort.
+    """
+    ends: dict[int, list[tuple[bytes, int]]] = {}
+    edges = sorted(scanned.where("edge > 0").select("pid", "edge", "key", "side", "tie").collect())
+    for before, after in zip(edges[1::2], edges[2::2], strict=False):
+        if before["key"] == after["key"]:
+            ends.setdefault(before["key"], []).append((bytes(before["side"]), before["tie"]))
+    nodes, numbers = {}, count()
+    for key, rows in ends.items():
+        spans, nodes[key] = [(0, len(rows))], []
+        while spans:
+            lo, hi = spans.pop()
+            if lo < hi:
+                nodes[key].append((next(numbers), lo, hi))
+                spans += [(lo, (lo + hi) // 2), ((lo + hi) // 2 + 1, hi)]
+    return ends, nodes
+
+
+def _above(ends: list[tuple[bytes, int]], nodes: list[tuple[int, int, int]], side: bytes, tie: int) -> Iterator[tuple[int, int]]:
+    """(node, agreement with the range end of the node) for the nodes over the range of a row: any two rows in different ranges part at one of them."""
+    at = bisect_left(ends, (side, tie))
+    for node, lo, hi in nodes:
+        if lo <= at <= hi:
+            yield node, agree(side, ends[(lo + hi) // 2][0])
+
+
+def _across(contexts: DataFrame, scanned: DataFrame, around: int, n: int) -> DataFrame | None:
+    """(h, f, l, r) that occurrences (h, f, lefts, rights) reach with those in other ranges of the suffix array; None if no anchor crosses a range end.
+
+    Driver and closures hold a row for each range end, and ``around`` + 1 bits for each in the second order.
+    """
+    ends, nodes = _ranges(scanned)
+    if not ends:
+        return None
 
+    def deepen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Rows([("node", pa.int64()), ("lefts", pa.binary()), ("tie", pa.int64()), ("h", pa.int64()), ("f", pa.int64()), ("depth", pa.int32())])
+        for b in batches:
+            for h, f, lefts, rights in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for node, depth in _above(ends[h], nodes[h], rights, f):
+                    if depth + len(lefts) >= around:
+                        out.add(node, lefts, f, h, f, depth)
+            yield from out.full()
+        yield from out.flush()
+
+    crossing = contexts.where(F.col("h").isin(list(ends))).select("h", "f", "lefts", "rights")
+    deep = staged(crossing.mapInArrow(deepen, "node long, lefts binary, tie long, h long, f long, depth int"), "suffix-crossing")
+    order = ("node", "lefts", "tie")
+    dealt = deep.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    again = staged(dealt.mapInArrow(lambda it: _scan(it, lambda rows: nested([r[5] for r in rows], [r[1] for r in rows], around)), _SCAN), "suffix-lefts")
+    found = again.where("edge = 0").select("h", "f", "l", "r")
+    left_ends, left_nodes = _ranges(again)
+    if not left_ends:
+        return found
+    twice_crossing = deep.where(F.col("node").isin(list(left_ends)))
 
-def _shares(batches: Iterator[pa.RecordBatch], around: int, step: int) -> Iterator[pa.RecordBatch]:
-    """Buckets (bucket, h, f, a) of rows (h, f, lefts, rights, low): by ``a`` bytes to the left and what is missing, less step - 1, to the right.
+    def corners(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int, int]]:
+        """(node of the second order, most to the left, least to the left, h, f) for rows that may lie in a repeat with one beyond the node's end."""
+        for node, lefts, tie, h, f, depth in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for second, left in _above(left_ends[node], left_nodes[node], lefts, tie):
+                if left + depth >= around:
+                    yield second, left, around - depth, h, f
 
-    Two rows that agree on ``around`` bytes in all agree on x to the left; they share the bucket of the multiple of ``step`` at or under x. ``low`` is
-    where the multiples begin: 0 for all of them, a bucket's ``a`` to refine it with step 1. ``more`` stands for the next ``step`` bytes to the right.
-    """
-    names, kinds = ["bucket", "h", "f", "a", "more"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-    for b in batches:
-        out: list[list] = [[], [], [], [], []]
-        for h, f, lefts, rights, low in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            top = around if step > 1 else min(around, low + STEP - 1)
-            for x in range(low, top + 1, step):
-                y = max(0, around - x - step + 1)
-                if x <= len(lefts) and y <= len(rights):
-                    more = _digest(rights[y : y + step]) if x >= step and len(rights) >= y + step else None
-                    for c, v in zip(out, (_digest(h.to_bytes(8, "little", signed=True), x.to_bytes(4, "little") + bytes([step > 1]), lefts[:x], rights[:y]), h, f, x, more), strict=True):
-                        c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch], left: bool, other: int) -> Iterator[pa.RecordBatch]:
-    """Agreement with both neighbours of rows (bucket, h, f, side) sorted by bucket and side; the first and last row also as edges."""
-    pid, prev, out = TaskContext.get().partitionId(), None, [[] for _ in _NEAR_ARROW]
-
-    def put(h, f, n, edge=0, bucket=None, side=None):
-        for c, v in zip(out, (h, f, n if left else other, other if left else n, pid, edge, bucket, side), strict=True):
-            c.append(v)
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for second, most, least, _, _ in corners(b):
+                sums.setdefault(second, np.zeros(around + 1, np.int64))[least : most + 1] += 1
+        out = _Rows([("second", pa.int64()), ("left", pa.int32()), ("n", pa.int64())])
+        for second, row in sums.items():
+            for left in np.flatnonzero(row).tolist():
+                out.add(second, left, int(row[left]))
+            yield from out.full()
+        yield from out.flush()
+
+    # the string that starts ``left`` bytes before the anchor is a repeat if two rows hold it; a row a string and range end comes to the driver
+    totals = twice_crossing.mapInArrow(counted, "second long, left int, n long").groupBy("second", "left").agg(F.sum("n").alias("n"))
+    repeated: dict[int, np.ndarray] = {}
+    for row in totals.where("n > 1").collect():
+        repeated.setdefault(row["second"], np.zeros(around + 1, bool))[row["left"]] = True
+
+    def cornered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Rows(_ENDS_ARROW)
+        for b in batches:
+            for second, most, least, h, f in corners(b):
+                if second in repeated:
+                    starts = least + np.flatnonzero(repeated[second][least : most + 1])
+                    if starts.size:
+                        out.add(h, f, int(starts[-1]), around - int(starts[0]))
+            yield from out.full()
+        yield from out.flush()
 
-    for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if prev is None:
-                put(row[1], row[2], -1, 1, row[0], row[3])
-            elif prev[0] == row[0]:
-                n = agree(prev[3], row[3])
-                put(prev[1], prev[2], n)
-                put(row[1], row[2], n)
-            prev = row
-        if len(out[0]) > 10_000:
-            yield _rows(_NEAR_ARROW, out)
-            out = [[] for _ in _NEAR_ARROW]
-    if prev is not None:
-        put(prev[1], prev[2], -1, 2, prev[0], prev[3])
-    if out[0]:
-        yield _rows(_NEAR_ARROW, out)
-
-
-def _sorted_extents(rows: DataFrame, around: int, left: bool, n: int) -> DataFrame:
-    """(h, f, l, r) by neighbours in a global sort of rows that all agree on enough; l or r is found, the other is what all agree on."""
-    spark = rows.sparkSession
-    side = F.col("lefts" if left else "rights").alias("side")
-    dealt = rows.select("bucket", "h", "f", side).repartitionByRange(n, "bucket", "side", "f").sortWithinPartitions("bucket", "side", "f")
-    found = staged(dealt.mapInArrow(lambda it: _neighbours(it, left, 0), "h long, f long, l int, r int, pid int, edge int, bucket long, side binary"), "suffix-neighbours")
-    # two rows a partition: where one partition ends and the next begins
-    edges = [r for r in found.where("edge > 0").orderBy("pid", "edge").collect()]
-    pairs = []
-    for a, b in zip(edges[1::2], edges[2::2], strict=False):
-        if a["bucket"] == b["bucket"]:
-            k = agree(bytes(a["side"]), bytes(b["side"]))
-            pairs += [(x["h"], x["f"], k if left else 0, 0 if left else k) for x in (a, b)]
-    inner = found.where("edge = 0").select("h", "f", "l", "r")
-    return inner.unionByName(spark.createDataFrame(pairs, _ENDS)) if pairs else inner
-
-
-def _crowded(contexts: DataFrame, around: int, group: int, n: int) -> DataFrame:
-    """(h, f, l, r) for stored surroundings (h, f, lefts, rights) of anchors that have too many for one task.
-
-    They meet in buckets of nearly all bytes they must agree on; buckets that are still too large are refined to buckets that agree on all of them.
-    Buckets travel as keys; surroundings are joined to those with company.
-    """
-    shape = "bucket long, h long, f long, a int, more long"
-    texts = contexts.withColumnsRenamed({"h": "th", "f": "tf"})
-    same = (F.col("h") == F.col("th")) & (F.col("f") == F.col("tf"))
-
-    def company(rows: DataFrame, step: int) -> DataFrame:
-        keys = rows.mapInArrow(lambda it: _shares(it, around, step), shape).distinct()
-        keys = staged(keys, "suffix-keys")
-        # if all of a bucket agree on ``step`` more bytes to the right, they are all in the bucket of ``step`` fewer to the left as well
-        whole = (F.count("more") == F.count("*")) & (F.min("more") == F.max("more"))
-        sizes = keys.groupBy("bucket").agg(F.count("*").alias("size"), F.coalesce(whole, F.lit(False)).alias("whole")).where("size > 1 AND NOT whole").drop("whole")
-        return staged(keys.drop("more").join(sizes, "bucket"), "suffix-company")
-
-    def solve(keys: DataFrame) -> DataFrame:
-        small = keys.join(texts, same).select("bucket", "h", "f", "lefts", "rights").repartition(n, "bucket").sortWithinPartitions("bucket")
-        return small.mapInArrow(lambda it: _resolve(it, around), _ENDS)
-
-    first = company(contexts.withColumn("low", F.lit(0)), STEP)
-    found = solve(first.where(F.col("size") <= group))
-    large = first.where(F.col("size") > group)
-    if large.isEmpty():
-        return found
-    again = large.select("h", "f", F.col("a").alias("low")).distinct().join(texts, same).select("h", "f", "lefts", "rights", "low")
-    agreed = company(again, 1)
-    found = found.unionByName(solve(agreed.where(F.col("size") <= group)))
-    # every two of these share a repeat: each side on its own reaches as far as the nearest neighbour in its order
-    rest = agreed.where(F.col("size") > group).join(texts, same).select("bucket", "h", "f", "lefts", "rights")
-    return found.unionByName(_sorted_extents(rest, around, True, n)).unionByName(_sorted_extents(rest, around, False, n))
+    return found.unionByName(twice_crossing.mapInArrow(cornered, _ENDS)) if repeated else found
 
 
 def _release(spark) -> None:
@@ -303,7 +332,7 @@ def _release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """rid, spans: for each text (columns rid and text) the byte ranges that strings of ``length`` bytes occurring elsewhere cover.
 
     ``rid`` stands for a row; rows may share it only if their texts are equal. Spans overlap as they were found.
@@ -328,29 +357,30 @@ def repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, group: i
     unstage(spark, every)
     _release(spark)
     forms = staged(occ.groupBy("h", "f").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("one")), "suffix-forms")
-    mixed = forms.groupBy("h").agg(F.count("*").cast("int").alias("k")).where("k > 1")
-    ones = forms.join(mixed, "h").groupBy("one.rid").agg(F.collect_list(F.struct("h", "f", "one.pos", "k")).alias("wanted"))
+    mixed = forms.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+    ones = forms.join(mixed, "h").groupBy("one.rid").agg(F.collect_list(F.struct("h", "f", "one.pos")).alias("wanted"))
 
     def surrounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
+            out = _Rows([("h", pa.int64()), ("f", pa.int64()), ("lefts", pa.binary()), ("rights", pa.binary())])
             for x, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 data = x.encode()
                 for w in wanted:
                     p = w["pos"]
-                    for c, v in zip(out, (w["h"], w["f"], w["k"], data[max(0, p - around) : p][::-1], data[p + gram : p + gram + around]), strict=True):
-                        c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["h", "f", "k", "lefts", "rights"])
+                    out.add(w["h"], w["f"], data[max(0, p - around) : p][::-1], data[p + gram : p + gram + around])
+                yield from out.full()
+            yield from out.flush()
 
-    texts = plain.join(ones, "rid").select("text", "wanted").mapInArrow(surrounded, "h long, f long, k int, lefts binary, rights binary")
+    texts = plain.join(ones, "rid").select("text", "wanted").mapInArrow(surrounded, "h long, f long, lefts binary, rights binary")
     contexts = staged(texts, "suffix-contexts")
     _release(spark)
-    few = contexts.where(F.col("k") <= group).select("h", F.col("h").alias("hh"), "f", "lefts", "rights").repartition(n, "h").sortWithinPartitions("h")
-    reach = few.mapInArrow(lambda it: _resolve(it, around), _ENDS)
-    many = contexts.where(F.col("k") > group).select("h", "f", "lefts", "rights")
-    if not many.isEmpty():
-        reach = reach.unionByName(_crowded(many.dropDuplicates(["h", "f"]), around, group, n))
+    order = ("h", "rights", "f")
+    dealt = contexts.select("h", "rights", F.col("f").alias("tie"), F.col("h").alias("hh"), "f", "lefts").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    scanned = staged(dealt.mapInArrow(lambda it: _scan(it, lambda rows: extents([r[5] for r in rows], [r[1] for r in rows], around)), _SCAN), "suffix-tree")
+    reach = scanned.where("edge = 0").select("h", "f", "l", "r")
+    across = _across(contexts, scanned, around, n)
+    if across is not None:
+        reach = reach.unionByName(across)
     # equal surroundings reach to their full extent; it is cut at the ends of the text later
     reach = reach.unionByName(forms.where("n > 1").select("h", "f", F.lit(around).alias("l"), F.lit(around).alias("r")))
     best = staged(reach.groupBy("h", "f").agg(F.max("l").alias("l"), F.max("r").alias("r")), "suffix-reach")
@@ -370,7 +400,7 @@ def _merge(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` without the text but with kept (the remaining bytes), n_bytes, n_removed, n_spans and removed (ranges of bytes).
 
     A byte goes if a string of ``length`` bytes that covers it starts anywhere else too, in another text or the same one; all is judged on the
@@ -378,11 +408,14 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     ``length`` bytes lose nothing. Columns named like results are replaced. Empty in, empty out.
     """
     added = ["kept", "n_bytes", "n_removed", "n_spans", "removed"]
-    keep = [c for c in docs.columns if c not in (text, *added)]
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).withColumn("_rid", F.xxhash64(F.col(doc_id).cast("string"), F.col("_text")))
-    found = repeats(src.select(F.col("_rid").alias("rid"), F.col("_text").alias("text")), length=length, gram=gram, group=group)
+    keep = without(docs, text, *added)
+    data, row, found_row, spans = unused(docs, "text_", "row_", "found_row_", "spans_")
+    texts = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(data))
+    src = texts.withColumn(row, F.xxhash64(F.col(f"`{doc_id}`").cast("string"), F.col(data)))
+    found = repeats(src.select(F.col(row).alias("rid"), F.col(data).alias("text")), length=length, gram=gram)
     small_batches(docs.sparkSession)
-    joined = src.join(found.withColumnsRenamed({"rid": "_r", "spans": "_spans"}), F.col("_rid") == F.col("_r"), "left").select(*[F.col(f"`{c}`") for c in keep], "_text", "_spans")
+    found = found.withColumnsRenamed({"rid": found_row, "spans": spans})
+    joined = src.join(found, F.col(row) == F.col(found_row), "left").select(*[F.col(f"`{c}`") for c in keep], data, spans)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -30,9 +30,9 @@ def slow(texts, length):
     return out
 
 
-def check(spark, texts, length, gram, group):
-    docs = spark.createDataFrame([(i, t, "clash", 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, kept string, spans int, rid int").repartition(5)
-    out = suffix_dedup.remove_repeats(docs, length=length, gram=gram, group=group)
+def check(spark, texts, length, gram):
+    docs = spark.createDataFrame([(i, t, "clash", 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, KEPT string, _text int, rid int").repartition(5)
+    out = suffix_dedup.remove_repeats(docs, length=length, gram=gram)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in out.collect()}
     want = slow(texts, length)
     for i, w in enumerate(want):
@@ -47,15 +47,41 @@ def test_small_alphabet_and_short_repeats(spark):
     for _ in range(120):
         texts.append("".join(rng.choice([rng.choice(passages), "".join(rng.choice("abcdefghijklmnop é") for _ in range(rng.randrange(0, 25)))]) for _ in range(rng.randrange(0, 5))))
     texts += [None, "", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "abababababababababababab", texts[3], texts[3]]
-    check(spark, texts, 16, 6, 256)
+    check(spark, texts, 16, 6)
 
 
-def test_crowded_anchors_are_split_exactly(spark):
+def test_anchors_that_cross_many_ranges(spark):
     rng = random.Random(1)
     line, passage = "a common line", "the passage that many documents share "
-    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
-    texts = [noise(rng.randrange(0, 12)) + line + noise(rng.randrange(0, 12)) + (passage if i % 2 else "") + noise(rng.randrange(0, 9)) for i in range(90)]
-    check(spark, texts, 16, 6, 4)
+    noise = lambda n: "".join(rng.choice("abc ") for _ in range(n))
+    texts = [noise(rng.randrange(0, 12)) + line + noise(rng.randrange(0, 12)) + (passage if i % 2 else "") + noise(rng.randrange(0, 9)) for i in range(300)]
+    near = "one text of which all the others are copies but for a letter or two that differ"
+    for _ in range(200):
+        copy = list(near)
+        for _ in range(rng.randrange(0, 4)):
+            copy[rng.randrange(len(copy))] = rng.choice("xyz")
+        texts.append("".join(copy))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        check(spark, texts, 16, 6)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_nested_by_brute_force():
+    rng = random.Random(5)
+    for _ in range(300):
+        m, need = rng.randrange(2, 14), rng.randrange(1, 10)
+        lefts = sorted(bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 8))) for _ in range(m))
+        depths = [rng.randrange(0, 8) for _ in range(m)]
+        left, right = [-1] * m, [-1] * m
+        for i in range(m):
+            for j in range(m):
+                a, b = suffix_dedup.agree(lefts[i], lefts[j]), min(depths[i], depths[j])
+                if i != j and a + b >= need:
+                    left[i], right[i] = max(left[i], a), max(right[i], b)
+        assert suffix_dedup.nested(depths, lefts, need) == (left, right)
 
 
 def test_production_lengths(spark):
@@ -64,8 +90,7 @@ def test_production_lengths(spark):
     shared = [noise(60) for _ in range(3)]
     texts = [noise(rng.randrange(0, 80)) + rng.choice([" ", "|"]) + rng.choice(shared)[rng.randrange(0, 40) :] + rng.choice([" ", "|"]) + noise(rng.randrange(0, 80)) for _ in range(40)]
     texts += [texts[0], texts[1][:400], "x" * 1500, ("line of boilerplate, all rights reserved. " * 30)]
-    check(spark, texts, 200, 48, 256)
-    check(spark, texts, 200, 48, 3)
+    check(spark, texts, 200, 48)
 
 
 def test_empty_and_repeated_rows(spark):
