@@ -1,6 +1,9 @@
 """Every query with an oracle, against DuckDB on the same files."""
 
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pandas as pd
@@ -46,3 +49,15 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert entry.queries().keys() >= entry.oracle_sql().keys()
+
+
+def test_the_rest_works_without_the_optional_subpackage(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    keep = shutil.ignore_patterns("llm", ".git", "__pycache__")
+    shutil.copytree(root, tmp_path / "repo", ignore=keep)
+    code = (
+        "import __spark_entry__ as e; from pyspark.sql import SparkSession; q = e.queries(); assert q and not any(n.startswith('op') or n == 'pipeline' for n in q), list(q);"
+        "assert e.oracle_sql().keys() <= q.keys(); s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate(); assert e.entry(s).count() > 0"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", capture_output=True, text=True, timeout=300, env={**os.environ, "PYTHONPATH": ""})
+    assert done.returncode == 0, done.stderr[-3000:]
