@@ -1,15 +1,15 @@
 """Byte-level BPE by overlapping chunks, and decoding by concatenation of raw bytes.
 
-A long text is cut into chunks that overlap. Each chunk is split into pre-tokens on its own, in parallel tasks. The split of
+A text is cut into chunks that overlap. Each chunk is split into pre-tokens and its pieces are merged by rank on their own, in parallel tasks. The split of
 a text from some position on depends only on what follows that position, so as soon as a boundary of a chunk is also a boundary
-of the chunk before it, all later boundaries agree: there the two are stitched. The pieces between stitched boundaries are
-merged by rank. Short texts are one chunk and need no stitching.
+of the chunk before it, all later boundaries agree: there the two are stitched, by ids alone. A text that fits one chunk has nothing to stitch.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -20,13 +20,15 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import small_batches
+from gridloom.llm.common import small_batches, unused, without
 
-#: Characters of a chunk, those it reads beyond its end, and the length from which a text is dealt out as chunks.
-CHUNK, OVERLAP, LONG = 16_384, 256, 32_768
+#: Characters of a chunk, and those it reads beyond its end.
+CHUNK, OVERLAP = 16_384, 256
 #: A boundary this near the end of a chunk that is not the text's last may move when more text follows.
 UNSURE = 4
 _CACHE_PIECES = 250_000
+#: What a chunk sends to the stitching of its text.
+SEAMS = ("ids", "head", "head_ids", "tail", "tail_ids")
 
 
 def compile_pattern(pattern: str) -> regex.Pattern:
@@ -78,49 +80,42 @@ def coder(ranks_path: str, pattern: str) -> PieceCoder:
 
 
 def cut(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
-    """Chunks that start every ``chunk`` characters and run ``overlap`` characters into the next."""
-    return [text[i : i + chunk + overlap] for i in range(0, len(text), chunk)]
-
-
-def boundaries(chunk: str, last: bool, split) -> np.ndarray:
-    """Ends of the chunk's pre-tokens, without those that more text could move."""
-    ends = np.cumsum(np.fromiter(map(len, split(chunk)), np.int64))
-    return ends if last else ends[ends <= len(chunk) - UNSURE]
-
-
-def stitch(chunks: list[str], ends: list[np.ndarray], split, chunk: int = CHUNK) -> list[str]:
-    """The pre-tokens of the whole text from its chunks and the boundaries each chunk found alone."""
-    text = "".join(c[:chunk] for c in chunks[:-1]) + chunks[-1]
-    parts = [np.concatenate([[0], np.asarray(ends[0], np.int64)])]
-    for k in range(1, len(chunks)):
-        start, before = k * chunk, parts[-1]
-        own = start + np.concatenate([[0], np.asarray(ends[k], np.int64)])
-        shared = np.intersect1d(before[np.searchsorted(before, start) :], own)
-        if shared.size:
-            sync = int(shared[0])
-            parts[-1] = before[: np.searchsorted(before, sync, "right")]
-        else:
-            walked = _walk(text, int(before[-1]), own, split)
-            sync = int(walked[-1])
-            parts.append(walked)
-        if (after := own[np.searchsorted(own, sync, "right") :]).size:
-            parts.append(after)
-    edges = np.unique(np.concatenate(parts)).tolist()
-    if edges[-1] < len(text):  # nothing sure up to the end: only if the last chunk began inside a pre-token that ends the text
-        edges += (edges[-1] + np.cumsum([len(p) for p in split(text[edges[-1] :])])).tolist()
-    return [text[x:y] for x, y in zip(edges, edges[1:], strict=False)]
-
-
-def _walk(text: str, at: int, own: np.ndarray, split) -> np.ndarray:
-    """Boundaries from ``at`` to the first that is in ``own`` or past all of it; reads twice as far until there is one."""
-    goal, past, reach = set(own.tolist()), int(own[-1]), 4 * CHUNK
-    while True:
-        whole = at + reach >= len(text)
-        ends = at + boundaries(text[at : at + reach], whole, split)
-        hit = next((i for i, e in enumerate(ends.tolist()) if e in goal or e > past), None)
-        if hit is not None or whole:
-            return np.concatenate([[at], ends if hit is None else ends[: hit + 1]])
-        reach *= 2
+    """Chunks that start every ``chunk`` characters and run ``overlap`` characters into the next; a text without characters is one empty chunk."""
+    return [text[i : i + chunk + overlap] for i in range(0, max(1, len(text) - overlap), chunk)]
+
+
+@dataclass
+class Encoded:
+    """A chunk's ids, and for the boundaries of pre-tokens in its first and beyond its last characters the ids before them."""
+
+    ids: np.ndarray
+    head: np.ndarray
+    head_ids: np.ndarray
+    tail: np.ndarray
+    tail_ids: np.ndarray
+
+
+def encode_chunk(part: str, last: bool, code: PieceCoder, chunk: int = CHUNK, overlap: int = OVERLAP) -> Encoded:
+    """The ids of a chunk's own pre-tokens, without those that more text could move; boundaries count from the chunk's start and from its end."""
+    pieces = code.split(part) if part else []
+    ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+    n = len(pieces) if last else int(np.searchsorted(ends, len(part) - UNSURE, "right"))
+    at = np.concatenate([[0], ends[:n]])
+    before = np.concatenate([[0], np.cumsum(code.count_pieces(pieces[:n]))])
+    head, tail = at <= overlap, at >= chunk
+    return Encoded(code.encode_pieces(pieces[:n]), at[head], before[head], at[tail] - chunk, before[tail])
+
+
+def stitch(parts: list[Encoded]) -> np.ndarray | None:
+    """The ids of the whole text from its chunks; None if two of them have no boundary in common where they overlap."""
+    start, out = 0, []
+    for one, two in zip(parts, parts[1:], strict=False):
+        shared, i, j = np.intersect1d(one.tail, two.head, assume_unique=True, return_indices=True)
+        if not shared.size or (end := int(one.tail_ids[i[0]])) < start:
+            return None
+        out.append(one.ids[start:end])
+        start = int(two.head_ids[j[0]])
+    return np.concatenate([*out, parts[-1].ids[start:]])
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -129,50 +124,69 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32, copy=False)))
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", long: int = LONG, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``docs`` without the text but with ids (array of int) and decoded (binary, what the ids decode to).
 
     Every row stays, repeated ones too; a null text encodes like an empty one: no ids, no bytes. Input columns named ids or
-    decoded are replaced, other columns are carried along. Texts of more than ``long`` characters go through chunk tasks; equal
-    long texts are encoded once. An empty table gives an empty result.
+    decoded are replaced, other columns are carried along. A text of one chunk is done where it is read. The chunks of others are dealt to all tasks,
+    equal texts once, and their ids come together again; a text of which one pre-token is longer than an overlap is encoded as one. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in (text, "ids", "decoded")]
-    src = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("_text"))
+    kept = without(docs, text, "ids", "decoded")
+    data, key, found_key = unused(docs, "text_", "key_", "found_key_")
+    src = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(data))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(ranks_path, pattern)
         for b in batches:
-            ids = [code.encode(x) for x in b.column(b.num_columns - 1).to_pylist()]
+            ids = [stitch([encode_chunk(x, True, code, max(chunk, len(x)), overlap)]) for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], _lists(ids), pa.array([code.decode(x) for x in ids], pa.binary())], names=[*kept, "ids", "decoded"])
 
-    is_long = F.coalesce(F.char_length("_text") > long, F.lit(False))
-    short = src.where(~is_long).mapInArrow(whole, ", ".join([*fields, "ids array<int>", "decoded binary"]))
+    is_long = F.char_length(data) > chunk + overlap
+    result = ", ".join([*fields, "ids array<int>", "decoded binary"])
+    short = src.where(~is_long).mapInArrow(whole, result)
 
     def cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "k", "last", "part"]
         for b in batches:
-            for key, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for name, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 parts = cut(x, chunk, overlap)
                 for lo in range(0, len(parts), 64):
                     some = parts[lo : lo + 64]
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(some)), pa.array(range(lo, lo + len(some)), pa.int32()), pa.array([lo + i == len(parts) - 1 for i in range(len(some))]), pa.array(some, pa.string())], names=["key", "k", "last", "part"])
+                    ks = range(lo, lo + len(some))
+                    columns = [pa.array([name] * len(some)), pa.array(ks, pa.int32()), pa.array([k == len(parts) - 1 for k in ks]), pa.array(some, pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    def splitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = coder(ranks_path, pattern).split
+    def encoding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = coder(ranks_path, pattern)
         for b in batches:
-            ends = [boundaries(p, z, split).astype("<i4") for p, z in zip(b.column("part").to_pylist(), b.column("last").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, _lists(ends)], names=["key", "k", "last", "part", "ends"])
+            done = [encode_chunk(p, z, code, chunk, overlap) for p, z in zip(b.column("part").to_pylist(), b.column("last").to_pylist(), strict=True)]
+            columns = [_lists([getattr(e, c) for e in done]) for c in SEAMS]
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("k"), *columns], names=["key", "k", *SEAMS])
 
-    def merging(group: pd.DataFrame) -> pd.DataFrame:
+    def joining(group: pd.DataFrame) -> pd.DataFrame:
         code, g = coder(ranks_path, pattern), group.sort_values("k")
-        pieces = stitch(g["part"].tolist(), g["ends"].tolist(), code.split, chunk)
-        ids = code.encode_pieces(pieces)
-        return pd.DataFrame({"_key": [g["key"].iloc[0]], "ids": [ids], "decoded": [code.decode(ids)]})
+        ids = stitch([Encoded(*row) for row in zip(*(g[c] for c in SEAMS), strict=True)])
+        return pd.DataFrame({found_key: [g["key"].iloc[0]], "ids": [ids], "decoded": [None if ids is None else code.decode(ids)]})
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    far = src.where(is_long).withColumn("_key", F.sha2("_text", 256))
-    once = far.groupBy("_key").agg(F.first("_text").alias("_text"))
+    far = src.where(is_long).withColumn(key, F.sha2(data, 256))
+    once = far.groupBy(key).agg(F.first(data).alias(data))
     parts = once.mapInArrow(cutting, "key string, k int, last boolean, part string").repartition(n, "key", "k")
-    done = parts.mapInArrow(splitting, "key string, k int, last boolean, part string, ends array<int>").groupBy("key").applyInPandas(merging, "_key string, ids array<int>, decoded binary")
-    return short.unionByName(far.drop("_text").join(done, "_key").drop("_key"))
+    coded = parts.mapInArrow(encoding, "key string, k int, " + ", ".join(f"{c} array<int>" for c in SEAMS))
+    done = coded.groupBy("key").applyInPandas(joining, f"`{found_key}` string, ids array<int>, decoded binary")
+    met = far.join(done, F.col(key) == F.col(found_key)).withColumn(data, F.when(F.col("ids").isNull(), F.col(data)))
+
+    def mending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts without a common boundary come with their text, all others with their ids."""
+        code = coder(ranks_path, pattern)
+        for b in batches:
+            *rest, texts, ids, decoded = b.columns
+            if texts.null_count < len(texts):
+                own = [None if x is None else code.encode(x) for x in texts.to_pylist()]
+                ids = pa.array([i if x is None else x for i, x in zip(ids.to_pylist(), own, strict=True)], pa.list_(pa.int32()))
+                decoded = pa.array([d if x is None else code.decode(x) for d, x in zip(decoded.to_pylist(), own, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*rest, ids, decoded], names=[*kept, "ids", "decoded"])
+
+    return short.unionByName(met.select(*[F.col(f"`{c}`") for c in kept], data, "ids", "decoded").mapInArrow(mending, result))
