@@ -288,18 +288,19 @@ def _across(contexts: DataFrame, scanned: DataFrame, around: int, n: int) -> Dat
         return found
     twice_crossing = deep.where(F.col("node").isin(list(left_ends)))
 
-    def corners(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int, int]]:
-        """(node of the second order, most to the left, least to the left, h, f) for rows that may lie in a repeat with one beyond the node's end."""
+    def corners(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, list[tuple[int, int]]]]:
+        """(h, f, least, [(node of the second order, most)]) of rows that may lie in a repeat with one beyond a node's end: one that starts ``least`` to ``most`` bytes before."""
         for node, lefts, tie, h, f, depth in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for second, left in _above(left_ends[node], left_nodes[node], lefts, tie):
-                if left + depth >= around:
-                    yield second, left, around - depth, h, f
+            spots = [(second, left) for second, left in _above(left_ends[node], left_nodes[node], lefts, tie) if left + depth >= around]
+            if spots:
+                yield h, f, around - depth, spots
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for second, most, least, _, _ in corners(b):
-                sums.setdefault(second, np.zeros(around + 1, np.int64))[least : most + 1] += 1
+            for _, _, least, spots in corners(b):
+                for second, most in spots:
+                    sums.setdefault(second, np.zeros(around + 1, np.int64))[least : most + 1] += 1
         out = _Rows([("second", pa.int64()), ("left", pa.int32()), ("n", pa.int64())])
         for second, row in sums.items():
             for left in np.flatnonzero(row).tolist():
@@ -316,11 +317,10 @@ def _across(contexts: DataFrame, scanned: DataFrame, around: int, n: int) -> Dat
     def cornered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Rows(_ENDS_ARROW)
         for b in batches:
-            for second, most, least, h, f in corners(b):
-                if second in repeated:
-                    starts = least + np.flatnonzero(repeated[second][least : most + 1])
-                    if starts.size:
-                        out.add(h, f, int(starts[-1]), around - int(starts[0]))
+            for h, f, least, spots in corners(b):
+                starts = [least + np.flatnonzero(repeated[second][least : most + 1]) for second, most in spots if second in repeated]
+                if any(x.size for x in starts):
+                    out.add(h, f, max(int(x[-1]) for x in starts if x.size), around - min(int(x[0]) for x in starts if x.size))
             yield from out.full()
         yield from out.flush()
 
@@ -357,7 +357,7 @@ def repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> DataF
     unstage(spark, every)
     _release(spark)
     forms = staged(occ.groupBy("h", "f").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("one")), "suffix-forms")
-    mixed = forms.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+    mixed = staged(forms.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "suffix-mixed")
     ones = forms.join(mixed, "h").groupBy("one.rid").agg(F.collect_list(F.struct("h", "f", "one.pos")).alias("wanted"))
 
     def surrounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
