@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import small_batches
+from gridloom.llm.common import small_batches, staged, unused
 
-#: Edits allowed for each character of an item, and the normalised length under which an item is too short to prove anything.
-EDIT_RATE, MIN_CHARS = 0.1, 24
+#: Edits allowed for each character of an item, and the normalised length under which an item must occur unchanged and as whole words.
+EDIT_RATE, SHORT = 0.1, 24
 #: Characters of items searched in one pass: bounds the automaton that is broadcast (about 100 bytes a character).
 BLOCK_CHARS = 2_000_000
 
@@ -74,9 +74,9 @@ class Node:
 
 
 class Item:
-    def __init__(self, item_id: int, text: str, rate: float):
-        self.item_id, self.text = item_id, text
-        self.budget = int(rate * len(text))
+    def __init__(self, item_id: int, text: str, rate: float, short: int = SHORT):
+        self.item_id, self.text, self.short = item_id, text, len(text) < short
+        self.budget = 0 if self.short else int(rate * len(text))
         n = self.budget + 1
         self.edges = [len(text) * i // n for i in range(n + 1)]
         self.leaves: list[Node] = [None] * n  # type: ignore[list-item]
@@ -99,6 +99,8 @@ class Item:
         node = self.leaves[leaf]
         base = at - node.offset
         distance, end = 0, at + node.size
+        if self.short:
+            return (0, at, end) if text[max(0, at - 1) : at] in (" ", "") and text[end : end + 1] in (" ", "") else None
         while (node := node.parent) is not None:
             lo = max(0, base + node.offset - node.budget)
             distance, end = myers(node.masks, node.size, text[lo : base + node.offset + node.size + node.budget], node.budget)
@@ -113,8 +115,8 @@ class Item:
 class Matcher:
     """All items of a block."""
 
-    def __init__(self, items: tuple[tuple[int, str], ...], rate: float):
-        self.items = [Item(i, t, rate) for i, t in items]
+    def __init__(self, items: tuple[tuple[int, str], ...], rate: float, short: int = SHORT):
+        self.items = [Item(i, t, rate, short) for i, t in items]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for n, item in enumerate(self.items):
             for leaf, (a, b) in enumerate(zip(item.edges, item.edges[1:], strict=False)):
@@ -149,41 +151,47 @@ class Matcher:
         return sorted(out)
 
 
-@lru_cache(maxsize=2)
-def matcher(items: tuple[tuple[int, str], ...], rate: float) -> Matcher:
-    return Matcher(items, rate)
+@lru_cache(maxsize=1)
+def matcher(items: tuple[tuple[int, str], ...], rate: float, short: int) -> Matcher:
+    return Matcher(items, rate, short)
 
 
 HIT = "array<struct<item_id: bigint, distance: int, start: int, end: int>>"
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = EDIT_RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def find_items(
+    docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = EDIT_RATE, short: int = SHORT, block_chars: int = BLOCK_CHARS
+) -> DataFrame:
     """``docs`` with hits: the benchmark items each text holds within ``rate`` edits a character, as (item_id, distance, start, end).
 
     Offsets are in the normalised text. Every row and column stays, repeated rows too; a column named hits is replaced. Null and
-    empty texts have no hits. Items without an id, null items and those under ``min_chars`` characters match nothing; of items that share an id and text one
-    counts. Without items or documents the hits or the result are empty. Items are searched in blocks of about ``block_chars``
-    characters, one pass each, so what is broadcast stays bounded however large the benchmark.
+    empty texts have no hits. Items under ``short`` characters must occur unchanged between word boundaries. Items without an id, null and blank items
+    match nothing; of items that share an id and text one counts. Without items or documents the hits or the result are empty. Items are searched in blocks
+    of about ``block_chars`` characters, one pass each; passes are written in between, so one block at a time is broadcast however large the benchmark.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
+    items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
     chars = items.agg(F.coalesce(F.sum(F.char_length("t")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-chars // block_chars))
-    out = docs.drop("hits").withColumn("hits", F.array().cast(HIT))
+    out, sent = docs.drop("hits").withColumn("hits", F.array().cast(HIT)), None
     for block in range(n_blocks):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == block).collect()
-        known = tuple(sorted((r["i"], n) for r in rows if len(n := normalise(r["t"])) >= min_chars))
+        known = tuple(sorted((r["i"], n) for r in rows if (n := normalise(r["t"]))))
         if known:
-            out = _pass(out, spark.sparkContext.broadcast(known), text, rate)
+            if sent is not None:
+                out = staged(out, "decontam-pass")
+                sent.unpersist()
+            sent = spark.sparkContext.broadcast(known)
+            out = _pass(out, sent, text, rate, short)
     return out
 
 
-def _pass(docs: DataFrame, items, text: str, rate: float) -> DataFrame:
-    names, where = docs.columns, docs.columns.index(text)
+def _pass(docs: DataFrame, items, text: str, rate: float, short: int) -> DataFrame:
+    names, where = docs.columns, [c.lower() for c in docs.columns].index(text.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = matcher(items.value, rate)
+        m = matcher(items.value, rate, short)
         for b in batches:
             hits = b.column(b.num_columns - 1)
             fresh = [m.find(normalise(x)) for x in b.column(where).to_pylist()]
@@ -196,5 +204,7 @@ def _pass(docs: DataFrame, items, text: str, rate: float) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no benchmark item, with the columns of ``docs``."""
-    return find_items(docs, benchmark, **options).where(F.size("hits") == 0).select(docs.columns)
+    """The documents that hold no benchmark item, with the columns of ``docs``, one called hits included."""
+    (mark,) = unused(docs, "hits_")
+    plain = docs.withColumnRenamed("hits", mark) if "hits" in {c.lower() for c in docs.columns} else docs
+    return find_items(plain, benchmark, **options).where(F.size("hits") == 0).drop("hits").toDF(*docs.columns)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import small_batches, staged
+from gridloom.llm.common import small_batches, staged, unused, without
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: Members of a bucket whose pairs are compared; a larger bucket is masked again.
@@ -45,18 +45,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(counts * 2 > hashes.size, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """``docs`` without the text but with fp, the fingerprint as a (signed) long; every row stays, a null text has fingerprint 0."""
+def fingerprints(docs: DataFrame, *, text: str = "text", shingle: int = SHINGLE, name: str = "fp") -> DataFrame:
+    """``docs`` without the text but with ``name``, the fingerprint as a (signed) long; every row stays, a null text has fingerprint 0."""
     small_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in (text, "fp")]
-    src = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("string").alias("_text"))
+    kept = without(docs, text, name)
+    (data,) = unused(docs, "text_")
+    src = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(data))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(x) for x in b.column(b.num_columns - 1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=[*kept, "fp"])
+            fp = np.array([fingerprint(x, shingle) for x in b.column(b.num_columns - 1).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=[*kept, name])
 
-    return src.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), "fp long"]))
+    return src.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), f"`{name}` long"]))
 
 
 @lru_cache(maxsize=4096)
@@ -153,33 +154,47 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("rep"))
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that links reach) and the other columns but the text.
 
     Every row stays, repeated rows too. Null, empty and wordless texts have fingerprint zero and link like any other. A null doc_id
     belongs to its component but is never its smallest; a component without ids has a null component_id. Equal fingerprints are
     compared once, so groups of copies cost what one document costs. Columns named like results are replaced. Empty in, empty out.
     """
-    keep = [c for c in docs.columns if c not in (doc_id, text, "fingerprint", "component_id", "fp")]
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *[F.col(f"`{c}`") for c in keep if c not in ("doc_id", "text")])
-    prints = staged(fingerprints(src), "simhash-prints")
-    fps = prints.groupBy("fp").agg(F.min("doc_id").alias("root"))
-    reps = components(links(fps, radius=radius, bucket=bucket))
-    placed = fps.join(reps, fps["fp"] == reps["node"], "left").select("fp", "root", F.coalesce("rep", "fp").alias("rep"))
-    least = placed.groupBy("rep").agg(F.min("root").alias("component_id"))
-    named = placed.join(least, "rep").select("fp", "component_id")
-    out = prints.join(named, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *[F.col(f"`{c}`") for c in keep if c not in ("doc_id", "text")])
-
-
-def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id (of rows that share it, the smallest hash of the text)."""
-    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("\0")))
-    groups = near_duplicates(docs.select(F.col(doc_id), F.col(text), mark.alias("_mark")), doc_id=doc_id, text=text, radius=radius)
+    keep = without(docs, doc_id, text, "doc_id", "fingerprint", "component_id")
+    fp, data, root, rep = unused(docs, "fp_", "data_", "root_", "rep_")
+    src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias(data), *[F.col(f"`{c}`") for c in keep])
+    prints = staged(fingerprints(src, text=data, shingle=shingle, name=fp), "simhash-prints")
+    fps = prints.groupBy(fp).agg(F.min("doc_id").alias(root))
+    reps = components(links(fps.select(F.col(fp).alias("fp")), radius=radius, bucket=bucket))
+    placed = fps.join(reps, F.col(fp) == F.col("node"), "left").select(fp, root, F.coalesce("rep", fp).alias(rep))
+    least = placed.groupBy(rep).agg(F.min(root).alias("component_id"))
+    out = prints.join(placed.join(least, rep).select(fp, "component_id"), fp)
+    return out.select("doc_id", F.lower(F.lpad(F.hex(fp), 16, "0")).alias("fingerprint"), "component_id", *[F.col(f"`{c}`") for c in keep])
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, *, doc_id: str, text: str) -> DataFrame:
+    """Of ``docs`` one row for each group of ``groups`` (id, mark, group): the smallest doc_id, of rows that share it the smallest hash of the text."""
+    mark, own, own_mark = unused(docs, "mark_", "own_", "own_mark_")
+    key = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("mark"))
+    first = groups.groupBy("group").agg(F.min(key).alias("k")).select(F.col("k.id").alias(own), F.col("k.mark").alias(own_mark)).distinct()
+    marked = docs.withColumn(mark, text_mark(text))
+    same = (F.col(mark) == F.col(own_mark)) & F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(own))
+    return marked.join(first, same).dropDuplicates([doc_id, mark]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def text_mark(text: str):
+    """A hash of the text that tells a null one from an empty one."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("\0")))
+
+
+def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One document of each component, the one with the smallest doc_id (of rows that share it, the smallest hash of the text).
+
+    Null, empty and wordless texts are one component. A component without any id keeps one row. All columns stay. Empty in, empty out.
+    """
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), text_mark(text).alias("mark"))
+    found = near_duplicates(rows, radius=radius, shingle=shingle)
     # a group without any id keeps one row by its fingerprint's hash alone
-    first = groups.groupBy(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), "fingerprint")).alias("g")).agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_mark"))).alias("k")
-    ).select(F.col("k.doc_id").alias("_id"), F.col("k._mark").alias("_mark"))
-    marked = docs.withColumn("_mark", mark)
-    joined = marked.join(first.distinct().withColumnRenamed("_mark", "_m"), (marked["_mark"] == F.col("_m")) & marked[doc_id].cast("long").eqNullSafe(F.col("_id"))).drop("_id", "_m")
-    return joined.dropDuplicates([doc_id, "_mark"]).select(docs.columns)
+    name = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), "fingerprint"))
+    return keep_first(docs, found.select(F.col("doc_id").alias("id"), "mark", name.alias("group")), doc_id=doc_id, text=text)

@@ -15,23 +15,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import PieceCoder, coder
-from gridloom.llm.common import small_batches
+from gridloom.llm.common import small_batches, unused, without
 
 #: Characters before an edit whose pre-tokens may look at what it changes.
 CONTEXT = 3
 #: Characters read beyond an edit at first; doubled until the boundaries agree.
 REACH = 64
+#: Pieces of one slot before the tree may be laid out anew.
+CROWD = 32
 
 
 class CountTree:
     """Segment tree over the pre-tokens of one text.
 
-    A leaf is a slot that holds the pieces which now stand in its place: one at first, none or many after edits.
+    A leaf is a slot that holds the pieces which now stand in its place: one at first, none or several after edits. Once a slot
+    holds more than CROWD of them, and more than the root of their number, the tree is laid out anew with a slot for each.
     """
 
     def __init__(self, text: str, code: PieceCoder):
         self.code = code
-        pieces = code.split(text) if text else []
+        self.reencoded = 0
+        self._lay(code.split(text) if text else [])
+
+    def _lay(self, pieces: list[str]) -> None:
+        code = self.code
         self.slots: list[list[str]] = [[p] for p in pieces] or [[]]
         self.cap = 1 << (len(self.slots) - 1).bit_length()
         self.chars, self.tokens = np.zeros(2 * self.cap, np.int64), np.zeros(2 * self.cap, np.int64)
@@ -42,7 +49,6 @@ class CountTree:
             for sums in (self.chars, self.tokens):
                 sums[size // 2 : size] = sums[size : 2 * size : 2] + sums[size + 1 : 2 * size : 2]
             size //= 2
-        self.reencoded = 0
 
     @property
     def n_tokens(self) -> int:
@@ -120,6 +126,8 @@ class CountTree:
                 for slot in range(first + 1, last):
                     if self.slots[slot]:
                         self._set(slot, [])
+                if len(fresh) > CROWD and len(fresh) ** 2 > len(self.slots):
+                    self._lay([p for s in self.slots for p in s])
                 return
             reach *= 2
 
@@ -133,8 +141,9 @@ def count_edited(docs: DataFrame, ranks_path: str, pattern: str, *, text: str =
     """
     small_batches(docs.sparkSession)
     added = ["n_tokens", "n_pieces", "n_tokens_edited", "n_chars_edited", "n_reencoded"]
-    kept = [c for c in docs.columns if c not in (text, edits, *added)]
-    src = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("string").alias("_text"), F.col(edits).alias("_edits"))
+    kept = without(docs, text, edits, *added)
+    data, changed = unused(docs, "text_", "edits_")
+    src = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(data), F.col(f"`{edits}`").alias(changed))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-2]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,9 +16,11 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from string import ascii_lowercase
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -122,13 +124,22 @@ def _drops_space(spec: dict) -> bool:
     )
 
 
+def _splits_stops(spec: dict) -> bool:
+    """Whether the pattern that cuts a word parts letters from a full stop or comma after them, so that a space there changes nothing."""
+    pre = spec["pre_tokenizer"]
+    pattern = regex.compile(next(p for p in pre.get("pretokenizers", [pre]) if p.get("type") == "Split")["pattern"]["Regex"])
+    return all(pattern.findall(f"{a}{b}{stop}{c}")[:2] == [a + b, stop] for a in "qs" for b in ascii_lowercase for stop in ".," for c in ("", "t")) and all(
+        pattern.findall(f"{a}{stop}") == [a, stop] for a in ascii_lowercase for stop in ".,"
+    )
+
+
 class WordEncoder:
     """``encode(text, add_special_tokens=False).ids`` of a tokenizers file, word by word from a bounded memory where that is the same.
 
     Words that are letters alone are one pre-token each: many are encoded as one text, and cut where tokens end a word.
     """
 
-    #: Between a letter and a full stop or comma every such tokenizer splits, so stems are remembered without them.
+    #: Where the tokenizer's own pattern splits between a letter and a full stop or comma, stems are remembered without them.
     _STOPS = re.compile(rb"(?<=[a-z])(?=[.,])")
 
     def __init__(self, path: str):
@@ -142,7 +153,10 @@ class WordEncoder:
         suffix = spec["model"].get("end_of_word_suffix")
         self.by_word = _drops_space(spec)
         lowers = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
-        self.prepare = (lambda b: self._STOPS.sub(b" ", b.lower())) if lowers else (lambda b: b)
+        self.lower = bytes.lower if lowers else bytes
+        # special strings count in a text as it stands and must not arise from its words: texts with either go to the tokenizer as they are
+        self.special_bytes = [self.lower(s.encode()) for s in self.special]
+        self.stops = self.by_word and lowers and _splits_stops(spec)
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         if suffix:
@@ -175,8 +189,9 @@ class WordEncoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split: list[list[bytes] | None] = []
         for x in texts:
-            whole = x and (not self.by_word or any(s in x for s in self.special))
-            split.append(None if whole else self.prepare(x.encode()).split() if x else [])
+            low = self.lower(x.encode()) if x else b""
+            whole = x and (not self.by_word or any(s in low for s in self.special_bytes))
+            split.append(None if whole else (self._STOPS.sub(b" ", low) if self.stops else low).split())
         used = set(chain.from_iterable(w for w in split if w))
         if len(self.cache) > _CACHE_WORDS:
             self.cache = {w: self.cache[w] for w in used.intersection(self.cache)}
@@ -222,7 +237,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: i
             name = f"part-{part:06d}-{number:06d}.dac"
             with store.open_output_stream(f"{base}/.{name}.{attempt}") as f:
                 f.write(pack(ids, keys, ends))
-            store.move(f"{base}/.{name}.{attempt}", f"{base}/{name}")
+            try:
+                store.move(f"{base}/.{name}.{attempt}", f"{base}/{name}")
+            except OSError:  # some stores don't rename onto a file; the one there is an earlier attempt's, with the same bytes
+                store.delete_file(f"{base}/{name}")
+                store.move(f"{base}/.{name}.{attempt}", f"{base}/{name}")
             row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "file": [name], "n_docs": pa.array([len(keys)], pa.int64()), "n_ids": pa.array([ids.size], pa.int64())})
             keys, codes, sizes, held, number = [], [], [], 0, number + 1
             return row

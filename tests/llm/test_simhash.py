@@ -98,11 +98,12 @@ def test_near_duplicates_cases(spark):
                 copy[rng.randrange(150)] = rng.choice(words)
             rows.append((g * 10 + k, " ".join(copy)))
     rows += [(500, None), (501, ""), (502, " \n "), (503, "one"), (504, "ONE"), (505, "two words"), (506, "ÉÀ é"), (None, "one"), (None, "alone without id here"), (3, rows[3][1]), rows[0]]
-    docs = spark.createDataFrame([(i, t, "clash", 7) for i, t in rows], "doc_id long, text string, component_id string, extra int")
+    docs = spark.createDataFrame([(i, t, "clash", 7, 8, 9, 10) for i, t in rows], "doc_id long, text string, Component_id string, fp int, _text int, _mark int, node int")
     out = simhash.near_duplicates(docs)
-    assert actual(out) == expected(rows) and out.columns == ["doc_id", "fingerprint", "component_id", "extra"]
+    assert actual(out) == expected(rows) and out.columns == ["doc_id", "fingerprint", "component_id", "fp", "_text", "_mark", "node"]
+    assert out.where("fp = 7 and _text = 8 and _mark = 9 and node = 10").count() == len(rows)
     kept = simhash.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and kept.where("fp <> 7 or _text <> 8 or _mark <> 9 or node <> 10").count() == 0
     want = {c for _, _, c in expected(rows) if c >= 0}
     got = [r["doc_id"] for r in kept.collect()]
     assert sorted(x for x in got if x is not None) == sorted(want) and got.count(None) == 1

@@ -109,7 +109,25 @@ def test_op8_query(spark, sf_dir, oracle):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = queries.op8(spark, sf_dir).collect()
     assert len(rows) == len(docs)
-    assert all(r["n_tokens"] == len(oracle.encode_ordinary(docs[r["doc_id"]])) for r in rows)
+    for r in rows:
+        text = docs[r["doc_id"]] or ""
+        new, n = text, len(text)
+        for a, b, x in ((n // 5, n // 5 + 40, ""), (n * 2 // 5, n * 2 // 5, " It's been revised,"), (n * 3 // 5, n * 3 // 5 + 10, "[redacted]"), (n, n, "\n\nEnd.")):
+            a = min(a, len(new))
+            new = new[:a] + x + new[max(a, min(b, len(new))) :]
+        assert (r["n_tokens"], r["n_tokens_edited"], r["n_chars_edited"]) == (len(oracle.encode_ordinary(text)), len(oracle.encode_ordinary(new)), len(new))
+
+
+def test_many_edits_in_one_place_keep_the_tree(oracle):
+    code, rng = bpe.coder(RANKS, public_tokenizers.PATTERN), random.Random(6)
+    text = "one two three four"
+    tree = token_counts.CountTree(text, code)
+    for _ in range(400):
+        new = rng.choice(("word ", "x", "'s ", "12 "))
+        tree.edit(8, 8, new)
+        text = text[:8] + new + text[8:]
+    assert tree.text() == text and tree.n_tokens == len(oracle.encode_ordinary(text))
+    assert max(map(len, tree.slots)) <= max(token_counts.CROWD, len(tree.slots) ** 0.5) + 8 and tree.reencoded < 400 * 60
 
 
 def test_token_file_random_access():
@@ -141,10 +159,30 @@ def test_store_is_the_library(spark):
     assert token_store.store(docs.limit(0), path).count() == 0
 
 
-def test_files_split_inside_a_part(spark):
+def test_special_strings_in_any_case():
+    path = public_tokenizers.path(queries.WORD_TOKENIZER)
+    t, enc, rng = Tokenizer.from_file(path), token_store.WordEncoder(path), random.Random(7)
+    parts = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|STARTOFTEXT|>", "<|endof", "TEXT|>", " ", "a.", "B,", "it's", ".T", "É", "\u212a", "K.", "\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 8))) for _ in range(3000)]
+    for x, ids in zip(texts, enc.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
+def test_op10_query(spark, sf_dir):
+    t, at = Tokenizer.from_file(public_tokenizers.path(queries.WORD_TOKENIZER)), 0
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in queries.op10(spark, sf_dir).collect()}
+    assert len(got) == len(docs)
+    for d in docs:
+        ids = [*t.encode(d["text"] or "", add_special_tokens=False).ids, 1]
+        assert got[d["doc_id"]] == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_files_split_inside_a_part(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"text number {i} with words") for i in range(200)], "doc_id long, text string")
     path = public_tokenizers.path(queries.WORD_TOKENIZER)
-    folder = "file:///tmp/checkpoints/gridloom/test-files"
+    folder = f"file://{tmp_path}/files"
     rows = sorted(token_store.read_tokens(token_store.write_tokens(docs, folder, path, file_ids=50), folder).collect(), key=lambda r: r["doc_id"])
     starts = np.cumsum([0] + [r["n_tokens"] for r in rows])[:-1]
     assert [r["start"] for r in rows] == starts.tolist()
