@@ -23,7 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import small_batches, staged
+from gridloom.llm.common import small_batches, staged, without
 
 #: Ids scored in a window, and as many before them as context.
 BLOCK = 8
@@ -495,9 +495,13 @@ def score(docs: DataFrame, ranks_path: str, *, doc_id: str = "doc_id", text: str
     spark = docs.sparkSession
     small_batches(spark)
     added = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    keep = [c for c in docs.columns if c not in (text, *added)]
-    out_mark = F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(10)), F.lit(0)) == 0
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], out_mark.alias("held_out"), F.col(text).cast("string").alias("_text"))
+    source, keep = docs, without(docs, text, *added)
+    # other columns travel under names that clash with none of those used here, and get their own back at the end
+    own = [f"other_{i}" for i in range(len(keep))]
+    key = F.col(f"`{doc_id}`").cast("string")
+    out_mark = F.coalesce(F.pmod(F.crc32(key.cast("binary")), F.lit(10)), F.lit(0)) == 0
+    src = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(keep, own, strict=True)], out_mark.alias("held_out"), key.alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
+    keep = own
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter[bytes] = Counter()
@@ -560,7 +564,7 @@ def score(docs: DataFrame, ranks_path: str, *, doc_id: str = "doc_id", text: str
         each = near.unionByName(far).mapInArrow(slopes, "s array<double>").select(F.posexplode("s"))
         return best_mix(np.array([r["s"] for r in each.groupBy("pos").agg(F.sum("col").alias("s")).orderBy("pos").collect()]))
 
-    model = train_on_all(learn.select(F.xxhash64(F.col(doc_id).cast("string"), F.col("_text")).alias("_o"), "_text"), counts, ranks_path, mix_of, steps=steps)
+    model = train_on_all(learn.select(F.xxhash64("_key", "_text").alias("_o"), "_text"), counts, ranks_path, mix_of, steps=steps)
     shared = spark.sparkContext.broadcast((model, head))  # at most HEAD_WORDS words of HEAD_BYTES bytes, and a model of fixed size
     names = [*keep, "held_out", "_rid", "_word", "_lp", "n_tokens", "_near_known", "_base", "_full"]
 
@@ -605,6 +609,6 @@ def score(docs: DataFrame, ranks_path: str, *, doc_id: str = "doc_id", text: str
     ).withColumnRenamed("_rid", "_far_rid")
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
     return rows.where("_word IS NULL").join(far, F.col("_rid") == F.col("_far_rid"), "left").select(
-        *[F.col(f"`{c}`") for c in keep], "held_out", "n_tokens", (F.col("_near_known") + zero("_far_known")).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
+        *[F.col(o).alias(c) for o, c in zip(own, without(source, text, *added), strict=True)], "held_out", "n_tokens", (F.col("_near_known") + zero("_far_known")).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("_base") + zero("_far_base")).cast("double").alias("base_score"), (F.col("_full") + zero("_far_full")).cast("double").alias("score"),
     )

@@ -103,9 +103,15 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 
+def graded_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and grade by the labels alone: 0 clean, 1 toxic, 2 toxic and of poor quality. A null quality counts as good."""
+    return labels.select("doc_id", (F.col("toxic") * (2 - F.coalesce("quality", F.lit(1)))).alias("grade"))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", "severity", "p_toxic", "grade", "rejected")
+    model = toxicity.fit(docs, graded_labels(table(spark, sf_dir, "labels")), grade="grade")
+    return toxicity.score(docs, model).select("doc_id", "severity", "p_toxic", "grade", "rejected")
 
 
 def document_edits(text) -> F.Column:

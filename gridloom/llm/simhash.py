@@ -25,26 +25,34 @@ BUCKET = 512
 _ALL = (1 << BITS) - 1
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Majority bits of the hashes of all word shingles; 0 without words. Bytes are lower-cased and split as ASCII."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Hashes of all word shingles, repeats included; a shorter text is one shingle, a wordless one has none. Bytes are lower-cased and split as ASCII."""
     words = text.encode().lower().split() if text else []
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, seed)], "<u8")
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        digest = xxhash.xxh64_intdigest
-        spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-        hashes = np.array([digest(joined[a:b], seed) for a, b in spans], "<u8")
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], "<u8")
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    digest = xxhash.xxh64_intdigest
+    spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
+    return np.array([digest(joined[a:b], seed) for a, b in spans], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 without hashes."""
     counts = np.zeros(BITS, np.int64)
     for lo in range(0, hashes.size, 32768):
         counts += np.unpackbits(hashes[lo : lo + 32768].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(counts * 2 > hashes.size, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """Majority bits of the hashes of all word shingles; 0 without words."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, *, text: str = "text", shingle: int = SHINGLE, name: str = "fp") -> DataFrame:
     """``docs`` without the text but with ``name``, the fingerprint as a (signed) long; every row stays, a null text has fingerprint 0."""
     small_batches(docs.sparkSession)

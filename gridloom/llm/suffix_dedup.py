@@ -400,9 +400,16 @@ def _merge(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def _whole_characters(parts: list[bytes]) -> str:
+    """The characters that lie in one part whole; those that lost some of their bytes go."""
+    return "".join(p.decode(errors="ignore") for p in parts)
+
+
+def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", as_text: bool = False, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` without the text but with kept (the remaining bytes), n_bytes, n_removed, n_spans and removed (ranges of bytes).
 
+    With ``as_text`` kept is a string of the characters that lost no byte.
+
     A byte goes if a string of ``length`` bytes that covers it starts anywhere else too, in another text or the same one; all is judged on the
     input. Every row stays: repeated rows are copies of each other and lose what they share. Null texts count as empty; texts under
     ``length`` bytes lose nothing. Columns named like results are replaced. Empty in, empty out.
@@ -424,13 +431,14 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                 data = x.encode()
                 gone = _merge(spans, len(data))
                 edges = [0, *(e for s in gone for e in s), len(data)]
-                kept.append(b"".join(data[p:q] for p, q in zip(edges[::2], edges[1::2], strict=True)))
-                sizes.append((len(data), len(data) - len(kept[-1]), len(gone)))
+                parts = [data[p:q] for p, q in zip(edges[::2], edges[1::2], strict=True)]
+                kept.append(_whole_characters(parts) if as_text else b"".join(parts))
+                sizes.append((len(data), sum(q - p for p, q in gone), len(gone)))
                 removed.append([{"start": p, "end": q} for p, q in gone])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(kept, pa.binary()), *[pa.array(c, pa.int64()) for c in zip(*sizes, strict=True)], pa.array(removed, kind)], names=[*keep, *added])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(kept, pa.string() if as_text else pa.binary()), *[pa.array(c, pa.int64()) for c in zip(*sizes, strict=True)], pa.array(removed, kind)], names=[*keep, *added])
 
-    schema = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-2]), "kept binary", "n_bytes long", "n_removed long", "n_spans long", "removed array<struct<start:int,end:int>>"]
+    schema = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-2]), f"kept {'string' if as_text else 'binary'}", "n_bytes long", "n_removed long", "n_spans long", "removed array<struct<start:int,end:int>>"]
     return joined.mapInArrow(cut, ", ".join(schema))
 
 

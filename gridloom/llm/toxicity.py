@@ -22,8 +22,6 @@ from gridloom.llm.common import map_batches, small_batches, staged
 
 #: Labelled rows that the model is fitted on, give or take a few per cent: the documents with the smallest hashes of their ids.
 TRAIN_ROWS = 12_000
-#: Features kept at most, and the documents of the sample that a feature must be in.
-MAX_FEATURES, MIN_DOCS = 4_096, 4
 #: Lengths of the word beginnings that are features.
 PREFIXES = (4, 5, 6)
 #: Evidence that a feature needs beyond what the best of as many useless ones has by chance.
@@ -49,10 +47,11 @@ def _features(text: str | None) -> set[str]:
 
 @dataclass(frozen=True)
 class OrdinalModel:
-    """weights of the features and ascending thresholds; picklable and of bounded size."""
+    """weights of the features, ascending thresholds and the grades they part; picklable, and bounded as the labelled sample is."""
 
     weights: dict[str, float]
     thresholds: tuple[float, ...]
+    levels: tuple[int, ...] = (0, 1, 2)
 
     def word_weight(self, word: str) -> float:
         return sum(self.weights.get(f, 0.0) for f in word_features(word))
@@ -91,22 +90,16 @@ def fit_ordinal(x: tuple[np.ndarray, np.ndarray, np.ndarray], shape: tuple[int,
     return w, t0 + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
 
 
-def severity_grades(hits: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Ordered grades from binary labels: 0 clean, 1 toxic, 2 toxic with more toxic features than the median toxic text."""
-    if not toxic.any():
-        return np.zeros(len(toxic), np.int64)
-    return np.where(toxic == 1, 1 + (hits > np.median(hits[toxic == 1])), 0).astype(np.int64)
-
-
-def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic") -> OrdinalModel:
+def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, text: str = "text", doc_id: str = "doc_id", grade: str = "toxic") -> OrdinalModel:
     """Fit on about ``train_rows`` labelled documents at most; without toxic or without clean ones the model rejects nothing.
 
-    Of several labels of a document the largest counts; null ids and null labels are no labels, null texts have no features.
+    The column ``grade`` of ``labels`` orders the severities: 0 is clean, all above is toxic. The model has a threshold between each two grades that the
+    sample holds. Of several labels of a document the largest counts; null ids and null labels are no labels, null texts have no features.
     """
     spark = docs.sparkSession
     small_batches(spark)
     known = (
-        labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(toxic).cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
+        labels.where(F.col(grade).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.greatest(F.col(grade).cast("int"), F.lit(0)).alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
     # hashes are even, so those under a share of their range are about train_rows labels, and no task sorts more
@@ -130,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, tex
             for is_bad, x in zip(b.column("toxic").to_pylist(), b.column("text").to_pylist(), strict=True):
                 f = _features(x)
                 every.update(f)
-                if is_bad:
+                if is_bad > 0:
                     bad.update(f)
                 if len(every) > _CACHE_WORDS:
                     yield flush()
@@ -138,19 +131,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, tex
             yield flush()
 
     per = sample.select("toxic", "text").mapInArrow(counted, "f string, bad long, n long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    n_bad, n_all = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
+    n_bad, n_all = sample.agg(F.count_if(F.col("toxic") > 0), F.count("*")).first()
     if not n_bad or n_bad == n_all:
-        return OrdinalModel({}, (50.0, 51.0))
+        return OrdinalModel({}, (50.0,), (0, 1))
     # evidence of each feature: the log-likelihood ratio of its share among toxic documents, which chance alone keeps under 2 ln(features)
-    per = per.where(F.col("n") >= MIN_DOCS)
     rate, part_bad = n_bad / n_all, F.col("bad") / F.col("n")
     part = lambda k, p, q: F.when(k > 0, k * F.log(p / F.lit(q))).otherwise(0.0)
     ratio = 2 * (part(F.col("bad"), part_bad, rate) + part(F.col("n") - F.col("bad"), 1 - part_bad, 1 - rate))
-    odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (n_all - n_bad + 1))
     evident = 2 * math.log(1 + per.count()) + MARGIN
-    kept = per.select("f", odds.alias("odds"), ratio.alias("ratio")).where(F.col("ratio") > evident).orderBy(F.desc("ratio"), "f").limit(MAX_FEATURES).collect()
-    place = {r["f"]: i for i, r in enumerate(kept)}
-    strong = np.array([r["odds"] > 2 for r in kept], bool)
+    # those that stand out among the features of the bounded sample, however many
+    kept = sorted(r["f"] for r in per.where(ratio > evident).select("f").collect())
+    place = {f: i for i, f in enumerate(kept)}
 
     def sparse(batch: pa.RecordBatch) -> pa.RecordBatch:
         idx = [[place[f] for w in _words(x) for f in word_features(w) if f in place] for x in batch.column("text").to_pylist()]
@@ -161,9 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, tex
     docs_of = np.repeat(np.arange(rows.num_rows), idx.value_lengths().to_numpy())
     pairs, values = np.unique(docs_of * np.int64(max(1, len(kept))) + idx.flatten().to_numpy(), return_counts=True)
     r, c = np.divmod(pairs, max(1, len(kept)))
-    bad, hits = rows.column("toxic").to_numpy(), np.bincount(r, values * strong[c], rows.num_rows) if len(kept) else np.zeros(rows.num_rows)
-    w, cuts = fit_ordinal((r, c, np.minimum(values, 8).astype(float)), (rows.num_rows, max(1, len(kept))), severity_grades(hits, bad), 3)
-    return OrdinalModel({f: float(w[i]) for f, i in place.items() if abs(w[i]) > 1e-4}, tuple(map(float, cuts)))
+    levels, grades = np.unique(rows.column("toxic").to_numpy(), return_inverse=True)
+    w, cuts = fit_ordinal((r, c, values.astype(float)), (rows.num_rows, max(1, len(kept))), grades, len(levels))
+    return OrdinalModel({f: float(w[i]) for f, i in place.items() if abs(w[i]) > 1e-4}, tuple(map(float, cuts)), tuple(levels.tolist()))
 
 
 def score(docs: DataFrame, model: OrdinalModel, *, text: str = "text", reject_from: float = REJECT_FROM) -> DataFrame:
@@ -174,14 +165,14 @@ def score(docs: DataFrame, model: OrdinalModel, *, text: str = "text", reject_fr
     small_batches(docs.sparkSession)
     added = ["severity", "p_toxic", "grade", "rejected"]
     kept = docs.drop(*added)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded as the labelled sample is
     names = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, cache = shared.value, {}
         for batch in batches:
             z = np.zeros(batch.num_rows)
-            for i, words in enumerate(map(_words, batch.column(names.index(text)).to_pylist())):
+            for i, words in enumerate(map(_words, batch.column([n.lower() for n in names].index(text.lower())).to_pylist())):
                 if len(cache) >= _CACHE_WORDS:
                     cache.clear()
                 for w in words.difference(cache):
@@ -189,7 +180,8 @@ def score(docs: DataFrame, model: OrdinalModel, *, text: str = "text", reject_fr
                 z[i] = math.fsum(map(cache.__getitem__, words))  # exact, so a set's order doesn't matter
             over = m.exceed(z)
             mass = -np.diff(np.hstack([np.ones((len(z), 1)), over, np.zeros((len(z), 1))]), axis=1)
-            cols = [over.sum(1), over[:, 0], mass.argmax(1).astype(np.int32), over[:, 0] >= reject_from]
+            levels = np.array(m.levels)
+            cols = [levels[0] + over @ np.diff(levels), over[:, 0], levels[mass.argmax(1)].astype(np.int32), over[:, 0] >= reject_from]
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, cols)], names=[*names, *added])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + ["severity double, p_toxic double, grade int, rejected boolean"])

@@ -60,9 +60,9 @@ def test_score_cases(spark):
     vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 7))) for _ in range(80)]
     rows = [(i, " ".join(rng.choice(vocabulary).upper() if rng.random() < 0.1 else rng.choice(vocabulary) for _ in range(rng.randrange(0, 60))), "clash") for i in range(150)]
     rows += [(500, None, ""), (501, "", ""), (502, " \t\n", ""), (None, "no id", ""), rows[7], (503, "w" * 200 + " " + "w" * 200, ""), (504, "never-seen", "")]
-    docs = spark.createDataFrame([(*r, 1, 2, "w") for r in rows], "doc_id long, text string, score string, rid int, base int, word string")
+    docs = spark.createDataFrame([(*r, 1, 2, "w", 3, 4) for r in rows], "doc_id long, text string, SCORE string, rid int, base int, word string, _text int, _rid int")
     out = lm_scoring.score(docs, RANKS, steps=5)
-    assert set(out.columns) == {"doc_id", "rid", "base", "word", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"}
+    assert set(out.columns) == {"doc_id", "rid", "base", "word", "_text", "_rid", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"}
     got = sorted((tuple(r[c] for c in ("n_tokens", "n_known", "train_tokens")), r["held_out"], -1 if r["doc_id"] is None else r["doc_id"], r["base_score"], r["score"]) for r in out.collect())
     words = {i: lm_scoring.words_of(t) for i, t, _ in rows}
     held = {i: i is None or zlib.crc32(str(i).encode()) % 10 == 0 for i in words}

@@ -218,3 +218,47 @@ def test_toxicity_finds_held_out_toxic_documents(spark):
     none = toxicity.fit(docs, labels.limit(0))
     assert not none.weights and toxicity.score(docs, none).where("rejected").count() == 0
     assert toxicity.score(docs.limit(0), none).count() == 0
+
+
+def test_ordinal_fit_is_the_likeliest():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 3, (300, 4)).astype(float)
+    grades = np.digitize(x @ np.array([1.5, -1, 0.3, 0.0]) + rng.logistic(0, 1, 300), [0.5, 2.5])
+    w, cuts = toxicity.fit_ordinal((*np.nonzero(x), x[np.nonzero(x)]), x.shape, grades, 3, l2=0.0, steps=4000, rate=0.02)
+
+    def loss(w, cuts):
+        total = 0.0
+        for row, g in zip(x, grades, strict=True):
+            over = [1.0, *(1 / (1 + np.exp(-(row @ w - c))) for c in cuts), 0.0]
+            total -= np.log(over[g] - over[g + 1])
+        return total
+
+    best = loss(w, cuts)
+    for k in range(6):
+        for h in (-0.02, 0.02):
+            move = np.zeros(6)
+            move[k] = h
+            assert loss(w + move[:4], cuts + move[4:]) >= best - 1e-3
+
+
+def test_op7_query(spark, sf_dir):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    tables = spark.read.parquet(f"{sf_dir}/documents.parquet"), queries.graded_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = toxicity.fit(*tables, grade="grade")
+    levels, rows = model.levels, queries.op7(spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs) and list(levels) == sorted(levels) and levels[0] == 0
+    for r in rows:
+        z = sum(model.weights.get(f, 0.0) for w in set(toxicity.WORD.findall((docs[r["doc_id"]] or "").lower())) for f in toxicity.word_features(w))
+        over = [1.0, *(1 / (1 + np.exp(-(z - c))) for c in model.thresholds), 0.0]
+        mass = [a - b for a, b in zip(over, over[1:], strict=False)]
+        assert np.isclose(r["severity"], sum(p * g for p, g in zip(mass, levels, strict=True))) and np.isclose(r["p_toxic"], over[1])
+        assert r["rejected"] == (r["p_toxic"] >= toxicity.REJECT_FROM) and np.isclose(mass[levels.index(r["grade"])], max(mass))
+
+
+def test_grades_come_from_the_labels(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("aeioubdgklmnr") for _ in range(5)) for _ in range(200)]
+    rows = [(i, " ".join([*rng.choices(words, k=40), *(["vile"] if i % 3 else []), *(["horrid", "grossly"] if i % 3 == 2 else [])]), i % 3) for i in range(600)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows[:450]], "doc_id long, grade int")
+    out = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.fit(docs, labels, grade="grade")).collect()}
+    assert sum(out[i]["grade"] == g for i, _, g in rows[450:]) >= 147
