@@ -127,6 +127,77 @@ def check_split(df: DataFrame, *, split: str = "split", block: str = "spatial_bl
         require(sorted(x[f] for x in per) == list(range(n_folds)) and all(0 < x["p"] < x["n"] for x in per), f"{f} lacks folds or classes")
 
 
+def check_fold_numbers(df: DataFrame, fold: str, n_folds: int, *, target: str = "target", expected: Sequence[tuple[int, int]] | None = None) -> None:
+    """Whole fold numbers from 0 to n_folds - 1 on every row, both classes in each fold, and (rows, positives) of each as frozen, if given."""
+    require(isinstance(df.schema[fold].dataType, INTEGERS), f"{fold} is no whole number")
+    per = sorted(df.groupBy(fold).agg(F.count("*").alias("n"), F.sum(target).cast("long").alias("p")).collect(), key=lambda r: (r[fold] is not None, r[fold]))
+    require([r[fold] for r in per] == list(range(n_folds)), f"{fold} has the values {[r[fold] for r in per]}")
+    require(all(0 < (r["p"] or 0) < r["n"] for r in per), f"a fold of {fold} lacks a class")
+    found = [(r["n"], r["p"]) for r in per]
+    require(expected is None or found == [tuple(e) for e in expected], f"{fold} has the populations {found}, expected {expected}")
+
+
+def check_whole_blocks(df: DataFrame, fold: str, *, block: str = "spatial_block_id", expected: Sequence[int] | None = None) -> None:
+    """No null block or fold, each block in one fold, and as many blocks in each fold as frozen, if given."""
+    require(df.where(F.col(block).isNull() | F.col(fold).isNull()).isEmpty(), "a block or fold is null")
+    require(constant_report(df, block, fold).isEmpty(), "a block is in several folds")
+    found = [r["n"] for r in df.select(fold, block).distinct().groupBy(fold).agg(F.count("*").alias("n")).orderBy(fold).collect()]
+    require(expected is None or found == list(expected), f"blocks of the folds are {found}, expected {expected}")
+
+
+def check_training(
+    df: DataFrame, predictors: Sequence[str], *, fold: str, expected_folds: Sequence[tuple[int, int]], metadata: Sequence[str] = ("cell_id", "spatial_block_id", "random_cv_fold", "spatial_cv_fold"),
+    target: str = "target", allowed_missing: Mapping[str, int] | None = None, nominal: Sequence[str] = (), expected_blocks: Sequence[int] | None = None,
+) -> None:
+    """The training table's contract: exactly the approved columns, unique keys, frozen folds, and numeric finite predictors with the approved gaps."""
+    wanted = {*predictors, *metadata, target}
+    require(set(df.columns) == wanted, f"columns {sorted(set(df.columns) ^ wanted)} are too many or lack")
+    check_key(df, metadata[0], rows=sum(n for n, _ in expected_folds))
+    require(df.where(~F.coalesce(F.col(target).isin(0, 1), F.lit(False))).isEmpty(), "a target is neither 0 nor 1")
+    check_fold_numbers(df, fold, len(expected_folds), target=target, expected=expected_folds)
+    if expected_blocks is not None:
+        check_whole_blocks(df, fold, expected=expected_blocks)
+    check_schema(df, {c: "numeric" for c in predictors} | {c: "integer" for c in nominal}, exact_order=False)
+    check_domain(df, {}, list(predictors), allowed_missing=allowed_missing)
+
+
+def check_record(record: Mapping, expected: Mapping, *, close_to: Mapping[str, tuple[float, float]] | None = None) -> None:
+    """Provenance of a saved record: fields exactly as expected, and figures within a tolerance of their published values."""
+    for key, value in expected.items():
+        require(key in record and record[key] == value, f"{key} is {record.get(key)!r}, expected {value!r}")
+    for key, (value, within) in (close_to or {}).items():
+        x = record.get(key)
+        require(isinstance(x, int | float) and abs(x - value) <= within, f"{key} is {x!r}, expected {value} within {within}")
+
+
+def plurality_violations(qa: DataFrame, *, positions: int | None = None, codes: Sequence[int] | None = None) -> DataFrame:
+    """One row of counts of zones whose counts, shares and ties contradict each other; every count of a sound table is 0.
+
+    ``qa`` has the columns that a plurality gives. ``positions`` is the frozen number of samples of a zone, ``codes`` the documented classes.
+    """
+    c = F.col
+    has = c("valid_sample_count") > 0
+    share = c("winning_sample_count").cast("double") / c("valid_sample_count")
+    known = F.lit(True) if codes is None else F.forall("tied_classes", lambda k: k.isin(list(codes)))
+    tied = c("tied_classes")
+    sound = {
+        "positions": (c("total_positions") == positions) if positions is not None else c("total_positions") > 0,
+        "coverage": (c("valid_sample_count") + c("nodata_sample_count") == c("total_positions")) & c("valid_sample_count").between(0, c("total_positions")) & (c("valid_fraction") == c("valid_sample_count") / c("total_positions")),
+        "winner": F.when(has, c("winning_sample_count").between(1, c("valid_sample_count")) & (c("dominant_fraction") == share)).otherwise((c("winning_sample_count") == 0) & c("dominant_fraction").isNull()),
+        "class": F.when(has, c("dominant_class") == tied[0]).otherwise(c("dominant_class").isNull() & (F.size(tied) == 0)) & known,
+        "ties": (c("plurality_tie") == (F.size(tied) > 1)) & (tied == F.array_sort(F.array_distinct(tied))),
+    }
+    return qa.agg(*[F.count_if(~F.coalesce(ok, F.lit(False))).alias(name) for name, ok in sound.items()])
+
+
+def check_plurality(qa: DataFrame, keys: DataFrame, key: str, **options) -> None:
+    """A batch's or the whole table's contract: exactly the authoritative keys, once each, and sound arithmetic."""
+    check_key(qa, key)
+    check_same_keys(qa, keys, key)
+    bad = {k: v for k, v in plurality_violations(qa, **options).first().asDict().items() if v}
+    require(not bad, f"plurality: {bad}")
+
+
 def check_predictions(df: DataFrame, source: DataFrame, key: str = "cell_id", probability: str = "predicted_probability") -> None:
     """Every key of the source predicted once, with a finite probability in [0, 1]."""
     check_key(df, key)

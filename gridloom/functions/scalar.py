@@ -55,7 +55,7 @@ def bin_right(x: Column | str, edges: list[float]) -> Column:
 
 def colour(hex_code: Column | str) -> list[Column]:
     """Red, green and blue of ``#rrggbb``."""
-    return [F.conv(F.substring(F.ltrim(F.lit("#"), col(hex_code)), 1 + 2 * k, 2), 16, 10).cast("int").alias(n) for k, n in enumerate(("red", "green", "blue"))]
+    return [F.conv(F.substring(F.ltrim(col(hex_code), F.lit("#")), 1 + 2 * k, 2), 16, 10).cast("int").alias(n) for k, n in enumerate(("red", "green", "blue"))]
 
 
 def host(url: Column | str) -> Column:
@@ -75,3 +75,24 @@ def class_counts(classes: Column | str) -> Column:
     """Sorted array of (value, count) of an array's non-null elements."""
     present = F.filter(col(classes), lambda c: c.isNotNull())
     return F.transform(F.array_sort(F.array_distinct(present)), lambda v: F.struct(v.alias("value"), F.size(F.filter(present, lambda c: c == v)).alias("n")))
+
+
+def is_subset(a: Column | str, b: Column | str) -> Column:
+    """Whether every element of the first array is in the second; an empty one is."""
+    return F.size(F.array_except(col(a), col(b))) == 0
+
+
+def set_difference(a: Column | str, b: Column | str) -> Column:
+    """Sorted distinct elements of the first array that the second lacks."""
+    return F.array_sort(F.array_except(col(a), col(b)))
+
+
+def set_union(a: Column | str, b: Column | str) -> Column:
+    """Sorted distinct elements of both arrays."""
+    return F.array_sort(F.array_union(col(a), col(b)))
+
+
+def map_values(x: Column | str, pairs: dict, default: object = None) -> Column:
+    """The value a small dictionary has for x, or ``default``."""
+    flat = [F.lit(v) for kv in pairs.items() for v in kv]
+    return F.coalesce(F.create_map(*flat)[col(x)], F.lit(default)) if pairs else F.lit(default)

@@ -30,8 +30,8 @@ def ratio(a: Column | str, b: Column | str) -> Column:
 
 
 def close(a: Column | str, b: Column | str, *, rtol: float = 0.0, atol: float = 1e-12) -> Column:
-    """|a - b| <= atol + rtol |b|; two missing values are not close."""
-    return F.coalesce(F.abs(col(a) - col(b)) <= atol + rtol * F.abs(col(b)), F.lit(False))
+    """|a - b| <= atol + rtol |b|; a missing value is close to nothing, though Spark takes NaN for equal to itself."""
+    return ~is_missing(a) & ~is_missing(b) & F.coalesce(F.abs(col(a) - col(b)) <= atol + rtol * F.abs(col(b)), F.lit(False))
 
 
 def same(a: Column | str, b: Column | str) -> Column:

@@ -1,6 +1,7 @@
 """Planar geometry as column expressions; general polygons by Arrow batches.
 
-Boxes are columns x0, y0, x1, y1. Polygons are arrays of rings, a ring being a closed array of struct<x, y>; the first ring is the shell.
+Boxes are columns x0, y0, x1, y1. Polygons are arrays of rings in any order, a ring being a closed array of struct<x, y>: a ring in an odd number of others is
+a hole, all others are shells, so a polygon may have several parts.
 """
 
 from __future__ import annotations
@@ -86,10 +87,49 @@ def ring_area(ring: Column) -> Column:
     return F.aggregate(_pairs(ring), F.lit(0.0), lambda s, e: s + (e["ax"] * e["by"] - e["bx"] * e["ay"])) / 2
 
 
+def ring_holds(ring: Column, x: Column, y: Column) -> Column:
+    """Whether a ray to the east meets the ring an odd number of times."""
+
+    def crosses(e: Column) -> Column:
+        side = (e["bx"] - e["ax"]) * (y - e["ay"]) - (e["by"] - e["ay"]) * (x - e["ax"])
+        return ((e["ay"] > y) != (e["by"] > y)) & F.when(e["by"] > e["ay"], side > 0).otherwise(side < 0)
+
+    return F.aggregate(_pairs(ring), F.lit(False), lambda odd, e: odd != crosses(e))
+
+
+def is_hole(ring: Column, rings: Column) -> Column:
+    """Whether an odd number of the other rings hold the ring's first point."""
+    first = ring[0]
+    return F.size(F.filter(rings, lambda q: (q != ring) & ring_holds(q, first["x"], first["y"]))) % 2 == 1
+
+
 def polygon_area(rings: Column) -> Column:
-    """Area of the shell without its holes."""
-    holes = F.aggregate(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), F.lit(0.0), lambda s, r: s + F.abs(ring_area(r)))
-    return F.abs(ring_area(rings[0])) - holes
+    """Area of all parts without their holes."""
+    signed = F.transform(rings, lambda r: F.abs(ring_area(r)) * F.when(is_hole(r, rings), -1.0).otherwise(1.0))
+    return F.aggregate(signed, F.lit(0.0), lambda s, a: s + a)
+
+
+def polygon_bounds(rings: Column) -> Column:
+    """struct<x0, y0, x1, y1> over all rings."""
+    return ring_bounds(F.flatten(rings))
+
+
+def footprint(rings: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """A valid polygon, or the ring of its box where there is none."""
+    pt = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    box = F.array(F.array(pt(x0, y0), pt(x1, y0), pt(x1, y1), pt(x0, y1), pt(x0, y0)))
+    return F.when(rings.isNotNull() & valid_polygon(rings), rings).otherwise(box)
+
+
+def geometry_changes(left: DataFrame, right: DataFrame, key: str, geometry: str = "geometry") -> DataFrame:
+    """Keys whose binary geometries differ; null equals null."""
+    a, b = left.select(key, F.sha2(geometry, 256).alias("_a")), right.select(key, F.sha2(geometry, 256).alias("_b"))
+    return a.join(b, key).where(~F.col("_a").eqNullSafe(F.col("_b"))).select(key)
+
+
+def coordinate_slice(df: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
+    """Boxes that meet a box, edges included: plain comparisons, so they reach the scan."""
+    return df.where(f"x0 <= {x1} AND x1 >= {x0} AND y0 <= {y1} AND y1 >= {y0}")
 
 
 def ring_centroid(ring: Column) -> Column:
@@ -178,58 +218,112 @@ def clip_ring(ring: np.ndarray, box: tuple[float, float, float, float]) -> np.nd
 def union_area(polygons: list[list[np.ndarray]]) -> float:
     """Area of the union of polygons (lists of rings) by vertical slabs between all vertices and crossings of edges.
 
-    Inside a slab no edges cross, so each polygon is a stack of trapezoids; their union is found at the slab's middle.
+    Inside a slab no edges cross, so each polygon is a stack of trapezoids between its edges two by two; their union is found at the slab's middle.
     """
-    edges = [(r[i], r[i + 1], k) for k, p in enumerate(polygons) for r in p for i in range(len(r) - 1) if r[i][0] != r[i + 1][0]]
-    if not edges:
+    parts = [(np.hstack([r[:-1], r[1:]]), k) for k, p in enumerate(polygons) for r in p if len(r) > 1]
+    if not parts:
         return 0.0
-    xs = {float(x) for a, b, _ in edges for x in (a[0], b[0])}
-    for i, (a, b, _) in enumerate(edges):
-        for c, d, _ in edges[:i]:
-            den = (b[0] - a[0]) * (d[1] - c[1]) - (b[1] - a[1]) * (d[0] - c[0])
-            if den:
-                t = ((c[0] - a[0]) * (d[1] - c[1]) - (c[1] - a[1]) * (d[0] - c[0])) / den
-                u = ((c[0] - a[0]) * (b[1] - a[1]) - (c[1] - a[1]) * (b[0] - a[0])) / den
-                if 0 <= t <= 1 and 0 <= u <= 1:
-                    xs.add(float(a[0] + t * (b[0] - a[0])))
-    cuts, total = sorted(xs), 0.0
-    for lo, hi in zip(cuts, cuts[1:], strict=False):
+    edges, owner = np.vstack([e for e, _ in parts]), np.repeat([k for _, k in parts], [len(e) for e, _ in parts])
+    upright = edges[:, 0] == edges[:, 2]
+    edges, owner = edges[~upright], owner[~upright]
+    if not len(edges):
+        return 0.0
+    ax, ay, bx, by = edges.T
+    dx, dy = bx - ax, by - ay
+    cuts = [ax, bx]
+    for lo in range(0, len(edges), 256):
+        i = slice(lo, lo + 256)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            den = dx[i, None] * dy - dy[i, None] * dx
+            t = ((ax - ax[i, None]) * dy - (ay - ay[i, None]) * dx) / den
+            u = ((ax - ax[i, None]) * dy[i, None] - (ay - ay[i, None]) * dx[i, None]) / den
+            met = (den != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+        cuts.append((ax[i, None] + t * dx[i, None])[met])
+    xs, total = np.unique(np.concatenate(cuts)), 0.0
+    left, right = np.minimum(ax, bx), np.maximum(ax, bx)
+    for lo, hi in zip(xs, xs[1:], strict=False):
         mid = (lo + hi) / 2
-        spans = []
-        for k in range(len(polygons)):
-            ys = sorted(a[1] + (mid - a[0]) / (b[0] - a[0]) * (b[1] - a[1]) for a, b, n in edges if n == k and min(a[0], b[0]) < mid < max(a[0], b[0]))
-            spans += list(zip(ys[::2], ys[1::2], strict=False))
-        top = -math.inf
-        for y0, y1 in sorted(spans):
-            total += (hi - lo) * max(0.0, y1 - max(y0, top))
-            top = max(top, y1)
+        on = np.flatnonzero((left < mid) & (mid < right))
+        y = ay[on] + (mid - ax[on]) / dx[on] * dy[on]
+        order = np.lexsort([y, owner[on]])
+        spans = y[order].reshape(-1, 2)
+        spans = spans[np.argsort(spans[:, 0], kind="stable")]
+        if len(spans):
+            top = np.maximum.accumulate(spans[:, 1])
+            before = np.concatenate([[-np.inf], top[:-1]])
+            total += float((hi - lo) * np.maximum(0.0, spans[:, 1] - np.maximum(spans[:, 0], before)).sum())
     return total
 
 
 def polygon_cover(cells: DataFrame, polygons: DataFrame, *, key: str, size: float) -> DataFrame:
-    """Area of each cell that the union of general polygons (column rings) covers.
+    """Area of each cell that the union of general polygons (column rings: parts and holes) covers.
 
-    Cells and polygons meet by their boxes; each cell's few polygons are cut to it and united in an Arrow batch.
+    Cells and polygons meet by their boxes. Each pair is cut to its cell before anything is gathered, so a cell's task holds what lies in the cell and no whole
+    rings; the cut parts are united in Arrow batches.
     """
     from gridloom.operators.joins import box_join
 
-    b = ring_bounds(F.col("rings")[0])
-    right = polygons.select("rings", b.alias("_b")).select("rings", *[F.col(f"_b.{c}").alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")])
+    right = polygons.select("rings", polygon_bounds(F.col("rings")).alias("_b")).select("rings", *[F.col(f"_b.{c}").alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")])
     pairs = box_join(cells.select(key, "x0", "y0", "x1", "y1"), right, size=size)
+    kind = cells.schema[key].dataType.simpleString()
+
+    def clip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            rows = []
+            for k, x0, y0, x1, y1, rings in zip(g[key], g["x0"], g["y0"], g["x1"], g["y1"], g["rings"], strict=True):
+                cut_rings = [clip_ring(np.array([(q["x"], q["y"]) for q in r]), (x0, y0, x1, y1)) for r in rings]
+                inside = [r.ravel().tolist() for r in cut_rings if len(r)]
+                if inside:
+                    rows.append((k, inside))
+            yield pd.DataFrame(rows, columns=[key, "part"])
 
     def area(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in groups:
-            rows = []
-            for k, part in zip(g[key], g["parts"], strict=True):
-                cut = []
-                for p in part:
-                    box = (p["x0"], p["y0"], p["x1"], p["y1"])
-                    rings = [clip_ring(np.array([(q["x"], q["y"]) for q in r]), box) for r in p["rings"]]
-                    if any(len(r) for r in rings):
-                        cut.append([r for r in rings if len(r)])
-                rows.append((k, union_area(cut)))
+            rows = [(k, union_area([[np.array(r).reshape(-1, 2) for r in p] for p in parts])) for k, parts in zip(g[key], g["parts"], strict=True)]
             yield pd.DataFrame(rows, columns=[key, "covered_area"])
 
-    grouped = pairs.groupBy(key).agg(F.collect_list(F.struct("rings", "x0", "y0", "x1", "y1")).alias("parts"))
-    kind = cells.schema[key].dataType.simpleString()
-    return grouped.mapInPandas(area, f"`{key}` {kind}, covered_area double")
+    parts = pairs.select(key, "x0", "y0", "x1", "y1", "rings").mapInPandas(clip, f"`{key}` {kind}, part array<array<double>>")
+    return parts.groupBy(key).agg(F.collect_list("part").alias("parts")).mapInPandas(area, f"`{key}` {kind}, covered_area double")
+
+
+def burned_by_polygons(cells: DataFrame, fires: DataFrame, *, key: str = "cell_id", size: float = 1000.0) -> DataFrame:
+    """As ``burned_fraction`` for fires given as polygons with parts and holes (column rings)."""
+    area = box_area(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).cast("double")
+    burned = polygon_cover(cells, fires.where("rings IS NOT NULL"), key=key, size=size)
+    out = cells.select(key, area.alias("_area")).join(burned, key, "left").withColumn("burned_area_m2", F.coalesce("covered_area", F.lit(0.0)))
+    return out.select(key, "burned_area_m2", F.least(F.col("burned_area_m2") / F.col("_area"), F.lit(1.0)).alias("burned_fraction"))
+
+
+def albers_inverse(x: Column, y: Column, p: dict[str, float] = ALBERS, *, rounds: int = 6) -> tuple[Column, Column]:
+    """Longitude and latitude of projected coordinates: the inverse of ``albers``, its latitude by a fixed number of Newton steps."""
+    e2 = 2 * p["f"] - p["f"] ** 2
+    e = math.sqrt(e2)
+    q0 = lambda s: (1 - e2) * (s / (1 - e2 * s * s) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
+    m0 = lambda r: math.cos(r) / math.sqrt(1 - e2 * math.sin(r) ** 2)
+    r1, r2, r0 = (math.radians(p[k]) for k in ("lat1", "lat2", "lat0"))
+    n = (m0(r1) ** 2 - m0(r2) ** 2) / (q0(math.sin(r2)) - q0(math.sin(r1)))
+    c = m0(r1) ** 2 + n * q0(math.sin(r1))
+    rho0 = p["a"] * math.sqrt(c - n * q0(math.sin(r0))) / n
+    rho, theta = F.hypot(x, F.lit(rho0) - y), F.atan2(x, F.lit(rho0) - y)
+    q = (F.lit(c) - (rho * n / p["a"]) ** 2) / n
+    # one struct carries the latitude through the steps, so the expression stays short
+
+    def step(lat: Column, _: Column) -> Column:
+        s = F.sin(lat)
+        w = 1 - e2 * s * s
+        return lat + w * w / (2 * F.cos(lat)) * (q / (1 - e2) - s / w + F.log((1 - e * s) / (1 + e * s)) / (2 * e))
+
+    lat = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.asin(q / 2), step)
+    return F.degrees(theta / n) + p["lon0"], F.degrees(lat)
+
+
+def web_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Spherical Mercator metres for display."""
+    a = ALBERS["a"]
+    return F.radians(lon) * a, F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)) * a
+
+
+def mask_outside(pixels: DataFrame, edges: DataFrame, *, key: str, value: str, band: float) -> DataFrame:
+    """``pixels`` (key, x, y, value) with the value null where the centre is not strictly inside the polygon given as edges."""
+    inside = points_within(pixels.select(key, "x", "y"), edges, key=key, band=band).select(key, F.lit(True).alias("_in"))
+    return pixels.join(inside, key, "left").withColumn(value, F.when(F.col("_in"), F.col(value))).drop("_in")

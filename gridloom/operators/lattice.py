@@ -59,7 +59,7 @@ def number_cells(cells: DataFrame, *, row: str = "south_row", col: str = "west_c
     per = cells.groupBy(row).agg(F.count("*").alias("_n"))
     before = per.select(F.col(row).alias("_row"), (F.sum("_n").over(Window.orderBy(row)) - F.col("_n")).alias("_before"))
     n = F.row_number().over(Window.partitionBy(row).orderBy(col)) + F.col("_before")
-    return cells.join(before, F.col(row) == F.col("_row")).withColumn("number", n.cast("long")).withColumn("cell_id", padded_id("cell_", F.col("number"))).drop("_row", "_before")
+    return cells.join(before, F.col(row) == F.col("_row")).withColumn("number", n.cast("long")).withColumn("cell_id", padded_id(prefix, F.col("number"))).drop("_row", "_before")
 
 
 def lattice_index(df: DataFrame, extent: Extent, *, x: str = "x", y: str = "y") -> DataFrame:

@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+import math
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.contracts import check_predictions, require
-from gridloom.operators.stats import ranking_metrics, select_candidate
+from gridloom.contracts import check_comparable, check_fold_numbers, check_folds, check_key, check_predictions, check_record, require
+from gridloom.operators.stats import comparison, ranking_metrics, select_candidate
 
 #: MLlib's deepest tree; an unlimited depth is run at it and labelled as capped.
 DEEPEST = 30
-#: Tuning grid: name, depth (None: unlimited) and least rows of a leaf.
-CANDIDATES: tuple[tuple[str, int | None, int], ...] = (("A", None, 1), ("B", None, 2), ("C", None, 5), ("D", 30, 5), ("E", 15, 5))
+#: The predictors by role, and the tuning grid as name, depth (None: unlimited) and least rows of a leaf. With depth capped at 30, B and D are one model.
+CONTINUOUS = ("elevation_mean", "elevation_std", "slope_mean", "slope_std", "annual_precip_mean", "evt_dominant_fraction")
+ASPECT = ("aspect_sin_mean", "aspect_cos_mean", "aspect_strength")
+NOMINAL = ("evt_dominant_class",)
+CANDIDATES: tuple[tuple[str, int | None, int], ...] = (("A", None, 1), ("B", None, 5), ("C", None, 10), ("D", 30, 5), ("E", 15, 5))
 
 
 def _prepare(continuous: Sequence[str], imputed: Sequence[str], nominal: Sequence[str]) -> list:
@@ -34,14 +38,15 @@ def _prepare(continuous: Sequence[str], imputed: Sequence[str], nominal: Sequenc
 
 
 def logistic_pipeline(rows: int, *, continuous: Sequence[str], imputed: Sequence[str] = (), nominal: Sequence[str] = (), c: float = 1.0, target: str = "target") -> Pipeline:
-    """Standard scaling of numbers, indicators of classes, and L2 logistic regression whose penalty is 1 / (C rows).
+    """Scaling of numbers by mean and population deviation, indicators of classes, and L2 logistic regression whose penalty is 1 / (C rows).
 
-    The scaler divides by the sample deviation; the factor sqrt(rows / (rows - 1)) to the population's is under a millionth at the intended sizes.
+    The scaler divides by the sample deviation; a constant factor sqrt(rows / (rows - 1)) after it makes that the population's.
     """
     numbers = [f"_{x}" for x in (*continuous, *imputed)]
     stages = _prepare(continuous, imputed, nominal)
-    stages += [VectorAssembler(inputCols=numbers, outputCol="_n"), StandardScaler(inputCol="_n", outputCol="_s", withMean=True), VectorAssembler(inputCols=["_s", *[f"_{x}_v" for x in nominal]], outputCol="_features")]
-    return Pipeline(stages=[*stages, LogisticRegression(featuresCol="_features", labelCol=target, regParam=1 / (c * rows), elasticNetParam=0.0, standardization=False, maxIter=2000, tol=1e-9)])
+    stages += [VectorAssembler(inputCols=numbers, outputCol="_n"), StandardScaler(inputCol="_n", outputCol="_d", withMean=True)]
+    stages += [ElementwiseProduct(scalingVec=[math.sqrt(rows / max(1, rows - 1))] * len(numbers), inputCol="_d", outputCol="_s"), VectorAssembler(inputCols=["_s", *[f"_{x}_v" for x in nominal]], outputCol="_features")]
+    return Pipeline(stages=[*stages, LogisticRegression(featuresCol="_features", labelCol=target, regParam=1 / (c * rows), elasticNetParam=0.0, standardization=False, maxIter=2000, tol=1e-12)])
 
 
 def forest_pipeline(*, continuous: Sequence[str], imputed: Sequence[str] = (), nominal: Sequence[str] = (), trees: int = 300, max_depth: int | None = None, min_leaf: int = 1, seed: int = 42, target: str = "target", bins: int = 256) -> Pipeline:
@@ -62,8 +67,11 @@ Factory = Callable[[int], Pipeline]
 def run_saved_cv(rows: DataFrame, factory: Factory, *, fold: str, n_folds: int = 5, key: str = "cell_id", target: str = "target", extra: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(out-of-fold predictions, fold metrics): each fold is predicted by a model of the others, each row once.
 
-    ``factory`` gets the training rows' count and returns a pipeline. ``rows`` should be cached by the caller: it is read twice a fold.
+    ``factory`` gets the training rows' count and returns a pipeline. ``rows`` should be cached by the caller: it is read twice a fold. Keys, fold numbers and
+    classes are checked before the first fit, so every row has a fold and comes out once.
     """
+    check_key(rows, key)
+    check_fold_numbers(rows, fold, n_folds, target=target)
     out = []
     for f in range(n_folds):
         train = rows.where(F.col(fold) != f)
@@ -105,3 +113,27 @@ def score_everything(labelled: DataFrame, every_cell: DataFrame, factory: Factor
     out = predict(factory(labelled.count()).fit(labelled), every_cell, [key, *keep]).withColumnRenamed("predicted_probability", "susceptibility_probability")
     check_predictions(out, every_cell, key, "susceptibility_probability")
     return out
+
+
+#: Fields that two experiments must share to be compared, and the metrics that are.
+SHARED_FIELDS = ("model", "rows", "positives", "negatives", "fold_count", "predictors")
+COMPARED = {"roc_auc": "roc_auc_oof", "average_precision": "pr_auc_oof"}
+
+
+def experiment_record(oof: DataFrame, folds: DataFrame, *, model: str, predictors: Sequence[str], target: str = "target", input_sha256: str | None = None) -> dict:
+    """An experiment's summary as a record: population, metrics over all out-of-fold rows, mean and deviation over the folds, provenance."""
+    r = experiment_summary(oof, folds, target=target).first().asDict()
+    return r | {"negatives": r["rows"] - r["positives"], "model": model, "predictors": list(predictors), "input_sha256": input_sha256, "final_test_accessed": False}
+
+
+def compare_validation(random: Mapping, spatial: Mapping, random_folds: DataFrame, spatial_folds: DataFrame, *, population: Mapping | None = None, need_hash: bool = False) -> DataFrame:
+    """validation_strategy and metrics of two experiments, with the signed difference, once both are proven to be comparable.
+
+    Nothing is fitted and no rows but those of the folds are read. ``population`` holds fields that both records must have.
+    """
+    contract = check_comparable(random, spatial, SHARED_FIELDS, list(COMPARED.values()))
+    require(not need_hash or contract["same_input_hash"] is True, "the comparison needs the fingerprints of both inputs")
+    for record, folds in ((random, random_folds), (spatial, spatial_folds)):
+        check_record(record, population or {})
+        check_folds(folds, record)
+    return comparison(dict(random), dict(spatial), COMPARED, random_folds.sparkSession)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.contracts import require
 from gridloom.missing import is_missing, nan_to_null
+from gridloom.operators.stats import quantiles
 
 
 def mosaic_first_valid(samples: DataFrame, *, order: list[str], value: str = "value", keys: tuple[str, ...] = ("row", "col")) -> DataFrame:
@@ -145,7 +150,7 @@ def column_jumps(raster: DataFrame, *, value: str = "value", row: str = "row", c
     w = Window.partitionBy(row).orderBy(col)
     step = F.when(F.lag(col).over(w) == F.col(col) - 1, F.abs(F.col(value) - F.lag(value).over(w)))
     steps = raster.select(col, step.alias("_s")).where("_s IS NOT NULL")
-    limit = steps.agg(F.percentile("_s", F.lit(0.99)).alias("p99"))
+    limit = quantiles(steps.select(F.lit(0).alias("_all"), "_s"), ["_all"], "_s", {"p99": 0.99}).drop("_all")
     per = steps.groupBy(col).agg(F.avg("_s").alias("mean_jump"), F.count("*").alias("steps"))
     return per.join(F.broadcast(limit)).withColumn("over_p99", F.col("mean_jump") > F.col("p99"))
 
@@ -157,3 +162,32 @@ def rasterise(cells: DataFrame, *, x0: float, y1: float, cell: float, value: str
     out = cells.select(F.floor((F.lit(y1) - F.col("y")) / cell).cast("int").alias("row"), F.floor((F.col("x") - x0) / cell).cast("int").alias("col"), value)
     check_key(out, ["row", "col"])
     return out
+
+
+def stack_items(items: Sequence[DataFrame], *, value: str = "value") -> DataFrame:
+    """Rasters of several items on one lattice as one long table (item, row, col, value), in the order given: the earlier an item, the lower its number."""
+    require(len(items) > 0, "nothing to stack")
+    return reduce(DataFrame.unionByName, [r.select(F.lit(i).alias("item"), "row", "col", value) for i, r in enumerate(items)])
+
+
+def partial_support(zones: DataFrame, native: DataFrame, *, key: str, side: int, step: float, origin: tuple[float, float], pixel: float, nodata: int, value: str = "value") -> DataFrame:
+    """key, source_nodata, unsupported and agrees of each zone that is covered in part, told from the native raster alone.
+
+    ``zones`` has the key, x0 and y1 (its north-west corner), total_positions, valid_sample_count and nodata_sample_count. Its side x side sample centres, ``step`` apart,
+    are looked up by index in ``native`` (row, col from ``origin``, NoData pixels included): a position without a pixel is unsupported, one with NoData a gap of the source.
+    """
+    partial = zones.where("valid_sample_count < total_positions").select(key, "x0", "y1", "nodata_sample_count")
+    spots = F.sequence(F.lit(0), F.lit(side - 1))
+    at = partial.withColumn("_i", F.explode(spots)).withColumn("_j", F.explode(spots))
+    row = F.floor((F.lit(origin[1]) - F.col("y1") + (F.col("_i") + 0.5) * step) / pixel).cast("long")
+    col = F.floor((F.col("x0") + (F.col("_j") + 0.5) * step - origin[0]) / pixel).cast("long")
+    pixels = native.select(F.col("row").cast("long").alias("_r"), F.col("col").cast("long").alias("_c"), F.col(value).alias("_v"), F.lit(1).alias("_there"))
+    met = at.withColumn("_r", row).withColumn("_c", col).join(pixels, ["_r", "_c"], "left")
+    per = met.groupBy(key).agg(F.count_if(F.col("_v") == nodata).alias("source_nodata"), F.count_if(F.col("_there").isNull()).alias("unsupported"), F.max("nodata_sample_count").alias("_n"))
+    return per.select(key, "source_nodata", "unsupported", ((F.col("unsupported") == 0) & (F.col("source_nodata") == F.col("_n"))).alias("agrees"))
+
+
+def check_support(report: DataFrame) -> None:
+    """Raises if a zone lacks native pixels or its gaps are not the source's."""
+    r = report.agg(F.count_if(F.col("unsupported") > 0).alias("unsupported"), F.count_if(~F.col("agrees")).alias("differ")).first()
+    require(not r["unsupported"] and not r["differ"], f"{r['unsupported']} zones without support, {r['differ']} whose gaps are not the source's")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,13 +51,51 @@ def ranking_metrics(rows: DataFrame, *, target: str = "target", probability: str
     )
 
 
-def describe(rows: DataFrame, columns: Sequence[str], *, by: str, quantiles: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+def quantiles(rows: DataFrame, by: Sequence[str], value: str, shares: Mapping[str, float], *, ranges: int = 64) -> DataFrame:
+    """``by`` and the exact interpolated quantiles of the values that are not null, one column for each name of ``shares``; null without values.
+
+    A sketch of bounded size cuts each group into ranges of about equal counts; counts of the ranges tell in which one a rank lies, and only the values of
+    these ranges, counted, are put in order. So no task holds a group's values, and ties are one row.
+    """
+    by = list(by)
+    x = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
+    cuts = x.groupBy(*by).agg(F.percentile_approx("_x", [i / ranges for i in range(1, ranges)], 10_000).alias("_cuts"), F.count("*").alias("_n"))
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in by]
+    valued = x.groupBy(*by, "_x").agg(F.count("*").alias("_m"))
+    placed = valued.alias("v").join(cuts.alias("c"), same("v", "c")).select(*[F.col(f"v.{k}").alias(k) for k in by], "_x", "_m", "_n", F.size(F.filter("_cuts", lambda c: c < F.col("_x"))).alias("_range"))
+    counts = placed.groupBy(*by, "_range", "_n").agg(F.sum("_m").alias("_in"))
+    counts = counts.withColumn("_before", F.sum("_in").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_in"))
+    # 0-based ranks at both sides of each share, and the range each lies in
+    spots = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(q)).alias("q"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("h")) for n, q in shares.items()])
+    asked = counts.withColumn("_s", F.explode(spots)).withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_s.h"), F.ceil("_s.h")))))
+    asked = asked.where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_in")))
+    asked = asked.select(*by, "_range", "_before", "_s.name", "_s.h", "_rank")
+    needed = asked.select(*by, "_range", "_before").distinct()
+    inside = placed.alias("p").join(needed.alias("n"), [*same("p", "n"), F.col("p._range") == F.col("n._range")]).select(*[F.col(f"p.{k}").alias(k) for k in by], F.col("p._range").alias("_range"), "_x", "_m", "_before")
+    order = Window.partitionBy(*by, "_range").orderBy("_x")
+    ranked = inside.withColumn("_to", F.sum("_m").over(order) + F.col("_before")).withColumn("_from", F.col("_to") - F.col("_m"))
+    hit = ranked.alias("r").join(asked.alias("a"), [*same("r", "a"), F.col("r._range") == F.col("a._range"), F.col("a._rank") >= F.col("r._from"), F.col("a._rank") < F.col("r._to")])
+    part = F.when(F.floor("h") == F.ceil("h"), F.col("_x")).when(F.col("_rank") == F.floor("h"), F.col("_x") * (1 - (F.col("h") - F.floor("h")))).otherwise(F.col("_x") * (F.col("h") - F.floor("h")))
+    found = hit.select(*[F.col(f"r.{k}").alias(k) for k in by], "name", part.alias("_part")).groupBy(*by, "name").agg(F.sum("_part").alias("_q"))
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("name") == n, F.col("_q"))).alias(n) for n in shares])
+
+
+def describe(rows: DataFrame, columns: Sequence[str], *, by: str, shares: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """Long form: predictor, population, rows, counts, mean, sample std and exact interpolated quantiles, without missing values."""
     long = rows.select(F.col(by).alias("population"), *[nan_to_null(c).alias(c) for c in columns]).unpivot(["population"], list(columns), "predictor", "value")
-    return long.groupBy("predictor", "population").agg(
+    moments = long.groupBy("predictor", "population").agg(
         F.count("*").alias("rows"), F.count("value").alias("nonmissing_count"), (F.count("*") - F.count("value")).alias("missing_count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        *[F.percentile("value", F.lit(q)).alias(f"p{round(q * 100):02d}") for q in quantiles],
     )
+    q = quantiles(long, ["predictor", "population"], "value", {f"p{round(s * 100):02d}": s for s in shares})
+    return moments.join(q, ["predictor", "population"], "left")
+
+
+def class_changes(composed: DataFrame, value: str, *, names: Sequence[str]) -> DataFrame:
+    """Classes with their status: in both populations, unseen (only in the second) or absent (only in the first), the largest shift first by ``place``."""
+    a, b = F.col(f"{names[0]}_count"), F.col(f"{names[1]}_count")
+    status = F.when((a > 0) & (b > 0), "both").when(b > 0, "unseen").otherwise("absent")
+    order = Window.orderBy(F.desc(F.abs("difference_in_proportion")), F.asc_nulls_first(value))
+    return composed.withColumn("status", status).withColumn("place", F.row_number().over(order))
 
 
 def standardised_difference(stats: DataFrame, *, base: str, other: str) -> DataFrame:

@@ -34,10 +34,10 @@ def fires(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raster samples of the cells: value with gaps, second band, class with NoData, item and tie-breakers."""
+    """Raster samples of the cells: value with gaps, second band (prices in whole cents: their sums are exact in any order), class with NoData, item and tie-breakers."""
     v = F.when(F.col("l_suppkey") % 23 == 0, F.lit(float("nan"))).otherwise(F.col("l_quantity"))
     c = F.when(F.col("l_suppkey") % 11 == 0, F.lit(-9999)).otherwise((F.col("l_suppkey") % 7).cast("int"))
-    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), v.alias("value"), F.col("l_extendedprice").alias("band2"), c.alias("class"), F.col("l_linenumber").alias("item"), F.col("l_orderkey").alias("ord"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), v.alias("value"), F.rint(F.col("l_extendedprice") * 100).alias("band2"), c.alias("class"), F.col("l_linenumber").alias("item"), F.col("l_orderkey").alias("ord"))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,9 +66,19 @@ def features(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [t.join(ids, "key").drop("key") for t in (terrain, rain, plants)]
 
 
-def modelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The modelling dataset: features of labelled cells with target, block and score."""
+def modelling(spark: SparkSession, sf_dir: str, *, prove: bool = False) -> DataFrame:
+    """The modelling dataset: features of labelled cells with target, block and score; with ``prove`` a cell that any table holds twice is an error."""
     from gridloom.operators.joins import join_features
 
     base = labelled(spark, sf_dir).select("cell_id", "burned_fraction", "target", "spatial_block_id", "block_row", "block_col", "p")
-    return join_features([base, *features(spark, sf_dir)], "cell_id")
+    return join_features([base, *features(spark, sf_dir)], "cell_id", prove=prove)
+
+
+def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fires as polygons of two parts: a rectangle with a hole in its middle third, and a smaller one 150 m east of it."""
+    pt = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    ring = lambda x0, y0, x1, y1: F.array(pt(x0, y0), pt(x1, y0), pt(x1, y1), pt(x0, y1), pt(x0, y0))
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    w, h = F.expr("(x1 - x0) div 3"), F.expr("(y1 - y0) div 3")
+    rings = F.array(ring(x1 + 150, y0, x1 + 150 + w, y0 + h), ring(x0 + w, y0 + h, x0 + 2 * w, y0 + 2 * h), ring(x0, y0, x1, y1))
+    return fires(spark, sf_dir).select("fire_id", rings.alias("rings"))

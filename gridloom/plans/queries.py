@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom import contracts
@@ -14,6 +13,7 @@ from gridloom.missing import is_missing
 from gridloom.operators import geometry, joins, lattice, modeling, raster, spatial, stats
 from gridloom.plans import adapters
 from gridloom.plans.adapters import BLOCK, SIDE, table
+from gridloom.session import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,13 +21,13 @@ ORACLE: dict[str, str] = {}
 
 #: The adapters' tables in SQL; a query's own text follows.
 BASE = """
-WITH cell AS (
+WITH RECURSIVE cell AS (
   SELECT 'cell_' || lpad(CAST(p_partkey + 1 AS VARCHAR), CAST(greatest(6, length(CAST(p_partkey + 1 AS VARCHAR))) AS INTEGER), '0') AS cell_id, p_partkey AS key, p_partkey // 50 AS "row", p_partkey % 50 AS col,
          p_partkey % 50 * 1000 AS x0, p_partkey // 50 * 1000 AS y0, p_partkey % 50 * 1000 + 1000 AS x1, p_partkey // 50 * 1000 + 1000 AS y1 FROM part),
 fire AS (SELECT p_partkey AS fire_id, x0, y0, x0 + 300 + p_size * 40 AS x1, y0 + 200 + p_size * 30 AS y1 FROM (
   SELECT p_partkey, p_size, p_partkey % 50 * 1000 + (p_size * 37) % 1000 AS x0, p_partkey // 50 * 1000 + (p_size * 53) % 1000 AS y0 FROM part WHERE p_brand = 'Brand#7')),
 sample AS (
-  SELECT l_partkey AS key, CASE WHEN l_suppkey % 23 = 0 THEN CAST('NaN' AS DOUBLE) ELSE l_quantity END AS value, l_extendedprice AS band2,
+  SELECT l_partkey AS key, CASE WHEN l_suppkey % 23 = 0 THEN CAST('NaN' AS DOUBLE) ELSE l_quantity END AS value, round_even(l_extendedprice * 100, 0) AS band2,
          CASE WHEN l_suppkey % 11 = 0 THEN -9999 ELSE CAST(l_suppkey % 7 AS INTEGER) END AS class, l_linenumber AS item, l_orderkey AS ord FROM lineitem),
 pair AS (
   SELECT c.cell_id, f.fire_id, greatest(c.x0, f.x0) AS x0, greatest(c.y0, f.y0) AS y0, least(c.x1, f.x1) AS x1, least(c.y1, f.y1) AS y1
@@ -62,24 +62,24 @@ def query(name: str, sql: str | None = None, *, base: bool = True) -> Callable[[
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql:
-            ORACLE[name] = (BASE if base else "") + re.sub(r"round\(([^,()]*(?:\([^()]*\))?[^,()]*), 4\)", r"round(\1 + 1.2345e-7, 4)", sql)
+            ORACLE[name] = (BASE if base else "") + sql
         return f
 
     return add
 
 
 def r6(c: str, digits: int = 6):
-    """A double at fixed digits: sums of doubles differ in their last bits with the order of rows. At four digits a shift keeps means of prices off ties."""
-    return F.round(F.col(c) + 1.2345e-7 if digits == 4 else F.col(c), digits).alias(c)
+    """A double at fixed digits: sums of doubles differ in their last bits with the order of rows."""
+    return F.round(F.col(c), digits).alias(c)
 
 
 @query("modelling_dataset", """
-SELECT cell_id, CASE WHEN isnan(elevation_mean) THEN NULL ELSE round(elevation_mean, 6) END AS elevation_mean, round(elevation_std, 6) AS elevation_std, round(annual_precip_mean, 4) AS annual_precip_mean,
+SELECT cell_id, CASE WHEN isnan(elevation_mean) THEN NULL ELSE round(elevation_mean, 6) END AS elevation_mean, round(elevation_std, 6) AS elevation_std, round(annual_precip_mean, 6) AS annual_precip_mean,
        evt_dominant_class, round(evt_dominant_fraction, 6) AS evt_dominant_fraction, round(burned_fraction, 6) AS burned_fraction, target, spatial_block_id FROM model""")
 def modelling_dataset(spark: SparkSession, d: str) -> DataFrame:
     """Three feature tables and the burned fraction, proven one-to-one on the cell, joined and labelled."""
-    m = adapters.modelling(spark, d)
-    return m.select("cell_id", F.when(~is_missing("elevation_mean"), F.round("elevation_mean", 6)).alias("elevation_mean"), r6("elevation_std"), r6("annual_precip_mean", 4), "evt_dominant_class", r6("evt_dominant_fraction"), r6("burned_fraction"), "target", "spatial_block_id")
+    m = adapters.modelling(spark, d, prove=True)
+    return m.select("cell_id", F.when(~is_missing("elevation_mean"), F.round("elevation_mean", 6)).alias("elevation_mean"), r6("elevation_std"), r6("annual_precip_mean"), "evt_dominant_class", r6("evt_dominant_fraction"), r6("burned_fraction"), "target", "spatial_block_id")
 
 
 @query("table_contract", """
@@ -114,9 +114,9 @@ def bag_difference(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("one_to_one_join", """
-SELECT c.cell_id, round(z.band2_mean, 4) AS band2_mean, z.n, z.key IS NOT NULL AS matched FROM cell c LEFT JOIN (SELECT * FROM zone WHERE n >= 25) z USING (key)""")
+SELECT c.cell_id, round(z.band2_mean, 6) AS band2_mean, z.n, z.key IS NOT NULL AS matched FROM cell c LEFT JOIN (SELECT * FROM zone WHERE n >= 25) z USING (key)""")
 def one_to_one_join(spark: SparkSession, d: str) -> DataFrame:
-    z = raster.zonal(adapters.samples(spark, d), ["key"], ["band2"]).where("count >= 25").select("key", r6("band2_mean", 4), F.col("count").alias("n"))
+    z = raster.zonal(adapters.samples(spark, d), ["key"], ["band2"]).where("count >= 25").select("key", r6("band2_mean"), F.col("count").alias("n"))
     return joins.left_with_indicator(adapters.cells(spark, d).select("key", "cell_id"), z, "key").drop("key")
 
 
@@ -143,10 +143,11 @@ def compare_columns(spark: SparkSession, d: str) -> DataFrame:
 @query("nearest_cell", """
 SELECT fire_id, key, d2 AS distance_squared FROM (
   SELECT f.fire_id, c.key, (f.x0 - c.x0 - 500.0) ** 2 + (f.y0 - c.y0 - 500.0) ** 2 AS d2, row_number() OVER (PARTITION BY f.fire_id ORDER BY (f.x0 - c.x0 - 500.0) ** 2 + (f.y0 - c.y0 - 500.0) ** 2, c.key) AS rn
-  FROM fire f JOIN cell c ON abs(f.x0 - c.x0) < 4000 AND abs(f.y0 - c.y0) < 4000) WHERE rn = 1""")
+  FROM fire f, (SELECT * FROM cell WHERE key % 37 = 0) c) WHERE rn = 1""")
 def nearest_cell(spark: SparkSession, d: str) -> DataFrame:
     f = adapters.fires(spark, d).select("fire_id", F.col("x0").cast("double").alias("x"), F.col("y0").cast("double").alias("y"))
-    return joins.nearest(f, adapters.cells(spark, d).select("key", "x", "y"), cell=2000.0, point_id="fire_id", candidate_id="key")
+    sparse = adapters.cells(spark, d).where("key % 37 = 0").select("key", "x", "y")
+    return joins.nearest(f, sparse, cell=2000.0, point_id="fire_id", candidate_id="key")
 
 
 @query("box_join", """SELECT c.cell_id, count(*) AS fires, min(f.fire_id) AS first_fire FROM cell c JOIN fire f ON c.x0 - 100 <= f.x1 AND f.x0 <= c.x1 + 100 AND c.y0 - 100 <= f.y1 AND f.y0 <= c.y1 + 100 GROUP BY c.cell_id""")
@@ -164,12 +165,12 @@ def counts_with_absent_years(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("zonal_statistics", """
-SELECT key, n AS count, round(value_mean, 6) AS value_mean, round(value_std, 6) AS value_std, CASE WHEN gap THEN NULL ELSE round(value_mean, 6) END AS strict_mean, round(band2_mean, 4) AS band2_mean, round(band2_std, 4) AS band2_std FROM zone""")
+SELECT key, n AS count, round(value_mean, 6) AS value_mean, round(value_std, 6) AS value_std, CASE WHEN gap THEN NULL ELSE round(value_mean, 6) END AS strict_mean, round(band2_mean, 6) AS band2_mean, round(band2_std, 6) AS band2_std FROM zone""")
 def zonal_statistics(spark: SparkSession, d: str) -> DataFrame:
     s = adapters.samples(spark, d).withColumn("strict", F.col("value"))
     z = raster.zonal(s, ["key"], ["value", "band2"])
     strict = raster.zonal(s, ["key"], ["strict"], skip_missing=False).select("key", "strict_mean")
-    return z.join(strict, "key").select("key", "count", r6("value_mean"), r6("value_std"), r6("strict_mean"), r6("band2_mean", 4), r6("band2_std", 4))
+    return z.join(strict, "key").select("key", "count", r6("value_mean"), r6("value_std"), r6("strict_mean"), r6("band2_mean"), r6("band2_std"))
 
 
 @query("plurality", """
@@ -250,20 +251,11 @@ def resample_bilinear(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("overlap_differences", """
-WITH i AS (SELECT l_partkey AS r, l_linenumber AS item, avg(l_quantity) AS v FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL)
-SELECT a.item AS item_a, b.item AS item_b, count(*) AS pixels, round(avg(a.v - b.v), 6) AS mean_difference, round(max(abs(a.v - b.v)), 6) AS largest_difference, count(*) FILTER (WHERE a.v - b.v = 0) AS equal_pixels
-FROM i a JOIN i b ON a.r = b.r AND a.item < b.item GROUP BY ALL""", base=False)
-def overlap_differences(spark: SparkSession, d: str) -> DataFrame:
-    i = table(spark, d, "lineitem").where("l_linenumber <= 3").groupBy(F.col("l_partkey").alias("row"), F.col("l_linenumber").alias("item")).agg(F.avg("l_quantity").alias("value")).withColumn("col", F.lit(0))
-    return raster.overlap_differences(i).select("item_a", "item_b", "pixels", r6("mean_difference"), r6("largest_difference"), "equal_pixels")
-
-
-@query("overlap_differences_all", """
 WITH i AS (SELECT l_partkey AS r, l_linenumber AS item, avg(l_quantity) AS v FROM lineitem GROUP BY ALL)
 SELECT a.item AS item_a, b.item AS item_b, count(*) AS pixels, round(avg(a.v - b.v), 6) AS mean_difference, round(max(abs(a.v - b.v)), 6) AS largest_difference, count(*) FILTER (WHERE a.v - b.v = 0) AS equal_pixels
 FROM i a JOIN i b ON a.r = b.r AND a.item < b.item GROUP BY ALL""", base=False)
-def overlap_differences_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every pair of items; ``overlap_differences`` and its SQL are held to the first three."""
+def overlap_differences(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of items."""
     i = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("row"), F.col("l_linenumber").alias("item")).agg(F.avg("l_quantity").alias("value")).withColumn("col", F.lit(0))
     return raster.overlap_differences(i).select("item_a", "item_b", "pixels", r6("mean_difference"), r6("largest_difference"), "equal_pixels")
 
@@ -359,15 +351,23 @@ def _cut(name: str, axis: str, up: bool) -> str:
 _CHOSEN = " UNION ALL ".join(_cut(*x) for x in (("west", "block_col", True), ("east", "block_col", False), ("south", "block_row", True), ("north", "block_row", False)))
 
 
+#: Blocks b (g, r, c) that share edges, step by step: comp has the least block each reaches.
+_REACH = """
+reach AS (SELECT g, r, c, r AS r2, c AS c2 FROM b UNION SELECT reach.g, reach.r, reach.c, b.r, b.c FROM reach JOIN b ON b.g = reach.g AND abs(reach.r2 - b.r) + abs(reach.c2 - b.c) = 1),
+comp AS (SELECT g, r, c, min(r2 * 1000000 + c2) AS m FROM reach GROUP BY ALL)"""
+
+
 @query("holdout_candidates", f"""
-, chosen AS ({_CHOSEN})
+, chosen AS ({_CHOSEN}), b AS (SELECT direction AS g, block_row AS r, block_col AS c FROM chosen), {_REACH}, parts AS (SELECT g AS direction, count(DISTINCT m) AS n FROM comp GROUP BY 1)
 SELECT direction, count(*) AS blocks, CAST(sum(cells) AS BIGINT) AS cells, round(100.0 * sum(cells) / (SELECT sum(cells) FROM blk), 9) AS statewide_percent, CAST(sum(positives) AS BIGINT) AS positives, CAST(sum(cells) - sum(positives) AS BIGINT) AS negatives,
-       min(block_col) * 10000.0 AS min_x_m, (max(block_col) + 1) * 10000.0 AS max_x_m, min(block_row) * 10000.0 AS min_y_m, (max(block_row) + 1) * 10000.0 AS max_y_m, CAST(1 AS BIGINT) AS components, true AS contiguous FROM chosen GROUP BY direction""")
+       min(block_col) * 10000.0 AS min_x_m, (max(block_col) + 1) * 10000.0 AS max_x_m, min(block_row) * 10000.0 AS min_y_m, (max(block_row) + 1) * 10000.0 AS max_y_m, max(n) AS components, max(n) = 1 AS contiguous FROM chosen JOIN parts USING (direction) GROUP BY direction""")
 def holdout_candidates(spark: SparkSession, d: str) -> DataFrame:
     return spatial.holdout_candidates(_blocks(spark, d)).drop("positive_percent").withColumn("statewide_percent", F.round("statewide_percent", 9))
 
 
-@query("block_components")
+@query("block_components", f"""
+, b AS (SELECT 1 AS g, block_row AS r, block_col AS c, spatial_block_id AS id FROM blk WHERE positives >= 8), {_REACH}
+SELECT b.id AS spatial_block_id, (m // 1000000) || '_' || (m % 1000000) AS component FROM b JOIN comp USING (g, r, c)""")
 def block_components(spark: SparkSession, d: str) -> DataFrame:
     """Connected groups of the blocks with many positives."""
     return spatial.components(_blocks(spark, d).where("positives >= 8")).select("spatial_block_id", "component")
@@ -378,9 +378,20 @@ def random_folds(spark: SparkSession, d: str) -> DataFrame:
     return spatial.random_folds(adapters.labelled(spark, d).select("cell_id", "target"))
 
 
-@query("spatial_folds")
+@query("spatial_folds", """
+, o AS (SELECT row_number() OVER (ORDER BY positives DESC, cells DESC, spatial_block_id) AS k, spatial_block_id AS id, CAST(cells AS DOUBLE) AS c, CAST(positives AS DOUBLE) AS p FROM blk),
+t AS (SELECT sum(cells) / 5 AS sc, sum(positives) / 5 AS sp FROM blk),
+step AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST([0, 0, 0, 0, 0] AS DOUBLE[]) AS cs, CAST([0, 0, 0, 0, 0] AS DOUBLE[]) AS ps, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS BIGINT) AS fold
+  UNION ALL
+  SELECT n.k, list_transform(range(1, 6), lambda i: CASE WHEN i = n.f THEN n.cs[i] + n.c ELSE n.cs[i] END), list_transform(range(1, 6), lambda i: CASE WHEN i = n.f THEN n.ps[i] + n.p ELSE n.ps[i] END), n.id, n.f
+  FROM (SELECT *, list_position(scores, list_min(scores)) AS f FROM (
+    SELECT o.k, o.id, o.c, o.p, step.cs, step.ps, list_transform(range(1, 6), lambda i:
+      (((step.cs[i] + o.c) / sc) * ((step.cs[i] + o.c) / sc) - (step.cs[i] / sc) * (step.cs[i] / sc)) + (((step.ps[i] + o.p) / sp) * ((step.ps[i] + o.p) / sp) - (step.ps[i] / sp) * (step.ps[i] / sp))) AS scores
+    FROM step JOIN o ON o.k = step.k + 1, t)) n)
+SELECT id AS spatial_block_id, CAST(fold - 1 AS INTEGER) AS spatial_cv_fold FROM step WHERE k > 0""")
 def spatial_folds(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy balanced folds of whole blocks; a sequential choice that the tests compare with a plain loop."""
+    """Greedy balanced folds of whole blocks."""
     return spatial.greedy_folds(_blocks(spark, d))
 
 
@@ -413,9 +424,9 @@ _LONG = "UNION ALL".join(f" SELECT '{c}' AS predictor, CASE WHEN block_col >= 4
 
 @query("shift_statistics", f"""
 , l AS ({_LONG})
-SELECT predictor, population, count(*) AS rows, count(v) AS nonmissing_count, count(*) - count(v) AS missing_count, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, {', '.join(f"round(quantile_cont(v, {q}), 4) AS p{round(q * 100):02d}" for q in (0.05, 0.25, 0.5, 0.75, 0.95))} FROM l GROUP BY 1, 2""")
+SELECT predictor, population, count(*) AS rows, count(v) AS nonmissing_count, count(*) - count(v) AS missing_count, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, {', '.join(f"round(quantile_cont(v, {q}), 6) AS p{round(q * 100):02d}" for q in (0.05, 0.25, 0.5, 0.75, 0.95))} FROM l GROUP BY 1, 2""")
 def shift_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return _shift(spark, d).select("predictor", "population", "rows", "nonmissing_count", "missing_count", *[r6(c, 4) for c in ("mean", "std", "p05", "p25", "p50", "p75", "p95")])
+    return _shift(spark, d).select("predictor", "population", "rows", "nonmissing_count", "missing_count", *[r6(c) for c in ("mean", "std", "p05", "p25", "p50", "p75", "p95")])
 
 
 def _populations(spark: SparkSession, d: str) -> DataFrame:
@@ -429,9 +440,9 @@ def _shift(spark: SparkSession, d: str) -> DataFrame:
 @query("standardised_difference", f"""
 , l AS ({_LONG}), s AS (SELECT predictor, population, count(v) AS n, avg(v) AS m, stddev_samp(v) AS sd FROM l GROUP BY 1, 2),
 w AS (SELECT a.predictor, sqrt(((a.n - 1) * a.sd * a.sd + (b.n - 1) * b.sd * b.sd) / (a.n + b.n - 2)) AS pooled, b.m - a.m AS d FROM s a JOIN s b ON a.predictor = b.predictor AND a.population = 'training' AND b.population = 'holdout')
-SELECT predictor, round(pooled, 4) AS pooled_standard_deviation, CASE WHEN pooled > 0 THEN round(d / pooled, 6) END AS standardized_mean_difference FROM w""")
+SELECT predictor, round(pooled, 6) AS pooled_standard_deviation, CASE WHEN pooled > 0 THEN round(d / pooled, 6) END AS standardized_mean_difference FROM w""")
 def standardised_difference(spark: SparkSession, d: str) -> DataFrame:
-    return stats.standardised_difference(_shift(spark, d), base="training", other="holdout").select("predictor", r6("pooled_standard_deviation", 4), r6("standardized_mean_difference"))
+    return stats.standardised_difference(_shift(spark, d), base="training", other="holdout").select("predictor", r6("pooled_standard_deviation"), r6("standardized_mean_difference"))
 
 
 @query("class_composition", """
@@ -496,19 +507,37 @@ def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("json_and_urls")
+@query("json_and_urls", """
+SELECT event_id AS id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, '{"k":' || json_extract(props, '$.k') || '}' AS text, CAST((event_id % 16777216) // 65536 AS INTEGER) AS red, CAST((event_id % 65536) // 256 AS INTEGER) AS green,
+       CAST(event_id % 256 AS INTEGER) AS blue, 'h' || (event_id % 5) || '.example.com' AS host, event_id % 2 = 0 AS has_query FROM events""", base=False)
 def json_and_urls(spark: SparkSession, d: str) -> DataFrame:
     """JSON text to columns and back, colours and URL parts."""
     e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.from_json("props", "k long").alias("j"))
-    return e.select("id", F.col("j.k").alias("k"), F.to_json("j").alias("text"), *scalar.colour(F.format_string("#%06x", F.col("id") % 16777216)), scalar.host(F.format_string("http://h%d.example.com/a?b=%d", F.col("id") % 5, "id")).alias("host"))
+    url = F.format_string("http://h%d.example.com/a%s", F.col("id") % 5, F.when(F.col("id") % 2 == 0, F.concat(F.lit("?b="), F.col("id").cast("string"))).otherwise(""))
+    return e.select("id", F.col("j.k").alias("k"), F.to_json("j").alias("text"), *scalar.colour(F.format_string("#%06x", F.col("id") % 16777216)), scalar.host(url).alias("host"), scalar.has_query(url).alias("has_query"))
+
 
+def _ranked(name: str, score: str) -> str:
+    return f"""{name}g AS (SELECT {score} AS p, CAST(sum(target) AS DOUBLE) AS tp, CAST(count(*) AS DOUBLE) AS n FROM lab GROUP BY 1),
+{name}c AS (SELECT tp, n, sum(tp) OVER (ORDER BY p DESC) AS ctp, sum(n) OVER (ORDER BY p DESC) AS cn, sum(tp) OVER () AS pos, sum(n) OVER () AS total FROM {name}g),
+{name}m AS (SELECT sum((n - tp) * (ctp - tp + tp / 2)) / (max(pos) * (max(total) - max(pos))) AS auc, sum(tp / pos * ctp / cn) AS ap FROM {name}c)"""
 
-@query("validation_comparison", """
-, f AS (SELECT CAST(key % 5 AS INTEGER) AS fold, target, p FROM lab), g AS (SELECT p, CAST(sum(target) AS DOUBLE) AS tp, CAST(count(*) AS DOUBLE) AS n FROM f GROUP BY p), c AS (SELECT tp, n, sum(tp) OVER (ORDER BY p DESC) AS ctp, sum(n) OVER (ORDER BY p DESC) AS cn, sum(tp) OVER () AS pos FROM g)
-SELECT round(sum(tp / pos * ctp / cn), 9) AS average_precision FROM c""")
+
+@query("validation_comparison", f"""
+, {_ranked('r', 'p')}, {_ranked('s', '(col * 7 + key * 13 + block_row * 29) % 101')}
+SELECT 'Random CV' AS validation_strategy, round(auc, 9) AS roc_auc, round(ap, 9) AS average_precision FROM rm UNION ALL SELECT 'Spatial CV', round(auc, 9), round(ap, 9) FROM sm
+UNION ALL SELECT 'Spatial - Random', round(sm.auc - rm.auc, 9), round(sm.ap - rm.ap, 9) FROM rm, sm""")
 def validation_comparison(spark: SparkSession, d: str) -> DataFrame:
-    m = stats.ranking_metrics(adapters.labelled(spark, d), probability="p")
-    return m.select(r6("average_precision", 9))
+    """Two experiments with saved predictions on random folds and on folds of whole blocks, proven comparable, side by side."""
+    rows = adapters.labelled(spark, d)
+    blocks = spatial.greedy_folds(_blocks(spark, d))
+    score = ((F.col("col") * 7 + F.col("key") * 13 + F.col("block_row") * 29) % 101 / 101.0).cast("double")
+    random = spatial.random_folds(rows).select("cell_id", "target", F.col("random_cv_fold").alias("fold"), F.col("p").alias("predicted_probability"))
+    whole = rows.join(blocks, "spatial_block_id").select("cell_id", "target", F.col("spatial_cv_fold").alias("fold"), score.alias("predicted_probability"))
+    folds = [stats.ranking_metrics(x, by=["fold"]).withColumnRenamed("average_precision", "pr_auc") for x in (random, whole)]
+    records = [modeling.experiment_record(x, f, model="score", predictors=_CONTINUOUS) for x, f in zip((random, whole), folds, strict=True)]
+    out = modeling.compare_validation(*records, *folds)
+    return out.select("validation_strategy", r6("roc_auc", 9), r6("average_precision", 9))
 
 
 @query("candidate_selection", """
@@ -523,16 +552,129 @@ def candidate_selection(spark: SparkSession, d: str) -> DataFrame:
 
 @query("score_bins", "SELECT CAST((p >= 0)::INT + (p >= 0.01)::INT + (p >= 0.025)::INT + (p >= 0.05)::INT + (p >= 0.1)::INT + (p >= 0.2)::INT + (p >= 0.35)::INT + (p >= 0.67)::INT AS INTEGER) AS bin, count(*) AS cells, CAST(sum(target) AS BIGINT) AS positives FROM lab GROUP BY 1")
 def score_bins(spark: SparkSession, d: str) -> DataFrame:
+    # fixed values: the legend's edges
     b = scalar.bin_right("p", [0, 0.01, 0.025, 0.05, 0.10, 0.20, 0.35, 0.67]).cast("int")
     return adapters.labelled(spark, d).groupBy(b.alias("bin")).agg(F.count("*").alias("cells"), F.sum("target").cast("long").alias("positives"))
 
 
+@query("one_to_one_proof", """SELECT m.cell_id, m.target, z.n FROM lab m JOIN zone z USING (key)""")
+def one_to_one_proof(spark: SparkSession, d: str) -> DataFrame:
+    """A join of two tables whose keys are proven unique first."""
+    z = raster.zonal(adapters.samples(spark, d), ["key"], ["band2"]).select("key", F.col("count").alias("n"))
+    return joins.join_one_to_one(adapters.labelled(spark, d).select("key", "cell_id", "target"), z, "key").drop("key")
+
+
+@query("lookup_join", """SELECT c.c_custkey AS id, coalesce(n.n_name, 'nowhere') AS nation, CASE c.c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 0 END AS code FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey AND n.n_nationkey % 3 <> 0""", base=False)
+def lookup_join(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nationkey"), scalar.map_values("c_mktsegment", {"BUILDING": 1, "MACHINERY": 2}, 0).alias("code"))
+    n = table(spark, d, "nation").where("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("nationkey"), "n_name")
+    return joins.lookup(c, n, "nationkey", "n_name", name="nation", default="nowhere").drop("nationkey")
+
+
+@query("ordered_keys", """SELECT row_number() OVER (ORDER BY c.p DESC, c.cell_id) AS place, c.cell_id, z.n FROM lab c JOIN zone z USING (key)""")
+def ordered_keys(spark: SparkSession, d: str) -> DataFrame:
+    """A table in the order of another's keys."""
+    ranked = adapters.labelled(spark, d).select("key", "cell_id", F.row_number().over(Window.orderBy(F.desc("p"), "cell_id")).cast("long").alias("place"))
+    z = raster.zonal(adapters.samples(spark, d), ["key"], ["band2"]).select("key", F.col("count").alias("n"))
+    return joins.align_to(z, ranked.select("key", "cell_id", "place"), "key", order="place").join(ranked.select("key", "cell_id"), "key").select("place", "cell_id", "n")
+
+
+@query("array_sets", """
+, a AS (SELECT key, list(DISTINCT class ORDER BY class) AS early FROM sample WHERE class <> -9999 AND item <= 2 GROUP BY key), b AS (SELECT key, list(DISTINCT class ORDER BY class) AS late FROM sample WHERE class <> -9999 AND item > 2 GROUP BY key)
+SELECT key, len(list_filter(early, lambda x: NOT list_contains(late, x))) = 0 AS contained, array_to_string(list_filter(early, lambda x: NOT list_contains(late, x)), ',') AS early_only, array_to_string(list_sort(list_distinct(list_concat(early, late))), ',') AS either FROM a JOIN b USING (key)""")
+def array_sets(spark: SparkSession, d: str) -> DataFrame:
+    s = adapters.samples(spark, d).where("class <> -9999")
+    seen = lambda c, name: s.where(c).groupBy("key").agg(F.collect_set("class").alias(name))
+    both = seen("item <= 2", "early").join(seen("item > 2", "late"), "key")
+    return both.select("key", scalar.is_subset("early", "late").alias("contained"), F.array_join(scalar.set_difference("early", "late"), ",").alias("early_only"), F.array_join(scalar.set_union("early", "late"), ",").alias("either"))
+
+
+@query("polygon_parts", """
+, third AS (SELECT *, (x1 - x0) // 3 AS w, (y1 - y0) // 3 AS h FROM fire),
+piece AS (
+  SELECT x0, y0, x1, y0 + h AS y1 FROM third UNION ALL SELECT x0, y0 + 2 * h, x1, y1 FROM third UNION ALL SELECT x0, y0 + h, x0 + w, y0 + 2 * h FROM third UNION ALL SELECT x0 + 2 * w, y0 + h, x1, y0 + 2 * h FROM third
+  UNION ALL SELECT x1 + 150, y0, x1 + 150 + w, y0 + h FROM third),
+pp AS (SELECT c.cell_id, greatest(c.x0, f.x0) AS x0, greatest(c.y0, f.y0) AS y0, least(c.x1, f.x1) AS x1, least(c.y1, f.y1) AS y1 FROM cell c JOIN piece f ON c.x0 < f.x1 AND f.x0 < c.x1 AND c.y0 < f.y1 AND f.y0 < c.y1),
+px AS (SELECT cell_id, a, lead(a) OVER (PARTITION BY cell_id ORDER BY a) AS b FROM (SELECT cell_id, x0 AS a FROM pp UNION SELECT cell_id, x1 FROM pp)),
+py AS (SELECT cell_id, a, lead(a) OVER (PARTITION BY cell_id ORDER BY a) AS b FROM (SELECT cell_id, y0 AS a FROM pp UNION SELECT cell_id, y1 FROM pp)),
+ps AS (SELECT DISTINCT p.cell_id, px.a AS xa, px.b AS xb, py.a AS ya, py.b AS yb FROM pp p JOIN px ON px.cell_id = p.cell_id AND p.x0 <= px.a AND px.b <= p.x1 JOIN py ON py.cell_id = p.cell_id AND p.y0 <= py.a AND py.b <= p.y1),
+pb AS (SELECT cell_id, sum((xb - xa) * (yb - ya)) AS area FROM ps GROUP BY 1)
+SELECT c.cell_id, round(coalesce(pb.area, 0.0), 3) AS burned_area_m2, round(least(coalesce(pb.area, 0.0) / 1000000.0, 1.0), 9) AS burned_fraction FROM cell c LEFT JOIN pb USING (cell_id)""")
+def polygon_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Burned fraction of polygons with two parts and a hole."""
+    cells = adapters.cells(spark, d).select("cell_id", "x0", "y0", "x1", "y1")
+    return geometry.burned_by_polygons(cells, adapters.polygons(spark, d), size=4.0 * SIDE).select("cell_id", r6("burned_area_m2", 3), r6("burned_fraction", 9))
+
+
+@query("polygon_areas", """
+SELECT fire_id, CAST((x1 - x0) * (y1 - y0) - w * h + w * h AS DOUBLE) AS area, CAST(x0 AS DOUBLE) AS x0, CAST(x1 + 150 + w AS DOUBLE) AS x1, fire_id % 2 = 1 AS from_box FROM (SELECT *, (x1 - x0) // 3 AS w, (y1 - y0) // 3 AS h FROM fire)""")
+def polygon_areas(spark: SparkSession, d: str) -> DataFrame:
+    """Areas and bounds over all parts, and footprints that fall back to the box where a polygon is broken."""
+    p = adapters.polygons(spark, d).withColumn("b", geometry.polygon_bounds(F.col("rings")))
+    broken = F.when(F.col("fire_id") % 2 == 0, F.col("rings"))
+    shape = geometry.footprint(broken, *[F.col(f"b.{c}") for c in ("x0", "y0", "x1", "y1")])
+    return p.select("fire_id", geometry.polygon_area(F.col("rings")).alias("area"), F.col("b.x0").alias("x0"), F.col("b.x1").alias("x1"), (F.size(shape) == 1).alias("from_box"))
+
+
+@query("coordinate_slice", """SELECT cell_id, x0, y0 FROM cell WHERE x0 <= 12500 AND x1 >= 7000 AND y0 <= 9000 AND y1 >= 2500""")
+def coordinate_slice(spark: SparkSession, d: str) -> DataFrame:
+    return geometry.coordinate_slice(adapters.cells(spark, d), 7000, 2500, 12500, 9000).select("cell_id", "x0", "y0")
+
+
+@query("geometry_changes", """SELECT cell_id FROM cell WHERE key % 7 = 0""")
+def geometry_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Cells whose binary geometry is not what it was."""
+    wkb = lambda by: F.concat(F.unhex(F.lit("01")), F.encode(F.concat_ws(",", F.col("x0") + by, "y0", "x1", "y1"), "UTF-8"))
+    c = adapters.cells(spark, d)
+    return geometry.geometry_changes(c.select("cell_id", wkb(F.lit(0)).alias("geometry")), c.select("cell_id", wkb(F.when(F.col("key") % 7 == 0, 1).otherwise(0)).alias("geometry")), "cell_id")
+
+
+@query("masked_raster", f"""
+, e(ax, ay, bx, by_) AS (VALUES {_EDGES}),
+hit AS (SELECT c.key, count(*) AS n FROM cell c JOIN e ON (e.ay > c.y0 + 500) <> (e.by_ > c.y0 + 500) AND CASE WHEN e.by_ > e.ay THEN (e.bx - e.ax) * (c.y0 + 500 - e.ay) - (e.by_ - e.ay) * (c.x0 + 500 - e.ax) > 0 ELSE (e.bx - e.ax) * (c.y0 + 500 - e.ay) - (e.by_ - e.ay) * (c.x0 + 500 - e.ax) < 0 END GROUP BY c.key)
+SELECT c.key, CASE WHEN h.n % 2 = 1 THEN c.col END AS value FROM cell c LEFT JOIN hit h USING (key)""")
+def masked_raster(spark: SparkSession, d: str) -> DataFrame:
+    edges = spark.createDataFrame([(*a, *b) for a, b in zip(_TRIANGLE, _TRIANGLE[1:], strict=False)], "ax double, ay double, bx double, by double")
+    pixels = adapters.cells(spark, d).select("key", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("col").alias("value"))
+    return geometry.mask_outside(pixels, edges, key="key", value="value", band=5000.0).select("key", "value")
+
+
+@query("partial_support", """
+WITH z AS (SELECT p_partkey AS key, p_partkey % 50 AS c, p_partkey // 50 AS r FROM part WHERE p_partkey % 3 = 0),
+q AS (SELECT z.key, g.p_size FROM z, range(4) a(i), range(4) b(j) LEFT JOIN part g ON g.p_partkey = (z.r * 4 + a.i) // 4 * 50 + (z.c * 4 + b.j) // 4)
+SELECT key, CAST(count(*) FILTER (WHERE p_size <= 10) AS BIGINT) AS source_nodata, CAST(count(*) FILTER (WHERE p_size IS NULL) AS BIGINT) AS unsupported, count(*) FILTER (WHERE p_size IS NULL) = 0 AND count(*) FILTER (WHERE p_size <= 10) = 16 AS agrees FROM q GROUP BY key""", base=False)
+def partial_support(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the gaps of partly covered zones are gaps of the source."""
+    part = table(spark, d, "part")
+    native = part.select(F.expr("p_partkey div 50").alias("row"), (F.col("p_partkey") % 50).alias("col"), F.when(F.col("p_size") <= 10, -9999).otherwise(F.col("p_size")).alias("value"))
+    k = F.col("p_partkey")
+    zones = part.where("p_partkey % 3 = 0").select(k.alias("key"), (k % 50 * 1000).alias("x0"), (-F.expr("p_partkey div 50") * 1000).alias("y1"), F.lit(16).alias("total_positions"), F.lit(0).alias("valid_sample_count"), F.lit(16).alias("nodata_sample_count"))
+    return raster.partial_support(zones, native, key="key", side=4, step=250.0, origin=(0.0, 0.0), pixel=1000.0, nodata=-9999)
+
+
+@query("plurality_contract", """SELECT CAST(0 AS BIGINT) AS positions, CAST(0 AS BIGINT) AS coverage, count(*) FILTER (WHERE key % 10 = 3 AND valid > 0) AS winner, CAST(0 AS BIGINT) AS class, CAST(0 AS BIGINT) AS ties FROM plur""")
+def plurality_contract(spark: SparkSession, d: str) -> DataFrame:
+    """Violations of a plurality table of which every tenth zone's share was tampered with."""
+    p = raster.plurality(adapters.samples(spark, d), ["key"], "class", nodata=-9999)
+    return contracts.plurality_violations(p.withColumn("dominant_fraction", F.when(F.col("key") % 10 == 3, F.col("dominant_fraction") / 2).otherwise(F.col("dominant_fraction"))), codes=range(7))
+
+
+@query("class_changes", """
+, c AS (SELECT evt_dominant_class, count(*) FILTER (WHERE block_col < 1) AS t, count(*) FILTER (WHERE block_col >= 1) AS h FROM model WHERE elevation_std < 14.5 OR block_col >= 1 GROUP BY 1),
+d AS (SELECT *, CAST(h AS DOUBLE) / sum(h) OVER () - CAST(t AS DOUBLE) / nullif(sum(t) OVER (), 0) AS diff FROM c)
+SELECT evt_dominant_class, t AS training_count, h AS holdout_count, CASE WHEN t > 0 AND h > 0 THEN 'both' WHEN h > 0 THEN 'unseen' ELSE 'absent' END AS status FROM d""")
+def class_changes(spark: SparkSession, d: str) -> DataFrame:
+    m = adapters.modelling(spark, d).where("elevation_std < 14.5 OR block_col >= 1").withColumn("population", F.when(F.col("block_col") >= 1, "holdout").otherwise("training"))
+    c = stats.composition(m, by="population", names=["training", "holdout"], value="evt_dominant_class")
+    return stats.class_changes(c, "evt_dominant_class", names=["training", "holdout"]).select("evt_dominant_class", "training_count", "holdout_count", "status")
+
+
 _CONTINUOUS, _NOMINAL = ["elevation_std", "annual_precip_mean", "evt_dominant_fraction", "p"], ["evt_dominant_class"]
 
 
 def _training(spark: SparkSession, d: str) -> DataFrame:
     m = spatial.random_folds(adapters.modelling(spark, d)).withColumn("evt_dominant_class", F.coalesce("evt_dominant_class", F.lit(-1)))
-    return m.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in _CONTINUOUS}).cache()
+    return cut(m.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in _CONTINUOUS}))
 
 
 @query("logistic_cross_validation")

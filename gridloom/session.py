@@ -27,5 +27,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the shared folder that ``spark.checkpoint.dir`` names."""
     context = df.sparkSession.sparkContext
     if not context.getConf().get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(FALLBACK_DIR)
     return df.checkpoint()

@@ -1,21 +1,28 @@
 """Geospatial files without native libraries: archives, shapefiles, GeoPackages and plain GeoTIFFs, as Python data sources and parsers.
 
-Files come through Spark's own reader (``binaryFile``), so any store that Spark reads will do; a file is parsed where its bytes are.
+Archives and packages come through Spark's own reader (``binaryFile``), rasters by byte ranges; a file is parsed where its bytes are.
 """
 
 from __future__ import annotations
 
 import io
+import json
 import os
 import sqlite3
 import struct
+import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
 GEOMETRY = "array<array<struct<x:double,y:double>>>"
 
@@ -75,8 +82,8 @@ def parse_shapes(shp: bytes) -> list[list[list[tuple[float, float]]] | None]:
     return out
 
 
-def parse_dbf(dbf: bytes) -> tuple[list[str], list[list[str | None]]]:
-    """Column names and rows of a .dbf file, values as stripped text, blanks as None."""
+def parse_dbf(dbf: bytes) -> tuple[list[str], list[list[str | None] | None]]:
+    """Column names and rows of a .dbf file, values as stripped text, blanks as None; a deleted row is None, as its shape is still in the .shp file."""
     n, head, width = struct.unpack_from("<IHH", dbf, 4)
     fields, at = [], 32
     while dbf[at] != 0x0D:
@@ -86,6 +93,7 @@ def parse_dbf(dbf: bytes) -> tuple[list[str], list[list[str | None]]]:
     for i in range(n):
         pos, row = head + i * width, []
         if dbf[pos : pos + 1] == b"*":
+            rows.append(None)
             continue
         pos += 1
         for _, size in fields:
@@ -96,7 +104,7 @@ def parse_dbf(dbf: bytes) -> tuple[list[str], list[list[str | None]]]:
 
 
 def read_shapefiles(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Attributes (text) and rings of the polygon shapefiles in the zip archives at ``path``."""
+    """Attributes (text) and rings, of all parts, of the polygon shapefiles in the zip archives at ``path``; deleted rows go with their shapes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -106,7 +114,7 @@ def read_shapefiles(spark: SparkSession, path: str, columns: list[str]) -> DataF
                     shapes, (names, rows) = parse_shapes(z.read(main)), parse_dbf(z.read(f"{main[:-4]}.dbf"))
                 where = [names.index(c) for c in columns]
                 rings = [None if s is None else [[{"x": x, "y": y} for x, y in r] for r in s] for s in shapes]
-                yield pd.DataFrame([[*(r[i] for i in where), g] for r, g in zip(rows, rings, strict=True)], columns=[*columns, "rings"])
+                yield pd.DataFrame([[*(r[i] for i in where), g] for r, g in zip(rows, rings, strict=True) if r is not None], columns=[*columns, "rings"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ", ".join([*(f"`{c}` string" for c in columns), f"rings {GEOMETRY}"]))
 
@@ -138,6 +146,7 @@ def parse_wkb(data: bytes) -> list[list[list[tuple[float, float]]]]:
 
 
 def wkb_polygon(rings: list[list[tuple[float, float]]]) -> bytes:
+    """A polygon's WKB, its shell first."""
     return struct.pack("<BII", 1, 3, len(rings)) + b"".join(struct.pack("<I", len(r)) + np.array(r, "<f8").tobytes() for r in rings)
 
 
@@ -168,17 +177,21 @@ class TiffImage:
     _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 11: 4, 12: 8, 16: 8}
     _KINDS = {1: "B", 3: "H", 4: "I", 11: "f", 12: "d", 16: "Q"}
 
-    def __init__(self, data: bytes):
-        self.data, self.end = data, {b"II": "<", b"MM": ">"}[data[:2]]
-        if struct.unpack_from(f"{self.end}H", data, 2)[0] != 42:
+    def __init__(self, data: bytes | Callable[[int, int], bytes]):
+        """``data`` is the file, or a function that reads so many bytes from a place."""
+        self.read = data if callable(data) else lambda at, n: data[at : at + n]
+        head = self.read(0, 8)
+        self.end = {b"II": "<", b"MM": ">"}[head[:2]]
+        if struct.unpack_from(f"{self.end}H", head, 2)[0] != 42:
             raise ValueError("not a classic TIFF")
-        at = struct.unpack_from(f"{self.end}I", data, 4)[0]
-        self.tags = {}
-        for i in range(struct.unpack_from(f"{self.end}H", data, at)[0]):
-            tag, kind, n = struct.unpack_from(f"{self.end}HHI", data, at + 2 + 12 * i)
-            size = self._SIZES.get(kind, 1) * n
-            pos = at + 10 + 12 * i if size <= 4 else struct.unpack_from(f"{self.end}I", data, at + 10 + 12 * i)[0]
-            self.tags[tag] = data[pos : pos + n].rstrip(b"\0").decode() if kind == 2 else list(struct.unpack_from(f"{self.end}{n}{self._KINDS[kind]}", data, pos)) if kind in self._KINDS else []
+        at = struct.unpack_from(f"{self.end}I", head, 4)[0]
+        n_tags = struct.unpack(f"{self.end}H", self.read(at, 2))[0]
+        entries, self.tags = self.read(at + 2, 12 * n_tags), {}
+        for i in range(n_tags):
+            tag, kind, n = struct.unpack_from(f"{self.end}HHI", entries, 12 * i)
+            size, raw = self._SIZES.get(kind, 1) * n, entries[12 * i + 8 : 12 * i + 12]
+            raw = raw if size <= 4 else self.read(struct.unpack(f"{self.end}I", raw)[0], size)
+            self.tags[tag] = raw[:n].rstrip(b"\0").decode() if kind == 2 else list(struct.unpack_from(f"{self.end}{n}{self._KINDS[kind]}", raw)) if kind in self._KINDS else []
         self.width, self.height = self.tags[256][0], self.tags[257][0]
         bits, form = self.tags[258][0], self.tags.get(339, [1])[0]
         self.dtype = np.dtype(f"{self.end}{ {1: 'u', 2: 'i', 3: 'f'}[form]}{bits // 8}")
@@ -190,42 +203,117 @@ class TiffImage:
         (sx, sy, *_), (i, j, _, x, y, *_) = self.tags[33550], self.tags[33922]
         return x - i * sx, y + j * sy, sx, sy
 
+    def layout(self) -> list[tuple[int, int, int]]:
+        """Number, first row and first column of each strip or tile."""
+        tiled = 322 in self.tags
+        self.block = (self.tags[323][0], self.tags[322][0]) if tiled else (self.tags.get(278, [self.height])[0], self.width)
+        across = -(-self.width // self.block[1])
+        return [(n, n // across * self.block[0], n % across * self.block[1]) for n in range(len(self.tags[324 if tiled else 273]))]
+
+    def pixels(self, n: int, r: int, c: int) -> np.ndarray:
+        """The pixels of one strip or tile; nothing else is read."""
+        w = self.block[1]
+        at, size = (self.tags[324][n], self.tags[325][n]) if 322 in self.tags else (self.tags[273][n], self.tags[279][n])
+        raw = self.read(at, size)
+        raw = zlib.decompress(raw) if self.tags.get(259, [1])[0] in (8, 32946) else raw
+        rows = len(raw) // (w * self.dtype.itemsize)
+        block = np.frombuffer(raw, self.dtype, rows * w).reshape(rows, w)
+        if self.tags.get(317, [1])[0] == 2:
+            block = np.cumsum(block, axis=1, dtype=self.dtype)
+        return block[: self.height - r, : self.width - c]
+
     def blocks(self) -> Iterator[tuple[int, int, np.ndarray]]:
         """First row, first column and pixels of each strip or tile."""
-        tiled = 322 in self.tags
-        w, h = (self.tags[322][0], self.tags[323][0]) if tiled else (self.width, self.tags.get(278, [self.height])[0])
-        offsets, sizes = (self.tags[324], self.tags[325]) if tiled else (self.tags[273], self.tags[279])
-        across = -(-self.width // w)
-        for n, (at, size) in enumerate(zip(offsets, sizes, strict=True)):
-            raw = self.data[at : at + size]
-            raw = zlib.decompress(raw) if self.tags.get(259, [1])[0] in (8, 32946) else raw
-            rows = len(raw) // (w * self.dtype.itemsize)
-            block = np.frombuffer(raw, self.dtype, rows * w).reshape(rows, w)
-            if self.tags.get(317, [1])[0] == 2:
-                block = np.cumsum(block, axis=1, dtype=self.dtype)
-            r, c = n // across * h, n % across * w
-            yield r, c, block[: self.height - r, : self.width - c]
+        for n, r, c in self.layout():
+            yield r, c, self.pixels(n, r, c)
+
+
+def _open(path: str):
+    store, inner = FileSystem.from_uri(path if "://" in path else path.replace(":", "://", 1) if ":" in path else os.path.abspath(path))
+    return store.open_input_file(inner)
 
 
 def read_geotiff(spark: SparkSession, path: str, *, window: tuple[int, int, int, int] | None = None) -> DataFrame:
-    """file, row, col, x, y (pixel centre), value of the valid pixels of the rasters at ``path``, within rows and columns [r0, r1) x [c0, c1) if given."""
+    """file, row, col, x, y (pixel centre), value of the valid pixels of the rasters at ``path``, within rows and columns [r0, r1) x [c0, c1) if given.
+
+    Only headers are read to plan; then each strip or tile that meets the window is a row of its own, dealt to all tasks, and read by its byte range: so a
+    file of any size is spread, and what lies outside the window is never read.
+    """
+
+    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for p in b["path"]:
+                with _open(p) as f:
+                    image = TiffImage(lambda at, n, f=f: f.read_at(n, at))
+                    for n, r, c in image.layout():
+                        h, w = image.block
+                        if window is None or (r < window[1] and r + h > window[0] and c < window[3] and c + w > window[2]):
+                            rows.append((p, n, r, c))
+            yield pd.DataFrame(rows, columns=["path", "n", "r", "c"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for p, data in zip(b["path"], b["content"], strict=True):
-                image = TiffImage(data)
-                x0, y0, sx, sy = image.origin
-                for r, c, block in image.blocks():
-                    rows, cols = (np.arange(r, r + block.shape[0]), np.arange(c, c + block.shape[1]))
-                    value = block.astype(np.float64)
-                    keep = np.isfinite(value) if image.nodata is None else np.isfinite(value) & (value != image.nodata)
-                    if window:
-                        keep &= ((rows >= window[0]) & (rows < window[1]))[:, None] & ((cols >= window[2]) & (cols < window[3]))[None, :]
-                    i, j = np.nonzero(keep)
-                    if i.size:
-                        yield pd.DataFrame({"file": os.path.basename(p), "row": rows[i].astype(np.int32), "col": cols[j].astype(np.int32), "x": x0 + (cols[j] + 0.5) * sx, "y": y0 - (rows[i] + 0.5) * sy, "value": value[i, j]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, row int, col int, x double, y double, value double")
+            for p, part in b.groupby("path"):
+                with _open(p) as f:
+                    image = TiffImage(lambda at, n, f=f: f.read_at(n, at))
+                    image.layout()
+                    x0, y0, sx, sy = image.origin
+                    for n, r, c in zip(part["n"].tolist(), part["r"].tolist(), part["c"].tolist(), strict=True):
+                        value = image.pixels(n, r, c).astype(np.float64)
+                        rows, cols = np.arange(r, r + value.shape[0]), np.arange(c, c + value.shape[1])
+                        keep = np.isfinite(value) if image.nodata is None else np.isfinite(value) & (value != image.nodata)
+                        if window:
+                            keep &= ((rows >= window[0]) & (rows < window[1]))[:, None] & ((cols >= window[2]) & (cols < window[3]))[None, :]
+                        i, j = np.nonzero(keep)
+                        if i.size:
+                            yield pd.DataFrame(
+                                {"file": os.path.basename(p), "row": rows[i].astype(np.int32), "col": cols[j].astype(np.int32), "x": x0 + (cols[j] + 0.5) * sx, "y": y0 - (rows[i] + 0.5) * sy, "value": value[i, j]}
+                            )
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    listed = spark.read.format("binaryFile").load(path).select("path").mapInPandas(plan, "path string, n int, r int, c int")
+    return listed.repartition(tasks, "path", "n").mapInPandas(run, "file string, row int, col int, x double, y double, value double")
+
+
+def geo_metadata(geometry: str, srid: int, name: str) -> bytes:
+    """The footer entry that makes a Parquet file with a WKB column a GeoParquet file."""
+    crs = {"type": "ProjectedCRS", "name": name, "id": {"authority": "EPSG", "code": srid}}
+    return json.dumps({"version": "1.0.0", "primary_column": geometry, "columns": {geometry: {"encoding": "WKB", "geometry_types": ["Polygon", "MultiPolygon"], "crs": crs}}}).encode()
+
+
+def write_geoparquet(df: DataFrame, path: str, *, geometry: str = "geometry", srid: int = 5070, crs_name: str = "NAD83 / Conus Albers", replace: bool = False) -> DataFrame:
+    """Write ``df``, whose binary column ``geometry`` is WKB, as GeoParquet files, one for each partition, and read them back.
+
+    Tasks write to a staging folder by a rename each, so retries leave one file; the folder is put in place once all rows are there.
+    """
+    from gridloom.sources import publish
+
+    spark = df.sparkSession
+    if publish.exists(spark, path) and not replace:
+        raise FileExistsError(path)
+    stage = f"{path.rstrip('/')}._staging-{uuid.uuid4().hex}"
+    meta, schema = geo_metadata(geometry, srid, crs_name), to_arrow_schema(df.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, n = TaskContext.get(), 0
+        store, root = FileSystem.from_uri(stage if "://" in stage else os.path.abspath(stage))
+        store.create_dir(root, recursive=True)
+        name, part = f"{root}/part-{context.partitionId():06d}.parquet", f"{root}/.part-{context.partitionId():06d}.{context.taskAttemptId()}"
+        with store.open_output_stream(part) as f, pq.ParquetWriter(f, schema.with_metadata({b"geo": meta}), compression="zstd") as w:
+            for b in batches:
+                w.write_batch(b.cast(schema).replace_schema_metadata({b"geo": meta}))
+                n += b.num_rows
+        try:
+            store.move(part, name)
+        except OSError:
+            store.delete_file(name)
+            store.move(part, name)
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    df.mapInArrow(run, "n long").agg({"n": "sum"}).collect()
+    publish.put_in_place(spark, stage, path)
+    return spark.read.parquet(path)
 
 
 def catalogue_search(items: DataFrame, box: tuple[float, float, float, float], *, gsd: int | None = None, ids: list[str] | None = None, limit: int | None = None) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def put_in_place(spark: SparkSession, stage: str, path: str) -> None:
+    """Put ``stage`` at ``path``: what is there moves aside first and goes last, so that at every moment one of the two is whole."""
+    fs, target = _fs(spark, path)
+    _, new = _fs(spark, stage)
+    _, aside = _fs(spark, f"{path.rstrip('/')}._old-{uuid.uuid4().hex}")
+    had = fs.exists(target)
+    if had and not fs.rename(target, aside):
+        raise OSError(f"could not move {path} aside")
+    if not fs.rename(new, target):
+        if had:
+            fs.rename(aside, target)
+        raise OSError(f"could not put {stage} in place")
+    if had:
+        fs.delete(aside, True)
+
+
 def publish_table(df: DataFrame, path: str, *, sort: str | None = None, validate: Callable[[DataFrame], None] | None = None, replace: bool = False, compression: str = "zstd") -> DataFrame:
     """Write, read back, compare as bags, validate, and only then put in place; on failure nothing remains.
 
@@ -40,11 +59,7 @@ def publish_table(df: DataFrame, path: str, *, sort: str | None = None, validate
             raise ContractError("what was read back is not what was written")
         if validate:
             validate(back)
-        _, target = _fs(spark, path)
-        if fs.exists(target):
-            fs.delete(target, True)
-        if not fs.rename(staged_path, target):
-            raise OSError(f"could not put {stage} in place")
+        put_in_place(spark, stage, path)
     finally:
         if fs.exists(staged_path):
             fs.delete(staged_path, True)
@@ -54,19 +69,38 @@ def publish_table(df: DataFrame, path: str, *, sort: str | None = None, validate
 def write_json(spark: SparkSession, record: dict, path: str) -> None:
     """A JSON document without NaN or infinity, in place by one rename."""
     text = json.dumps(record, indent=2, sort_keys=True, allow_nan=False, default=lambda x: None if isinstance(x, float) and math.isnan(x) else str(x))
-    fs, target = _fs(spark, path)
-    part = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.part-{uuid.uuid4().hex}")
+    stage = f"{path}.part-{uuid.uuid4().hex}"
+    fs, part = _fs(spark, stage)
     out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(target, False)
-    fs.rename(part, target)
+    put_in_place(spark, stage, path)
+
+
+def publish_all(spark: SparkSession, tables: dict[str, DataFrame], summary: dict, summary_path: str, *, replace: bool = False) -> None:
+    """Publish several tables (path to table) and, once all are in place, the summary that names them: readers that see the summary see the tables."""
+    for path, df in tables.items():
+        publish_table(df, path, replace=replace)
+    write_json(spark, summary | {"tables": sorted(tables)}, summary_path)
 
 
 def fingerprint(spark: SparkSession, path: str) -> str:
-    """SHA-256 over the names and contents of a path's files: hashed where they lie, combined in the order of names."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    named = files.select(F.concat_ws(":", F.regexp_extract("path", "[^/]+$", 0), F.sha2("content", 256)).alias("line"))
+    """SHA-256 over the names and contents of a path's files: each is read in blocks where a task runs, and the digests are combined in the order of names."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for p in b["path"]:
+                store, inner = FileSystem.from_uri(p if "://" in p else p.replace(":", "://", 1))
+                h = hashlib.sha256()
+                with store.open_input_stream(inner) as f:
+                    while block := f.read(1 << 20):
+                        h.update(block)
+                rows.append(f"{p.rsplit('/', 1)[1]}:{h.hexdigest()}")
+            yield pd.DataFrame({"line": rows})
+
+    named = listed.mapInPandas(digest, "line string")
     return named.agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("line"))), 256)).first()[0]
 
 
@@ -76,10 +110,12 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("digest"))
 
 
-def run_batches(spark: SparkSession, plan: DataFrame, compute: Callable[[DataFrame], DataFrame], path: str, *, version: str, batch: str = "batch_id") -> DataFrame:
+def run_batches(
+    spark: SparkSession, plan: DataFrame, compute: Callable[[DataFrame], DataFrame], path: str, *, version: str, batch: str = "batch_id", validate: Callable[[DataFrame], None] | None = None
+) -> DataFrame:
     """Compute the batches of ``plan`` that ``path`` does not hold for this ``version``; results are appended by batch.
 
-    A batch of another version is stale and an error, so that inputs can't mix.
+    A batch of another version is stale and an error, so that inputs can't mix. ``validate`` sees the finished batches before any is computed, and all at the end.
     """
     todo = plan
     if exists(spark, path):
@@ -87,7 +123,11 @@ def run_batches(spark: SparkSession, plan: DataFrame, compute: Callable[[DataFra
         stale = done.where(F.col("version") != version).count()
         if stale:
             raise ContractError(f"{stale} batches are of another version")
+        if validate:
+            validate(spark.read.parquet(path))
         todo = plan.join(done, batch, "left_anti")
     if not todo.isEmpty():
         compute(todo).withColumn("version", F.lit(version)).write.mode("append").parquet(path)
+        if validate:
+            validate(spark.read.parquet(path))
     return spark.read.parquet(path)
