@@ -686,7 +686,7 @@ def logistic_cross_validation(spark: SparkSession, d: str) -> DataFrame:
 @query("forest_holdout")
 def forest_holdout(spark: SparkSession, d: str) -> DataFrame:
     t = _training(spark, d)
-    build = lambda n: modeling.forest_pipeline(continuous=_CONTINUOUS, imputed=["elevation_mean"], nominal=_NOMINAL, trees=10, max_depth=5)
+    build = lambda n: modeling.forest_pipeline(continuous=_CONTINUOUS, imputed=["elevation_mean"], nominal=_NOMINAL)
     return modeling.evaluate_holdout(t.where("block_col < 4"), t.where("block_col >= 4"), build)[1]
 
 

@@ -41,7 +41,7 @@ def test_query_equals_duckdb(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(queries.queries().keys() - queries.oracle_sql().keys()))
 def test_query_runs(spark, name):
-    assert queries.queries()[name](spark, DIR).columns
+    assert queries.queries()[name](spark, DIR).count() > 0
 
 
 def test_entry(spark):
