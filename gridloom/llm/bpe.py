@@ -20,7 +20,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import small_batches, unused, without
+from gridloom.llm.common import small_batches, staged, unused, without
 
 #: Characters of a chunk, and those it reads beyond its end.
 CHUNK, OVERLAP = 16_384, 256
@@ -100,10 +100,12 @@ def encode_chunk(part: str, last: bool, code: PieceCoder, chunk: int = CHUNK, ov
     pieces = code.split(part) if part else []
     ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
     n = len(pieces) if last else int(np.searchsorted(ends, len(part) - UNSURE, "right"))
-    at = np.concatenate([[0], ends[:n]])
-    before = np.concatenate([[0], np.cumsum(code.count_pieces(pieces[:n]))])
-    head, tail = at <= overlap, at >= chunk
-    return Encoded(code.encode_pieces(pieces[:n]), at[head], before[head], at[tail] - chunk, before[tail])
+    # only pre-tokens that end in the first or beyond the last characters are counted one by one
+    first, last_ones = int(np.searchsorted(ends[:n], overlap, "right")), int(np.searchsorted(ends[:n], chunk))
+    ids = code.encode_pieces(pieces[:n])
+    head = np.concatenate([[0], np.cumsum(code.count_pieces(pieces[:first]))])
+    tail = ids.size - np.cumsum(code.count_pieces(pieces[last_ones + 1 : n])[::-1])[::-1]
+    return Encoded(ids, np.concatenate([[0], ends[:first]]), head, ends[last_ones:n] - chunk, np.append(tail, ids.size)[: n - last_ones])
 
 
 def stitch(parts: list[Encoded]) -> np.ndarray | None:
@@ -140,7 +142,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str =
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(ranks_path, pattern)
         for b in batches:
-            ids = [stitch([encode_chunk(x, True, code, max(chunk, len(x)), overlap)]) for x in b.column(b.num_columns - 1).to_pylist()]
+            ids = [code.encode(x) for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], _lists(ids), pa.array([code.decode(x) for x in ids], pa.binary())], names=[*kept, "ids", "decoded"])
 
     is_long = F.char_length(data) > chunk + overlap
@@ -166,27 +168,26 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str =
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("k"), *columns], names=["key", "k", *SEAMS])
 
     def joining(group: pd.DataFrame) -> pd.DataFrame:
-        code, g = coder(ranks_path, pattern), group.sort_values("k")
+        g = group.sort_values("k")
         ids = stitch([Encoded(*row) for row in zip(*(g[c] for c in SEAMS), strict=True)])
-        return pd.DataFrame({found_key: [g["key"].iloc[0]], "ids": [ids], "decoded": [None if ids is None else code.decode(ids)]})
+        return pd.DataFrame({found_key: [g["key"].iloc[0]], "ids": [ids]})
+
+    def decoding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = coder(ranks_path, pattern)
+        for b in batches:
+            ids = b.column(b.num_columns - 1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([code.decode(np.asarray(x)) for x in ids.to_pylist()], pa.binary())], names=[*kept, "ids", "decoded"])
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     far = src.where(is_long).withColumn(key, F.sha2(data, 256))
     once = far.groupBy(key).agg(F.first(data).alias(data))
     parts = once.mapInArrow(cutting, "key string, k int, last boolean, part string").repartition(n, "key", "k")
     coded = parts.mapInArrow(encoding, "key string, k int, " + ", ".join(f"{c} array<int>" for c in SEAMS))
-    done = coded.groupBy("key").applyInPandas(joining, f"`{found_key}` string, ids array<int>, decoded binary")
-    met = far.join(done, F.col(key) == F.col(found_key)).withColumn(data, F.when(F.col("ids").isNull(), F.col(data)))
-
-    def mending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts without a common boundary come with their text, all others with their ids."""
-        code = coder(ranks_path, pattern)
-        for b in batches:
-            *rest, texts, ids, decoded = b.columns
-            if texts.null_count < len(texts):
-                own = [None if x is None else code.encode(x) for x in texts.to_pylist()]
-                ids = pa.array([i if x is None else x for i, x in zip(ids.to_pylist(), own, strict=True)], pa.list_(pa.int32()))
-                decoded = pa.array([d if x is None else code.decode(x) for d, x in zip(decoded.to_pylist(), own, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*rest, ids, decoded], names=[*kept, "ids", "decoded"])
-
-    return short.unionByName(met.select(*[F.col(f"`{c}`") for c in kept], data, "ids", "decoded").mapInArrow(mending, result))
+    done = staged(coded.groupBy("key").applyInPandas(joining, f"`{found_key}` string, ids array<int>"), "bpe-ids")
+    columns = [F.col(f"`{c}`") for c in kept]
+    met = far.select(*columns, key).join(done.where("ids IS NOT NULL"), F.col(key) == F.col(found_key)).select(*columns, "ids")
+    out = short.unionByName(met.mapInArrow(decoding, result))
+    apart = done.where("ids IS NULL")
+    if apart.isEmpty():
+        return out
+    return out.unionByName(far.join(apart.select(found_key), F.col(key) == F.col(found_key)).select(*columns, data).mapInArrow(whole, result))

@@ -11,6 +11,9 @@ once. Attention is computed for thousands of windows at a time under one causal
 from __future__ import annotations
 
 import base64
+import ctypes
+import glob
+import os
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -62,6 +65,17 @@ def _merger(ranks_path: str):
     return core.encode_single_piece, raw
 
 
+@lru_cache(maxsize=1)
+def one_thread() -> None:
+    """Keep numpy's linear algebra to the task's own thread: its matrices are too small to be shared out, and threads that wait for work cost as much as ones that do it."""
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), os.pardir, "numpy.libs", "*openblas*")):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
 def _exp(x: np.ndarray) -> None:
     """exp in place; kept from overflow, which weights this small don't come near."""
     if x.max(initial=0) > 40:
@@ -293,6 +307,7 @@ def fit(p: dict[str, np.ndarray], place: np.ndarray, texts: list[np.ndarray], le
     usable = np.flatnonzero(real.any(1))
     if not usable.size:
         return 0
+    one_thread()
     steps = max(steps, -(-usable.size // WINDOWS))
     rng = np.random.default_rng(seed)
     m1, m2 = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
@@ -436,6 +451,7 @@ class Scorer:
     """Log probabilities that the attention model gives the words of texts."""
 
     def __init__(self, model: Model):
+        one_thread()
         self.model, self.cache = model, {}
 
     def tokens(self, texts: list[list[bytes]]) -> list[np.ndarray]:
