@@ -41,8 +41,8 @@ RUN, LEAD = 4096 * BLOCK, 2 * BLOCK
 MIXES = np.linspace(0.02, 0.98, 193)
 #: Windows in one computation: its arrays stay in the processor's cache.
 PART = 2048
-#: Training steps at least, of so many windows; a large input takes as many as its windows need.
-STEPS, WINDOWS = 500, 768
+#: Training steps at least, of so many windows, and the rate they begin with; a large input takes as many steps as its windows need.
+STEPS, WINDOWS, RATE = 500, 1536, 0.02
 #: At most so many of the most frequent words, of at most so many bytes, whose counts every task holds; the counts of all others are joined.
 HEAD_WORDS, HEAD_BYTES = 200_000, 64
 #: Symbols: a byte inside a word, a byte that ends a word, the end of a text, then subwords.
@@ -317,7 +317,7 @@ def fit(p: dict[str, np.ndarray], place: np.ndarray, texts: list[np.ndarray], le
             deck = np.concatenate([deck, rng.permutation(usable)])
         pick, deck = deck[:WINDOWS], deck[WINDOWS:]
         g = _gradients(p, fold(p, place), inputs[pick - 1], inputs[pick], first[pick], targets[pick], real[pick])
-        rate = np.float32(0.01 * min(1, step / 20) * (1 - 0.95 * (done + part * step / steps)))
+        rate = np.float32(RATE * min(1, step / 20) * (1 - 0.95 * (done + part * step / steps)))
         for key, x in p.items():
             m1[key] += np.float32(0.1) * (g[key] - m1[key])
             m2[key] += np.float32(0.01) * (g[key] * g[key] - m2[key])
@@ -381,10 +381,9 @@ def train_on_all(learn: DataFrame, counts: DataFrame, ranks_path: str, mix_of: C
             os, parts, leads, runs = [], [], [], []
             for o, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = words_of(x)
-                for w in words:
-                    if w not in cache:
-                        cache[w] = told.value.symbols(w)
-                ids = b"".join([*(cache[w] for w in words), end])
+                for w in set(words).difference(cache):
+                    cache[w] = told.value.symbols(w)
+                ids = b"".join([*map(cache.__getitem__, words), end])
                 for n, at in enumerate(range(0, len(ids), 2 * RUN)):
                     os.append(o)
                     parts.append(n)
@@ -447,43 +446,81 @@ def train_on_all(learn: DataFrame, counts: DataFrame, ranks_path: str, mix_of: C
     return model
 
 
+class Lexicon:
+    """Numbers for words, with the symbols of each and, if counts are given, its count (-1: not among them); a bounded number is remembered."""
+
+    def __init__(self, model: Model, counts: dict[bytes, int] | None = None):
+        self.model, self.counts = model, counts or {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.flat, self.ends, self.known = np.empty(0, np.int16), np.zeros(1, np.int64), np.empty(0, np.int64)
+
+    def number(self, words: list[bytes]) -> np.ndarray:
+        """The words' numbers, good until the next call."""
+        used = set(words)
+        if len(self.place) + len(used) > _CACHE_WORDS:
+            self._clear()
+        fresh = list(used.difference(self.place))
+        if fresh:
+            coded = [self.model.symbols(w) for w in fresh]
+            self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
+            sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 2
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(coded), np.int16)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+            self.known = np.concatenate([self.known, np.fromiter((self.counts.get(w, -1) for w in fresh), np.int64, len(fresh))])
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+
+    def symbols(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of words one after the other, and how many each has."""
+        start, size = self.ends[numbers], self.ends[numbers + 1] - self.ends[numbers]
+        total = np.cumsum(size)
+        where = np.arange(int(total[-1]) if total.size else 0) + np.repeat(start - np.concatenate([[0], total[:-1]]), size)
+        return self.flat[where], size
+
+
+def with_ends(flat: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols and word sizes of texts of so many words with an END after each text, and the symbols of each text."""
+    stops = np.cumsum(lengths)
+    before = np.concatenate([[0], np.cumsum(sizes)])[stops]
+    return np.insert(flat, before, np.int16(END)), np.insert(sizes, stops, 1), np.diff(np.concatenate([[0], before])) + 1
+
+
 class Scorer:
     """Log probabilities that the attention model gives the words of texts."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, counts: dict[bytes, int] | None = None):
         one_thread()
-        self.model, self.cache = model, {}
+        self.model, self.lexicon = model, Lexicon(model, counts)
+
+    def flat(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Natural log probabilities of the words and the end of each text, one text after the other, and the counts that the lexicon has for them (ends: 0)."""
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        numbers = self.lexicon.number(list(chain.from_iterable(texts)))
+        known = np.insert(self.lexicon.known[numbers], np.cumsum(lengths), 0)
+        # runs of texts of about so many words at a time, so that windows stay in the processor's cache
+        stops, lps, at = np.cumsum(lengths), [], 0
+        while at < len(texts):
+            begin = int(stops[at] - lengths[at])
+            upto = max(at + 1, int(np.searchsorted(stops, begin + 16_000, "right")))
+            lps.append(self._run(*with_ends(*self.lexicon.symbols(numbers[begin : int(stops[upto - 1])]), lengths[at:upto])))
+            at = upto
+        return np.concatenate(lps or [np.empty(0)]), known
 
     def tokens(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         """For each text the natural log probabilities of its words and of its end."""
-        out: list[np.ndarray] = []
-        part, held = [], 0
-        used = set(chain.from_iterable(texts))
-        if len(self.cache) > _CACHE_WORDS:
-            self.cache = {w: self.cache[w] for w in used.intersection(self.cache)}
-        for w in used.difference(self.cache):
-            self.cache[w] = self.model.symbols(w)
-        for words in texts:
-            coded = [self.cache[w] for w in words]
-            sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 2
-            part.append((np.frombuffer(b"".join([*coded, np.int16(END).tobytes()]), np.int16), np.append(sizes, 1)))
-            held += len(part[-1][0])
-            if held > 40_000:
-                out += self._run(part)
-                part, held = [], 0
-        return out + (self._run(part) if part else [])
-
-    def _run(self, part: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-        inputs, first, targets, where = windows([x for x, _ in part])
+        return np.split(self.flat(texts)[0], np.cumsum([len(x) + 1 for x in texts])[:-1]) if texts else []
+
+    def _run(self, symbols: np.ndarray, sizes: np.ndarray, text_sizes: np.ndarray) -> np.ndarray:
+        inputs, first, targets, where = windows(np.split(symbols, np.cumsum(text_sizes)[:-1]))
         lp = np.empty(targets.shape, np.float32)
         for lo in range(0, len(inputs), PART):
             # a part begins with the block before it, as context only
             a = max(0, lo - 1)
             lp[lo : lo + PART] = self.model.log_probs(inputs[a : lo + PART], first[a : lo + PART], targets[a : lo + PART])[lo - a :]
         real = lp.reshape(-1)[where].astype(np.float64)
-        sizes = np.concatenate([s for _, s in part])
-        summed = np.add.reduceat(real, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-        return np.split(summed, np.cumsum([len(s) for _, s in part])[:-1])
+        return np.add.reduceat(real, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
 
 
 def mix_slopes(u: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -559,14 +596,16 @@ def score(docs: DataFrame, ranks_path: str, *, doc_id: str = "doc_id", text: str
         told = spark.sparkContext.broadcast(model)
 
         def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scorer, known = Scorer(told.value), held_head.value
+            known = held_head.value
+            scorer = Scorer(told.value, known)
             for b in batches:
                 texts = [words_of(x) for x in b.column(0).to_pylist()]
                 if texts:
+                    lp, c = scorer.flat(texts)
+                    c[np.cumsum([len(x) + 1 for x in texts]) - 1] = known.get(b"", 0)
                     flat = [w for words in texts for w in [*words, b""]]
-                    c = [known.get(w, -1) if w else known.get(w, 0) for w in flat]
-                    far = [w if n < 0 else None for w, n in zip(flat, c, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(far, pa.binary()), pa.array(c, pa.int64()), pa.array(np.concatenate(scorer.tokens(texts)))], names=["word", "near", "lp"])
+                    far = [w if n < 0 else None for w, n in zip(flat, c.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(far, pa.binary()), pa.array(c, pa.int64()), pa.array(lp)], names=["word", "near", "lp"])
 
         def slopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros(len(MIXES))
@@ -586,27 +625,28 @@ def score(docs: DataFrame, ranks_path: str, *, doc_id: str = "doc_id", text: str
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = shared.value
-        scorer, mix = Scorer(m), m.mix
+        scorer, mix = Scorer(m, known), m.mix
         for b in batches:
+            if not b.num_rows:
+                continue
             texts = [words_of(x) for x in b.column(b.num_columns - 1).to_pylist()]
-            lps = scorer.tokens(texts)
             rids = b.column(b.num_columns - 2).to_pylist()
-            figures, far_rid, far_word, far_lp = [], [], [], []
-            for rid, words, lp in zip(rids, texts, lps, strict=True):
-                c = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
-                c = np.append(c, known.get(b"", 0))
-                near = c >= 0
-                share = (c[near] + 0.1) / below
-                full = np.log10(np.where(c[near] > 0, mix * share, 0) + (1 - mix) * np.exp(lp[near]) + 1e-300)
-                figures.append((len(c), int((c > 0).sum()), float(np.log10(share).sum()), float(full.sum())))
-                for i in np.flatnonzero(~near).tolist():
-                    far_rid.append(rid)
-                    far_word.append(words[i])
-                    far_lp.append(lp[i])
-            f = list(zip(*figures, strict=True))
+            lp, c = scorer.flat(texts)
+            stops = np.cumsum([len(x) + 1 for x in texts])
+            c[stops - 1] = known.get(b"", 0)
+            near = c >= 0
+            share = (np.maximum(c, 0) + 0.1) / below
+            full = np.where(near, np.log10(np.where(c > 0, mix * share, 0) + (1 - mix) * np.exp(lp) + 1e-300), 0)
+            base = np.where(near, np.log10(share), 0)
+            starts = np.concatenate([[0], stops[:-1]])
+            figures = [np.diff(np.concatenate([[0], stops])), np.add.reduceat((c > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(full, starts)]
+            far = np.flatnonzero(~near)
+            of = np.searchsorted(stops, far, "right")
+            far_rid, far_lp = [rids[t] for t in of.tolist()], lp[far]
+            far_word = [texts[t][i] for t, i in zip(of.tolist(), (far - starts[of]).tolist(), strict=True)]
             n = len(rids)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-2], pa.array(rids, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.float64()), pa.array(f[0], pa.int64()), pa.array(f[1], pa.int64()), pa.array(f[2], pa.float64()), pa.array(f[3], pa.float64())], names=names
+                [*b.columns[:-2], pa.array(rids, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.float64()), *map(pa.array, figures)], names=names
             )
             if far_rid:
                 k = len(far_rid)
