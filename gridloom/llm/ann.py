@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import batches_of, staged
+
 #: Vectors in a block of candidates and of queries: a tile of 2048 x 512 floats is 4 MB.
 CANDIDATE_BLOCK, QUERY_BLOCK = 2048, 512
 BLOCK_SCHEMA = "dim int, n int, ids binary, vectors binary, quantised binary, scales binary, errors binary"
@@ -139,7 +141,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 5, vec_id: str =
     c = named(pack(plain(vectors), CANDIDATE_BLOCK), "c_").withColumn("grp", F.pmod(F.xxhash64("c_ids"), F.lit(groups)).cast("int"))
     q = named(pack(single, QUERY_BLOCK), "q_").withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     tiles = c.join(q.hint("shuffle_hash"), (c["grp"] == q["grp"]) & (c["c_dim"] == q["q_dim"])).drop("grp")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    found = tiles.mapInArrow(lambda it: _tiles(it, k), "query_id long, vec_id long, score double")
+    with batches_of(spark, 16):
+        found = staged(tiles.mapInArrow(lambda it: _tiles(it, k), "query_id long, vec_id long, score double"), "nearest-found")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -151,3 +151,16 @@ def test_rare_words_have_their_share_in_the_mix(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "HEAD_WORDS", 5)
     few = scores()
     assert all(abs(few[i] - whole[i]) < 1e-3 for i in whole)
+
+
+def test_op3_query(spark, sf_dir):
+    docs = {r["doc_id"]: lm_scoring.words_of(r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in docs}
+    c = Counter(w for i, words in docs.items() if not held[i] for w in [*words, b""])
+    total, below = sum(c.values()), sum(c.values()) + 0.1 * (len(c) + 1)
+    rows = queries.op3(spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs)
+    for r in rows:
+        tokens = [*docs[r["doc_id"]], b""]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(tokens), sum(c[w] > 0 for w in tokens), total)
+        assert np.isclose(r["base_score"], sum(np.log10((c[w] + 0.1) / below) for w in tokens)) and np.isfinite(r["score"])
