@@ -161,6 +161,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         if suffix:
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.marked = bool(self.ends.any())
         self.cache: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
@@ -169,7 +170,9 @@ class WordEncoder:
     def _learn(self, words: list[bytes]) -> None:
         plain, rest = [], []
         for w in words:
-            (plain if (x := w.decode()).isalpha() and self.ends.any() else rest).append((w, x))
+            (plain if (x := w.decode()).isalpha() else rest).append((w, x))
+        if not self.marked:
+            plain, rest = [], plain + rest
         for lo in range(0, len(plain), 4096):
             part = plain[lo : lo + 4096]
             ids = np.array(self._ids([" ".join(x for _, x in part)])[0], "<u4")
