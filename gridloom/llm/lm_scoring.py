@@ -325,13 +325,18 @@ def fit(p: dict[str, np.ndarray], place: np.ndarray, texts: list[np.ndarray], le
     return int(real.sum())
 
 
-def count_pairs(texts: list[np.ndarray], leads: list[int]) -> np.ndarray:
-    """Counts of pairs (input, target) as a flat array."""
+def pair_codes(texts: list[np.ndarray], leads: list[int]) -> np.ndarray:
+    """Pairs (input, target) as input * symbols + target."""
     size, codes = CLASSES * MEMBERS, []
     for x, n in zip(texts, leads, strict=True):
         x = x.astype(np.int64)
         codes.append((x[n - 1 : -1] if n else np.concatenate([[END], x[:-1]])) * size + x[n:])
-    return np.bincount(np.concatenate(codes), minlength=size * size)
+    return np.concatenate(codes)
+
+
+def count_pairs(texts: list[np.ndarray], leads: list[int]) -> np.ndarray:
+    """Counts of pairs (input, target) as a flat array."""
+    return np.bincount(pair_codes(texts, leads), minlength=(CLASSES * MEMBERS) ** 2)
 
 
 def train(texts: list[list[bytes]], ranks_path: str, *, steps: int = STEPS, seed: int = 7) -> Model:
@@ -397,10 +402,15 @@ def train_on_all(learn: DataFrame, counts: DataFrame, ranks_path: str, mix_of: C
         return [np.frombuffer(x, np.int16) for x in b.column(b.num_columns - 1).to_pylist()], b.column(b.num_columns - 2).to_pylist()
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(size * size, np.int64)
+        n, held = np.zeros(size * size, np.int64), []
         for b in batches:
             if b.num_rows:
-                n += count_pairs(*of(b))
+                held.append(pair_codes(*of(b)))
+            if sum(map(len, held)) > size * size:  # counted together, as each count walks the whole table
+                n += np.bincount(np.concatenate(held), minlength=size * size)
+                held = []
+        if held:
+            n += np.bincount(np.concatenate(held), minlength=size * size)
         code = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n[code])], names=["code", "n"])
 
