@@ -77,12 +77,13 @@ def test_op9_query(spark, sf_dir):
     docs = {r["doc_id"]: decontam.normalise(r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = queries.op9(spark, sf_dir).collect()
     assert sorted(r["doc_id"] for r in rows) == sorted(docs)
-    trigrams = {i: {x[k : k + 3] for k in range(len(x) - 2)} for i, x in items.items()}
+    grams = lambda x: {x[k : k + 8] for k in range(len(x) - 7)}
+    wanted = {i: grams(x) for i, x in items.items()}
     for r in rows:
         text, found = docs[r["doc_id"]], set(r["item_ids"])
-        own = {text[k : k + 3] for k in range(len(text) - 2)}
+        own = grams(text)
         for i, x in items.items():
             most = int(0.1 * len(x))
-            # an edit breaks three trigrams at most, so a text that lacks more of them has no occurrence
-            if i in found or len(trigrams[i] - own) <= 3 * most:
+            # an edit breaks eight of an item's strings of eight at most, so a text that lacks more of them has no occurrence
+            if i in found or len(wanted[i] - own) <= 8 * most:
                 assert (slow_distance(x, text) <= most) == (i in found), (r["doc_id"], i)
