@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import ann, bpe, decontam, lm_scoring, simhash, suffix_dedup, token_counts, token_store, toxicity, url_filters
+from gridloom.llm import ann, bpe, conversation_trie, decontam, jaccard_join, lm_scoring, simhash, spelling, suffix_dedup, token_counts, token_store, toxicity, url_filters
 from gridloom.llm.common import table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -139,6 +139,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(WORD_TOKENIZER))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.sequences(table(spark, sf_dir, "conversations"))
+    return conversation_trie.prefix_trie(conversation_trie.with_family_heads(turns))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1,
@@ -151,6 +164,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8,
         "op9_decontamination": op9,
         "op10_token_store": op10,
+        "op11_spelling_variants": op11,
+        "op12_jaccard_join": op12,
+        "op13_conversation_trie": op13,
     }
 
 
