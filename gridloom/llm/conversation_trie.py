@@ -304,7 +304,7 @@ def _block_nodes(rows: Iterator[pa.RecordBatch], groups: pa.Table) -> list[dict]
     return out
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Decimal ids of sorted rows (sid, conv_id), joined by commas in pieces of a bounded size."""
     now, first, held, size = None, 0, [], 0
 
@@ -313,7 +313,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for sid, conv in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if held and (sid != now or size >= PIECE):
+            if held and (sid != now or size >= most):
                 yield piece()
                 held, size = [], 0
             if not held:
@@ -342,11 +342,11 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([h.hexdigest()])], names=["sid", "sha"])
 
 
-def member_hashes(convs: DataFrame) -> DataFrame:
+def member_hashes(convs: DataFrame, *, piece: int = PIECE) -> DataFrame:
     """sid, sha: SHA-256 of the decimal conv_ids of each sid, ascending and comma-joined. Ids are joined in pieces where they lie; one task then reads a sid's pieces, one at a time."""
     n = int(convs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = convs.select("sid", "conv_id").repartitionByRange(n, "sid", "conv_id").sortWithinPartitions("sid", "conv_id")
-    pieces = dealt.mapInArrow(_pieces, "sid string, first long, ids string")
+    pieces = dealt.mapInArrow(lambda it: _pieces(it, piece), "sid string, first long, ids string")
     return pieces.repartition(n, "sid").sortWithinPartitions("sid", "first").mapInArrow(_hashed, "sid string, sha string")
 
 

@@ -1,8 +1,9 @@
 """N-gram Jaccard join with prefix trees.
 
 Texts are sets of word shingles. All shingles have one global order, rare ones first; frequencies come from a count sketch of fixed size over all texts, and
-as any order is right, a rough one only costs comparisons. Two sets as alike as asked for share a shingle among the first few of each, so sets
-that share none there are never compared. What shares some, directly or through others, is one cluster. A cluster's sets go into tries whose paths run from
+as any order is right, a rough one only costs comparisons. Two sets as alike as asked for share a shingle among the first few of each and are about as
+large, so sets that share none there are never compared, nor sets whose counts of shingles by hash range differ by more than alike sets can. What may be alike,
+directly or through others, is one cluster. A cluster's sets go into tries whose paths run from
 the cluster's most frequent shingle to its rarest: a traversal for many sets at once counts overlaps along shared paths once, and leaves a subtree
 as soon as the overlap so far plus what can still come is too small for any set in it, or all its sets are connected already. Large clusters are
 dealt out in blocks: each block against itself and against one of them first, then only blocks that are not in one component yet.
@@ -10,6 +11,8 @@ dealt out in blocks: each block against itself and against one of them first, th
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +29,10 @@ SHINGLE, PERCENT, SEED = 3, 90, 42
 CELL_BITS = 20
 #: Slots of the sketch that are summed apart.
 SLOTS = 32
+#: Hash ranges in which a set's shingles are counted, and members of a bucket that are compared by these counts; larger buckets hang together whole.
+RANGES, BUCKET = 32, 512
+#: Bits of the filter of texts whose sets are wanted.
+FILTER_BITS = 23
 #: Shingles of a block of sets: two blocks, at 8 bytes a shingle, stand in a task's memory.
 BLOCK_SHINGLES = 1 << 17
 #: Sets that traverse a trie at a time, numbers that stand for their members then (one set's at least), and rows of an Arrow batch.
@@ -69,13 +76,13 @@ def shingle_sketch(docs: DataFrame, text: str = "text", shingle: int = SHINGLE)
                 seen = True
         if seen:
             parts = np.minimum(total, np.iinfo(np.int32).max).astype("<i4").reshape(SLOTS, width)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLOTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slot", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLOTS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["slot", "counts"])
 
     def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, np.int64)
         for b in parts:
             for x in b.column(1).to_pylist():
-                total += np.frombuffer(x, "<i4")
+                total += np.frombuffer(zlib.decompress(x), "<i4")
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, np.iinfo(np.int32).max).astype("<i4").tobytes()], pa.binary())], names=["slot", "counts"])
 
     out = np.zeros((SLOTS, width), np.int32)
@@ -91,6 +98,122 @@ def prefix(x: np.ndarray, sketch: np.ndarray, percent: int = PERCENT) -> np.ndar
     return x[np.lexsort((x, sketch[_cells(x)]))[:keep]] if x.size else x
 
 
+def range_counts(x: np.ndarray) -> bytes:
+    """How many of a set's shingles lie in each hash range, 65,535 at most."""
+    counts = np.bincount((x >> np.uint64(20)).astype(np.int64) % RANGES, minlength=RANGES)
+    return np.minimum(counts, 65535).astype("<u2").tobytes()
+
+
+def _alone_left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (shingle, sid) sorted by shingle, those whose shingle another row has."""
+    before, held = None, None
+
+    def kept(b: pa.RecordBatch, after: int | None) -> pa.RecordBatch:
+        x = b.column(0).to_numpy()
+        same = x[1:] == x[:-1]
+        return b.filter(pa.array(np.concatenate([[x[0] == before], same]) | np.concatenate([same, [x[-1] == after]])))
+
+    for b in batches:
+        if b.num_rows:
+            if held is not None:
+                yield kept(held, b.column(0)[0].as_py())
+                before = held.column(0)[-1].as_py()
+            held = b
+    if held is not None:
+        yield kept(held, None)
+
+
+def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Edges u, v that hold together, in each bucket of the rows (key, sid, size, counts) sorted by key, the sets that may be alike by their sizes and range counts.
+
+    The first set of a bucket of over ``BUCKET`` is joined with every other one.
+    """
+
+    def edges(cols: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        key, sid, size, counts = cols
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        members = np.diff(np.append(starts, key.size))
+        first, large = np.repeat(starts, members), np.repeat(members > BUCKET, members)
+        out = [(sid[large], sid[first[large]])]
+        pairs, most = [], members[members <= BUCKET].max(initial=0)
+        for d in range(1, most):
+            i = np.flatnonzero((key[d:] == key[:-d]) & ~large[d:])
+            apart = np.abs(counts[i].astype(np.int32) - counts[i + d]).sum(1)
+            near = (100 + percent) * apart <= (100 - percent) * (size[i] + size[i + d])
+            pairs.append((i[near], i[near] + d))
+        if pairs:
+            u, v = (np.concatenate(p) for p in zip(*pairs, strict=True))
+            label, old = np.arange(key.size), None
+            while old is None or (label != old).any():
+                old = label.copy()
+                np.minimum.at(label, v, old[u])
+                np.minimum.at(label, u, old[v])
+            moved = label != np.arange(key.size)
+            out.append((sid[moved], sid[label[moved]]))
+        return out
+
+    def batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        u, v = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], names=["u", "v"])
+
+    rest: list[np.ndarray] | None = None
+    lead: tuple[int, int] | None = None  # key and first set of a large bucket that goes on
+    for b in batches:
+        counts = np.frombuffer(b"".join(b.column(3).to_pylist()), "<u2").reshape(-1, RANGES)
+        cols = [*(b.column(k).to_numpy() for k in range(3)), counts]
+        found = []
+        if lead is not None:
+            n = int(np.searchsorted(cols[0], lead[0], side="right"))
+            found.append((cols[1][:n], np.full(n, lead[1])))
+            cols = [c[n:] for c in cols]
+            if not cols[0].size:
+                yield batch(found)
+                continue
+            lead = None
+        cols = cols if rest is None else [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
+        at = int(np.searchsorted(cols[0], cols[0][-1]))
+        if at:
+            found += edges([c[:at] for c in cols])
+        rest = [c[at:] for c in cols]
+        if rest[0].size > BUCKET:
+            lead = int(rest[0][0]), int(rest[1][0])
+            found.append((rest[1], np.full(rest[1].size, lead[1])))
+            rest = None
+        if found:
+            yield batch(found)
+    if rest is not None and rest[0].size:
+        yield batch(edges(rest))
+
+
+def candidate_edges(one: DataFrame, percent: int) -> DataFrame:
+    """Edges u, v over ``one`` (sid, size, rare, counts) whose components hold all alike sets; most of what they join is alike."""
+    n = int(one.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rare = one.select(F.explode("rare").alias("shingle"), "sid").repartition(n, "shingle").sortWithinPartitions("shingle")
+    shared = staged(rare.mapInArrow(_alone_left_out, "shingle long, sid long"), "jaccard-shared")
+    # alike sets are in one class of sizes or in neighbouring ones
+    step = max(math.log(100 / percent), 1e-6) * (1 + 1e-9)
+    size_class = F.floor(F.log("size") / step)
+    sized = shared.join(one.select("sid", "size", "counts"), "sid").withColumn("class", F.explode(F.array(size_class, size_class + 1)))
+    keyed = sized.select(F.xxhash64("shingle", "class").alias("key"), "sid", "size", "counts").repartition(n, "key").sortWithinPartitions("key", "sid")
+    return keyed.mapInArrow(lambda it: _possible(it, percent), "u long, v long").distinct()
+
+
+def text_filter(marks: DataFrame) -> np.ndarray:
+    """A bit for each mark of ``marks`` by its last bits; of a fixed size, so it lets ever more other marks through the more are wanted."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << FILTER_BITS, bool)
+        for b in batches:
+            held[b.column(0).to_numpy() & ((1 << FILTER_BITS) - 1)] = True
+        if held.any():
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(held).tobytes(), 1)], pa.binary())], names=["bits"])
+
+    out = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
+    for r in marks.select("mark").mapInArrow(bits, "bits binary").toLocalIterator():
+        out |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return out
+
+
 class Trie:
     """Sets as paths of a compressed trie, from the most to the least frequent member; members of one set only are left out of paths but count in sizes.
 
@@ -302,26 +425,29 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
                 keys = [_set_key(x) for x in sets]
                 columns = [b.column(0), b.column(1), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([x.size for x in sets], pa.int64())]
                 rare = pa.array([prefix(x, sketch.value, percent).view(np.int64) for x in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*columns, rare], names=["id", "mark", "a", "b", "size", "rare"])
+                yield pa.RecordBatch.from_arrays([*columns, rare, pa.array(map(range_counts, sets), pa.binary())], names=["id", "mark", "a", "b", "size", "rare", "counts"])
 
-        rows = staged(src.mapInArrow(prints, "id long, mark long, a long, b long, size long, rare array<long>"), "jaccard-prints")
-        one = rows.where("size > 0").groupBy("a", "b").agg(F.min("id").alias("root"), F.first("mark").alias("mark"), F.first("size").alias("size"), F.first("rare").alias("rare"))
+        rows = staged(src.mapInArrow(prints, "id long, mark long, a long, b long, size long, rare array<long>, counts binary"), "jaccard-prints")
+        one = rows.where("size > 0").groupBy("a", "b").agg(F.min("id").alias("root"), *[F.first(c).alias(c) for c in ("mark", "size", "rare", "counts")])
         one = staged(one.withColumn("sid", F.monotonically_increasing_id()), "jaccard-sets")
-        rare = one.select("sid", F.explode("rare").alias("shingle"))
-        lead = rare.groupBy("shingle").agg(F.min("sid").alias("lead"), F.max("sid").alias("last")).where("lead <> last").drop("last")
-        edges = staged(rare.join(lead, "shingle").where("sid <> lead").select(F.col("sid").alias("u"), F.col("lead").alias("v")).distinct(), "jaccard-edges")
-        clusters = components(edges)
+        clusters = components(staged(candidate_edges(one, percent), "jaccard-edges"))
         near = clusters.select(F.col("node").alias("sid"), F.col("rep").alias("cluster"))
         near = near.unionByName(clusters.select(F.col("rep").alias("sid"), F.col("rep").alias("cluster")).distinct())
         members = staged(near.join(one.select("sid", "size", "mark"), "sid"), "jaccard-clusters")
-        wanted = staged(members.groupBy("mark").agg(F.min("sid").alias("sid")), "jaccard-wanted")
+        wanted = spark.sparkContext.broadcast(text_filter(members))
 
         def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            done = set()  # repeated texts of a task come once
             for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x, shingle).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["sid", "set"])
-
-        texts = src.select("mark", "text").join(wanted, "mark").select("sid", "text").mapInArrow(unpacked, "sid long, set binary").dropDuplicates(["sid"])
-        sets = staged(texts, "jaccard-wanted-sets")
+                cell = b.column(0).to_numpy() & ((1 << FILTER_BITS) - 1)
+                kept = b.filter(pa.array((wanted.value[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)))
+                for mark, text in zip(kept.column(0).to_pylist(), kept.column(1).to_pylist(), strict=True):
+                    if mark not in done:
+                        done.add(mark)
+                        yield pa.RecordBatch.from_arrays([pa.array([mark], pa.int64()), pa.array([shingles(text, shingle).tobytes()], pa.binary())], names=["mark", "set"])
+
+        texts = src.select("mark", "text").mapInArrow(unpacked, "mark long, set binary")
+        sets = staged(texts.join(members.select("mark", "sid"), "mark").select("sid", "set").dropDuplicates(["sid"]), "jaccard-wanted-sets")
         links = staged(set_links(members.select("cluster", "sid", "size"), sets, percent), "jaccard-found")
         reps = components(links)
     placed = one.select("a", "b", "sid", "root").join(reps, F.col("sid") == F.col("node"), "left").select("a", "b", "root", F.coalesce("rep", "sid").alias("rep"))

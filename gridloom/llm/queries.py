@@ -139,19 +139,82 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(WORD_TOKENIZER))
 
 
+#: Letters of ASCII, for SQL that lower-cases nothing else.
+UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned crc32 of a text of code points under 256: one step for each bit, the byte joining before the first of its eight."""
+    zeros = ", 0, 0, 0, 0, 0, 0, 0"
+    one = f"CASE WHEN unicode(ch) < 128 THEN [unicode(ch){zeros}] ELSE [192 + unicode(ch) // 64{zeros}, 128 + unicode(ch) % 64{zeros}] END"
+    bits = f"list_prepend(4294967295, CAST(flatten(list_transform(string_split({text}, ''), lambda ch: {one})) AS BIGINT[]))"
+    return f"xor(list_reduce({bits}, lambda x, y: xor(xor(x, y) >> 1, 3988292384 * (xor(x, y) & 1))), 4294967295)"
+
+
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+OP11_SQL = f"""
+WITH RECURSIVE run AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all(translate(text, '{UP}', '{LOW}'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+hashed AS (SELECT run, c, {_crc32("doc || ':' || run")} AS h FROM (SELECT doc, run, count(*) AS c FROM run GROUP BY ALL)),
+garbled AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM hashed),
+vocab AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM garbled GROUP BY word HAVING length(word) >= 5 AND sum(c) >= 3),
+less AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM vocab, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
+near AS (
+  SELECT a.word, b.word AS other FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT l.word, v.word FROM less l JOIN vocab v ON v.word = l.rest UNION SELECT v.word, l.word FROM less l JOIN vocab v ON v.word = l.rest),
+ranked AS (SELECT x.word, x.other, v.n AS other_n, count(*) OVER (PARTITION BY x.word) AS n_near, row_number() OVER (PARTITION BY x.word ORDER BY v.n DESC, x.other) AS place FROM near x JOIN vocab v ON v.word = x.other),
+formed AS (
+  SELECT v.word, v.n, CAST(coalesce(r.n_near, 0) AS BIGINT) AS n_near, CASE WHEN r.other_n >= 2 * v.n THEN r.other END AS form, CASE WHEN r.other_n >= 2 * v.n THEN r.other_n END AS form_n
+  FROM vocab v LEFT JOIN ranked r ON r.word = v.word AND r.place = 1),
+step AS (SELECT word, word AS root, 0 AS k FROM formed UNION ALL SELECT s.word, f.form, s.k + 1 FROM step s JOIN formed f ON f.word = s.root WHERE f.form IS NOT NULL),
+last AS (SELECT word, arg_max(root, k) AS root FROM step GROUP BY word)
+SELECT f.word, f.form, l.root, f.n, f.n_near, f.form_n FROM formed f JOIN last l USING (word)
+"""
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+OP12_SQL = rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UP}', '{LOW}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) END AS s FROM words),
+held AS (SELECT doc_id, len(s) AS size, unnest(s) AS shingle FROM sets),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, a.size + b.size AS sizes, count(*) AS met FROM held a JOIN held b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM shared WHERE 100 * met >= 90 * (sizes - met)),
+way AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS other FROM sets UNION SELECT r.doc_id, w.b FROM reach r JOIN way w ON w.a = r.other)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)
+"""
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = conversation_trie.sequences(table(spark, sf_dir, "conversations"))
     return conversation_trie.prefix_trie(conversation_trie.with_family_heads(turns))
 
 
+OP13_SQL = rf"""
+WITH own AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS turns, {_crc32("CAST(conv_id AS VARCHAR)")} % 4 AS h
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+built AS (SELECT o.conv_id, list_concat(coalesce(list_slice(b.turns, 1, o.h), []), list_slice(o.turns, o.h + 1, len(o.turns))) AS turns FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20),
+member AS (SELECT conv_id, d, len(turns) = d AS ends, md5(CAST(list_slice(turns, 1, d) AS VARCHAR)) AS node, md5(CAST(list_slice(turns, 1, d - 1) AS VARCHAR)) AS up, turns FROM built, LATERAL (SELECT unnest(range(0, len(turns) + 1)) AS d)),
+node AS (
+  SELECT node, d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n, any_value(CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(turns[d].text, '[^\x20\x09-\x0D]+')) END) AS words,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM member GROUP BY node, d),
+kid AS (SELECT up AS node, d - 1 AS d, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+below AS (SELECT DISTINCT m.node, m.d, b.node AS low, b.d AS low_d FROM member m JOIN member b ON b.conv_id = m.conv_id AND b.d >= m.d),
+total AS (
+  SELECT b.node, b.d, CAST(count(*) FILTER (WHERE k.node IS NULL) AS BIGINT) AS n_leaves, CAST(sum((x.n - 1) * x.words) AS BIGINT) AS saved_tokens
+  FROM below b JOIN node x ON x.node = b.low AND x.d = b.low_d LEFT JOIN kid k ON k.node = b.low AND k.d = b.low_d GROUP BY ALL)
+SELECT x.conv_id, CAST(x.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, x.n AS n_convs, coalesce(k.n_children, 0) AS n_children, t.n_leaves, t.saved_tokens, x.ends_sha256
+FROM node x JOIN total t ON t.node = x.node AND t.d = x.d LEFT JOIN kid k ON k.node = x.node AND k.d = x.d LEFT JOIN node p ON x.d > 0 AND p.node = x.up AND p.d = x.d - 1
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1,
@@ -171,4 +234,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op6_nearest_neighbours": OP6_SQL}
+    return {
+        "op1_url_filters": OP1_SQL,
+        "op6_nearest_neighbours": OP6_SQL,
+        "op11_spelling_variants": OP11_SQL,
+        "op12_jaccard_join": OP12_SQL,
+        "op13_conversation_trie": OP13_SQL,
+    }
