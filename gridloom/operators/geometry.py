@@ -97,10 +97,19 @@ def ring_holds(ring: Column, x: Column, y: Column) -> Column:
     return F.aggregate(_pairs(ring), F.lit(False), lambda odd, e: odd != crosses(e))
 
 
+def inner_point(ring: Column) -> Column:
+    """struct<x, y> of a point strictly inside a ring that does not meet itself, between its two lowest heights; NULL for a flat ring."""
+    ys = F.array_sort(F.array_distinct(F.transform(ring, lambda p: p["y"])))
+    y = (F.get(ys, 0) + F.get(ys, 1)) / 2
+    spans = F.filter(_pairs(ring), lambda e: (e["ay"] > y) != (e["by"] > y))
+    xs = F.array_sort(F.transform(spans, lambda e: e["ax"] + (y - e["ay"]) / (e["by"] - e["ay"]) * (e["bx"] - e["ax"])))
+    return F.when(F.size(ys) > 1, F.struct(((F.get(xs, 0) + F.get(xs, 1)) / 2).alias("x"), y.alias("y")))
+
+
 def is_hole(ring: Column, rings: Column) -> Column:
-    """Whether an odd number of the other rings hold the ring's first point."""
-    first = ring[0]
-    return F.size(F.filter(rings, lambda q: (q != ring) & ring_holds(q, first["x"], first["y"]))) % 2 == 1
+    """Whether an odd number of the larger rings hold a point inside the ring; rings may touch each other."""
+    point, size = inner_point(ring), F.abs(ring_area(ring))
+    return F.size(F.filter(rings, lambda q: (F.abs(ring_area(q)) > size) & ring_holds(q, point["x"], point["y"]))) % 2 == 1
 
 
 def polygon_area(rings: Column) -> Column:

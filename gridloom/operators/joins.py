@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.contracts import check_key, check_same_keys, require
+from gridloom.missing import is_missing
 from gridloom.session import cut
 
 
@@ -93,15 +95,19 @@ def _nearest_within(points: DataFrame, candidates: DataFrame, side: float) -> Da
 def nearest(points: DataFrame, candidates: DataFrame, *, cell: float, point_id: str, candidate_id: str) -> DataFrame:
     """The nearest candidate (x, y) of every point (x, y), ties to the smaller id; both null for a point without coordinates, or without candidates.
 
+    Null and NaN coordinates are missing: such points find nothing and such candidates are not found. Infinite ones are an error.
+
     Points are keyed by their square of side ``cell`` and candidates by the squares around theirs: an equi-join, with no pair of far squares. A hit is
     the nearest of all if it is no farther than a square's side; what is left is searched again with squares of twice the side, until a square holds all.
     """
     p = points.select(F.col(point_id).alias("pid"), F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"))
-    c = candidates.where("x IS NOT NULL AND y IS NOT NULL").select(F.col(candidate_id).alias("cid"), F.col("x").cast("double").alias("cx"), F.col("y").cast("double").alias("cy"))
-    todo, side, found = p.where("px IS NOT NULL AND py IS NOT NULL").distinct(), float(cell), []
+    placed = lambda x, y: ~is_missing(x) & ~is_missing(y)
+    c = candidates.where(placed("x", "y")).select(F.col(candidate_id).alias("cid"), F.col("x").cast("double").alias("cx"), F.col("y").cast("double").alias("cy"))
+    todo, side, found = p.where(placed("px", "py")).distinct(), float(cell), []
     ends = [f(x) for x in ("px", "py") for f in (F.min, F.max)]
-    low_x, high_x, low_y, high_y = p.unionByName(c.select(F.lit(None).alias("pid"), F.col("cx").alias("px"), F.col("cy").alias("py"))).agg(*ends).first()
+    low_x, high_x, low_y, high_y = todo.unionByName(c.select(F.lit(None).alias("pid"), F.col("cx").alias("px"), F.col("cy").alias("py"))).agg(*ends).first()
     span = 0.0 if low_x is None or low_y is None else max(high_x - low_x, high_y - low_y)
+    require(math.isfinite(span), "a coordinate is infinite")
     while True:
         best = cut(_nearest_within(todo, c, side))
         settled = best if side > span else best.where(F.col("b.d2") <= side * side)

@@ -74,11 +74,17 @@ def modelling(spark: SparkSession, sf_dir: str, *, prove: bool = False) -> DataF
     return join_features([base, *features(spark, sf_dir)], "cell_id", prove=prove)
 
 
+def point(x, y):
+    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+def box_ring(x0, y0, x1, y1):
+    return F.array(point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1), point(x0, y0))
+
+
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fires as polygons of two parts: a rectangle with a hole in its middle third, and a smaller one 150 m east of it."""
-    pt = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
-    ring = lambda x0, y0, x1, y1: F.array(pt(x0, y0), pt(x1, y0), pt(x1, y1), pt(x0, y1), pt(x0, y0))
     x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
     w, h = F.expr("(x1 - x0) div 3"), F.expr("(y1 - y0) div 3")
-    rings = F.array(ring(x1 + 150, y0, x1 + 150 + w, y0 + h), ring(x0 + w, y0 + h, x0 + 2 * w, y0 + 2 * h), ring(x0, y0, x1, y1))
+    rings = F.array(box_ring(x1 + 150, y0, x1 + 150 + w, y0 + h), box_ring(x0 + w, y0 + h, x0 + 2 * w, y0 + 2 * h), box_ring(x0, y0, x1, y1))
     return fires(spark, sf_dir).select("fire_id", rings.alias("rings"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 from gridloom import contracts
 from gridloom.functions import scalar
 from gridloom.missing import is_missing
-from gridloom.operators import geometry, joins, lattice, modeling, raster, spatial, stats
+from gridloom.operators import geometry, joins, lattice, modeling, polygons, raster, spatial, stats
 from gridloom.plans import adapters
 from gridloom.plans.adapters import BLOCK, SIDE, table
-from gridloom.session import cut
+from gridloom.session import cut, shared_folder
+from gridloom.sources import cog, tiff
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -589,7 +591,8 @@ def array_sets(spark: SparkSession, d: str) -> DataFrame:
     return both.select("key", scalar.is_subset("early", "late").alias("contained"), F.array_join(scalar.set_difference("early", "late"), ",").alias("early_only"), F.array_join(scalar.set_union("early", "late"), ",").alias("either"))
 
 
-@query("polygon_parts", """
+#: Rectangles that make up the fires of two parts and a hole, and the area that they cover of each cell.
+_PIECES_SQL = """
 , third AS (SELECT *, (x1 - x0) // 3 AS w, (y1 - y0) // 3 AS h FROM fire),
 piece AS (
   SELECT x0, y0, x1, y0 + h AS y1 FROM third UNION ALL SELECT x0, y0 + 2 * h, x1, y1 FROM third UNION ALL SELECT x0, y0 + h, x0 + w, y0 + 2 * h FROM third UNION ALL SELECT x0 + 2 * w, y0 + h, x1, y0 + 2 * h FROM third
@@ -598,7 +601,10 @@ pp AS (SELECT c.cell_id, greatest(c.x0, f.x0) AS x0, greatest(c.y0, f.y0) AS y0,
 px AS (SELECT cell_id, a, lead(a) OVER (PARTITION BY cell_id ORDER BY a) AS b FROM (SELECT cell_id, x0 AS a FROM pp UNION SELECT cell_id, x1 FROM pp)),
 py AS (SELECT cell_id, a, lead(a) OVER (PARTITION BY cell_id ORDER BY a) AS b FROM (SELECT cell_id, y0 AS a FROM pp UNION SELECT cell_id, y1 FROM pp)),
 ps AS (SELECT DISTINCT p.cell_id, px.a AS xa, px.b AS xb, py.a AS ya, py.b AS yb FROM pp p JOIN px ON px.cell_id = p.cell_id AND p.x0 <= px.a AND px.b <= p.x1 JOIN py ON py.cell_id = p.cell_id AND p.y0 <= py.a AND py.b <= p.y1),
-pb AS (SELECT cell_id, sum((xb - xa) * (yb - ya)) AS area FROM ps GROUP BY 1)
+pb AS (SELECT cell_id, sum((xb - xa) * (yb - ya)) AS area FROM ps GROUP BY 1)"""
+
+
+@query("polygon_parts", f"""{_PIECES_SQL}
 SELECT c.cell_id, round(coalesce(pb.area, 0.0), 3) AS burned_area_m2, round(least(coalesce(pb.area, 0.0) / 1000000.0, 1.0), 9) AS burned_fraction FROM cell c LEFT JOIN pb USING (cell_id)""")
 def polygon_parts(spark: SparkSession, d: str) -> DataFrame:
     """Burned fraction of polygons with two parts and a hole."""
@@ -690,6 +696,70 @@ def forest_holdout(spark: SparkSession, d: str) -> DataFrame:
     return modeling.evaluate_holdout(t.where("block_col < 4"), t.where("block_col >= 4"), build)[1]
 
 
+@query("polygon_intersections", """
+, third AS (SELECT *, (x1 - x0) // 3 AS w, (y1 - y0) // 3 AS h FROM fire), sq AS (SELECT cell_id, x0 + 450 AS a0, y0 + 450 AS b0, x0 + 550 AS a1, y0 + 550 AS b1 FROM cell)
+SELECT s.cell_id, f.fire_id FROM third f JOIN sq s ON
+  (s.a0 <= f.x1 AND f.x0 <= s.a1 AND s.b0 <= f.y1 AND f.y0 <= s.b1 AND NOT (s.a0 > f.x0 + f.w AND s.a1 < f.x0 + 2 * f.w AND s.b0 > f.y0 + f.h AND s.b1 < f.y0 + 2 * f.h))
+  OR (s.a0 <= f.x1 + 150 + f.w AND f.x1 + 150 <= s.a1 AND s.b0 <= f.y0 + f.h AND f.y0 <= s.b1)""")
+def polygon_intersections(spark: SparkSession, d: str) -> DataFrame:
+    """Fires of two parts and a hole that meet the middle tenth of each cell: squares inside a hole do not count, squares inside a part and parts inside a square do."""
+    x0, y0 = F.col("x0") + 450, F.col("y0") + 450
+    squares = adapters.cells(spark, d).select("cell_id", F.array(adapters.box_ring(x0, y0, x0 + 100, y0 + 100)).alias("rings"))
+    return polygons.polygon_join(squares, adapters.polygons(spark, d), left_key="cell_id", right_key="fire_id", size=float(SIDE))
+
+
+@query("polygon_validity", """
+SELECT fire_id, CASE fire_id % 4 WHEN 0 THEN 'self-intersection' WHEN 1 THEN 'hole outside shell' ELSE 'rings cross' END AS problem FROM fire WHERE fire_id % 4 <> 2""")
+def polygon_validity(spark: SparkSession, d: str) -> DataFrame:
+    """Fires as bow-ties, with the hole beside the shell, in its middle (nothing wrong), or along its edge, by id: what is wrong with each."""
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    w, h, k = F.expr("(x1 - x0) div 3"), F.expr("(y1 - y0) div 3"), F.col("fire_id") % 4
+    shell, middle = adapters.box_ring(x0, y0, x1, y1), lambda x: adapters.box_ring(x, y0 + h, x + w, y0 + 2 * h)
+    bow = F.array(adapters.point(x0, y0), adapters.point(x1, y1), adapters.point(x1, y0), adapters.point(x0, y1), adapters.point(x0, y0))
+    rings = F.when(k == 0, F.array(bow)).otherwise(F.array(shell, middle(F.when(k == 1, x1 + 150).when(k == 2, x0 + w).otherwise(x1 - w))))
+    return polygons.validity(adapters.fires(spark, d).select("fire_id", rings.alias("rings")), key="fire_id", shell_first=True).select("fire_id", "problem")
+
+
+@query("coverage_gap_pieces", f"""{_PIECES_SQL}
+SELECT c.cell_id, round(1000000.0 - coalesce(pb.area, 0.0), 3) AS gap_area, round(1000000.0 - coalesce(pb.area, 0.0), 3) AS area_of_pieces FROM cell c LEFT JOIN pb USING (cell_id)""")
+def coverage_gap_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """What fires of two parts and a hole leave of each cell, as polygons whose areas add up."""
+    gaps = polygons.coverage_gaps(adapters.cells(spark, d), adapters.polygons(spark, d), key="cell_id", size=4.0 * SIDE)
+    total = F.aggregate(F.transform("pieces", lambda r: F.abs(geometry.ring_area(r))), F.lit(0.0), lambda s, a: s + a)
+    return gaps.withColumn("area_of_pieces", total).select("cell_id", r6("gap_area", 3), r6("area_of_pieces", 3))
+
+
+@query("cog_window", """
+SELECT CAST("row" AS BIGINT) AS "row", CAST(col AS BIGINT) AS col, CAST(p_size + key % 4 / 4.0 AS DOUBLE) AS value FROM cell JOIN part ON p_partkey = key WHERE p_size % 9 <> 0 AND col BETWEEN 7 AND 33 AND "row" >= 5""")
+def cog_window(spark: SparkSession, d: str) -> DataFrame:
+    """Cells written as tiled rasters (LZW, floating-point predictor, large files), and a window of them read back by tiles."""
+    k = F.col("key")
+    sizes = table(spark, d, "part").select(F.col("p_partkey").alias("key"), "p_size")
+    pixels = adapters.cells(spark, d).join(sizes, "key").select("row", "col", F.when(F.col("p_size") % 9 != 0, F.col("p_size") + (k % 4) / 4).alias("value"))
+    folder = shared_folder(spark, "rasters")
+    paths = cog.write_rasters(pixels, folder, side=32, pixel=float(SIDE), origin=(0.0, 0.0), tile=16, compression=tiff.LZW, predictor=tiff.FLOATING, large=True, overviews=1, epsg=5070)
+    names = sorted(r["path"] for r in paths.collect())
+    inside = cog.read_window(spark, names, bounds=(7.0 * SIDE, -math.inf, 34.0 * SIDE, -5.0 * SIDE))
+    return inside.select(F.floor(-F.col("y") / SIDE).alias("row"), F.floor(F.col("x") / SIDE).alias("col"), "value")
+
+
+@query("native_windows", """
+, b AS (SELECT "row" // 7 AS batch_row, col // 7 AS batch_col, min(x0) AS x0, -max("row" + 1) * 1000 AS y0, max(x1) AS x1, -min("row") * 1000 AS y1 FROM cell GROUP BY ALL),
+w AS (SELECT *, CAST(floor((0.0 - y1) / 30.0) AS BIGINT) - 1 AS r0, CAST(ceil((0.0 - y0) / 30.0) AS BIGINT) + 1 AS r1, CAST(floor(x0 / 30.0) AS BIGINT) - 1 AS c0, CAST(ceil(x1 / 30.0) AS BIGINT) + 1 AS c1 FROM b)
+SELECT 'r' || lpad(CAST(batch_row AS VARCHAR), 3, '0') || '_c' || lpad(CAST(batch_col AS VARCHAR), 3, '0') AS batch_id, r0 AS row_off, c0 AS col_off, r1 - r0 AS height, c1 - c0 AS width,
+       CAST(c0 * 30 AS DOUBLE) AS wx0, CAST(-r1 * 30 AS DOUBLE) AS wy0, CAST(c1 * 30 AS DOUBLE) AS wx1, CAST(-r0 * 30 AS DOUBLE) AS wy1 FROM w""")
+def native_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The window of 30 m pixels that each batch of 7 x 7 cells needs, with a pixel of support around it."""
+    c = adapters.cells(spark, d)
+    lattice.processing_extent(c, cell=float(SIDE))
+    plan = lattice.batch_plan(c, 7, row="row", col="col").select("batch_id", "batch_row", "batch_col")
+    south = c.withColumns({"batch_row": F.expr("`row` div 7"), "batch_col": F.expr("col div 7")}).groupBy("batch_row", "batch_col").agg(
+        F.min("x0").alias("x0"), (-F.max(F.col("row") + 1) * SIDE).alias("y0"), F.max("x1").alias("x1"), (-F.min("row") * SIDE).alias("y1")
+    )
+    windows = lattice.native_windows(plan.join(south, ["batch_row", "batch_col"]), origin=(0.0, 0.0), pixel=30.0, most_rows=4000, most_cols=4000)
+    return windows.select("batch_id", "row_off", "col_off", "height", "width", "wx0", "wy0", "wx1", "wy1")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

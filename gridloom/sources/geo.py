@@ -12,8 +12,7 @@ import sqlite3
 import struct
 import uuid
 import zipfile
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from gridloom.sources import cog
+
 GEOMETRY = "array<array<struct<x:double,y:double>>>"
 
 
@@ -171,109 +172,39 @@ def read_geopackage(spark: SparkSession, path: str, layer: str, columns: list[st
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ", ".join([*(f"`{c}` string" for c in columns), f"rings {GEOMETRY}"]))
 
 
-class TiffImage:
-    """A single-band TIFF in strips or tiles, uncompressed or deflated, with its GeoTIFF scale, origin and NoData."""
-
-    _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 11: 4, 12: 8, 16: 8}
-    _KINDS = {1: "B", 3: "H", 4: "I", 11: "f", 12: "d", 16: "Q"}
-
-    def __init__(self, data: bytes | Callable[[int, int], bytes]):
-        """``data`` is the file, or a function that reads so many bytes from a place."""
-        self.read = data if callable(data) else lambda at, n: data[at : at + n]
-        head = self.read(0, 8)
-        self.end = {b"II": "<", b"MM": ">"}[head[:2]]
-        if struct.unpack_from(f"{self.end}H", head, 2)[0] != 42:
-            raise ValueError("not a classic TIFF")
-        at = struct.unpack_from(f"{self.end}I", head, 4)[0]
-        n_tags = struct.unpack(f"{self.end}H", self.read(at, 2))[0]
-        entries, self.tags = self.read(at + 2, 12 * n_tags), {}
-        for i in range(n_tags):
-            tag, kind, n = struct.unpack_from(f"{self.end}HHI", entries, 12 * i)
-            size, raw = self._SIZES.get(kind, 1) * n, entries[12 * i + 8 : 12 * i + 12]
-            raw = raw if size <= 4 else self.read(struct.unpack(f"{self.end}I", raw)[0], size)
-            self.tags[tag] = raw[:n].rstrip(b"\0").decode() if kind == 2 else list(struct.unpack_from(f"{self.end}{n}{self._KINDS[kind]}", raw)) if kind in self._KINDS else []
-        self.width, self.height = self.tags[256][0], self.tags[257][0]
-        bits, form = self.tags[258][0], self.tags.get(339, [1])[0]
-        self.dtype = np.dtype(f"{self.end}{ {1: 'u', 2: 'i', 3: 'f'}[form]}{bits // 8}")
-        self.nodata = float(self.tags[42113]) if 42113 in self.tags else None
-
-    @property
-    def origin(self) -> tuple[float, float, float, float]:
-        """x and y of the north-west corner, width and height of a pixel."""
-        (sx, sy, *_), (i, j, _, x, y, *_) = self.tags[33550], self.tags[33922]
-        return x - i * sx, y + j * sy, sx, sy
-
-    def layout(self) -> list[tuple[int, int, int]]:
-        """Number, first row and first column of each strip or tile."""
-        tiled = 322 in self.tags
-        self.block = (self.tags[323][0], self.tags[322][0]) if tiled else (self.tags.get(278, [self.height])[0], self.width)
-        across = -(-self.width // self.block[1])
-        return [(n, n // across * self.block[0], n % across * self.block[1]) for n in range(len(self.tags[324 if tiled else 273]))]
-
-    def pixels(self, n: int, r: int, c: int) -> np.ndarray:
-        """The pixels of one strip or tile; nothing else is read."""
-        w = self.block[1]
-        at, size = (self.tags[324][n], self.tags[325][n]) if 322 in self.tags else (self.tags[273][n], self.tags[279][n])
-        raw = self.read(at, size)
-        raw = zlib.decompress(raw) if self.tags.get(259, [1])[0] in (8, 32946) else raw
-        rows = len(raw) // (w * self.dtype.itemsize)
-        block = np.frombuffer(raw, self.dtype, rows * w).reshape(rows, w)
-        if self.tags.get(317, [1])[0] == 2:
-            block = np.cumsum(block, axis=1, dtype=self.dtype)
-        return block[: self.height - r, : self.width - c]
-
-    def blocks(self) -> Iterator[tuple[int, int, np.ndarray]]:
-        """First row, first column and pixels of each strip or tile."""
-        for n, r, c in self.layout():
-            yield r, c, self.pixels(n, r, c)
-
-
-def _open(path: str):
-    store, inner = FileSystem.from_uri(path if "://" in path else path.replace(":", "://", 1) if ":" in path else os.path.abspath(path))
-    return store.open_input_file(inner)
-
-
 def read_geotiff(spark: SparkSession, path: str, *, window: tuple[int, int, int, int] | None = None) -> DataFrame:
     """file, row, col, x, y (pixel centre), value of the valid pixels of the rasters at ``path``, within rows and columns [r0, r1) x [c0, c1) if given.
 
-    Only headers are read to plan; then each strip or tile that meets the window is a row of its own, dealt to all tasks, and read by its byte range: so a
-    file of any size is spread, and what lies outside the window is never read.
+    For folders of many files: headers are read in tasks, too. Each strip or tile that meets the window is a row of its own, dealt to all tasks, and read by its byte
+    range, so a file of any size is spread, and what lies outside the window is never read. ``sources.cog`` reads some named files with bounds in filters.
     """
 
     def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for p in b["path"]:
-                with _open(p) as f:
-                    image = TiffImage(lambda at, n, f=f: f.read_at(n, at))
-                    for n, r, c in image.layout():
-                        h, w = image.block
-                        if window is None or (r < window[1] and r + h > window[0] and c < window[3] and c + w > window[2]):
-                            rows.append((p, n, r, c))
-            yield pd.DataFrame(rows, columns=["path", "n", "r", "c"])
+                with cog.open_file(p) as f:
+                    image = cog.levels_of(f)[0]
+                    i0, i1, j0, j1 = image.window(*(window or (0, image.height, 0, image.width)))
+                    rows += [(p, i, j) for i in range(i0, i1) for j in range(j0, j1)]
+            yield pd.DataFrame(rows, columns=["path", "i", "j"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p, part in b.groupby("path"):
-                with _open(p) as f:
-                    image = TiffImage(lambda at, n, f=f: f.read_at(n, at))
-                    image.layout()
-                    x0, y0, sx, sy = image.origin
-                    for n, r, c in zip(part["n"].tolist(), part["r"].tolist(), part["c"].tolist(), strict=True):
-                        value = image.pixels(n, r, c).astype(np.float64)
-                        rows, cols = np.arange(r, r + value.shape[0]), np.arange(c, c + value.shape[1])
-                        keep = np.isfinite(value) if image.nodata is None else np.isfinite(value) & (value != image.nodata)
-                        if window:
-                            keep &= ((rows >= window[0]) & (rows < window[1]))[:, None] & ((cols >= window[2]) & (cols < window[3]))[None, :]
-                        i, j = np.nonzero(keep)
-                        if i.size:
-                            yield pd.DataFrame(
-                                {"file": os.path.basename(p), "row": rows[i].astype(np.int32), "col": cols[j].astype(np.int32), "x": x0 + (cols[j] + 0.5) * sx, "y": y0 - (rows[i] + 0.5) * sy, "value": value[i, j]}
-                            )
+            held, f = None, None
+            for p, i, j in sorted(zip(*(c.to_pylist() for c in b.columns), strict=True)):
+                if p != held:
+                    if f is not None:
+                        f.close()
+                    held, f = p, cog.open_file(p)
+                    image = cog.levels_of(f)[0]
+                yield from cog.rows_of(image, p, i, j, window=window)
+            if f is not None:
+                f.close()
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    listed = spark.read.format("binaryFile").load(path).select("path").mapInPandas(plan, "path string, n int, r int, c int")
-    return listed.repartition(tasks, "path", "n").mapInPandas(run, "file string, row int, col int, x double, y double, value double")
+    listed = spark.read.format("binaryFile").load(path).select("path").mapInPandas(plan, "path string, i int, j int")
+    return listed.repartition(tasks, "path", "i", "j").mapInArrow(run, cog.SCHEMA)
 
 
 def geo_metadata(geometry: str, srid: int, name: str) -> bytes:
