@@ -29,6 +29,11 @@ def normalise(text: str | None) -> str:
     return " ".join(text.lower().split()) if text else ""
 
 
+def in_word(two: str) -> bool:
+    """Whether two neighbouring characters belong to one word: letters, digits and underscores; at a text's end there is one character or none."""
+    return len(two) == 2 and all(c.isalnum() or c == "_" for c in two)
+
+
 def masks_of(pattern: str) -> dict[str, int]:
     masks: dict[str, int] = {}
     for i, c in enumerate(pattern):
@@ -100,7 +105,8 @@ class Item:
         base = at - node.offset
         distance, end = 0, at + node.size
         if self.short:
-            return (0, at, end) if text[max(0, at - 1) : at] in (" ", "") and text[end : end + 1] in (" ", "") else None
+            inside = in_word(text[max(0, at - 1) : at + 1]) or in_word(text[end - 1 : end + 1])
+            return None if inside else (0, at, end)
         while (node := node.parent) is not None:
             lo = max(0, base + node.offset - node.budget)
             distance, end = myers(node.masks, node.size, text[lo : base + node.offset + node.size + node.budget], node.budget)
@@ -165,7 +171,8 @@ def find_items(
     """``docs`` with hits: the benchmark items each text holds within ``rate`` edits a character, as (item_id, distance, start, end).
 
     Offsets are in the normalised text. Every row and column stays, repeated rows too; a column named hits is replaced. Null and
-    empty texts have no hits. Items under ``short`` characters must occur unchanged between word boundaries. Items without an id, null and blank items
+    empty texts have no hits. Items under ``short`` characters must occur unchanged, and not inside a word: where an item begins or ends with
+    a letter, digit or underscore, none stands beside it. Items without an id, null and blank items
     match nothing; of items that share an id and text one counts. Without items or documents the hits or the result are empty. Items are searched in blocks
     of about ``block_chars`` characters, one pass each; passes are written in between, so one block at a time is broadcast however large the benchmark.
     """

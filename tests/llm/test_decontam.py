@@ -87,3 +87,15 @@ def test_op9_query(spark, sf_dir):
             # an edit breaks eight of an item's strings of eight at most, so a text that lacks more of them has no occurrence
             if i in found or len(wanted[i] - own) <= 8 * most:
                 assert (slow_distance(x, text) <= most) == (i in found), (r["doc_id"], i)
+
+
+def test_short_items_beside_punctuation(spark):
+    items = spark.createDataFrame([(1, "Hello World"), (2, "42"), (3, "(a)"), (4, "日本"), (5, "x_1")], "item_id long, text string")
+    cases = {
+        "say hello world.": [1], "(hello world)": [1], '"Hello world"': [1], "hello world, yes": [1], "hello\nworld": [1], "othello world": [], "hello worldly": [], "hello worlds, hello world!": [1],
+        "hello world_": [], "it is 42.": [2], "it is 142, 421 or a42": [], "142 42": [2], "f(a)b": [3], "(a)": [3], "日本語": [], "「日本」": [4], "x_1;": [5], "x_12": [], "": [], "hello": [],
+    }
+    docs = spark.createDataFrame([*enumerate(cases), (99, None)], "doc_id long, text string")
+    got = {r["doc_id"]: sorted({h["item_id"] for h in r["hits"]}) for r in decontam.find_items(docs, items).collect()}
+    assert got == {**dict(enumerate(cases.values())), 99: []}
+    assert {r["doc_id"] for r in decontam.decontaminate(docs, items).collect()} == {i for i, w in got.items() if not w}
