@@ -29,8 +29,10 @@ SHINGLE, PERCENT, SEED = 3, 90, 42
 CELL_BITS = 20
 #: Slots of the sketch that are summed apart.
 SLOTS = 32
-#: Hash ranges in which a set's shingles are counted, and members of a bucket that are compared by these counts; larger buckets hang together whole.
-RANGES, BUCKET = 32, 512
+#: Hash ranges in which a set's shingles are counted, and shingles to a range and most ranges of the finer counts.
+RANGES, FINE, MOST_RANGES = 32, 8, 4096
+#: Members of a bucket whose possible pairs are looked at one by one, and of one that is taken apart by range counts; larger buckets hang together whole.
+SMALL, BUCKET = 16, 512
 #: Bits of the filter of texts whose sets are wanted.
 FILTER_BITS = 23
 #: Shingles of a block of sets: two blocks, at 8 bytes a shingle, stand in a task's memory.
@@ -104,6 +106,21 @@ def range_counts(x: np.ndarray) -> bytes:
     return np.minimum(counts, 65535).astype("<u2").tobytes()
 
 
+def fine_counts(x: np.ndarray) -> bytes:
+    """As ``range_counts`` in ever more ranges for larger sets, 255 at most: unlike sets of any size differ clearly."""
+    ranges = min(max(RANGES, 1 << max(0, (x.size // FINE)).bit_length()), MOST_RANGES)
+    counts = np.bincount((x >> np.uint64(20)).astype(np.int64) % ranges, minlength=ranges)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def may_be_alike(x: bytes, y: bytes, sizes: int, percent: int) -> bool:
+    """Whether sets with these fine counts and so many shingles together can be alike: what differs in some range differs in the sets."""
+    a, b = np.frombuffer(x, np.uint8).astype(np.int32), np.frombuffer(y, np.uint8).astype(np.int32)
+    n = min(a.size, b.size)
+    a, b = (np.minimum(c.reshape(-1, n).sum(0), 255) for c in (a, b))
+    return (100 + percent) * int(np.abs(a - b).sum()) <= (100 - percent) * sizes
+
+
 def _alone_left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (shingle, sid) sorted by shingle, those whose shingle another row has."""
     before, held = None, None
@@ -124,17 +141,18 @@ def _alone_left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Edges u, v that hold together, in each bucket of the rows (key, sid, size, counts) sorted by key, the sets that may be alike by their sizes and range counts.
+    """Edges u, v, sure that hold together, in each bucket of the rows (key, sid, size, counts) sorted by key, the sets that may be alike by their sizes and range counts.
 
-    The first set of a bucket of over ``BUCKET`` is joined with every other one.
+    In a bucket of up to ``SMALL`` each possible pair is an edge that may be looked at again (not sure). In larger ones edges only span what hangs together; the
+    first set of a bucket of over ``BUCKET`` is joined with every other one.
     """
 
-    def edges(cols: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def edges(cols: list[np.ndarray]) -> list[tuple[np.ndarray, ...]]:
         key, sid, size, counts = cols
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         members = np.diff(np.append(starts, key.size))
-        first, large = np.repeat(starts, members), np.repeat(members > BUCKET, members)
-        out = [(sid[large], sid[first[large]])]
+        first, large, small = np.repeat(starts, members), np.repeat(members > BUCKET, members), np.repeat(members <= SMALL, members)
+        out = [(sid[large], sid[first[large]], np.ones(int(large.sum()), bool))]
         pairs, most = [], members[members <= BUCKET].max(initial=0)
         for d in range(1, most):
             i = np.flatnonzero((key[d:] == key[:-d]) & ~large[d:])
@@ -143,18 +161,22 @@ def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
             pairs.append((i[near], i[near] + d))
         if pairs:
             u, v = (np.concatenate(p) for p in zip(*pairs, strict=True))
+            alone = small[u]
+            out.append((sid[v[alone]], sid[u[alone]], np.zeros(int(alone.sum()), bool)))
+            u, v = u[~alone], v[~alone]
             label, old = np.arange(key.size), None
             while old is None or (label != old).any():
                 old = label.copy()
                 np.minimum.at(label, v, old[u])
                 np.minimum.at(label, u, old[v])
             moved = label != np.arange(key.size)
-            out.append((sid[moved], sid[label[moved]]))
+            out.append((sid[moved], sid[label[moved]], np.ones(int(moved.sum()), bool)))
         return out
 
-    def batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        u, v = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], names=["u", "v"])
+    def batch(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        u, v, sure = (np.concatenate(x) for x in zip(*found, strict=True))
+        k = u != v
+        return pa.RecordBatch.from_arrays([pa.array(u[k]), pa.array(v[k]), pa.array(sure[k])], names=["u", "v", "sure"])
 
     rest: list[np.ndarray] | None = None
     lead: tuple[int, int] | None = None  # key and first set of a large bucket that goes on
@@ -164,7 +186,7 @@ def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         found = []
         if lead is not None:
             n = int(np.searchsorted(cols[0], lead[0], side="right"))
-            found.append((cols[1][:n], np.full(n, lead[1])))
+            found.append((cols[1][:n], np.full(n, lead[1]), np.ones(n, bool)))
             cols = [c[n:] for c in cols]
             if not cols[0].size:
                 yield batch(found)
@@ -177,7 +199,7 @@ def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         rest = [c[at:] for c in cols]
         if rest[0].size > BUCKET:
             lead = int(rest[0][0]), int(rest[1][0])
-            found.append((rest[1], np.full(rest[1].size, lead[1])))
+            found.append((rest[1], np.full(rest[1].size, lead[1]), np.ones(rest[1].size, bool)))
             rest = None
         if found:
             yield batch(found)
@@ -186,7 +208,7 @@ def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 
 
 def candidate_edges(one: DataFrame, percent: int) -> DataFrame:
-    """Edges u, v over ``one`` (sid, size, rare, counts) whose components hold all alike sets; most of what they join is alike."""
+    """Edges u, v over ``one`` (sid, size, rare, counts, fine) whose components hold all alike sets; most of what they join is alike."""
     n = int(one.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rare = one.select(F.explode("rare").alias("shingle"), "sid").repartition(n, "shingle").sortWithinPartitions("shingle")
     shared = staged(rare.mapInArrow(_alone_left_out, "shingle long, sid long"), "jaccard-shared")
@@ -195,7 +217,17 @@ def candidate_edges(one: DataFrame, percent: int) -> DataFrame:
     size_class = F.floor(F.log("size") / step)
     sized = shared.join(one.select("sid", "size", "counts"), "sid").withColumn("class", F.explode(F.array(size_class, size_class + 1)))
     keyed = sized.select(F.xxhash64("shingle", "class").alias("key"), "sid", "size", "counts").repartition(n, "key").sortWithinPartitions("key", "sid")
-    return keyed.mapInArrow(lambda it: _possible(it, percent), "u long, v long").distinct()
+    edges = keyed.mapInArrow(lambda it: _possible(it, percent), "u long, v long, sure boolean").groupBy("u", "v").agg(F.max("sure").alias("sure"))
+    edges = staged(edges, "jaccard-possible")
+
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [may_be_alike(x, y, n, percent) for x, y, n in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    a, b = (one.select(F.col("sid").alias(k), F.col("fine").alias(f"fine_{k}"), F.col("size").alias(f"size_{k}")) for k in "uv")
+    again = edges.where("NOT sure").join(a, "u").join(b, "v").select("u", "v", "fine_u", "fine_v", (F.col("size_u") + F.col("size_v")).alias("sizes"))
+    return edges.where("sure").select("u", "v").unionByName(again.mapInArrow(finer, "u long, v long"))
 
 
 def text_filter(marks: DataFrame) -> np.ndarray:
@@ -425,10 +457,10 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
                 keys = [_set_key(x) for x in sets]
                 columns = [b.column(0), b.column(1), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([x.size for x in sets], pa.int64())]
                 rare = pa.array([prefix(x, sketch.value, percent).view(np.int64) for x in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*columns, rare, pa.array(map(range_counts, sets), pa.binary())], names=["id", "mark", "a", "b", "size", "rare", "counts"])
+                yield pa.RecordBatch.from_arrays([*columns, rare, pa.array(map(range_counts, sets), pa.binary()), pa.array(map(fine_counts, sets), pa.binary())], names=["id", "mark", "a", "b", "size", "rare", "counts", "fine"])
 
-        rows = staged(src.mapInArrow(prints, "id long, mark long, a long, b long, size long, rare array<long>, counts binary"), "jaccard-prints")
-        one = rows.where("size > 0").groupBy("a", "b").agg(F.min("id").alias("root"), *[F.first(c).alias(c) for c in ("mark", "size", "rare", "counts")])
+        rows = staged(src.mapInArrow(prints, "id long, mark long, a long, b long, size long, rare array<long>, counts binary, fine binary"), "jaccard-prints")
+        one = rows.where("size > 0").groupBy("a", "b").agg(F.min("id").alias("root"), *[F.first(c).alias(c) for c in ("mark", "size", "rare", "counts", "fine")])
         one = staged(one.withColumn("sid", F.monotonically_increasing_id()), "jaccard-sets")
         clusters = components(staged(candidate_edges(one, percent), "jaccard-edges"))
         near = clusters.select(F.col("node").alias("sid"), F.col("rep").alias("cluster"))

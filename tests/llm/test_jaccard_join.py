@@ -119,3 +119,43 @@ def test_prefixes_of_alike_sets_meet():
         both = np.intersect1d(x, y).size
         if both and 100 * both >= 90 * (x.size + y.size - both):
             assert np.intersect1d(jaccard_join.prefix(x, sketch), jaccard_join.prefix(y, sketch)).size
+
+
+def test_buckets_hold_what_may_be_alike_together(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard_join, "SMALL", 3)
+    monkeypatch.setattr(jaccard_join, "BUCKET", 8)
+    rng = np.random.default_rng(4)
+    for rows_a_batch in (1, 4, 7, 1000):
+        keys = np.sort(rng.integers(0, 12, 90))
+        sizes = rng.integers(50, 60, 90)
+        counts = rng.integers(0, 3, (90, jaccard_join.RANGES)).astype("<u2")
+        near = rng.random(90) < 0.6
+        counts[near] = counts[0]
+        counts[near, 0] += rng.integers(0, 4, int(near.sum())).astype("<u2")
+        rows = pa.table({"key": keys, "sid": np.arange(90), "size": sizes, "counts": pa.array([c.tobytes() for c in counts], pa.binary())})
+        found = [e for b in jaccard_join._possible(iter(rows.to_batches(max_chunksize=rows_a_batch)), 90) for e in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        together = grouped(range(90), [(u, v) for u, v, _ in found])
+        for i in range(90):
+            for j in range(i):
+                apart = int(np.abs(counts[i].astype(int) - counts[j]).sum())
+                if keys[i] == keys[j] and 190 * apart <= 10 * (sizes[i] + sizes[j]):
+                    assert together[i] == together[j]
+                    members = int((keys == keys[i]).sum())
+                    assert members > 3 or (i, j, False) in found
+                elif keys[i] != keys[j]:
+                    assert together[i] != together[j]
+
+
+def test_fine_counts_never_part_alike_sets():
+    rng = np.random.default_rng(5)
+    for size in (1, 3, 40, 500, 3000, 20000):
+        for _ in range(20):
+            x = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+            y = np.union1d(x[rng.random(x.size) > 0.05], rng.integers(0, 1 << 63, size // 25).astype(np.uint64))
+            both = np.intersect1d(x, y).size
+            if 100 * both >= 90 * (x.size + y.size - both):
+                assert jaccard_join.may_be_alike(jaccard_join.fine_counts(x), jaccard_join.fine_counts(y), x.size + y.size, 90)
+        z = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        assert size < 40 or not jaccard_join.may_be_alike(jaccard_join.fine_counts(x), jaccard_join.fine_counts(z), x.size + z.size, 90)
