@@ -36,7 +36,7 @@ SMALL, BUCKET = 16, 512
 #: Bits of the filter of texts whose sets are wanted.
 FILTER_BITS = 23
 #: Shingles of a block of sets: two blocks, at 8 bytes a shingle, stand in a task's memory.
-BLOCK_SHINGLES = 1 << 17
+BLOCK_SHINGLES = 1 << 14
 #: Sets that traverse a trie at a time, numbers that stand for their members then (one set's at least), and rows of an Arrow batch.
 TRAVELLERS, HELD, BATCH = 64, 1 << 23, 512
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
