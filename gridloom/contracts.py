@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,6 +86,44 @@ def check_disjoint(left: DataFrame, right: DataFrame, key: str) -> None:
     require(n == 0, f"{n} keys of {key} are on both sides")
 
 
+def key_ranges(df: DataFrame, axes: Mapping[str, tuple[int, int]]) -> DataFrame:
+    """Which keys over several integer axes are missing or surplus, as ranges: kind, axis, the axes' columns, first, last and keys.
+
+    ``axes`` maps each column to its least and greatest expected value; expected is every combination, a list that is never made. Where a whole subtree is missing it is one
+    range on its own axis, with the columns before it given and those after it null, and ``keys`` counts the combinations it stands for. Surplus keys (outside an axis, or null
+    in one) are ranges on the last axis with keys of its own; repeated keys count once. The first axis is put in order in one task, so it should be the shortest.
+    """
+    names = list(axes)
+    sizes = {n: high - low + 1 for n, (low, high) in axes.items()}
+    require(bool(names) and all(x > 0 for x in sizes.values()), f"axes {dict(axes)} are empty")
+    keys = df.select(*[F.col(n).cast("long").alias(n) for n in names]).distinct()
+    expected = reduce(lambda a, b: a & b, [F.coalesce(F.col(n).between(*axes[n]), F.lit(False)) for n in names])
+    out = []
+    for k, name in enumerate(names):
+        above, (low, high) = names[:k], axes[name]
+        each = reduce(lambda a, b: a * b, [sizes[n] for n in names[k + 1 :]], 1)
+        there = keys.where(expected).select(*names[: k + 1]).distinct()
+        # a place before the axis for each subtree that is there, so that gaps at its beginning show
+        starts = (there.select(*above).distinct() if above else df.sparkSession.range(1).select()).withColumn(name, F.lit(low - 1).cast("long"))
+        order = Window.partitionBy(*above).orderBy(name)
+        gaps = there.unionByName(starts).withColumn("_next", F.lead(name, 1, high + 1).over(order)).where(F.col("_next") > F.col(name) + 1)
+        rows = gaps.select(*above, (F.col(name) + 1).alias("first"), (F.col("_next") - 1).alias("last"))
+        null = [F.lit(None).cast("long").alias(n) for n in names[k:]]
+        out.append(rows.select(F.lit("missing").alias("kind"), F.lit(name).alias("axis"), *above, *null, "first", "last", ((F.col("last") - F.col("first") + 1) * each).alias("keys")))
+    *above, name = names
+    island = F.col(name) - F.row_number().over(Window.partitionBy(*above).orderBy(name))
+    surplus = keys.where(~expected).withColumn("_island", island).groupBy(*above, "_island").agg(F.min(name).alias("first"), F.max(name).alias("last"), F.count("*").alias("keys"))
+    out.append(surplus.select(F.lit("surplus").alias("kind"), F.lit(name).alias("axis"), *above, F.lit(None).cast("long").alias(name), "first", "last", "keys"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def check_key_ranges(df: DataFrame, axes: Mapping[str, tuple[int, int]]) -> None:
+    """Raises unless the keys are every combination of the axes, each once."""
+    check_key(df, list(axes))
+    n = {r["kind"]: (r["ranges"], r["keys"]) for r in key_ranges(df, axes).groupBy("kind").agg(F.count("*").alias("ranges"), F.sum("keys").alias("keys")).collect()}
+    require(not n, f"keys over {list(axes)}: " + ", ".join(f"{keys} {kind} in {ranges} ranges" for kind, (ranges, keys) in sorted(n.items())))
+
+
 def bag_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows that the two bags don't have equally often, with the surplus on the left (negative: on the right). NaN equals NaN."""
     right = right.select(left.columns)

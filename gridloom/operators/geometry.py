@@ -326,6 +326,60 @@ def albers_inverse(x: Column, y: Column, p: dict[str, float] = ALBERS, *, rounds
     return F.degrees(theta / n) + p["lon0"], F.degrees(lat)
 
 
+def geocentric(lon: Column, lat: Column, height: Column, *, a: float, f: float) -> tuple[Column, Column, Column]:
+    """Earth-centred x, y, z in metres of degrees and an ellipsoidal height."""
+    e2 = 2 * f - f * f
+    phi, lam = F.radians(lat), F.radians(lon)
+    n = a / F.sqrt(1 - e2 * F.sin(phi) ** 2)
+    return (n + height) * F.cos(phi) * F.cos(lam), (n + height) * F.cos(phi) * F.sin(lam), (n * (1 - e2) + height) * F.sin(phi)
+
+
+def geodetic(x: Column, y: Column, z: Column, *, a: float, f: float, rounds: int = 4) -> tuple[Column, Column, Column]:
+    """Longitude, latitude and ellipsoidal height of earth-centred coordinates: the reduced latitude by a fixed number of steps, each a thousandfold nearer."""
+    e2, b = 2 * f - f * f, a * (1 - f)
+    p = F.hypot(x, y)
+
+    def step(beta: Column, _: Column) -> Column:
+        lat = F.atan2(z + e2 / (1 - e2) * b * F.sin(beta) ** 3, p - e2 * a * F.cos(beta) ** 3)
+        return F.atan2((1 - f) * F.sin(lat), F.cos(lat))
+
+    beta = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.atan2(z * a, p * b), step)
+    lat = F.atan2(z + e2 / (1 - e2) * b * F.sin(beta) ** 3, p - e2 * a * F.cos(beta) ** 3)
+    n = a / F.sqrt(1 - e2 * F.sin(lat) ** 2)
+    # near the poles the distance from the axis tells nothing, near the equator that from its plane
+    height = F.when(F.abs(F.cos(lat)) > 0.5, p / F.cos(lat) - n).otherwise(z / F.sin(lat) - n * (1 - e2))
+    return F.degrees(F.atan2(y, x)), F.degrees(lat), height
+
+
+def seven_parameters(x: Column, y: Column, z: Column, p: dict[str, float], *, back: bool = False) -> tuple[Column, Column, Column]:
+    """Earth-centred coordinates in another datum: shifts tx, ty, tz (metres), rotations rx, ry, rz (arc seconds, of positions) and a scale ds (parts per million).
+
+    The rotation is the exact one, so ``back`` undoes it but for rounding.
+    """
+    rx, ry, rz = (math.radians(p.get(k, 0.0) / 3600) for k in ("rx", "ry", "rz"))
+    turn = lambda i, j, t: np.array([[math.cos(t) if r == c and r in (i, j) else -math.sin(t) if (r, c) == (i, j) else math.sin(t) if (r, c) == (j, i) else float(r == c) for c in range(3)] for r in range(3)])
+    m, scale, shift = turn(0, 1, rz) @ turn(2, 0, ry) @ turn(1, 2, rx), 1 + p.get("ds", 0.0) * 1e-6, [p.get(k, 0.0) for k in ("tx", "ty", "tz")]
+    of = lambda rows, v: tuple(sum((float(c) * q for c, q in zip(row[1:], v[1:], strict=True)), float(row[0]) * v[0]) for row in rows)
+    if back:
+        return of(m.T, tuple((v - t) / scale for v, t in zip((x, y, z), shift, strict=True)))
+    return tuple(v * scale + t for v, t in zip(of(m, (x, y, z)), shift, strict=True))
+
+
+def shift_datum(df: DataFrame, *, source: tuple[float, float], target: tuple[float, float], parameters: dict[str, float], lon: str = "lon", lat: str = "lat", height: str | None = None, back: bool = False) -> DataFrame:
+    """``df`` with lon and lat (and the height, else 0) moved from the ellipsoid ``source`` (axis, flattening) to ``target`` by seven parameters; ``back`` goes from target to source.
+
+    Expressions only. Null and NaN coordinates stay missing.
+    """
+    (a0, f0), (a1, f1) = (target, source) if back else (source, target)
+    h = F.col(height).cast("double") if height else F.lit(0.0)
+    # the coordinates become columns step by step, so that no expression holds another many times over
+    names = ("_gx", "_gy", "_gz")
+    out = df.withColumns(dict(zip(names, geocentric(F.col(lon).cast("double"), F.col(lat).cast("double"), h, a=a0, f=f0), strict=True)))
+    out = out.withColumns(dict(zip(names, seven_parameters(*map(F.col, names), parameters, back=back), strict=True)))
+    moved = geodetic(*map(F.col, names), a=a1, f=f1)
+    return out.withColumns({lon: moved[0], lat: moved[1], **({height: moved[2]} if height else {})}).drop(*names)
+
+
 def web_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
     """Spherical Mercator metres for display."""
     a = ALBERS["a"]

@@ -112,6 +112,34 @@ def plurality(samples: DataFrame, zone: list[str], value: str, *, nodata: int |
     )
 
 
+def coverage_report(table: DataFrame, *, key: str, most_frequent: int = 10) -> DataFrame:
+    """The coverage of a plurality table before any gate, as rows (metric, item, value): counts of zones by support, ties, missing values and invalid shares, the least, median
+    and most valid samples, quartiles of the share, and the most frequent classes (item is the class; equal counts by the smaller one). Quantiles are exact and interpolated.
+    """
+    from gridloom.missing import is_missing
+    from gridloom.operators.stats import quantiles
+
+    valid, total, share = F.col("valid_sample_count"), F.col("total_positions"), F.col("dominant_fraction")
+    d = lambda c: c.cast("double")
+    counts = {
+        "zones": F.count("*"), "full_coverage": F.count_if(valid == total), "partial_coverage": F.count_if((valid > 0) & (valid < total)), "zero_valid": F.count_if(valid == 0),
+        "nodata_positions": F.sum("nodata_sample_count"), "unique_winner": F.count_if((valid > 0) & ~F.col("plurality_tie")), "exact_tie": F.count_if(F.col("plurality_tie")),
+        "exact_tie_percent": F.avg(d(F.col("plurality_tie").cast("int"))) * 100, "valid_samples_min": F.min(valid), "valid_samples_max": F.max(valid),
+        "share_min": F.min(share), "share_mean": F.avg(share), "share_max": F.max(share), "invalid_shares": F.count_if(is_missing(share) | (share <= 0) | (share > 1)),
+        **{f"missing_{c}": F.count_if(is_missing(c) if dict(table.dtypes)[c] in ("double", "float") else F.col(c).isNull()) for c in (key, "dominant_class", "dominant_fraction")},
+    }
+    one = table.agg(*[d(v).alias(k) for k, v in counts.items()]).unpivot([], list(counts), "metric", "value")
+    per_class = table.where("dominant_class IS NOT NULL").groupBy("dominant_class").agg(F.count("*").alias("n"))
+    kinds = per_class.agg(d(F.count("*")).alias("value")).select(F.lit("dominant_classes").alias("metric"), "value")
+    keys = table.groupBy(key).agg(F.count("*").alias("n")).agg(d(F.count(key)).alias("unique_keys"), d(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).alias("duplicate_keys")).unpivot([], ["unique_keys", "duplicate_keys"], "metric", "value")
+    whole, quarters = table.withColumn("_all", F.lit(1)), {"share_25": 0.25, "share_50": 0.5, "share_75": 0.75}
+    middle = quantiles(whole, ["_all"], "valid_sample_count", {"valid_samples_median": 0.5}).unpivot([], ["valid_samples_median"], "metric", "value")
+    shares = quantiles(whole, ["_all"], "dominant_fraction", quarters).unpivot([], list(quarters), "metric", "value")
+    top = per_class.orderBy(F.desc("n"), "dominant_class").limit(most_frequent).select(F.lit("class_count").alias("metric"), F.col("dominant_class").cast("string").alias("item"), d(F.col("n")).alias("value"))
+    rest = one.unionByName(kinds).unionByName(keys).unionByName(middle).unionByName(shares)
+    return rest.select("metric", F.lit(None).cast("string").alias("item"), "value").unionByName(top)
+
+
 def resample_nearest(points: DataFrame, raster: DataFrame, *, x0: float, y0: float, cell: float, value: str = "value") -> DataFrame:
     """``points`` (x, y) with the value of the pixel they fall in; rows count southward from y0, columns eastward from x0. No new codes arise."""
     keyed = points.withColumn("_r", F.floor((F.lit(y0) - F.col("y")) / cell).cast("long")).withColumn("_c", F.floor((F.col("x") - x0) / cell).cast("long"))

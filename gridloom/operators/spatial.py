@@ -65,6 +65,28 @@ def freeze_holdout(cells: DataFrame, test: Column) -> DataFrame:
     return cells.withColumn("split", F.when(test, "final_test").otherwise("train"))
 
 
+def check_frozen_holdout(cells: DataFrame, *, anchor: tuple[float, float], approved: tuple[float, float], rows: int, positives: int, blocks: int, all_blocks: int, extent: tuple[int, int, int, int]) -> None:
+    """Raises unless the frozen design is the approved one: its anchor, the rows, positives and blocks of ``final_test`` and all blocks, the least and greatest block column and row, one group of blocks that share edges.
+
+    ``cells`` has split, target, spatial_block_id, block_row and block_col. Nothing is moved to fit: a source that changed is an error.
+    """
+    require(anchor == approved, f"the anchor is {anchor}, approved was {approved}")
+    test = F.col("split") == "final_test"
+    # two aggregations, by block first: a block is one row whatever its cells
+    per = cells.groupBy("spatial_block_id", "block_row", "block_col").agg(F.count_if(test).alias("rows"), F.sum(F.when(test, F.col("target")).otherwise(0)).alias("positives"))
+    held = F.col("rows") > 0
+    r = per.agg(
+        F.sum("rows").alias("rows"), F.sum("positives").alias("positives"), F.count_distinct(F.when(held, F.col("spatial_block_id"))).alias("blocks"), F.count_distinct("spatial_block_id").alias("all"),
+        *[f(F.when(held, F.col(c))).alias(f"{n}_{c}") for c in ("block_col", "block_row") for n, f in (("low", F.min), ("high", F.max))],
+    ).first()
+    found, wanted = (r["rows"], r["positives"], r["blocks"], r["all"]), (rows, positives, blocks, all_blocks)
+    require(found == wanted, f"rows, positives, held-out and all blocks are {found}, approved were {wanted}")
+    place = (r["low_block_col"], r["high_block_col"], r["low_block_row"], r["high_block_row"])
+    require(place == extent, f"held-out blocks lie in columns and rows {place}, approved were {extent}")
+    groups = components(per.where(held)).agg(F.count_distinct("component")).first()[0]
+    require(groups == 1, f"held-out blocks are in {groups} groups")
+
+
 def components(blocks: DataFrame, *, by: str | None = None, row: str = "block_row", col: str = "block_col") -> DataFrame:
     """``blocks`` with component: groups of blocks that share edges (corners don't count), named by their least (row, col).
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridloom import contracts
 from gridloom.functions import scalar
 from gridloom.missing import is_missing
-from gridloom.operators import geometry, joins, lattice, modeling, polygons, raster, spatial, stats
+from gridloom.operators import coverage, geometry, joins, lattice, modeling, polygons, raster, spatial, stats
 from gridloom.plans import adapters
 from gridloom.plans.adapters import BLOCK, SIDE, table
 from gridloom.session import cut, shared_folder
@@ -729,6 +729,22 @@ def coverage_gap_pieces(spark: SparkSession, d: str) -> DataFrame:
     return gaps.withColumn("area_of_pieces", total).select("cell_id", r6("gap_area", 3), r6("area_of_pieces", 3))
 
 
+@query("coverage_simplified", """
+, side AS (SELECT cell_id, CAST((col + "row") % 3 = 0 AS INT) AS b, CAST((col + "row" + 1) % 3 = 0 AS INT) AS t, CAST((col + 2 * "row") % 3 = 0 AS INT) AS l, CAST((col + 1 + 2 * "row") % 3 = 0 AS INT) AS r FROM cell)
+SELECT cell_id, CAST(5 + b + t + l + r AS BIGINT) AS points, CAST(1000000 + 50000 * (t - b + r - l) AS DOUBLE) AS area FROM side""")
+def coverage_simplified(spark: SparkSession, d: str) -> DataFrame:
+    """Cells whose shared sides bulge by 10 or 100 m, simplified by 100 m: the small bulges go and the large ones stay, on both sides alike."""
+    bulge = lambda i, j, k: F.when((i + k * j) % 3 == 0, 100).otherwise(10)
+    i, j, x0, y0 = F.col("col"), F.col("row"), F.col("x0"), F.col("y0")
+    at = lambda x, y: adapters.point(x, y)
+    ring = F.array(
+        at(x0, y0), at(x0 + 500, y0 + bulge(i, j, 1)), at(x0 + SIDE, y0), at(x0 + SIDE + bulge(i + 1, j, 2), y0 + 500), at(x0 + SIDE, y0 + SIDE), at(x0 + 500, y0 + SIDE + bulge(i, j + 1, 1)),
+        at(x0, y0 + SIDE), at(x0 + bulge(i, j, 2), y0 + 500), at(x0, y0),
+    )
+    out = coverage.simplify_coverage(adapters.cells(spark, d).select("cell_id", F.array(ring).alias("rings")), key="cell_id", tolerance=100.0)
+    return out.select("cell_id", F.size(F.col("rings")[0]).cast("long").alias("points"), F.abs(geometry.ring_area(F.col("rings")[0])).alias("area"))
+
+
 @query("cog_window", """
 SELECT CAST("row" AS BIGINT) AS "row", CAST(col AS BIGINT) AS col, CAST(p_size + key % 4 / 4.0 AS DOUBLE) AS value FROM cell JOIN part ON p_partkey = key WHERE p_size % 9 <> 0 AND col BETWEEN 7 AND 33 AND "row" >= 5""")
 def cog_window(spark: SparkSession, d: str) -> DataFrame:
@@ -743,6 +759,38 @@ def cog_window(spark: SparkSession, d: str) -> DataFrame:
     return inside.select(F.floor(-F.col("y") / SIDE).alias("row"), F.floor(F.col("x") / SIDE).alias("col"), "value")
 
 
+@query("key_ranges", """
+, k AS (SELECT DISTINCT block_row, block_col, "row" % 10 AS i FROM lab WHERE (key * 7) % 5 <> 0), top AS (SELECT max(block_row) AS r FROM blk),
+every AS (SELECT a AS block_row, b AS block_col, c AS i FROM top, LATERAL (SELECT unnest(range(0, r + 3)) AS a), LATERAL (SELECT unnest(range(0, 7)) AS b), LATERAL (SELECT unnest(range(0, 9)) AS c)),
+lost AS (SELECT * FROM every EXCEPT SELECT * FROM k), odd AS (SELECT * FROM k EXCEPT SELECT * FROM every),
+rows_gone AS (SELECT block_row FROM every GROUP BY 1 EXCEPT SELECT block_row FROM k WHERE block_col BETWEEN 0 AND 6 AND i BETWEEN 0 AND 8),
+cols_gone AS (SELECT block_row, block_col FROM every WHERE block_row NOT IN (SELECT block_row FROM rows_gone) GROUP BY ALL EXCEPT SELECT block_row, block_col FROM k WHERE i BETWEEN 0 AND 8),
+cells_gone AS (SELECT * FROM lost WHERE block_row NOT IN (SELECT block_row FROM rows_gone) AND (block_row, block_col) NOT IN (SELECT (block_row, block_col) FROM cols_gone))
+SELECT 'missing' AS kind, 'block_row' AS axis, CAST(NULL AS BIGINT) AS block_row, CAST(NULL AS BIGINT) AS block_col, min(v) AS first, max(v) AS last, CAST(count(*) * 63 AS BIGINT) AS keys FROM (SELECT block_row AS v, block_row - row_number() OVER (ORDER BY block_row) AS g FROM rows_gone) GROUP BY g
+UNION ALL SELECT 'missing', 'block_col', block_row, NULL, min(v), max(v), CAST(count(*) * 9 AS BIGINT) FROM (SELECT block_row, block_col AS v, block_col - row_number() OVER (PARTITION BY block_row ORDER BY block_col) AS g FROM cols_gone) GROUP BY block_row, g
+UNION ALL SELECT 'missing', 'i', block_row, block_col, min(v), max(v), count(*) FROM (SELECT block_row, block_col, i AS v, i - row_number() OVER (PARTITION BY block_row, block_col ORDER BY i) AS g FROM cells_gone) GROUP BY block_row, block_col, g
+UNION ALL SELECT 'surplus', 'i', block_row, block_col, min(v), max(v), count(*) FROM (SELECT block_row, block_col, i AS v, i - row_number() OVER (PARTITION BY block_row, block_col ORDER BY i) AS g FROM odd) GROUP BY block_row, block_col, g""")
+def key_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Missing and surplus rows of labelled blocks, where more rows of blocks and more columns are expected and every tenth row is not; keys whose seventhfold five divides are held back."""
+    k = adapters.labelled(spark, d).where("(key * 7) % 5 <> 0").select("block_row", "block_col", (F.col("row") % 10).alias("i"))
+    top = adapters.labelled(spark, d).agg(F.max("block_row")).first()[0]
+    return contracts.key_ranges(k, {"block_row": (0, top + 2), "block_col": (0, 6), "i": (0, 8)}).drop("i")
+
+
+@query("coverage_report", """
+, p AS (SELECT *, CASE WHEN valid > 0 THEN CAST(win AS DOUBLE) / valid END AS share, valid > 0 AND len(tied) > 1 AS tie FROM plur),
+m AS (SELECT count(*) AS zones, count(*) FILTER (WHERE valid = total) AS full_coverage, count(*) FILTER (WHERE valid > 0 AND valid < total) AS partial_coverage, count(*) FILTER (WHERE valid = 0) AS zero_valid, sum(total - valid) AS nodata_positions,
+  count(*) FILTER (WHERE valid > 0 AND NOT tie) AS unique_winner, count(*) FILTER (WHERE tie) AS exact_tie, avg(CAST(tie AS INT)) * 100 AS exact_tie_percent, min(valid) AS valid_samples_min, max(valid) AS valid_samples_max, quantile_cont(valid, 0.5) AS valid_samples_median,
+  min(share) AS share_min, avg(share) AS share_mean, max(share) AS share_max, quantile_cont(share, 0.25) AS share_25, quantile_cont(share, 0.5) AS share_50, quantile_cont(share, 0.75) AS share_75, count(*) FILTER (WHERE share IS NULL) AS invalid_shares,
+  0 AS missing_key, count(*) FILTER (WHERE share IS NULL) AS missing_dominant_class, count(*) FILTER (WHERE share IS NULL) AS missing_dominant_fraction, count(DISTINCT tied[1]) AS dominant_classes, count(DISTINCT key) AS unique_keys, 0 AS duplicate_keys FROM p)
+SELECT metric, CAST(NULL AS VARCHAR) AS item, round(value, 9) AS value FROM (UNPIVOT (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM m) ON COLUMNS(*) INTO NAME metric VALUE value)
+UNION ALL SELECT 'class_count', CAST(c AS VARCHAR), CAST(n AS DOUBLE) FROM (SELECT tied[1] AS c, count(*) AS n FROM p WHERE valid > 0 GROUP BY 1 ORDER BY n DESC, c LIMIT 4)""")
+def coverage_report(spark: SparkSession, d: str) -> DataFrame:
+    """What a plurality table covers, before any gate."""
+    p = raster.plurality(adapters.samples(spark, d), ["key"], "class", nodata=-9999)
+    return raster.coverage_report(p, key="key", most_frequent=4).select("metric", "item", r6("value", 9))
+
+
 @query("native_windows", """
 , b AS (SELECT "row" // 7 AS batch_row, col // 7 AS batch_col, min(x0) AS x0, -max("row" + 1) * 1000 AS y0, max(x1) AS x1, -min("row") * 1000 AS y1 FROM cell GROUP BY ALL),
 w AS (SELECT *, CAST(floor((0.0 - y1) / 30.0) AS BIGINT) - 1 AS r0, CAST(ceil((0.0 - y0) / 30.0) AS BIGINT) + 1 AS r1, CAST(floor(x0 / 30.0) AS BIGINT) - 1 AS c0, CAST(ceil(x1 / 30.0) AS BIGINT) + 1 AS c1 FROM b)

@@ -131,3 +131,100 @@ def run_batches(
         if validate:
             validate(spark.read.parquet(path))
     return spark.read.parquet(path)
+
+
+def _pointer(spark: SparkSession, path: str) -> tuple[int, dict | None]:
+    """Number and content of the newest pointer of a table of batches; 0 and None if there is none."""
+    fs, root = _fs(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+    numbers = sorted(int(n[8:-5]) for n in names if n.startswith("current-") and n.endswith(".json"))
+    if not numbers:
+        return 0, None
+    text = "\n".join(r["value"] for r in spark.read.text(f"{path}/current-{numbers[-1]:08d}.json").collect())
+    return numbers[-1], json.loads(text)
+
+
+def _stored(spark: SparkSession, path: str, manifest: DataFrame, batch: str) -> DataFrame:
+    """The rows of the runs that a manifest names, damaged and absent files left out, with the run of each in _run."""
+    runs = [r["run"] for r in manifest.where("rows > 0").select("run").distinct().collect()]
+    options = {"ignoreCorruptFiles": "true", "ignoreMissingFiles": "true"}
+    return spark.read.options(**options).parquet(*[f"{path}/runs/{r}" for r in sorted(runs)]) if runs else manifest.select(F.col("batch").alias(batch), F.col("run").alias("_run")).limit(0)
+
+
+def _batch_digests(rows: DataFrame, batch: str) -> DataFrame:
+    """batch, run, rows and an order-free digest of each batch: one aggregation."""
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
+    per = rows.groupBy(F.col(batch).cast("string").alias("batch"), F.col("_run").alias("run"))
+    return per.agg(F.count("*").alias("rows"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("digest"))
+
+
+def read_batches(spark: SparkSession, path: str, *, batch: str = "batch_id") -> DataFrame:
+    """The table of finished batches at ``path``, whole at any time: the newest pointer names a manifest, and rows no manifest names are not read."""
+    _, current = _pointer(spark, path)
+    if current is None:
+        raise FileNotFoundError(path)
+    manifest = spark.read.parquet(current["manifest"])
+    named = manifest.select(F.col("batch").alias("_batch"), F.col("run").alias("_in"))
+    rows = _stored(spark, path, manifest, batch)
+    return rows.join(named, (F.col(batch).cast("string") == F.col("_batch")) & (F.col("_run") == F.col("_in")), "left_semi").drop("_run")
+
+
+def resume_batches(
+    spark: SparkSession, plan: DataFrame, compute: Callable[[DataFrame], DataFrame], path: str, *, version: str, batch: str = "batch_id", invalid: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """Compute the batches of ``plan`` that ``path`` does not hold whole and valid, and return the table of all.
+
+    A batch is reused if its rows and digest are those its manifest recorded and ``invalid`` (given the stored rows, it returns the ids of bad batches) does not name it; a damaged,
+    missing or invalid one is computed again while the others stay. A batch of another ``version`` is an error, so that inputs can't mix. Results of a run are written
+    apart, read back, checked and recorded in a manifest; the pointer to it comes last, by a rename to a new name, so a reader always sees a whole table and a run that
+    breaks off changes nothing. A batch without rows is recorded, too. Runs that no batch is left in are deleted once the pointer has moved.
+    """
+    number, current = _pointer(spark, path)
+    schema = "batch string, run string, rows long, digest string, version string"
+    manifest = spark.read.parquet(current["manifest"]) if current else spark.createDataFrame([], schema)
+    stale = manifest.where(F.col("version") != version).count()
+    if stale:
+        raise ContractError(f"{stale} batches are of another version")
+    good = manifest
+    if current:
+        rows = _stored(spark, path, manifest, batch)
+        named = manifest.select(F.col("batch").alias("_batch"), F.col("run").alias("_in"))
+        rows = rows.join(named, (F.col(batch).cast("string") == F.col("_batch")) & (F.col("_run") == F.col("_in")), "left_semi")
+        found = _batch_digests(rows, batch).select("batch", "run", F.col("rows").alias("_rows"), F.col("digest").alias("_digest"))
+        same = (F.col("rows") == F.coalesce("_rows", F.lit(0))) & F.col("digest").eqNullSafe(F.col("_digest"))
+        good = manifest.join(found, ["batch", "run"], "left").where(same).select(manifest.columns)
+        if invalid is not None:
+            good = good.join(invalid(rows.drop("_run")).select(F.col(batch).cast("string").alias("batch")).distinct(), "batch", "left_anti")
+    wanted = plan.withColumn("_batch", F.col(batch).cast("string"))
+    todo = wanted.join(good.select(F.col("batch").alias("_batch")), "_batch", "left_anti")
+    if todo.isEmpty():
+        return read_batches(spark, path, batch=batch)
+    run, fs = uuid.uuid4().hex, _fs(spark, path)[0]
+    folder, listing = f"{path}/runs/{run}", f"{path}/manifests/{run}"
+    try:
+        compute(todo.drop("_batch")).withColumn("_run", F.lit(run)).write.parquet(folder)
+        back = spark.read.parquet(folder)
+        ids = todo.select(F.col("_batch").alias("batch")).distinct()
+        digests = _batch_digests(back, batch)
+        strange = digests.join(ids, "batch", "left_anti").count()
+        if strange:
+            raise ContractError(f"{strange} batches were computed that were not asked for")
+        if invalid is not None and not (bad := invalid(back.drop("_run"))).isEmpty():
+            raise ContractError(f"{bad.select(batch).distinct().count()} batches are invalid though just computed")
+        new = ids.join(digests, "batch", "left").select("batch", F.lit(run).alias("run"), F.coalesce("rows", F.lit(0).cast("long")).alias("rows"), "digest", F.lit(version).alias("version"))
+        good.unionByName(new).write.parquet(listing)
+        pointer = f"{path}/current-{number + 1:08d}.json"
+        if exists(spark, pointer):
+            raise ContractError(f"{pointer} was written by another run meanwhile")
+        write_json(spark, {"manifest": listing, "version": version}, pointer)
+    except BaseException:
+        for part in (folder, listing):
+            p = _fs(spark, part)[1]
+            if fs.exists(p):
+                fs.delete(p, True)
+        raise
+    left = {r["run"] for r in spark.read.parquet(listing).select("run").distinct().collect()}
+    for status in fs.listStatus(_fs(spark, f"{path}/runs")[1]):
+        if status.getPath().getName() not in left:
+            fs.delete(status.getPath(), True)
+    return read_batches(spark, path, batch=batch)
