@@ -8,7 +8,6 @@ from __future__ import annotations
 import io
 import json
 import os
-import sqlite3
 import struct
 import uuid
 import zipfile
@@ -152,24 +151,14 @@ def wkb_polygon(rings: list[list[tuple[float, float]]]) -> bytes:
 
 
 def read_geopackage(spark: SparkSession, path: str, layer: str, columns: list[str], geometry: str = "geom") -> DataFrame:
-    """Attributes (text) and rings of a layer's polygons; only the asked columns are read. A multipolygon gives a row a polygon."""
+    """Attributes (text) and rings of a layer's polygons in the packages at ``path``; only the asked columns are made. A multipolygon gives a row a polygon.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for data in b["content"]:
-                con = sqlite3.connect(":memory:")
-                con.deserialize(data)
-                picked = ", ".join(f'"{c}"' for c in [*columns, geometry])
-                rows = con.execute(f'SELECT {picked} FROM "{layer}"').fetchall()
-                con.close()
-                out = []
-                for *values, blob in rows:
-                    envelope = (0, 32, 48, 48, 64)[blob[3] >> 1 & 7] if blob else 0
-                    for rings in parse_wkb(blob[8 + envelope :]) if blob else [None]:
-                        out.append([*(None if v is None else str(v) for v in values), rings and [[{"x": x, "y": y} for x, y in r] for r in rings]])
-                yield pd.DataFrame(out, columns=[*columns, "rings"])
+    Files are read by runs of pages, each by its own task, so a package may be of any size.
+    """
+    from gridloom.sources import geopackage
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ", ".join([*(f"`{c}` string" for c in columns), f"rings {GEOMETRY}"]))
+    paths = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    return geopackage.read_layer(spark, sorted(paths), layer, columns, geometry=geometry)
 
 
 def read_geotiff(spark: SparkSession, path: str, *, window: tuple[int, int, int, int] | None = None) -> DataFrame:
