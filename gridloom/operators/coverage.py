@@ -11,7 +11,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +20,11 @@ from gridloom.session import cut
 
 Point = tuple[float, float]
 _OWNERS = "array<struct<key:string,ring_no:int,start:int,forward:boolean>>"
+_XY = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+_ARC_SCHEMA = pa.schema([
+    ("arc", pa.string()), ("points", pa.list_(_XY)), ("owners", pa.list_(pa.struct([("key", pa.string()), ("ring_no", pa.int32()), ("start", pa.int32()), ("forward", pa.bool_())]))), ("loop", pa.bool_()), ("ends", pa.string()),
+])
+_PART_SCHEMA = pa.schema([("key", pa.string()), ("ring_no", pa.int32()), ("start", pa.int32()), ("points", pa.list_(_XY))])
 _ARCS = f"arc string, points array<struct<x:double,y:double>>, owners {_OWNERS}, loop boolean, ends string"
 
 
@@ -108,15 +113,26 @@ def simplify(path: list[Point], tolerance: float, near: np.ndarray, known: set[t
     return [p for p, ok in zip(path, alive, strict=True) if ok]
 
 
-def _arcs(group: pd.DataFrame) -> pd.DataFrame:
+def _squares(path: list[Point], size: float) -> set[tuple[int, int]]:
+    """The squares that a path passes, and those next to them."""
+    seen = set()
+    for (px, py), (qx, qy) in zip(path, path[1:], strict=False):
+        x0, x1, y0, y1 = min(px, qx), max(px, qx), min(py, qy), max(py, qy)
+        for j in range(math.floor(y0 / size), math.floor(y1 / size) + 1):
+            at = [px + (min(max(y, y0), y1) - py) / (qy - py) * (qx - px) for y in (j * size, (j + 1) * size)] if y1 > y0 else [x0, x1]
+            for i in range(math.floor(min(at) / size) - 1, math.floor(max(at) / size) + 2):
+                seen |= {(i, j - 1), (i, j), (i, j + 1)}
+    return seen
+
+
+def _arcs(rows: list[dict]) -> list[dict]:
     """The arcs between two polygons, or of one with the outside, from their edges."""
-    point = lambda row, c: (row[f"{c}x"], row[f"{c}y"])
     edges, nodes, owned = [], set(), {}
-    for row in group.to_dict("records"):
-        a, b = point(row, "a"), point(row, "b")
+    for r in rows:
+        a, b = (r["ax"], r["ay"]), (r["bx"], r["by"])
         edges.append((a, b))
-        nodes |= {p for p, is_node in ((a, row["a_node"]), (b, row["b_node"])) if is_node}
-        owned[frozenset((a, b))] = row["owners"]
+        nodes |= {p for p, is_node in ((a, r["a_node"]), (b, r["b_node"])) if is_node}
+        owned[frozenset((a, b))] = r["owners"]
     out = []
     for path in chain(edges, nodes):
         loop = path[0] == path[-1]
@@ -126,11 +142,26 @@ def _arcs(group: pd.DataFrame) -> pd.DataFrame:
             who = [owned[frozenset(s)][k] for s in sides]
             # an edge is stored from its lesser point; forward tells whether the ring runs that way
             forward = (sides[0][0] < sides[0][1]) == who[0]["forward"]
-            owners.append({"key": who[0]["key"], "ring_no": int(who[0]["ring_no"]), "start": int((who[0] if forward else who[-1])["idx"]), "forward": bool(forward)})
-        name = f"{path[0]}{path[1]}{path[-1]}{group['pair'].iloc[0]}"
+            owners.append({"key": who[0]["key"], "ring_no": who[0]["ring_no"], "start": (who[0] if forward else who[-1])["idx"], "forward": forward})
+        name = f"{path[0]}{path[1]}{path[-1]}{rows[0]['pair']}"
         ends = "" if loop else str(sorted((path[0], path[-1])))
-        out.append((name, [{"x": x, "y": y} for x, y in path], owners, loop, ends))
-    return pd.DataFrame(out, columns=["arc", "points", "owners", "loop", "ends"])
+        out.append({"arc": name, "points": [{"x": x, "y": y} for x, y in path], "owners": owners, "loop": loop, "ends": ends})
+    return out
+
+
+def _pairs_to_arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The arcs of edges that come sorted by pair; one pair is held at a time."""
+    held: list[dict] = []
+    for b in batches:
+        out = []
+        for row in b.to_pylist():
+            if held and held[0]["pair"] != row["pair"]:
+                out += _arcs(held)
+                held = []
+            held.append(row)
+        yield pa.RecordBatch.from_pylist(out, schema=_ARC_SCHEMA)
+    if held:
+        yield pa.RecordBatch.from_pylist(_arcs(held), schema=_ARC_SCHEMA)
 
 
 def coverage_arcs(polygons: DataFrame, *, key: str) -> DataFrame:
@@ -152,55 +183,53 @@ def coverage_arcs(polygons: DataFrame, *, key: str) -> DataFrame:
     end = lambda c: per.select(F.col(f"{c}x").alias("x"), F.col(f"{c}y").alias("y"), "pair")
     node = end("a").unionByName(end("b")).groupBy("x", "y").agg(((F.count("*") != 2) | (F.min("pair") != F.max("pair"))).alias("node"))
     of = lambda c: node.select(F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y"), F.col("node").alias(f"{c}_node"))
-    return per.join(of("a"), ["ax", "ay"]).join(of("b"), ["bx", "by"]).groupBy("pair").applyInPandas(_arcs, _ARCS)
+    return per.join(of("a"), ["ax", "ay"]).join(of("b"), ["bx", "by"]).repartition("pair").sortWithinPartitions("pair").mapInArrow(_pairs_to_arcs, _ARCS)
 
 
 def simplify_coverage(polygons: DataFrame, *, key: str, tolerance: float, size: float | None = None) -> DataFrame:
     """key and rings of each polygon of a coverage (column rings), its boundaries simplified by ``tolerance`` (the square root of the largest triangle that goes), shared ones alike.
 
     Points where three polygons, or two and the outside, meet stay, so no gap or overlap arises, and every inner edge is still one of two polygons. No ring loses its
-    inside, and no boundary crosses another. ``size`` is the side of the squares in which points that stand in the way are looked for (32 tolerances); a task holds one
-    boundary between two polygons and the points in the squares it passes or next to them. Null polygons stay null.
+    inside, and no boundary crosses another. ``size`` is the side of the squares in which points that stand in the way are looked for (8 tolerances or two mean edges,
+    whichever is more, if it is not given); a task holds one boundary between two polygons and the points in the squares it passes or next to them. Null polygons stay null.
     """
-    size = size or 32 * tolerance
     arcs = cut(coverage_arcs(polygons, key=key))
+    if size is None:
+        steps = F.zip_with(F.slice("points", F.lit(1), F.size("points") - 1), F.slice("points", F.lit(2), F.size("points") - 1), lambda p, q: F.hypot(p["x"] - q["x"], p["y"] - q["y"]))
+        mean = arcs.select(F.explode(steps).alias("s")).agg(F.avg("s")).first()[0]
+        size = max(8 * tolerance, 2 * (mean or 0.0))
     beside = arcs.groupBy("ends").agg(F.count("*").alias("alike"))
 
-    def squares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in batches:
-            rows = []
-            for arc, points in zip(g["arc"], g["points"], strict=True):
-                seen = set()
-                for p, q in zip(points, points[1:], strict=False):
-                    x0, x1, y0, y1 = min(p["x"], q["x"]), max(p["x"], q["x"]), min(p["y"], q["y"]), max(p["y"], q["y"])
-                    for j in range(math.floor(y0 / size), math.floor(y1 / size) + 1):
-                        at = [p["x"] + (min(max(j * size + d, y0), y1) - p["y"]) / (q["y"] - p["y"]) * (q["x"] - p["x"]) for d in (0, size)] if y1 > y0 else [x0, x1]
-                        for i in range(math.floor(min(at) / size) - 1, math.floor(max(at) / size) + 2):
-                            seen |= {(i, j - 1), (i, j), (i, j + 1)}
-                rows += [(arc, i, j) for i, j in seen]
-            yield pd.DataFrame(rows, columns=["arc", "i", "j"])
-
-    reach = arcs.where("size(points) > 2").select("arc", "points").mapInPandas(squares, "arc string, i long, j long")
+            names, at = [], []
+            for arc, points in zip(*(c.to_pylist() for c in g.columns), strict=True):
+                seen = _squares([(p["x"], p["y"]) for p in points], size)
+                names += [arc] * len(seen)
+                at += seen
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([i for i, _ in at], pa.int64()), pa.array([j for _, j in at], pa.int64())], names=["arc", "i", "j"])
+
+    reach = arcs.where("size(points) > 2").select("arc", "points").mapInArrow(squares, "arc string, i long, j long")
     point = arcs.select(F.explode("points").alias("p")).select("p.x", "p.y").distinct()
     placed = point.select("x", "y", F.floor(F.col("x") / size).alias("i"), F.floor(F.col("y") / size).alias("j"))
-    known = reach.join(placed.groupBy("i", "j").agg(F.collect_list(F.struct("x", "y")).alias("near")), ["i", "j"], "left").groupBy("arc").agg(F.collect_list(F.struct("i", "j", "near")).alias("around"))
+    known = reach.join(placed.groupBy("i", "j").agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys")), ["i", "j"], "left").groupBy("arc").agg(F.collect_list(F.struct("i", "j", "xs", "ys")).alias("around"))
     ready = arcs.join(beside, "ends").join(known, "arc", "left").select("points", "owners", "loop", "alike", "around")
 
-    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in batches:
             rows = []
-            for points, owners, loop, alike, around in zip(g["points"], g["owners"], g["loop"], g["alike"], g["around"], strict=True):
+            for points, owners, loop, alike, around in zip(*(c.to_pylist() for c in g.columns), strict=True):
                 path = [(p["x"], p["y"]) for p in points]
-                if around is not None:
+                if around:
                     own = set(path)
-                    near = np.array([q for s in around if s["near"] is not None for p in s["near"] if (q := (p["x"], p["y"])) not in own]).reshape(-1, 2)
+                    near = np.array([q for s in around if s["xs"] for q in zip(s["xs"], s["ys"], strict=True) if q not in own]).reshape(-1, 2)
                     # arcs with the same two ends would fall together without a point of their own
                     path = simplify(path, tolerance, near, {(s["i"], s["j"]) for s in around}, size, least=4 if loop else 3 if alike > 1 else 2)
                 for o in owners:
-                    rows.append((o["key"], o["ring_no"], o["start"], [{"x": x, "y": y} for x, y in (path if o["forward"] else path[::-1])]))
-            yield pd.DataFrame(rows, columns=["key", "ring_no", "start", "points"])
+                    rows.append({"key": o["key"], "ring_no": o["ring_no"], "start": o["start"], "points": [{"x": x, "y": y} for x, y in (path if o["forward"] else path[::-1])]})
+            yield pa.RecordBatch.from_pylist(rows, schema=_PART_SCHEMA)
 
-    parts = ready.mapInPandas(thin, "key string, ring_no int, start int, points array<struct<x:double,y:double>>")
+    parts = ready.mapInArrow(thin, "key string, ring_no int, start int, points array<struct<x:double,y:double>>")
     ring = parts.groupBy("key", "ring_no").agg(F.sort_array(F.collect_list(F.struct("start", "points"))).alias("parts"))
     joined = F.flatten(F.transform("parts", lambda p: F.slice(p["points"], F.lit(1), F.size(p["points"]) - 1)))
     ring = ring.select("key", "ring_no", joined.alias("open")).select("key", "ring_no", F.concat("open", F.slice("open", 1, 1)).alias("ring"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 import time
+import warnings
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -64,23 +65,39 @@ def predict(model: PipelineModel, rows: DataFrame, keep: Sequence[str]) -> DataF
 Factory = Callable[[int], Pipeline]
 
 
+def fit(pipeline: Pipeline, train: DataFrame) -> tuple[PipelineModel, float, list[str]]:
+    """A fitted pipeline, the seconds it took, and what was warned of: Python's warnings, and a regression that used up its iterations."""
+    began = time.time()
+    with warnings.catch_warnings(record=True) as caught:
+        warnings.simplefilter("always")
+        model = pipeline.fit(train)
+    said = [f"{w.category.__name__}: {w.message}" for w in caught if not issubclass(w.category, DeprecationWarning | ResourceWarning)]
+    last = model.stages[-1]
+    if isinstance(last, LogisticRegressionModel) and last.hasSummary and last.summary.totalIterations >= last.getMaxIter():
+        said.append(f"no convergence after {last.summary.totalIterations} iterations")
+    return model, time.time() - began, said
+
+
 def run_saved_cv(rows: DataFrame, factory: Factory, *, fold: str, n_folds: int = 5, key: str = "cell_id", target: str = "target", extra: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(out-of-fold predictions, fold metrics): each fold is predicted by a model of the others, each row once.
+    """(out-of-fold predictions, fold metrics): each fold is predicted by a model of the others, each row once. Metrics come with train_rows, fit_seconds and warnings of the fold's fit.
 
     ``factory`` gets the training rows' count and returns a pipeline. ``rows`` should be cached by the caller: it is read twice a fold. Keys, fold numbers and
     classes are checked before the first fit, so every row has a fold and comes out once.
     """
     check_key(rows, key)
     check_fold_numbers(rows, fold, n_folds, target=target)
-    out = []
+    out, fits = [], []
     for f in range(n_folds):
         train = rows.where(F.col(fold) != f)
         n = train.count()
         require(n > 0, f"fold {f} leaves nothing to train on")
-        out.append(predict(factory(n).fit(train), rows.where(F.col(fold) == f), [key, target, *extra, F.col(fold).alias("fold")]))
+        model, seconds, said = fit(factory(n), train)
+        fits.append((f, n, seconds, said))
+        out.append(predict(model, rows.where(F.col(fold) == f), [key, target, *extra, F.col(fold).alias("fold")]))
     oof = reduce(DataFrame.unionByName, out)
     metrics = ranking_metrics(oof, target=target, by=["fold"]).withColumnRenamed("average_precision", "pr_auc")
-    return oof, metrics
+    about = rows.sparkSession.createDataFrame(fits, "_fold long, train_rows long, fit_seconds double, warnings array<string>")
+    return oof, metrics.join(F.broadcast(about), F.col("fold") == F.col("_fold")).drop("_fold")
 
 
 def experiment_summary(oof: DataFrame, folds: DataFrame, *, target: str = "target") -> DataFrame:
@@ -97,15 +114,21 @@ def evaluate_holdout(train: DataFrame, test: DataFrame, factory: Factory, *, key
 
 
 def tune_forest(rows: DataFrame, *, fold: str, n_folds: int = 5, candidates: Sequence[tuple[str, int | None, int]] = CANDIDATES, target: str = "target", key: str = "cell_id", **options) -> tuple[DataFrame, DataFrame]:
-    """(one row a candidate and fold, summary with the selected candidate)."""
+    """(one row a candidate and fold, summary with the selected candidate).
+
+    The summary has runtime_seconds (of the candidate's fits), warning_count, and same_as: the first candidate that is the same model here, as depths over ``DEEPEST`` are
+    capped at it; null if there is none.
+    """
     parts = []
     for name, depth, leaf in candidates:
-        began = time.time()
         _, m = run_saved_cv(rows, lambda _, d=depth, m=leaf: forest_pipeline(max_depth=d, min_leaf=m, target=target, **options), fold=fold, n_folds=n_folds, key=key, target=target)
-        parts.append(m.select(F.lit(name).alias("candidate"), F.lit(depth).cast("int").alias("max_depth"), F.lit(leaf).alias("min_samples_leaf"), "fold", "rows", "positives", "positive_prevalence", "roc_auc", F.col("pr_auc").alias("average_precision"), F.lit(time.time() - began).alias("runtime_seconds")))
+        parts.append(m.select(F.lit(name).alias("candidate"), F.lit(depth).cast("int").alias("max_depth"), F.lit(leaf).alias("min_samples_leaf"), "fold", "rows", "positives", "positive_prevalence", "roc_auc", F.col("pr_auc").alias("average_precision"), "fit_seconds", "warnings"))
     folds = reduce(DataFrame.unionByName, parts)
-    summary = folds.groupBy("candidate", "max_depth", "min_samples_leaf").agg(*[e for m in ("roc_auc", "average_precision") for e in (F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_std"))])
-    return folds, select_candidate(summary)
+    summary = folds.groupBy("candidate", "max_depth", "min_samples_leaf").agg(F.sum("fit_seconds").alias("runtime_seconds"), F.sum(F.size("warnings")).alias("warning_count"), *[e for m in ("roc_auc", "average_precision") for e in (F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_std"))])
+    first: dict[tuple[int, int], str] = {}
+    twins = {name: first.setdefault((min(depth or DEEPEST, DEEPEST), leaf), name) for name, depth, leaf in candidates}
+    same = reduce(lambda c, n: c.when(F.col("candidate") == n, twins[n]), [n for n in twins if twins[n] != n], F.when(F.lit(False), F.lit(None).cast("string")))
+    return folds, select_candidate(summary.withColumn("same_as", same))
 
 
 def score_everything(labelled: DataFrame, every_cell: DataFrame, factory: Factory, *, key: str = "cell_id", keep: Sequence[str] = ()) -> DataFrame:
@@ -126,14 +149,17 @@ def experiment_record(oof: DataFrame, folds: DataFrame, *, model: str, predictor
     return r | {"negatives": r["rows"] - r["positives"], "model": model, "predictors": list(predictors), "input_sha256": input_sha256, "final_test_accessed": False}
 
 
-def compare_validation(random: Mapping, spatial: Mapping, random_folds: DataFrame, spatial_folds: DataFrame, *, population: Mapping | None = None, need_hash: bool = False) -> DataFrame:
+def compare_validation(
+    random: Mapping, spatial: Mapping, random_folds: DataFrame, spatial_folds: DataFrame, *, population: Mapping | None = None, need_hash: bool = False, metrics: Mapping[str, str] = COMPARED
+) -> DataFrame:
     """validation_strategy and metrics of two experiments, with the signed difference, once both are proven to be comparable.
 
-    Nothing is fitted and no rows but those of the folds are read. ``population`` holds fields that both records must have.
+    Nothing is fitted and no rows but those of the folds are read. ``population`` holds fields that both records must have; ``metrics``
+    maps names of the result to fields of the records.
     """
     contract = check_comparable(random, spatial, SHARED_FIELDS, list(COMPARED.values()))
     require(not need_hash or contract["same_input_hash"] is True, "the comparison needs the fingerprints of both inputs")
     for record, folds in ((random, random_folds), (spatial, spatial_folds)):
         check_record(record, population or {})
         check_folds(folds, record)
-    return comparison(dict(random), dict(spatial), COMPARED, random_folds.sparkSession)
+    return comparison(dict(random), dict(spatial), dict(metrics), random_folds.sparkSession)

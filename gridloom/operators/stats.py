@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.missing import is_missing, nan_to_null
+from gridloom.session import cut
+
+
+#: Groups of which quantiles broadcast what they know (a few hundred numbers each).
+MOST_GROUPS = 10_000
 
 
 def _scores(rows: DataFrame, target: str, probability: str, by: Sequence[str]) -> DataFrame:
@@ -55,34 +60,37 @@ def quantiles(rows: DataFrame, by: Sequence[str], value: str, shares: Mapping[st
     """``by`` and the exact interpolated quantiles of the values that are not null, one column for each name of ``shares``; null without values.
 
     A sketch of bounded size cuts each group into ranges of about equal counts; counts of the ranges tell in which one a rank lies, and only the values of
-    these ranges, counted, are put in order. So no task holds a group's values, and ties are one row.
+    these ranges, counted, are shuffled and put in order. So no task holds a group's values, ties are one row, and ``rows`` are read once, into the shared folder.
+    What is known of the groups is broadcast while they are at most ``MOST_GROUPS``.
     """
     by = list(by)
-    x = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
-    cuts = x.groupBy(*by).agg(F.percentile_approx("_x", [i / ranges for i in range(1, ranges)], 10_000).alias("_cuts"), F.count("*").alias("_n"))
+    x = cut(rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x")))
+    cuts = cut(x.groupBy(*by).agg(F.percentile_approx("_x", [i / ranges for i in range(1, ranges)], 10_000).alias("_cuts"), F.count("*").alias("_n")))
+    small = F.broadcast if cuts.count() <= MOST_GROUPS else (lambda df: df)
     same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in by]
-    valued = x.groupBy(*by, "_x").agg(F.count("*").alias("_m"))
-    placed = valued.alias("v").join(cuts.alias("c"), same("v", "c")).select(*[F.col(f"v.{k}").alias(k) for k in by], "_x", "_m", "_n", F.size(F.filter("_cuts", lambda c: c < F.col("_x"))).alias("_range"))
-    counts = placed.groupBy(*by, "_range", "_n").agg(F.sum("_m").alias("_in"))
+    own = lambda a: [F.col(f"{a}.{k}").alias(k) for k in by]
+    placed = x.alias("v").join(small(cuts).alias("c"), same("v", "c")).select(*own("v"), "_x", "_n", F.size(F.filter("_cuts", lambda c: c < F.col("_x"))).alias("_range"))
+    counts = placed.groupBy(*by, "_range", "_n").agg(F.count("*").alias("_in"))
     counts = counts.withColumn("_before", F.sum("_in").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_in"))
     # 0-based ranks at both sides of each share, and the range each lies in
     spots = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(q)).alias("q"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("h")) for n, q in shares.items()])
     asked = counts.withColumn("_s", F.explode(spots)).withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_s.h"), F.ceil("_s.h")))))
     asked = asked.where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_in")))
-    asked = asked.select(*by, "_range", "_before", "_s.name", "_s.h", "_rank")
+    asked = cut(asked.select(*by, "_range", "_before", "_s.name", "_s.h", "_rank"))
     needed = asked.select(*by, "_range", "_before").distinct()
-    inside = placed.alias("p").join(needed.alias("n"), [*same("p", "n"), F.col("p._range") == F.col("n._range")]).select(*[F.col(f"p.{k}").alias(k) for k in by], F.col("p._range").alias("_range"), "_x", "_m", "_before")
+    inside = placed.alias("p").join(small(needed).alias("n"), [*same("p", "n"), F.col("p._range") == F.col("n._range")]).select(*own("p"), F.col("p._range").alias("_range"), "_x", "_before")
+    inside = inside.groupBy(*by, "_range", "_before", "_x").agg(F.count("*").alias("_m"))
     order = Window.partitionBy(*by, "_range").orderBy("_x")
     ranked = inside.withColumn("_to", F.sum("_m").over(order) + F.col("_before")).withColumn("_from", F.col("_to") - F.col("_m"))
-    hit = ranked.alias("r").join(asked.alias("a"), [*same("r", "a"), F.col("r._range") == F.col("a._range"), F.col("a._rank") >= F.col("r._from"), F.col("a._rank") < F.col("r._to")])
+    hit = ranked.alias("r").join(small(asked).alias("a"), [*same("r", "a"), F.col("r._range") == F.col("a._range"), F.col("a._rank") >= F.col("r._from"), F.col("a._rank") < F.col("r._to")])
     part = F.when(F.floor("h") == F.ceil("h"), F.col("_x")).when(F.col("_rank") == F.floor("h"), F.col("_x") * (1 - (F.col("h") - F.floor("h")))).otherwise(F.col("_x") * (F.col("h") - F.floor("h")))
-    found = hit.select(*[F.col(f"r.{k}").alias(k) for k in by], "name", part.alias("_part")).groupBy(*by, "name").agg(F.sum("_part").alias("_q"))
+    found = hit.select(*own("r"), "name", part.alias("_part")).groupBy(*by, "name").agg(F.sum("_part").alias("_q"))
     return found.groupBy(*by).agg(*[F.max(F.when(F.col("name") == n, F.col("_q"))).alias(n) for n in shares])
 
 
 def describe(rows: DataFrame, columns: Sequence[str], *, by: str, shares: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """Long form: predictor, population, rows, counts, mean, sample std and exact interpolated quantiles, without missing values."""
-    long = rows.select(F.col(by).alias("population"), *[nan_to_null(c).alias(c) for c in columns]).unpivot(["population"], list(columns), "predictor", "value")
+    long = cut(rows.select(F.col(by).alias("population"), *[nan_to_null(c).alias(c) for c in columns]).unpivot(["population"], list(columns), "predictor", "value"))
     moments = long.groupBy("predictor", "population").agg(
         F.count("*").alias("rows"), F.count("value").alias("nonmissing_count"), (F.count("*") - F.count("value")).alias("missing_count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
     )
@@ -146,10 +154,28 @@ def density_histogram(rows: DataFrame, value: str, *, by: str, bins: int = 45) -
 
 
 def top_with_other(counts: DataFrame, value: str, *, k: int, order: Sequence[Column], sums: Sequence[str]) -> DataFrame:
-    """The k first classes and one row Other with the sums of the rest."""
-    ranked = counts.withColumn("_r", F.row_number().over(Window.orderBy(*order)))
-    label = F.when(F.col("_r") <= k, F.col(value).cast("string")).otherwise("Other")
-    return ranked.groupBy(label.alias("label")).agg(F.min("_r").alias("place"), *[F.sum(c).alias(c) for c in sums])
+    """The k first classes and one row Other with the sums of the rest, if there is a rest.
+
+    Only the k rows are put in order: each task keeps its own first k, and the rest are what those k leave.
+    """
+    first = counts.orderBy(*order).limit(k).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    rest = counts.alias("c").join(F.broadcast(first.select(value)).alias("f"), F.col(f"c.{value}").eqNullSafe(F.col(f"f.{value}")), "left_anti")
+    other = rest.agg(F.count("*").alias("_n"), *[F.sum(c).alias(c) for c in sums]).where("_n > 0").select(F.lit("Other").alias("label"), F.lit(k + 1).alias("place"), *sums)
+    return first.select(F.col(value).cast("string").alias("label"), "place", *sums).unionByName(other)
+
+
+def with_places(rows: DataFrame, order: Sequence[Column], *, name: str = "place") -> DataFrame:
+    """``rows`` with their place from 1 in an order over all of them: sorted in ranges, numbered in each, and moved by the counts of the ranges before.
+
+    No task sorts the whole; the ranges are checkpointed, as they must not change between the two passes. Rows that the order does not tell apart get places in any order.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    # the number holds the range in its upper bits and the place in it below
+    dealt = cut(dealt.withColumn("_range", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND((1 << 33) - 1)))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    return dealt.join(before, "_range").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_id", "_range", "_at", "_before")
 
 
 def with_absent_groups(counts: DataFrame, key: str, low: int, high: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom import contracts
@@ -15,7 +15,7 @@ from gridloom.operators import coverage, geometry, joins, lattice, modeling, pol
 from gridloom.plans import adapters
 from gridloom.plans.adapters import BLOCK, SIDE, table
 from gridloom.session import cut, shared_folder
-from gridloom.sources import cog, tiff
+from gridloom.sources import cog, geo, tiff
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -380,7 +380,8 @@ def random_folds(spark: SparkSession, d: str) -> DataFrame:
     return spatial.random_folds(adapters.labelled(spark, d).select("cell_id", "target"))
 
 
-@query("spatial_folds", """
+#: Blocks dealt to five folds one by one, in SQL.
+_STEP_SQL = """
 , o AS (SELECT row_number() OVER (ORDER BY positives DESC, cells DESC, spatial_block_id) AS k, spatial_block_id AS id, CAST(cells AS DOUBLE) AS c, CAST(positives AS DOUBLE) AS p FROM blk),
 t AS (SELECT sum(cells) / 5 AS sc, sum(positives) / 5 AS sp FROM blk),
 step AS (
@@ -390,7 +391,10 @@ step AS (
   FROM (SELECT *, list_position(scores, list_min(scores)) AS f FROM (
     SELECT o.k, o.id, o.c, o.p, step.cs, step.ps, list_transform(range(1, 6), lambda i:
       (((step.cs[i] + o.c) / sc) * ((step.cs[i] + o.c) / sc) - (step.cs[i] / sc) * (step.cs[i] / sc)) + (((step.ps[i] + o.p) / sp) * ((step.ps[i] + o.p) / sp) - (step.ps[i] / sp) * (step.ps[i] / sp))) AS scores
-    FROM step JOIN o ON o.k = step.k + 1, t)) n)
+    FROM step JOIN o ON o.k = step.k + 1, t)) n)"""
+
+
+@query("spatial_folds", f"""{_STEP_SQL}
 SELECT id AS spatial_block_id, CAST(fold - 1 AS INTEGER) AS spatial_cv_fold FROM step WHERE k > 0""")
 def spatial_folds(spark: SparkSession, d: str) -> DataFrame:
     """Greedy balanced folds of whole blocks."""
@@ -525,21 +529,30 @@ def _ranked(name: str, score: str) -> str:
 {name}m AS (SELECT sum((n - tp) * (ctp - tp + tp / 2)) / (max(pos) * (max(total) - max(pos))) AS auc, sum(tp / pos * ctp / cn) AS ap FROM {name}c)"""
 
 
-@query("validation_comparison", f"""
-, {_ranked('r', 'p')}, {_ranked('s', '(col * 7 + key * 13 + block_row * 29) % 101')}
-SELECT 'Random CV' AS validation_strategy, round(auc, 9) AS roc_auc, round(ap, 9) AS average_precision FROM rm UNION ALL SELECT 'Spatial CV', round(auc, 9), round(ap, 9) FROM sm
-UNION ALL SELECT 'Spatial - Random', round(sm.auc - rm.auc, 9), round(sm.ap - rm.ap, 9) FROM rm, sm""")
+@query("validation_comparison", f"""{_STEP_SQL}
+, {_ranked('r', 'p')}, {_ranked('s', '(col * 7 + key * 13 + block_row * 29) % 101')},
+dealt AS (
+  SELECT 'Random CV' AS v, target, CAST(rint_p AS BIGINT) AS s, (row_number() OVER (PARTITION BY target ORDER BY md5(cell_id || '|42'), cell_id) - 1) % 5 AS fold FROM (SELECT *, round(p * 100) AS rint_p FROM lab)
+  UNION ALL SELECT 'Spatial CV', l.target, (l.col * 7 + l.key * 13 + l.block_row * 29) % 101, step.fold - 1 FROM lab l JOIN step ON step.id = l.spatial_block_id AND step.k > 0),
+dg AS (SELECT v, fold, s, CAST(sum(target) AS DOUBLE) AS tp, CAST(count(*) AS DOUBLE) AS n FROM dealt GROUP BY ALL),
+dc AS (SELECT v, fold, tp, n, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn, sum(tp) OVER (PARTITION BY v, fold) AS pos, sum(n) OVER (PARTITION BY v, fold) AS total FROM dg WINDOW w AS (PARTITION BY v, fold ORDER BY s DESC)),
+dm AS (SELECT v, fold, CASE WHEN max(pos) > 0 AND max(pos) < max(total) THEN sum((n - tp) * (ctp - tp + tp / 2)) / (max(pos) * (max(total) - max(pos))) END AS auc, CASE WHEN max(pos) > 0 AND max(pos) < max(total) THEN sum(tp / pos * ctp / cn) END AS ap FROM dc GROUP BY v, fold),
+f AS (SELECT v, avg(auc) AS am, stddev_samp(auc) AS asd, avg(ap) AS pm, stddev_samp(ap) AS psd FROM dm GROUP BY v),
+e AS (SELECT f.*, CASE v WHEN 'Random CV' THEN rm.auc ELSE sm.auc END AS auc, CASE v WHEN 'Random CV' THEN rm.ap ELSE sm.ap END AS ap FROM f, rm, sm)
+SELECT v AS validation_strategy, round(auc, 9) AS roc_auc, round(ap, 9) AS average_precision, round(am, 9) AS roc_auc_fold_mean, round(asd, 9) AS roc_auc_fold_std, round(pm, 9) AS pr_auc_fold_mean, round(psd, 9) AS pr_auc_fold_std FROM e
+UNION ALL SELECT 'Spatial - Random', round(s.auc - r.auc, 9), round(s.ap - r.ap, 9), round(s.am - r.am, 9), round(s.asd - r.asd, 9), round(s.pm - r.pm, 9), round(s.psd - r.psd, 9) FROM e r, e s WHERE r.v = 'Random CV' AND s.v = 'Spatial CV'""")
 def validation_comparison(spark: SparkSession, d: str) -> DataFrame:
-    """Two experiments with saved predictions on random folds and on folds of whole blocks, proven comparable, side by side."""
-    rows = adapters.labelled(spark, d)
-    blocks = spatial.greedy_folds(_blocks(spark, d))
+    """Two experiments with saved predictions on random folds and on folds of whole blocks, proven comparable, side by side, over all rows and over the folds."""
+    rows = cut(adapters.labelled(spark, d))
+    blocks = spatial.greedy_folds(cut(spatial.summarise_blocks(rows, anchor=(0.0, 0.0), size=float(BLOCK * SIDE))))
     score = ((F.col("col") * 7 + F.col("key") * 13 + F.col("block_row") * 29) % 101 / 101.0).cast("double")
-    random = spatial.random_folds(rows).select("cell_id", "target", F.col("random_cv_fold").alias("fold"), F.col("p").alias("predicted_probability"))
-    whole = rows.join(blocks, "spatial_block_id").select("cell_id", "target", F.col("spatial_cv_fold").alias("fold"), score.alias("predicted_probability"))
-    folds = [stats.ranking_metrics(x, by=["fold"]).withColumnRenamed("average_precision", "pr_auc") for x in (random, whole)]
+    random = cut(spatial.random_folds(rows).select("cell_id", "target", F.col("random_cv_fold").alias("fold"), F.col("p").alias("predicted_probability")))
+    whole = cut(rows.join(blocks, "spatial_block_id").select("cell_id", "target", F.col("spatial_cv_fold").alias("fold"), score.alias("predicted_probability")))
+    folds = [cut(stats.ranking_metrics(x, by=["fold"]).withColumnRenamed("average_precision", "pr_auc")) for x in (random, whole)]
     records = [modeling.experiment_record(x, f, model="score", predictors=_CONTINUOUS) for x, f in zip((random, whole), folds, strict=True)]
-    out = modeling.compare_validation(*records, *folds)
-    return out.select("validation_strategy", r6("roc_auc", 9), r6("average_precision", 9))
+    spread = ("roc_auc_fold_mean", "roc_auc_fold_std", "pr_auc_fold_mean", "pr_auc_fold_std")
+    out = modeling.compare_validation(*records, *folds, metrics=modeling.COMPARED | {m: m for m in spread})
+    return out.select("validation_strategy", *[r6(c, 9) for c in ("roc_auc", "average_precision", *spread)])
 
 
 @query("candidate_selection", """
@@ -576,8 +589,8 @@ def lookup_join(spark: SparkSession, d: str) -> DataFrame:
 @query("ordered_keys", """SELECT row_number() OVER (ORDER BY c.p DESC, c.cell_id) AS place, c.cell_id, z.n FROM lab c JOIN zone z USING (key)""")
 def ordered_keys(spark: SparkSession, d: str) -> DataFrame:
     """A table in the order of another's keys."""
-    ranked = adapters.labelled(spark, d).select("key", "cell_id", F.row_number().over(Window.orderBy(F.desc("p"), "cell_id")).cast("long").alias("place"))
-    z = raster.zonal(adapters.samples(spark, d), ["key"], ["band2"]).select("key", F.col("count").alias("n"))
+    ranked = cut(stats.with_places(adapters.labelled(spark, d).select("key", "cell_id", "p"), [F.desc("p"), F.col("cell_id")]).select("key", "cell_id", "place"))
+    z = cut(raster.zonal(adapters.samples(spark, d), ["key"], ["band2"]).select("key", F.col("count").alias("n")))
     return joins.align_to(z, ranked.select("key", "cell_id", "place"), "key", order="place").join(ranked.select("key", "cell_id"), "key").select("place", "cell_id", "n")
 
 
@@ -629,10 +642,10 @@ def coordinate_slice(spark: SparkSession, d: str) -> DataFrame:
 
 @query("geometry_changes", """SELECT cell_id FROM cell WHERE key % 7 = 0""")
 def geometry_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Cells whose binary geometry is not what it was."""
-    wkb = lambda by: F.concat(F.unhex(F.lit("01")), F.encode(F.concat_ws(",", F.col("x0") + by, "y0", "x1", "y1"), "UTF-8"))
+    """Cells whose binary geometry (WKB) is not what it was."""
     c = adapters.cells(spark, d)
-    return geometry.geometry_changes(c.select("cell_id", wkb(F.lit(0)).alias("geometry")), c.select("cell_id", wkb(F.when(F.col("key") % 7 == 0, 1).otherwise(0)).alias("geometry")), "cell_id")
+    shape = lambda by: geo.with_wkb(c.select("cell_id", F.array(adapters.box_ring(F.col("x0") + by, F.col("y0"), F.col("x1"), F.col("y1"))).alias("rings")))
+    return geometry.geometry_changes(shape(F.lit(0)), shape(F.when(F.col("key") % 7 == 0, 1).otherwise(0)), "cell_id")
 
 
 @query("masked_raster", f"""
@@ -686,7 +699,7 @@ def _training(spark: SparkSession, d: str) -> DataFrame:
 @query("logistic_cross_validation")
 def logistic_cross_validation(spark: SparkSession, d: str) -> DataFrame:
     build = lambda n: modeling.logistic_pipeline(n, continuous=_CONTINUOUS, imputed=["elevation_mean"], nominal=_NOMINAL)
-    return modeling.run_saved_cv(_training(spark, d), build, fold="random_cv_fold", n_folds=5)[1]
+    return modeling.run_saved_cv(_training(spark, d), build, fold="random_cv_fold", n_folds=5)[1].drop("fit_seconds")
 
 
 @query("forest_holdout")

@@ -150,6 +150,34 @@ def wkb_polygon(rings: list[list[tuple[float, float]]]) -> bytes:
     return struct.pack("<BII", 1, 3, len(rings)) + b"".join(struct.pack("<I", len(r)) + np.array(r, "<f8").tobytes() for r in rings)
 
 
+def with_wkb(df: DataFrame, *, rings: str = "rings", name: str = "geometry") -> DataFrame:
+    """``df`` with a polygon's WKB in place of its rings, in Arrow batches; null stays null. The first ring is the shell."""
+    others = [f for f in df.schema.fields if f.name != rings]
+    src = df.select(*[f"`{f.name}`" for f in others], rings)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shapes = b.column(b.num_columns - 1).to_pylist()
+            made = [None if r is None else wkb_polygon([[(p["x"], p["y"]) for p in ring] for ring in r]) for r in shapes]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made, pa.binary())], names=[*(f.name for f in others), name])
+
+    return src.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), f"`{name}` binary"]))
+
+
+def with_rings(df: DataFrame, *, geometry: str = "geometry", name: str = "rings") -> DataFrame:
+    """``df`` with the rings of all parts in place of a WKB polygon or multipolygon; null stays null."""
+    others = [f for f in df.schema.fields if f.name != geometry]
+    src = df.select(*[f"`{f.name}`" for f in others], geometry)
+    kind = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [None if w is None else [[{"x": x, "y": y} for x, y in ring] for part in parse_wkb(w) for ring in part] for w in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made, kind)], names=[*(f.name for f in others), name])
+
+    return src.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), f"`{name}` {GEOMETRY}"]))
+
+
 def read_geopackage(spark: SparkSession, path: str, layer: str, columns: list[str], geometry: str = "geom") -> DataFrame:
     """Attributes (text) and rings of a layer's polygons in the packages at ``path``; only the asked columns are made. A multipolygon gives a row a polygon.
 
@@ -231,11 +259,54 @@ def write_geoparquet(df: DataFrame, path: str, *, geometry: str = "geometry", sr
             store.move(part, name)
         yield pa.RecordBatch.from_pydict({"n": [n]})
 
-    df.mapInArrow(run, "n long").agg({"n": "sum"}).collect()
-    publish.put_in_place(spark, stage, path)
+    try:
+        written = df.mapInArrow(run, "n long").agg({"n": "sum"}).first()[0] or 0
+        back = spark.read.schema(df.schema).parquet(stage).count() if written else 0
+        if back != written:
+            raise OSError(f"{back} of {written} rows can be read back")
+        publish.put_in_place(spark, stage, path)
+    finally:
+        publish.remove(spark, stage)
     return spark.read.parquet(path)
 
 
+def geoparquet_report(spark: SparkSession, path: str) -> DataFrame:
+    """path, geometry, encoding, types, srid, crs_name, version and problem of each Parquet file at ``path``, from footers alone; a file without the entry has a problem."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", "geometry", "encoding", "types", "srid", "crs_name", "version", "problem"]
+        for b in batches:
+            rows = []
+            for p in b["path"]:
+                with cog.open_file(p) as f:
+                    meta = (pq.ParquetFile(f).schema_arrow.metadata or {}).get(b"geo")
+                if meta is None:
+                    rows.append((p, *[None] * 6, "no geo entry"))
+                    continue
+                geo = json.loads(meta)
+                column = geo["primary_column"]
+                about = geo["columns"][column]
+                crs = about.get("crs") or {}
+                srid = (crs.get("id") or {}).get("code")
+                problem = None if about["encoding"] == "WKB" else f"encoding {about['encoding']} is not read"
+                rows.append((p, column, about["encoding"], ",".join(sorted(about.get("geometry_types", []))), None if srid is None else int(srid), crs.get("name"), geo.get("version"), problem))
+            yield pd.DataFrame(rows, columns=names).astype({"srid": "Int64"})
+
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
+    return listed.mapInPandas(run, "path string, geometry string, encoding string, types string, srid long, crs_name string, version string, problem string")
+
+
+def read_geoparquet(spark: SparkSession, path: str, *, srid: int | None = None) -> DataFrame:
+    """The table of GeoParquet files at ``path`` with rings in place of the geometry; every file must name the same geometry column and reference system, and ``srid`` if given."""
+    from gridloom.contracts import require
+
+    kinds = geoparquet_report(spark, path).groupBy("geometry", "srid", "crs_name", "problem").agg({"path": "min"}).collect()
+    require(len(kinds) == 1, f"files at {path} differ: {sorted((str(k['geometry']), str(k['srid']), str(k['problem'])) for k in kinds)}")
+    require(kinds[0]["problem"] is None, f"files at {path}: {kinds[0]['problem']}")
+    require(srid is None or kinds[0]["srid"] == srid, f"the reference system is {kinds[0]['srid']}, not {srid}")
+    return with_rings(spark.read.parquet(path), geometry=kinds[0]["geometry"])
+
+
 def catalogue_search(items: DataFrame, box: tuple[float, float, float, float], *, gsd: int | None = None, ids: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """Catalogue items whose footprint (columns x0 ... y1) meets a box, by resolution and id; ordered by item_id."""
     x0, y0, x1, y1 = box

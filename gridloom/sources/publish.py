@@ -26,6 +26,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder if it is there."""
+    fs, p = _fs(spark, path)
+    if fs.exists(p):
+        fs.delete(p, True)
+
+
 def put_in_place(spark: SparkSession, stage: str, path: str) -> None:
     """Put ``stage`` at ``path``: what is there moves aside first and goes last, so that at every moment one of the two is whole."""
     fs, target = _fs(spark, path)

@@ -116,3 +116,62 @@ def test_datum_shift_there_and_back(spark):
     assert same == 0
     odd = spark.createDataFrame([(None, 1.0), (math.nan, 1.0)], "lon double, lat double")
     assert all(r["lon"] is None or math.isnan(r["lon"]) for r in geometry.shift_datum(odd, source=WGS72, target=WGS84, parameters={"tx": 1.0}).collect())
+
+
+def test_places_and_the_first_few(spark):
+    from gridloom.operators import stats
+
+    rng = random.Random(8)
+    rows = [(i, rng.randrange(20), None if i % 9 == 0 else rng.choice("abc")) for i in range(500)]
+    df = spark.createDataFrame(rows, "i int, v int, s string").repartition(7)
+    placed = stats.with_places(df, [F.desc("v"), F.asc_nulls_last("s"), F.col("i")])
+    want = sorted(rows, key=lambda r: (-r[1], r[2] is None, r[2] or "", r[0]))
+    assert [r["i"] for r in placed.orderBy("place").collect()] == [r[0] for r in want] and placed.agg(F.max("place")).first()[0] == 500
+    assert stats.with_places(df.limit(0), [F.col("i")]).count() == 0
+    counts = spark.createDataFrame([("a", 5), ("b", 9), (None, 9), ("c", 1), ("d", 2)], "s string, n int")
+    order = [F.desc("n"), F.asc_nulls_first("s")]
+    assert sorted(map(tuple, stats.top_with_other(counts, "s", k=2, order=order, sums=["n"]).collect()), key=str) == sorted([(None, 1, 9), ("b", 2, 9), ("Other", 3, 8)], key=str)
+    assert stats.top_with_other(counts, "s", k=9, order=order, sums=["n"]).count() == 5 and stats.top_with_other(counts.limit(0), "s", k=2, order=order, sums=["n"]).count() == 0
+
+
+def test_fits_tell_what_went_wrong(spark):
+    from pyspark.ml import Pipeline
+
+    from gridloom.operators import modeling
+
+    rng = random.Random(2)
+    rows = spark.createDataFrame([(f"c{i}", rng.random(), i % 3 == 0, i % 2) for i in range(120)], "cell_id string, x double, t boolean, fold int").withColumn("target", F.col("t").cast("int"))
+
+    def build(n):
+        stages = modeling.logistic_pipeline(n, continuous=["x"]).getStages()
+        return Pipeline(stages=[*stages[:-1], stages[-1].setMaxIter(1)])
+
+    _, m = modeling.run_saved_cv(rows, build, fold="fold", n_folds=2)
+    got = m.collect()
+    assert all(r["train_rows"] == 60 and r["fit_seconds"] > 0 and any("no convergence" in w for w in r["warnings"]) for r in got)
+    fine = modeling.run_saved_cv(rows, lambda n: modeling.logistic_pipeline(n, continuous=["x"]), fold="fold", n_folds=2)[1].collect()
+    assert all(r["warnings"] == [] for r in fine)
+
+
+def test_geoparquet_comes_back_as_rings(spark, tmp_path):
+    import os
+
+    from gridloom.sources import geo
+
+    ring = lambda x, s: [(x, 0.0), (x + s, 0.0), (x + s, s), (x, 0.0)]
+    df = spark.createDataFrame([(1, [ring(0.0, 4.0), ring(1.0, 1.0)]), (2, None), (3, [ring(9.0, 1.0)])], "id int, rings array<array<struct<x:double,y:double>>>").repartition(2)
+    path = f"file://{tmp_path}/g"
+    geo.write_geoparquet(geo.with_wkb(df), path)
+    back = geo.read_geoparquet(spark, path, srid=5070)
+    assert sorted((r["id"], r["rings"]) for r in back.collect()) == sorted((r["id"], r["rings"]) for r in df.collect())
+    report = geo.geoparquet_report(spark, path).collect()
+    assert len(report) == 2 and all((r["geometry"], r["srid"], r["encoding"], r["problem"]) == ("geometry", 5070, "WKB", None) for r in report)
+    with pytest.raises(ContractError):
+        geo.read_geoparquet(spark, path, srid=4326)
+    df.select("id").write.mode("append").parquet(path)
+    with pytest.raises(ContractError, match="differ"):
+        geo.read_geoparquet(spark, path)
+    broken = geo.with_wkb(df).withColumn("id", F.when(F.col("id") == 3, F.raise_error(F.lit("no"))).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="no"):
+        geo.write_geoparquet(broken, f"file://{tmp_path}/h")
+    assert not [n for n in os.listdir(tmp_path) if n.startswith("h")]
