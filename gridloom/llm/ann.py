@@ -19,6 +19,8 @@ from gridloom.llm.common import batches_of, staged
 
 #: Vectors in a block of candidates and of queries: a tile of 2048 x 512 floats is 4 MB.
 CANDIDATE_BLOCK, QUERY_BLOCK = 2048, 512
+#: Blocks of queries that one task holds at a time, and blocks of candidates that pass by them.
+QUERY_GROUP, CANDIDATE_GROUP = 48, 64
 BLOCK_SCHEMA = "dim int, n int, ids binary, vectors binary, quantised binary, scales binary, errors binary"
 
 
@@ -136,11 +138,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 5, vec_id: str =
     pack = lambda df, size: df.mapInArrow(lambda it: _blocks(it, size), BLOCK_SCHEMA)
     named = lambda df, p: df.select([F.col(c).alias(p + c) for c in df.columns])
     single = plain(queries).where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    # every query block goes to each of the groups of candidate blocks: tiles have a key, and no side is broadcast or crossed
-    groups = max(2, 2 * spark.sparkContext.defaultParallelism)
-    c = named(pack(plain(vectors), CANDIDATE_BLOCK), "c_").withColumn("grp", F.pmod(F.xxhash64("c_ids"), F.lit(groups)).cast("int"))
-    q = named(pack(single, QUERY_BLOCK), "q_").withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    tiles = c.join(q.hint("shuffle_hash"), (c["grp"] == q["grp"]) & (c["c_dim"] == q["q_dim"])).drop("grp")
+    # every group of query blocks meets every group of candidate blocks in a task of its own: tiles have a key, no side is broadcast or crossed, and both groups are
+    # of a bounded size, so a task's memory does not grow with the queries
+    groups = max(2, 2 * spark.sparkContext.defaultParallelism, -(-vectors.count() // (CANDIDATE_BLOCK * CANDIDATE_GROUP)))
+    parts = max(1, -(-single.count() // (QUERY_BLOCK * QUERY_GROUP)))
+    dealt = lambda df, ids, name, n: df.withColumn(name, F.pmod(F.xxhash64(ids), F.lit(n)).cast("int"))
+    copied = lambda df, name, n: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    c = copied(dealt(named(pack(plain(vectors), CANDIDATE_BLOCK), "c_"), "c_ids", "grp", groups), "part", parts)
+    q = copied(dealt(named(pack(single, QUERY_BLOCK), "q_"), "q_ids", "part", parts), "grp", groups)
+    tiles = c.join(q.hint("shuffle_hash"), (c["grp"] == q["grp"]) & (c["part"] == q["part"]) & (c["c_dim"] == q["q_dim"])).drop("grp", "part")
     with batches_of(spark, 16):
         found = staged(tiles.mapInArrow(lambda it: _tiles(it, k), "query_id long, vec_id long, score double"), "nearest-found")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pytest
 
 from gridloom.llm import ann, queries, url_filters
 
@@ -40,7 +41,10 @@ def test_url_filter_plan_is_native(spark, sf_dir):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow")) and "html" not in plan.split("== Physical Plan ==")[1]
 
 
-def test_nearest_equals_brute_force(spark):
+@pytest.mark.parametrize(("block", "group"), [(ann.QUERY_BLOCK, ann.QUERY_GROUP), (2, 1), (1, 2)])
+def test_nearest_equals_brute_force(spark, monkeypatch, block, group):
+    monkeypatch.setattr(ann, "QUERY_BLOCK", block)
+    monkeypatch.setattr(ann, "QUERY_GROUP", group)
     rng = np.random.default_rng(1)
     base = rng.normal(size=(300, 8)).astype(np.float32)
     base[200:260] = base[10]  # ties by the dozen
