@@ -28,8 +28,9 @@ def ranking_metrics(rows: DataFrame, *, target: str = "target", probability: str
     """
     by = list(by)
     s = _scores(rows, target, probability, by)
-    # ranges of scores keep a window from taking all distinct scores into one task
-    s = s.withColumn("_b", F.floor(F.col("_p") * 256).cast("long"))
+    # ranges of about as many distinct scores each keep a window from taking them all into one task; their ends are one row of 255 numbers
+    cuts = s.agg(F.percentile_approx("_p", [i / 256 for i in range(1, 256)], 10_000).alias("_cuts"))
+    s = s.join(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_p"))).cast("long")).drop("_cuts")
     totals = s.groupBy(*by, "_b").agg(F.sum("_tp").alias("_btp"), F.sum("_n").alias("_bn"))
     wb = Window.partitionBy(*by).orderBy(F.desc("_b"))
     run = lambda c: F.sum(c).over(wb) - F.col(c)

@@ -659,16 +659,21 @@ def masked_raster(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("partial_support", """
-WITH z AS (SELECT p_partkey AS key, p_partkey % 50 AS c, p_partkey // 50 AS r FROM part WHERE p_partkey % 3 = 0),
-q AS (SELECT z.key, g.p_size FROM z, range(4) a(i), range(4) b(j) LEFT JOIN part g ON g.p_partkey = (z.r * 4 + a.i) // 4 * 50 + (z.c * 4 + b.j) // 4)
-SELECT key, CAST(count(*) FILTER (WHERE p_size <= 10) AS BIGINT) AS source_nodata, CAST(count(*) FILTER (WHERE p_size IS NULL) AS BIGINT) AS unsupported, count(*) FILTER (WHERE p_size IS NULL) = 0 AND count(*) FILTER (WHERE p_size <= 10) = 16 AS agrees FROM q GROUP BY key""", base=False)
+WITH z AS (SELECT DISTINCT p_partkey // 50 // 2 AS r, p_partkey % 50 // 2 AS c FROM part),
+q AS (SELECT z.r * 25 + z.c AS key, g.p_size FROM z, range(4) a(i), range(4) b(j) LEFT JOIN part g ON g.p_partkey = (z.r * 2 + a.i // 2) * 50 + z.c * 2 + b.j // 2),
+n AS (SELECT key, count(*) FILTER (WHERE p_size > 10) AS valid, count(*) FILTER (WHERE p_size <= 10) AS gaps, count(*) FILTER (WHERE p_size IS NULL) AS away FROM q GROUP BY key)
+SELECT key, gaps AS source_nodata, away AS unsupported, away = 0 AND gaps = 16 - valid AS agrees FROM n WHERE valid < 16""", base=False)
 def partial_support(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the gaps of partly covered zones are gaps of the source."""
+    """Zones of 2 x 2 native pixels sampled at 16 points: whether the gaps of those not wholly covered, as their plurality counts them, are gaps of the source."""
     part = table(spark, d, "part")
     native = part.select(F.expr("p_partkey div 50").alias("row"), (F.col("p_partkey") % 50).alias("col"), F.when(F.col("p_size") <= 10, -9999).otherwise(F.col("p_size")).alias("value"))
-    k = F.col("p_partkey")
-    zones = part.where("p_partkey % 3 = 0").select(k.alias("key"), (k % 50 * 1000).alias("x0"), (-F.expr("p_partkey div 50") * 1000).alias("y1"), F.lit(16).alias("total_positions"), F.lit(0).alias("valid_sample_count"), F.lit(16).alias("nodata_sample_count"))
-    return raster.partial_support(zones, native, key="key", side=4, step=250.0, origin=(0.0, 0.0), pixel=1000.0, nodata=-9999)
+    zones = native.select(F.expr("row div 2").alias("r"), F.expr("col div 2").alias("c")).distinct().select((F.col("r") * 25 + F.col("c")).alias("key"), (F.col("c") * 2000).alias("x0"), (-F.col("r") * 2000).alias("y1"))
+    spots = F.sequence(F.lit(0), F.lit(3))
+    at = zones.withColumn("i", F.explode(spots)).withColumn("j", F.explode(spots))
+    at = at.select("key", F.expr("(i * 500 + 250 - y1) div 1000").alias("row"), F.expr("(x0 + j * 500 + 250) div 1000").alias("col"))
+    sampled = at.join(native, ["row", "col"], "left").select("key", "value")
+    counts = raster.plurality(sampled, ["key"], "value", nodata=-9999).select("key", "total_positions", "valid_sample_count", "nodata_sample_count")
+    return raster.partial_support(zones.join(counts, "key"), native, key="key", side=4, step=500.0, origin=(0.0, 0.0), pixel=1000.0, nodata=-9999)
 
 
 @query("plurality_contract", """SELECT CAST(0 AS BIGINT) AS positions, CAST(0 AS BIGINT) AS coverage, count(*) FILTER (WHERE key % 10 = 3 AND valid > 0) AS winner, CAST(0 AS BIGINT) AS class, CAST(0 AS BIGINT) AS ties FROM plur""")
