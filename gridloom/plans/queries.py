@@ -15,7 +15,7 @@ from gridloom.operators import coverage, geometry, joins, lattice, modeling, pol
 from gridloom.plans import adapters
 from gridloom.plans.adapters import BLOCK, SIDE, table
 from gridloom.session import cut, shared_folder
-from gridloom.sources import cog, geo, tiff
+from gridloom.sources import catalogue, cog, geo, publish, tiff
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -826,6 +826,153 @@ def native_windows(spark: SparkSession, d: str) -> DataFrame:
     return windows.select("batch_id", "row_off", "col_off", "height", "width", "wx0", "wy0", "wx1", "wy1")
 
 
+@query("lattice_index", """SELECT key, CAST(999 - "row" AS INTEGER) AS row_index, CAST(col + 10 AS INTEGER) AS column_index FROM cell""")
+def lattice_index(spark: SparkSession, d: str) -> DataFrame:
+    """Rows from the north and columns from the west of a lattice larger than the cells, by their centres."""
+    whole = lattice.Extent(-10.0 * SIDE, 0.0, 100.0 * SIDE, 1000.0 * SIDE, float(SIDE))
+    return lattice.lattice_index(adapters.cells(spark, d).select("key", "x", "y"), whole).select("key", "row_index", "column_index")
+
+
+@query("rasterised_cells", """SELECT CAST(999 - "row" AS INTEGER) AS "row", CAST(col AS INTEGER) AS col, burned_fraction FROM frac""")
+def rasterised_cells(spark: SparkSession, d: str) -> DataFrame:
+    c = adapters.cells(spark, d)
+    burned = geometry.burned_fraction(c.select("cell_id", "x0", "y0", "x1", "y1"), adapters.fires(spark, d), size=4.0 * SIDE)
+    return raster.rasterise(c.join(burned, "cell_id"), x0=0.0, y1=1000.0 * SIDE, cell=float(SIDE), value="burned_fraction")
+
+
+@query("item_stack", """
+SELECT item - 1 AS item, count(*) AS pixels, CAST(sum(band2) AS DOUBLE) AS total FROM sample JOIN cell USING (key) WHERE item <= 3 GROUP BY item""")
+def item_stack(spark: SparkSession, d: str) -> DataFrame:
+    """Rasters of three items on one lattice as one table, in order."""
+    s = adapters.samples(spark, d).join(adapters.cells(spark, d).select("key", "row", "col"), "key")
+    stack = raster.stack_items([s.where(F.col("item") == i).select("row", "col", F.col("band2").alias("value")) for i in (1, 2, 3)])
+    return stack.groupBy(F.col("item").cast("long").alias("item")).agg(F.count("*").alias("pixels"), F.sum("value").alias("total"))
+
+
+@query("ring_centroids", """SELECT fire_id, CAST(x0 + x1 AS DOUBLE) / 2 AS x, CAST(y0 + y1 AS DOUBLE) / 2 AS y FROM fire""")
+def ring_centroids(spark: SparkSession, d: str) -> DataFrame:
+    shell = adapters.polygons(spark, d).select("fire_id", geometry.ring_centroid(F.col("rings")[2]).alias("c"))
+    return shell.select("fire_id", F.round("c.x", 6).alias("x"), F.round("c.y", 6).alias("y"))
+
+
+_E2 = 2 / 298.257222101 - (1 / 298.257222101) ** 2
+_Q = lambda s: f"((1 - {_E2!r}) * ({s} / (1 - {_E2!r} * {s} * {s}) - ln((1 - {_E2**0.5!r} * {s}) / (1 + {_E2**0.5!r} * {s})) / (2 * {_E2**0.5!r})))"
+_M2 = lambda s: f"((1 - {s} * {s}) / (1 - {_E2!r} * {s} * {s}))"
+
+
+@query("projection_there_and_back", f"""
+, g AS (SELECT key, -106.5 + col * 0.07 AS lon, 31.5 + ("row" % 600) * 0.009 AS lat FROM cell),
+k AS (SELECT sin(radians(29.5)) AS s1, sin(radians(45.5)) AS s2, sin(radians(23.0)) AS s0),
+n AS (SELECT *, ({_M2('s1')} - {_M2('s2')}) / ({_Q('s2')} - {_Q('s1')}) AS n FROM k),
+c AS (SELECT *, {_M2('s1')} + n * {_Q('s1')} AS c FROM n),
+p AS (SELECT g.*, c.n, 6378137.0 * sqrt(c.c - c.n * {_Q('sin(radians(lat))')}) / c.n AS rho, 6378137.0 * sqrt(c.c - c.n * {_Q('s0')}) / c.n AS rho0, c.n * radians(lon + 96.0) AS theta FROM g, c)
+SELECT key, round(rho * sin(theta), 4) AS x, round(rho0 - rho * cos(theta), 4) AS y, round(lon, 9) AS lon, round(lat, 9) AS lat FROM p""")
+def projection_there_and_back(spark: SparkSession, d: str) -> DataFrame:
+    """Geographic points projected to Albers, and what the inverse makes of that."""
+    g = adapters.cells(spark, d).select("key", (-106.5 + F.col("col") * 0.07).alias("lon0"), (31.5 + (F.col("row") % 600) * 0.009).alias("lat0"))
+    x, y = geometry.albers(F.col("lon0"), F.col("lat0"))
+    p = g.select("key", x.alias("x"), y.alias("y"))
+    lon, lat = geometry.albers_inverse(F.col("x"), F.col("y"))
+    return p.select("key", r6("x", 4), r6("y", 4), F.round(lon, 9).alias("lon"), F.round(lat, 9).alias("lat"))
+
+
+@query("class_inventory", """
+, c AS (SELECT key, class, count(*) AS n FROM sample WHERE class <> -9999 GROUP BY ALL)
+SELECT key, string_agg(class || ':' || n, ',' ORDER BY class) AS classes FROM c GROUP BY key""")
+def class_inventory(spark: SparkSession, d: str) -> DataFrame:
+    """The classes of each zone with their counts, as text."""
+    held = adapters.samples(spark, d).where("class <> -9999").groupBy("key").agg(F.collect_list("class").alias("all"))
+    return held.select("key", F.array_join(F.transform(scalar.class_counts("all"), lambda c: F.concat_ws(":", c["value"].cast("string"), c["n"].cast("string"))), ",").alias("classes"))
+
+
+@query("label_contract", """
+SELECT target, CAST(count(*) AS BIGINT) AS rows, count(*) FILTER (WHERE key % 11 = 4) AS violations FROM lab GROUP BY target""")
+def label_contract(spark: SparkSession, d: str) -> DataFrame:
+    """Labels that do not follow from their fraction, where every eleventh was turned round; the untouched ones are proven to follow first."""
+    rows = cut(adapters.labelled(spark, d).select("key", "target", "burned_fraction"))
+    contracts.require(rows.agg(contracts.label_violations(rows, "burned_fraction", "target")).first()[0] == 0, "a label does not follow from its fraction")
+    turned = rows.withColumn("given", F.when(F.col("key") % 11 == 4, 1 - F.col("target")).otherwise(F.col("target")))
+    return turned.groupBy("target").agg(F.count("*").alias("rows"), contracts.label_violations(turned, "burned_fraction", "given").alias("violations"))
+
+
+@query("frozen_design", f"""{_STEP_SQL}
+, last AS (SELECT max(block_col) AS c FROM blk)
+SELECT CASE WHEN l.block_col = last.c THEN 'final_test' ELSE 'train' END AS split, CASE WHEN l.block_col = last.c THEN NULL ELSE l.block_row % 2 END AS fold, count(*) AS rows, CAST(sum(target) AS BIGINT) AS positives, count(DISTINCT spatial_block_id) AS blocks
+FROM lab l, last GROUP BY ALL""")
+def frozen_design(spark: SparkSession, d: str) -> DataFrame:
+    """The easternmost column of blocks held out and folds of block rows saved: the frozen design is checked against its approved figures, the split against its contract, then counted."""
+    cells = cut(adapters.labelled(spark, d).select("cell_id", "target", "spatial_block_id", "block_row", "block_col"))
+    last = cells.agg(F.max("block_col")).first()[0]
+    fold = F.when(F.col("block_col") < last, F.col("block_row") % 2).cast("int")
+    design = cut(spatial.freeze_holdout(cells, F.col("block_col") == last).withColumn("fold", fold))
+    held = cells.where(F.col("block_col") == last).agg(F.count("*").alias("n"), F.sum("target").alias("p"), F.count_distinct("spatial_block_id").alias("b"), F.min("block_row").alias("low"), F.max("block_row").alias("high")).first()
+    spatial.check_frozen_holdout(
+        design, anchor=(0.0, 0.0), approved=(0.0, 0.0), rows=held["n"], positives=held["p"], blocks=held["b"], all_blocks=cells.select("spatial_block_id").distinct().count(), extent=(last, last, held["low"], held["high"])
+    )
+    contracts.require(contracts.constant_report(design, "spatial_block_id", "split").isEmpty(), "a block is on both sides")
+    contracts.check_preserved(cells, design, ["cell_id", "target"])
+    contracts.check_disjoint(design.where("split = 'train'"), design.where("split = 'final_test'"), "cell_id")
+    return design.groupBy("split", F.col("fold").cast("long").alias("fold")).agg(F.count("*").alias("rows"), F.sum("target").alias("positives"), F.count_distinct("spatial_block_id").alias("blocks"))
+
+
+@query("catalogue_search", """
+, third AS (SELECT *, (x1 - x0) // 3 AS w, (y1 - y0) // 3 AS h FROM fire), sq AS (SELECT cell_id, x0 + 450 AS a0, y0 + 450 AS b0, x0 + 550 AS a1, y0 + 550 AS b1 FROM cell)
+SELECT s.cell_id, 'fire_' || f.fire_id AS item_id, 'https://example.org/' || f.fire_id AS href FROM third f JOIN sq s ON f.fire_id % 2 = 0 AND
+  ((s.a0 <= f.x1 AND f.x0 <= s.a1 AND s.b0 <= f.y1 AND f.y0 <= s.b1 AND NOT (s.a0 > f.x0 + f.w AND s.a1 < f.x0 + 2 * f.w AND s.b0 > f.y0 + f.h AND s.b1 < f.y0 + 2 * f.h))
+  OR (s.a0 <= f.x1 + 150 + f.w AND f.x1 + 150 <= s.a1 AND s.b0 <= f.y0 + f.h AND f.y0 <= s.b1))""")
+def catalogue_search(spark: SparkSession, d: str) -> DataFrame:
+    """Fires as catalogue items (GeoJSON, an item a line), those of 10 m searched by the middle tenth of each cell."""
+    plain = lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"]))
+    r = F.col("rings")
+    shape = F.struct(F.lit("MultiPolygon").alias("type"), F.array(F.array(plain(r[0])), F.array(plain(r[2]), plain(r[1]))).alias("coordinates"))
+    name = F.concat(F.lit("fire_"), F.col("fire_id").cast("string"))
+    asset = F.struct(F.struct(F.concat(F.lit("https://example.org/"), F.col("fire_id").cast("string")).alias("href")).alias("data"))
+    gsd = F.struct(F.when(F.col("fire_id") % 2 == 0, 10).otherwise(30).alias("gsd"))
+    folder = shared_folder(spark, "items")
+    adapters.polygons(spark, d).select(F.lit("Feature").alias("type"), name.alias("id"), shape.alias("geometry"), gsd.alias("properties"), asset.alias("assets")).write.json(folder)
+    x0, y0 = F.col("x0") + 450, F.col("y0") + 450
+    areas = adapters.cells(spark, d).select("cell_id", F.array(adapters.box_ring(x0, y0, x0 + 100, y0 + 100)).alias("rings"))
+    found = catalogue.search(catalogue.read_items(spark, folder, lines=True), areas, area_id="cell_id", gsd=10, size=float(SIDE))
+    return found.select("cell_id", "item_id", F.col("assets")["data"].alias("href"))
+
+
+@query("resumed_batches", """SELECT 'b' || (key % 8) AS batch_id, count(*) AS n, CAST(sum(band2) AS DOUBLE) AS total FROM sample GROUP BY 1""")
+def resumed_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of zones: a first run computes some, one of them with a wrong sum; the second finds that one invalid, computes it again with the rest, and reuses the others."""
+    s = adapters.samples(spark, d).withColumn("batch_id", F.concat(F.lit("b"), (F.col("key") % 8).cast("string")))
+    plan, path = s.select("batch_id").distinct(), shared_folder(spark, "batches")
+    compute = lambda todo: s.join(todo, "batch_id", "left_semi").groupBy("batch_id").agg(F.count("*").alias("n"), F.sum("band2").alias("total"))
+    wrong = lambda todo: compute(todo).withColumn("total", F.when(F.col("batch_id") == "b2", -1.0).otherwise(F.col("total")))
+    publish.resume_batches(spark, plan.where("batch_id < 'b5'"), wrong, path, version="1")
+    return publish.resume_batches(spark, plan, compute, path, version="1", invalid=lambda rows: rows.where("total < 0").select("batch_id"))
+
+
+#: Ellipsoids (axis, flattening) and parameters of the datum query; its SQL turns about one axis after the other.
+_DATUM = {"source": (6378206.4, 1 / 294.978698214), "target": (6378137.0, 1 / 298.257222101), "parameters": {"tx": -8.0, "ty": 160.0, "tz": 176.0, "rx": 0.1, "ry": -0.2, "rz": 0.3, "ds": 1.5}}
+_A0, _F0 = _DATUM["source"]
+_A1, _F1 = _DATUM["target"]
+_S0, _S1 = 2 * _F0 - _F0**2, 2 * _F1 - _F1**2
+_LAT = f"atan2(z + {_S1 / (1 - _S1) * _A1 * (1 - _F1)!r} * sin(beta) ** 3, hypot - {_S1 * _A1!r} * cos(beta) ** 3)"
+
+
+@query("datum_shift", f"""
+, g AS (SELECT key, -106.5 + col * 0.07 AS lon, 31.5 + ("row" % 600) * 0.009 AS lat FROM cell),
+t AS (SELECT *, {_A0!r} / sqrt(1 - {_S0!r} * sin(radians(lat)) * sin(radians(lat))) AS n FROM g),
+e AS (SELECT *, (n + 1500) * cos(radians(lat)) * cos(radians(lon)) AS x, (n + 1500) * cos(radians(lat)) * sin(radians(lon)) AS y, (n * (1 - {_S0!r}) + 1500) * sin(radians(lat)) AS z, radians(0.1 / 3600) AS rx, radians(-0.2 / 3600) AS ry, radians(0.3 / 3600) AS rz FROM t),
+a AS (SELECT key, lon, lat, x, ry, rz, y * cos(rx) - z * sin(rx) AS y, y * sin(rx) + z * cos(rx) AS z FROM e),
+b AS (SELECT key, lon, lat, rz, x * cos(ry) + z * sin(ry) AS x, y, z * cos(ry) - x * sin(ry) AS z FROM a),
+c AS (SELECT key, lon, lat, (x * cos(rz) - y * sin(rz)) * 1.0000015 - 8 AS x, (x * sin(rz) + y * cos(rz)) * 1.0000015 + 160 AS y, z * 1.0000015 + 176 AS z FROM b),
+b0 AS (SELECT *, sqrt(x * x + y * y) AS hypot, atan2(z * {_A1!r}, sqrt(x * x + y * y) * {_A1 * (1 - _F1)!r}) AS beta FROM c),
+b1 AS (SELECT * REPLACE (atan2({1 - _F1!r} * sin({_LAT}), cos({_LAT})) AS beta) FROM b0), b2 AS (SELECT * REPLACE (atan2({1 - _F1!r} * sin({_LAT}), cos({_LAT})) AS beta) FROM b1), b3 AS (SELECT * REPLACE (atan2({1 - _F1!r} * sin({_LAT}), cos({_LAT})) AS beta) FROM b2)
+SELECT key, round(degrees(atan2(y, x)), 8) AS lon_there, round(degrees({_LAT}), 8) AS lat_there, round(lon, 8) AS lon_back, round(lat, 8) AS lat_back FROM b3""")
+def datum_shift(spark: SparkSession, d: str) -> DataFrame:
+    """Geographic points moved to another datum, and what the way back makes of that."""
+    g = adapters.cells(spark, d).select("key", (-106.5 + F.col("col") * 0.07).alias("lon"), (31.5 + (F.col("row") % 600) * 0.009).alias("lat"), F.lit(1500.0).alias("h"))
+    there = geometry.shift_datum(g, **_DATUM, height="h").withColumns({"lon_there": F.col("lon"), "lat_there": F.col("lat")})
+    back = geometry.shift_datum(there, **_DATUM, height="h", back=True)
+    return back.select("key", r6("lon_there", 8), r6("lat_there", 8), F.round("lon", 8).alias("lon_back"), F.round("lat", 8).alias("lat_back"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -1,6 +1,6 @@
 """Catalogue items as a Spark data source, and their search by geometry.
 
-``spark.read.format("catalogue")`` after ``register(spark)``, or ``read_items``, reads GeoJSON items: a file of one item, of a FeatureCollection, or of an item a
+``spark.read.format("catalogue")`` (options ``path`` or ``paths``, ``split``, ``lines``, ``pushdown``) after ``register(spark)``, or ``read_items``, reads GeoJSON items: a file of one item, of a FeatureCollection, or of an item a
 line. Files of lines are read in byte ranges, each by its own task. Comparisons of item_id, collection, gsd and bounds are tested on the parsed item before a
 row is made, where the session pushes filters.
 """
@@ -87,6 +87,7 @@ class ItemRange(InputPartition):
 class ItemReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.paths, self.split = json.loads(options["paths"]) if options.get("paths") else [options["path"]], int(options.get("split", SPLIT))
+        self.lines = options.get("lines") == "true"
         self.tests: list[tuple[str, type, object]] = []
 
     def partitions(self) -> list[InputPartition]:
@@ -98,7 +99,7 @@ class ItemReader(DataSourceReader):
             prefix = path[: -len(inner)] if path.endswith(inner) else ""
             for f in files:
                 name = prefix + f.path
-                if f.base_name.endswith((".ndjson", ".jsonl")):
+                if self.lines or f.base_name.endswith((".ndjson", ".jsonl")):
                     out += [ItemRange(name, at, min(at + self.split, f.size)) for at in range(0, f.size, self.split)]
                 else:
                     out.append(ItemRange(name, 0, None))
@@ -168,10 +169,13 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(ItemSource)
 
 
-def read_items(spark: SparkSession, paths: str | Sequence[str], *, split: int = SPLIT) -> DataFrame:
-    """The items of files and folders: ids, bounds, footprints (rings), hrefs of assets by name, and all properties as JSON. What is no item is an error."""
+def read_items(spark: SparkSession, paths: str | Sequence[str], *, split: int = SPLIT, lines: bool = False) -> DataFrame:
+    """The items of files and folders: ids, bounds, footprints (rings), hrefs of assets by name, and all properties as JSON. What is no item is an error.
+
+    Files called .ndjson or .jsonl, or all with ``lines``, have an item a line.
+    """
     register(spark)
-    return spark.read.format("catalogue").options(paths=json.dumps([paths] if isinstance(paths, str) else list(paths)), split=split, pushdown=spark.conf.get(PUSHDOWN, "false")).load()
+    return spark.read.format("catalogue").options(paths=json.dumps([paths] if isinstance(paths, str) else list(paths)), split=split, lines=str(lines).lower(), pushdown=spark.conf.get(PUSHDOWN, "false")).load()
 
 
 def search(items: DataFrame, areas: DataFrame, *, area_id: str, gsd: float | None = None, ids: Sequence[str] | None = None, size: float | None = None) -> DataFrame:
