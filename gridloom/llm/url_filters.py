@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: The end of an interval that nothing closes.
 FOREVER = "9999-12-31"
-#: Parts that the captures of one host are dealt into.
-SALT = 32
+#: Parts that the captures of one host, and the hosts under one parent domain, are dealt into.
+SALT, PARENT_SALT = 32, 8
 
 
 def host_of(url: Column) -> Column:
@@ -54,7 +54,10 @@ def host_timelines(hosts: DataFrame, intervals: DataFrame) -> DataFrame:
 
     Of the entries active in a segment the longest key wins, then the latest valid_from, then the largest list_name.
     """
-    active = hosts.select("host", F.explode(host_suffixes(F.col("host"))).alias("key")).join(intervals, "key")
+    # one parent domain may have a third of all hosts: its intervals are repeated so that its hosts spread over PARENT_SALT tasks
+    keys = hosts.select("host", F.explode(host_suffixes(F.col("host"))).alias("key"), F.pmod(F.xxhash64("host"), F.lit(PARENT_SALT)).cast("int").alias("_part"))
+    spread = intervals.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARENT_SALT - 1))))
+    active = keys.join(spread, ["key", "_part"]).drop("_part")
     points = active.select("host", F.explode(F.array("valid_from", "valid_to")).alias("seg_from")).distinct()
     ends = points.withColumn("seg_to", F.lead("seg_from").over(Window.partitionBy("host").orderBy("seg_from"))).where("seg_to IS NOT NULL")
     covering = ends.join(active, "host").where("valid_from <= seg_from AND seg_from < valid_to")
