@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import small_batches, staged, unused, without
+from gridloom.llm.common import batches_of, small_batches, staged, unused, without
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: Members of a bucket whose pairs are compared; a larger bucket is masked again.
@@ -128,13 +128,13 @@ def links(fps: DataFrame, *, radius: int = RADIUS, bucket: int = BUCKET) -> Data
     todo = fps.select(F.lit(-1).cast("long").alias("free"), "fp")
     found = None
     while True:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-        masked = todo.mapInArrow(lambda it: _mask_again(it, radius), "free long, key long, fp long")
-        masked = staged(masked.distinct() if found is not None else masked, "simhash-masked")
-        sizes = masked.groupBy("free", "key").agg(F.count("*").alias("size")).where("size > 1")
-        shared = staged(masked.join(sizes, ["free", "key"]), "simhash-buckets")
-        small = shared.where(F.col("size") <= bucket).select("free", "key", "fp").repartition(n, "free", "key").sortWithinPartitions("free", "key")
-        new = small.mapInArrow(lambda it: _links(it, radius), "u long, v long")
+        with batches_of(spark, 10_000):  # fingerprints are short; the session's own batches are for whole texts
+            masked = todo.mapInArrow(lambda it: _mask_again(it, radius), "free long, key long, fp long")
+            masked = staged(masked.distinct() if found is not None else masked, "simhash-masked")
+            sizes = masked.groupBy("free", "key").agg(F.count("*").alias("size")).where("size > 1")
+            shared = staged(masked.join(sizes, ["free", "key"]), "simhash-buckets")
+            small = shared.where(F.col("size") <= bucket).select("free", "key", "fp").repartition(n, "free", "key").sortWithinPartitions("free", "key")
+            new = staged(small.mapInArrow(lambda it: _links(it, radius), "u long, v long"), "simhash-links")
         found = new if found is None else found.unionByName(new)
         todo = shared.where(F.col("size") > bucket).select("free", "fp").distinct()
         if todo.isEmpty():

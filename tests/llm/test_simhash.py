@@ -120,3 +120,15 @@ def test_fingerprint_matches_slow():
     for n in (1, 2, 3, 4, 50):
         t = " ".join("Wörd" + str(x) for x in rng.integers(0, 30, n))
         assert simhash.fingerprint(t) == slow_fingerprint(t)
+
+
+def test_links_leave_the_session_as_it_was(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "77")
+    try:
+        found = simhash.links(spark.createDataFrame([(0,), (1,), (3,), (-1,)], "fp long"))
+        assert spark.conf.get(name) == "77"
+        assert {frozenset(r) for r in found.collect()} <= {frozenset(x) for x in ((0, 1), (0, 3), (1, 3))}
+    finally:
+        spark.conf.set(name, before)
