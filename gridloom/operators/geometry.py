@@ -217,7 +217,9 @@ def clip_ring(ring: np.ndarray, box: tuple[float, float, float, float]) -> np.nd
             a, b = points[i - 1], points[i]
             if inside[i] != inside[i - 1]:
                 t = (limit - a[axis]) / (b[axis] - a[axis])
-                out.append(a + t * (b - a))
+                p = a + t * (b - a)
+                p[axis] = limit  # the product may miss it by its last bits
+                out.append(p)
             if inside[i]:
                 out.append(b)
         points = np.array(out) if out else np.empty((0, 2))
@@ -252,6 +254,8 @@ def union_area(polygons: list[list[np.ndarray]]) -> float:
     left, right = np.minimum(ax, bx), np.maximum(ax, bx)
     for lo, hi in zip(xs, xs[1:], strict=False):
         mid = (lo + hi) / 2
+        if not lo < mid < hi:  # a slab between neighbouring doubles has no middle, and no area
+            continue
         on = np.flatnonzero((left < mid) & (mid < right))
         y = ay[on] + (mid - ax[on]) / dx[on] * dy[on]
         order = np.lexsort([y, owner[on]])

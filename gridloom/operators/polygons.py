@@ -317,6 +317,8 @@ def difference_pieces(minuend: list[np.ndarray], others: list[list[np.ndarray]])
     for lo, hi in zip(xs, xs[1:], strict=False):
         mid = (lo + hi) / 2
         on = np.flatnonzero((left < mid) & (mid < right))
+        if not lo < mid < hi:  # a slab between neighbouring doubles has no middle: what is open stays so
+            continue
         y = ay[on] + (mid - ax[on]) / dx[on] * dy[on]
         now = set(_spans(on[np.lexsort([owner[on], y])], owner, 0))
         for pair in [p for p in open_pieces if p not in now]:
