@@ -183,7 +183,8 @@ def coverage_arcs(polygons: DataFrame, *, key: str) -> DataFrame:
     end = lambda c: per.select(F.col(f"{c}x").alias("x"), F.col(f"{c}y").alias("y"), "pair")
     node = end("a").unionByName(end("b")).groupBy("x", "y").agg(((F.count("*") != 2) | (F.min("pair") != F.max("pair"))).alias("node"))
     of = lambda c: node.select(F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y"), F.col("node").alias(f"{c}_node"))
-    return per.join(of("a"), ["ax", "ay"]).join(of("b"), ["bx", "by"]).repartition("pair").sortWithinPartitions("pair").mapInArrow(_pairs_to_arcs, _ARCS)
+    # edges, points and arcs are many times what Spark takes the polygons for: no join here may broadcast a side on that estimate
+    return per.join(of("a").hint("merge"), ["ax", "ay"]).join(of("b").hint("merge"), ["bx", "by"]).repartition("pair").sortWithinPartitions("pair").mapInArrow(_pairs_to_arcs, _ARCS)
 
 
 def simplify_coverage(polygons: DataFrame, *, key: str, tolerance: float, size: float | None = None) -> DataFrame:
@@ -212,8 +213,8 @@ def simplify_coverage(polygons: DataFrame, *, key: str, tolerance: float, size:
     reach = arcs.where("size(points) > 2").select("arc", "points").mapInArrow(squares, "arc string, i long, j long")
     point = arcs.select(F.explode("points").alias("p")).select("p.x", "p.y").distinct()
     placed = point.select("x", "y", F.floor(F.col("x") / size).alias("i"), F.floor(F.col("y") / size).alias("j"))
-    known = reach.join(placed.groupBy("i", "j").agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys")), ["i", "j"], "left").groupBy("arc").agg(F.collect_list(F.struct("i", "j", "xs", "ys")).alias("around"))
-    ready = arcs.join(beside, "ends").join(known, "arc", "left").select("points", "owners", "loop", "alike", "around")
+    known = reach.join(placed.groupBy("i", "j").agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys")).hint("merge"), ["i", "j"], "left").groupBy("arc").agg(F.collect_list(F.struct("i", "j", "xs", "ys")).alias("around"))
+    ready = arcs.join(beside.hint("merge"), "ends").join(known.hint("merge"), "arc", "left").select("points", "owners", "loop", "alike", "around")
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in batches:
@@ -235,5 +236,5 @@ def simplify_coverage(polygons: DataFrame, *, key: str, tolerance: float, size:
     ring = ring.select("key", "ring_no", joined.alias("open")).select("key", "ring_no", F.concat("open", F.slice("open", 1, 1)).alias("ring"))
     whole = ring.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("ring_no", "ring"))), lambda r: r["ring"]).cast(PIECES).alias("_rings"))
     whole = whole.select(F.col("key").alias("_key"), "_rings")
-    out = polygons.select(key, "rings").join(whole, F.col(key).cast("string") == F.col("_key"), "left")
+    out = polygons.select(key, "rings").join(whole.hint("merge"), F.col(key).cast("string") == F.col("_key"), "left")
     return out.select(key, F.when(F.col("rings").isNotNull(), F.coalesce("_rings", "rings")).alias("rings"))

@@ -303,7 +303,7 @@ def burned_by_polygons(cells: DataFrame, fires: DataFrame, *, key: str = "cell_i
     """As ``burned_fraction`` for fires given as polygons with parts and holes (column rings)."""
     area = box_area(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).cast("double")
     burned = polygon_cover(cells, fires.where("rings IS NOT NULL"), key=key, size=size)
-    out = cells.select(key, area.alias("_area")).join(burned, key, "left").withColumn("burned_area_m2", F.coalesce("covered_area", F.lit(0.0)))
+    out = cells.select(key, area.alias("_area")).join(burned.hint("merge"), key, "left").withColumn("burned_area_m2", F.coalesce("covered_area", F.lit(0.0)))
     return out.select(key, "burned_area_m2", F.least(F.col("burned_area_m2") / F.col("_area"), F.lit(1.0)).alias("burned_fraction"))
 
 

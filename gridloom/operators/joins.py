@@ -134,4 +134,5 @@ def box_join(left: DataFrame, right: DataFrame, *, size: float, buffer: float =
     b = right.withColumn("_i", F.explode(squares(F.col("r_x0"), F.col("r_x1")))).withColumn("_j", F.explode(squares(F.col("r_y0"), F.col("r_y1"))))
     touch = (x0 <= F.col("r_x1")) & (F.col("r_x0") <= x1) & (y0 <= F.col("r_y1")) & (F.col("r_y0") <= y1)
     first: Column = (F.col("_i") == F.floor(F.greatest(x0, F.col("r_x0")) / size)) & (F.col("_j") == F.floor(F.greatest(y0, F.col("r_y0")) / size))
-    return a.join(b, ["_i", "_j"]).where(touch & first).drop("_i", "_j")
+    # the squares are many times what Spark takes the boxes for, so neither side may be broadcast on that estimate
+    return a.join(b.hint("merge"), ["_i", "_j"]).where(touch & first).drop("_i", "_j")

@@ -57,7 +57,7 @@ def _held(inner: DataFrame, inner_key: str, outer: DataFrame, outer_key: str, si
     e = e.withColumn("band", F.explode(F.sequence(band(F.least("ay", "by")), band(F.greatest("ay", "by")))))
     cross = (F.col("bx") - F.col("ax")) * (F.col("py") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("px") - F.col("ax"))
     east = ((F.col("ay") > F.col("py")) != (F.col("by") > F.col("py"))) & F.when(F.col("by") > F.col("ay"), cross > 0).otherwise(cross < 0)
-    odd = near.join(e, ["out_key", "band"]).groupBy("in_key", "ring_no", "out_key").agg(F.count_if(east).alias("n")).where("n % 2 = 1")
+    odd = near.join(e.hint("merge"), ["out_key", "band"]).groupBy("in_key", "ring_no", "out_key").agg(F.count_if(east).alias("n")).where("n % 2 = 1")
     return odd.select(F.col("in_key").alias(inner_key), F.col("out_key").alias(outer_key)).distinct()
 
 
@@ -71,7 +71,8 @@ def polygon_join(left: DataFrame, right: DataFrame, *, left_key: str, right_key:
     own = lambda df, key: df.where("rings IS NOT NULL AND size(rings) > 0").select(key, F.filter("rings", lambda r: F.size(r) > 1).alias("rings")).where("size(rings) > 0")
     a, b = own(left, left_key), own(right, right_key)
     p, q = _edge_squares(a, left_key, "p", size), _edge_squares(b, right_key, "q", size)
-    touching = p.join(q, ["i", "j"]).where(segments_meet("p", "q")).select(F.col("p_key").alias(left_key), F.col("q_key").alias(right_key)).distinct()
+    # the edges are many times what Spark takes the polygons for, so neither side may be broadcast on that estimate
+    touching = p.join(q.hint("merge"), ["i", "j"]).where(segments_meet("p", "q")).select(F.col("p_key").alias(left_key), F.col("q_key").alias(right_key)).distinct()
     inside, around = _held(a, left_key, b, right_key, size), _held(b, right_key, a, left_key, size).select(left_key, right_key)
     return touching.unionByName(inside).unionByName(around).distinct()
 
@@ -359,5 +360,5 @@ def coverage_gaps(cells: DataFrame, polygons: DataFrame, *, key: str, size: floa
             yield pd.DataFrame(rows, columns=[key, "gap_area", "pieces"])
 
     met = box_join(boxes, right, size=size).select(key, "x0", "y0", "x1", "y1", "rings").mapInPandas(clip, f"`{key}` {kind}, part array<array<double>>")
-    held = boxes.join(met.groupBy(key).agg(F.collect_list("part").alias("parts")), key, "left")
+    held = boxes.join(met.groupBy(key).agg(F.collect_list("part").alias("parts")).hint("merge"), key, "left")
     return held.mapInPandas(gaps, f"`{key}` {kind}, gap_area double, pieces {PIECES}")

@@ -195,4 +195,4 @@ def search(items: DataFrame, areas: DataFrame, *, area_id: str, gsd: float | Non
     near = near.where(F.col("item_id").isin(list(ids))) if ids is not None else near
     side = size or max(box["x1"] - box["x0"], box["y1"] - box["y0"]) / 16 or 1.0
     pairs = polygon_join(near.select("item_id", "rings"), known.select(area_id, "rings"), left_key="item_id", right_key=area_id, size=side)
-    return pairs.join(near, "item_id").select(area_id, *items.columns)
+    return pairs.join(near.hint("merge"), "item_id").select(area_id, *items.columns)

@@ -70,3 +70,17 @@ def test_slabs_between_neighbouring_doubles_have_no_area():
     assert np.isclose(geometry.union_area([[ring]]), 500000.0)
     box = np.array([(0, 0), (2000, 0), (2000, 500), (0, 500), (0, 0)], float)
     assert np.isclose(sum(abs(polygons._area(r)) for r in polygons.difference_pieces([box], [[ring]])), 500000.0)
+
+
+def test_exploded_sides_are_not_broadcast(spark):
+    box = lambda k, r="": spark.createDataFrame([(1, 0.0, 0.0, 10.0, 10.0)], f"{k} int, {r}x0 double, {r}y0 double, {r}x1 double, {r}y1 double")
+    shape = lambda k: box(k).select(k, F.array(adapters.box_ring(*[F.col(c) for c in ("x0", "y0", "x1", "y1")])).alias("rings"))
+    items = shape("n").select(F.lit("i").alias("item_id"), *[F.lit(v).alias(c) for c, v in (("x0", 0.0), ("y0", 0.0), ("x1", 10.0), ("y1", 10.0))], "rings")
+    frames = {
+        "box_join": joins.box_join(box("a"), box("b", "r_"), size=4.0), "polygon_join": polygons.polygon_join(shape("a"), shape("b"), left_key="a", right_key="b", size=4.0),
+        "cover": geometry.polygon_cover(box("a"), shape("b"), key="a", size=4.0), "burned": geometry.burned_by_polygons(box("cell_id"), shape("b"), size=4.0), "gaps": polygons.coverage_gaps(box("a"), shape("b"), key="a", size=4.0),
+        "arcs": coverage.coverage_arcs(shape("a"), key="a"), "simplified": coverage.simplify_coverage(shape("a"), key="a", tolerance=1.0), "search": catalogue.search(items, shape("a"), area_id="a", size=4.0),
+    }
+    for name, frame in frames.items():
+        assert "BroadcastHashJoin" not in frame._jdf.queryExecution().executedPlan().toString(), name
+        assert frame.count() > 0, name
