@@ -33,6 +33,7 @@ MAGIC = b"DACTOK1\0"
 RANK_BLOCK = 512
 #: Ids of a file at most, beyond the document that passes it: with 16-bit ids about 9 MB.
 FILE_IDS = 4_000_000
+#: Words of one memory; there are two at most.
 _CACHE_WORDS = 400_000
 _HEAD = struct.Struct("<8sQQI")
 
@@ -140,7 +141,7 @@ class WordEncoder:
     """
 
     #: Where the tokenizer's own pattern splits between a letter and a full stop or comma, stems are remembered without them.
-    _STOPS = re.compile(rb"(?<=[a-z])(?=[.,])")
+    _STOPS = re.compile(rb" (?=[.,])(?<![a-z] )")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -163,6 +164,8 @@ class WordEncoder:
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.marked = bool(self.ends.any())
         self.cache: dict[bytes, bytes] = {}
+        #: Words of the memory that was full last: those used again move over, so frequent words are encoded once.
+        self.older: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -188,17 +191,24 @@ class WordEncoder:
             for (w, _), ids in zip(part, self._ids([x for _, x in part]), strict=True):
                 self.cache[w] = array("I", ids).tobytes()
 
+    def _parted(self, low: bytes) -> bytes:
+        """A text with a space between a letter and a full stop or comma: one before every stop, less those after no letter."""
+        return self._STOPS.sub(b"", low.replace(b".", b" .").replace(b",", b" ,"))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split: list[list[bytes] | None] = []
         for x in texts:
             low = self.lower(x.encode()) if x else b""
             whole = x and (not self.by_word or any(s in low for s in self.special_bytes))
-            split.append(None if whole else (self._STOPS.sub(b" ", low) if self.stops else low).split())
+            split.append(None if whole else (self._parted(low) if self.stops else low).split())
         used = set(chain.from_iterable(w for w in split if w))
         if len(self.cache) > _CACHE_WORDS:
-            self.cache = {w: self.cache[w] for w in used.intersection(self.cache)}
-        self._learn(list(used.difference(self.cache)))
+            self.older, self.cache = self.cache, {}
+        new = used.difference(self.cache)
+        known = new.intersection(self.older)
+        self.cache.update(zip(known, map(self.older.__getitem__, known), strict=True))
+        self._learn(list(new.difference(known)))
         get = self.cache.__getitem__
         return [array("I", self.tokenizer.encode(x, add_special_tokens=False).ids).tobytes() if w is None else b"".join(map(get, w)) for x, w in zip(texts, split, strict=True)]
 
