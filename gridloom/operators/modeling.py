@@ -1,4 +1,4 @@
-"""Models on saved folds with MLlib."""
+"""Models on saved folds: MLlib's regression, and forests of deep trees."""
 
 from __future__ import annotations
 
@@ -9,13 +9,14 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.contracts import check_comparable, check_fold_numbers, check_folds, check_key, check_predictions, check_record, require
+from gridloom.operators.forest import Forest
 from gridloom.operators.stats import comparison, ranking_metrics, select_candidate
 
 #: MLlib's deepest tree; an unlimited depth is run at it and labelled as capped.
@@ -54,7 +55,7 @@ def forest_pipeline(*, continuous: Sequence[str], imputed: Sequence[str] = (), n
     """Random forest on raw numbers and class indicators; ``max_depth=None`` is capped at MLlib's 30."""
     stages = _prepare(continuous, imputed, nominal)
     stages.append(VectorAssembler(inputCols=[*[f"_{x}" for x in (*continuous, *imputed)], *[f"_{x}_v" for x in nominal]], outputCol="_features"))
-    forest = RandomForestClassifier(featuresCol="_features", labelCol=target, numTrees=trees, featureSubsetStrategy="sqrt", minInstancesPerNode=min_leaf, maxDepth=min(max_depth or DEEPEST, DEEPEST), maxBins=bins, seed=seed, impurity="gini")
+    forest = Forest(features="_features", label=target, trees=trees, min_leaf=min_leaf, max_depth=min(max_depth or DEEPEST, DEEPEST), bins=bins, seed=seed)
     return Pipeline(stages=[*stages, forest])
 
 
