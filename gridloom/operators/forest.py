@@ -36,10 +36,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def bag(ids: np.ndarray, key: np.uint64) -> np.ndarray:
-    """How often the tree of this key draws each row: Poisson with mean 1, by the row's id."""
-    u = (_mixed(_mixed(ids.astype(np.uint64) + np.uint64(1)) ^ key) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-    return np.searchsorted(_POISSON, u, "right")
+def bag(seeds: np.ndarray, key: np.uint64) -> np.ndarray:
+    """How often the tree of this key draws each row: Poisson with mean 1, by a scattered number of the row."""
+    u = (_mixed(seeds ^ key) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    out = (u >= _POISSON[0]).astype(np.uint8) + (u >= _POISSON[1])
+    many = np.flatnonzero(u >= _POISSON[2])
+    out[many] = np.searchsorted(_POISSON, u[many], "right")
+    return out
 
 
 def chosen(keys: np.ndarray, features: int, k: int) -> np.ndarray:
@@ -86,45 +89,56 @@ def pruned(feature: np.ndarray, left: np.ndarray, one: np.ndarray, layers: list[
 
 def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, key: int, *, levels: int, k: int, min_leaf: int) -> tuple[np.ndarray, int, int]:
     """A tree of at most so many levels of splits over rows of bins ``x``, classes ``y`` and draws ``w``, level by level; and the draws of its root, in all and of class 1."""
-    slot, keys = np.zeros(len(y), np.int64), np.array([key], np.uint64)
-    y, w = y.astype(np.int64), w.astype(np.int64)
+    flat, at, slot, keys = x.reshape(-1), np.arange(len(y)) * x.shape[1], np.zeros(len(y), np.int64), np.array([key], np.uint64)
+    bits = w.astype(np.int64) << 1 | y
+    t, t1 = (np.array([v.sum()], np.int64) for v in (bits >> 1, (bits >> 1) * y))
     feature, cuts, left, total, ones, layers, size = [], [], [], [], [], [], 0
     while keys.size:
         n = keys.size
-        t, t1 = (np.bincount(slot, v, n).astype(np.int64) for v in (w, w * y))
-        f, c, best = np.full(n, -1, np.int16), np.zeros(n, np.uint8), np.zeros(n)
+        f, c, best, wl, l1 = np.full(n, -1, np.int16), np.zeros(n, np.uint8), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
         live = splittable(t, t1, min_leaf) & (len(layers) < levels)
-        stay = live[slot]
-        x, y, w, slot = x[stay], y[stay], w[stay], slot[stay]
+        stay = np.flatnonzero(live[slot])
+        at, bits, slot = at[stay], bits[stay], slot[stay]
         if slot.size:
             picks = chosen(keys, x.shape[1], k)
             before, before1 = (np.concatenate([[0], np.cumsum(np.where(live, v, 0))[:-1]]) for v in (t, t1))
-            rows, rest = np.arange(slot.size), slot << 17 | w << 1 | y
+            rest = slot << 17 | bits
             for i in range(k):
                 pick = picks[:, i]
-                code = np.sort(rest | x[rows, pick[slot]].astype(np.int64) << 9)  # node, bin, draws, class
+                code = flat.take(at + pick[slot]).astype(np.int64)
+                code <<= 9
+                code |= rest
+                code.sort()  # node, bin, draws, class
                 run = code >> 9
-                at = np.flatnonzero((run[1:] != run[:-1]) & (run[1:] >> 8 == run[:-1] >> 8))
-                if not at.size:
+                end = np.flatnonzero(run[1:] != run[:-1])
+                run = run[end]
+                s = run >> 8
+                inside = np.flatnonzero(s == code[end + 1] >> 17)
+                if not inside.size:
                     continue
+                end, run, s = end[inside], run[inside] & 255, s[inside]
                 drawn = code >> 1 & 255
-                s = run[at] >> 8
-                g = gains(np.cumsum(drawn)[at] - before[s], np.cumsum(drawn * (code & 1))[at] - before1[s], t[s], t1[s], min_leaf)
+                code &= 1
+                code *= drawn
+                a, a1 = np.cumsum(drawn)[end] - before[s], np.cumsum(code)[end] - before1[s]
+                g = gains(a, a1, t[s], t1[s], min_leaf)
                 first = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1])
                 top = np.maximum.reduceat(g, first)
                 hit = np.flatnonzero(g == np.repeat(top, np.diff(np.append(first, g.size))))
                 hit = hit[np.concatenate([[True], s[hit[1:]] != s[hit[:-1]]])]
                 hit = hit[g[hit] > best[s[hit]]]
-                best[s[hit]], f[s[hit]], c[s[hit]] = g[hit], pick[s[hit]], run[at[hit]] & 255
+                node = s[hit]
+                best[node], f[node], c[node], wl[node], l1[node] = g[hit], pick[node], run[hit], a[hit], a1[hit]
         split = f >= 0
         rank = np.cumsum(split) - 1
         layers.append(np.arange(size, size + n))
         size += n
         for whole, part in ((feature, f), (cuts, c), (left, np.where(split, size + 2 * rank, 0)), (total, t), (ones, t1)):
             whole.append(part)
-        stay = split[slot]
-        x, y, w, slot = x[stay], y[stay], w[stay], slot[stay]
-        slot = 2 * rank[slot] + (x[np.arange(slot.size), f[slot]] > c[slot])
+        stay = np.flatnonzero(split[slot])
+        at, bits, slot = at[stay], bits[stay], slot[stay]
+        slot = 2 * rank[slot] + (flat.take(at + f[slot]) > c[slot])
+        t, t1 = (np.stack([u, v - u], axis=1)[split].reshape(-1) for u, v in ((wl, t), (l1, t1)))
         keys = children(keys[split])
     feature, cuts, left, total, ones = map(np.concatenate, (feature, cuts, left, total, ones))
     pruned(feature, left, 2 * ones > total, layers)
@@ -223,8 +237,9 @@ class Forest(Estimator):
             block, y, x, lot = (table.column(c)[0].as_py() for c in ("block", "y", "x", "lot"))
             y = np.frombuffer(y, np.uint8)
             x = np.frombuffer(x, np.uint8).reshape(len(y), -1)
+            seeds = _mixed((block + np.arange(1, len(y) + 1)).astype(np.uint64))
             for tree in range(lot * TREES, min(trees, (lot + 1) * TREES)):
-                w = bag(block + np.arange(len(y)), roots[tree])
+                w = bag(seeds, roots[tree])
                 drawn = np.flatnonzero(w)
                 own = x[drawn]
                 yield tree, walk(told, own, tree), own, y[drawn], w[drawn]
@@ -286,7 +301,7 @@ class Forest(Estimator):
             top = told.value[0]
             names, packs = [], []
             for _, at, x, y, w in draws(table, top):
-                whole = np.concatenate([x, y[:, None], w[:, None].astype(np.uint8)], axis=1)
+                whole = np.concatenate([x, y[:, None], w[:, None]], axis=1)
                 order = np.argsort(at, kind="stable")
                 for part in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
                     if part.size and not top["done"][at[part[0]]]:
