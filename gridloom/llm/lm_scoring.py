@@ -22,6 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +40,8 @@ ROUNDS, SHARD, APART = 8, 1 << 20, 20
 RUN, LEAD = 4096 * BLOCK, 2 * BLOCK
 #: Mixing weights at which the slope of the likelihood is taken.
 MIXES = np.linspace(0.02, 0.98, 193)
-#: Windows in one computation: its arrays stay in the processor's cache.
-PART = 2048
+#: Windows in one computation, and in one step of its attention: their arrays stay in the processor's cache.
+PART, CHUNK = 2048, 512
 #: Training steps at least, of so many windows, and the rate they begin with; a large input takes as many steps as its windows need.
 STEPS, WINDOWS, RATE = 500, 1536, 0.02
 #: At most so many of the most frequent words, of at most so many bytes, whose counts every task holds; the counts of all others are joined.
@@ -56,6 +57,26 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """``words_of`` for a column of texts: the distinct words, the place among them of each word, one text after the other, and the words of each text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = pc.list_flatten(lists).dictionary_encode()
+    words, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    none = pc.index(words, pa.scalar("", words.type)).as_py()  # white space at either end of a text leaves an empty word there
+    if none >= 0:
+        real = at != none
+        lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[real], minlength=len(lengths))
+        at = at[real]
+        at = at - (at > none)
+        words = pa.concat_arrays([words[:none], words[none + 1 :]])
+    return words.cast(pa.binary()), at, lengths
+
+
+def _list(words: pa.Array) -> list[bytes]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 @lru_cache(maxsize=1)
 def _merger(ranks_path: str):
     with open(ranks_path, "rb") as f:
@@ -76,6 +97,15 @@ def one_thread() -> None:
                 break
 
 
+@lru_cache(maxsize=1)
+def keep_memory() -> None:
+    """Let the C library hand freed arrays of up to 32 MB out again: given back and fetched anew at each step, they cost as much in page faults as the arithmetic on them."""
+    library = ctypes.CDLL(None)
+    if hasattr(library, "mallopt"):
+        library.mallopt(-3, 1 << 25)  # M_MMAP_THRESHOLD
+        library.mallopt(-1, 1 << 28)  # M_TRIM_THRESHOLD
+
+
 def _exp(x: np.ndarray) -> None:
     """exp in place; kept from overflow, which weights this small don't come near."""
     if x.max(initial=0) > 40:
@@ -101,54 +131,77 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "codes"}
 
     @cached_property
-    def codes(self) -> dict[int, bytes]:
-        """The symbols of every subword, inside and at the end of a word, as bytes of 16-bit numbers: itself, or its bytes one by one."""
-        out = {}
-        for i, token in _merger(self.ranks_path)[1].items():
-            for last in (0, 1):
-                s = self.pieces.get(2 * i + last)
-                out[2 * i + last] = np.array([s] if s is not None else [*token[:-1], token[-1] + 256 * last], np.int16).tobytes()
-        return out
+    def codes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the symbols of every subword, inside and at the end of a word (id * 2 + 1), begin, how many there are, and all of them: itself, or its bytes one by one."""
+        raw = _merger(self.ranks_path)[1]
+        tokens = [t for i in range(max(raw) + 1) for t in (raw.get(i, b""),) * 2]
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        ends = np.cumsum(sizes)
+        flat = np.frombuffer(b"".join(tokens), np.uint8).astype(np.int16)
+        flat[ends[1::2][sizes[1::2] > 0] - 1] += 256
+        kept = np.fromiter(self.pieces, np.int64, len(self.pieces))
+        flat[ends[kept] - sizes[kept]] = np.fromiter(self.pieces.values(), np.int16, len(kept))
+        count = sizes.copy()
+        count[kept] = 1
+        return ends - sizes, count, flat
+
+    def coded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of words one after the other, and how many each has."""
+        pieces, sizes = subwords_of(words, self.ranks_path)
+        start, count, flat = self.codes
+        many = count.take(pieces)
+        ends = np.cumsum(many)
+        where = start.take(pieces)
+        if ends.size and ends[-1] > ends.size:
+            where = np.repeat(where - (ends - many), many) + np.arange(ends[-1])
+        return flat.take(where), np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])])
 
     def symbols(self, word: bytes) -> bytes:
         """The word's symbols as bytes of 16-bit numbers."""
-        *inside, last = _merger(self.ranks_path)[0](word)
-        codes = self.codes
-        return b"".join([codes[2 * i] for i in inside]) + codes[2 * last + 1]
+        return self.coded([word])[0].tobytes()
 
     def log_probs(self, blocks: np.ndarray, first: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural logs of the targets' probabilities [n, BLOCK] for blocks of inputs in the order of their texts; ``first`` marks those that begin one."""
-        t, n, ids = self.tables, len(blocks), blocks.reshape(-1)
-        q, k, v = (t[x].take(ids, 0).reshape(n, BLOCK, -1) for x in "qkv")
-        both = np.concatenate([np.concatenate([k[-1:], k[:-1]]), k], axis=1)
-        s = q @ both.transpose(0, 2, 1)
-        s += t["near"]
-        s[first, :, :BLOCK] = -1e9
-        _exp(s)
-        o = s @ np.concatenate([np.concatenate([v[-1:], v[:-1]]), v], axis=1)
-        o /= _sums(s).reshape(n, BLOCK, 1)
-        h = o.reshape(n * BLOCK, HIDDEN)
-        h += t["r"].take(ids, 0)
-        np.maximum(h, 0, out=h)
+        t, n = self.tables, len(blocks)
+        ids = np.concatenate([blocks[-1:], blocks])
+        h, hot = np.empty((n * BLOCK, HIDDEN), np.float32), np.empty(n * BLOCK, np.float32)
         place = t["place"].take(targets.reshape(-1))
-        cls = place // MEMBERS
+        cls, member = place // MEMBERS, place % MEMBERS
+        logits, spots = np.empty((CHUNK * BLOCK, CLASSES), np.float32), np.arange(CHUNK * BLOCK) * CLASSES
+        for lo in range(0, n, CHUNK):
+            hi = min(n, lo + CHUNK)
+            kv = t["kv"].take(ids[lo : hi + 1].reshape(-1), 0)
+            # blocks and the ones before them share their rows
+            both = np.lib.stride_tricks.as_strided(kv, (hi - lo, 2 * BLOCK, HEAD + HIDDEN), (BLOCK * kv.strides[0], *kv.strides), writeable=False)
+            qr = t["qr"].take(blocks[lo:hi], 0)
+            s = qr[:, :, :HEAD] @ both[:, :, :HEAD].transpose(0, 2, 1)
+            s += t["near"]
+            s[first[lo:hi], :, :BLOCK] = -1e9
+            _exp(s)
+            part = slice(lo * BLOCK, hi * BLOCK)
+            o = np.matmul(s, both[:, :, HEAD:], out=h[part].reshape(hi - lo, BLOCK, HIDDEN))
+            o /= _sums(s).reshape(hi - lo, BLOCK, 1)
+            o += qr[:, :, HEAD:]
+            np.maximum(o, 0, out=o)
+            y = np.matmul(h[part], t["wc"], out=logits[: len(o) * BLOCK])
+            y += t["bc"]
+            got = y.reshape(-1).take(spots[: len(y)] + cls[part])
+            _exp(y)
+            np.subtract(got, np.log(_sums(y)), out=hot[part])
         order = np.argsort(cls.astype(np.uint8), kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        h, place = h.take(order, 0), place[order]
-        logits = h @ t["wc"]
-        logits += t["bc"]
-        got = logits[np.arange(place.size), place // MEMBERS]
-        _exp(logits)
-        mass = _sums(logits)
-        z = np.empty((place.size, MEMBERS), np.float32)
+        ends = np.searchsorted(cls.take(order), np.arange(CLASSES + 1))
+        h, member = h.take(order, 0), member.take(order)
+        most = int(np.diff(ends).max())
+        logits, spots, out = np.empty((most, MEMBERS), np.float32), np.arange(most) * MEMBERS, np.empty(n * BLOCK, np.float32)
         for c in range(CLASSES):
-            np.matmul(h[ends[c] : ends[c + 1]], t["wm"][c], out=z[ends[c] : ends[c + 1]])
-            z[ends[c] : ends[c + 1]] += t["bm"][c]
-        got += z[np.arange(place.size), place % MEMBERS]
-        _exp(z)
-        mass *= _sums(z)
-        out = np.empty(place.size, np.float32)
-        out[order] = got - np.log(mass)
+            lo, hi = ends[c], ends[c + 1]
+            if hi > lo:
+                z = np.matmul(h[lo:hi], t["wm"][c], out=logits[: hi - lo])
+                z += t["bm"][c]
+                got = z.reshape(-1).take(spots[: hi - lo] + member[lo:hi])
+                _exp(z)
+                out[order[lo:hi]] = got - np.log(_sums(z))
+        out += hot
         return out.reshape(n, BLOCK)
 
 
@@ -190,10 +243,13 @@ def bare_model(seen: dict[int, int], ranks_path: str) -> Model:
     return Model(ranks_path, {p: FIRST_PIECE + n for n, p in enumerate(kept)}, {})
 
 
-def pieces_of(word: bytes, ranks_path: str) -> list[int]:
-    """The word's subwords as id * 2 + whether it ends the word."""
-    ids = _merger(ranks_path)[0](word)
-    return [2 * i + (n == len(ids)) for n, i in enumerate(ids, 1)]
+def subwords_of(words: list[bytes], ranks_path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The subwords of words one after the other, as id * 2 + whether it ends the word, and how many each word has."""
+    ids = list(map(_merger(ranks_path)[0], words))
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    out = 2 * np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum()))
+    out[np.cumsum(sizes) - 1] += 1
+    return out, sizes
 
 
 def start(pairs: np.ndarray, seed: int = 7) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -219,78 +275,96 @@ _ROOT = np.float32(HEAD**-0.5)
 
 def fold(p: dict[str, np.ndarray], place: np.ndarray) -> dict[str, np.ndarray]:
     """Weights as tables by symbol."""
+    kv, qr = p["e"] @ np.concatenate([p["wk"], p["wv"]], axis=1), p["e"] @ np.concatenate([p["wq"] * _ROOT, p["wr"]], axis=1)
+    qr[:, HEAD:] += p["b"]
     return {
-        "q": p["e"] @ p["wq"] * _ROOT, "k": p["e"] @ p["wk"], "v": p["e"] @ p["wv"], "r": p["e"] @ p["wr"] + p["b"], "wc": p["wc"], "bc": p["bc"], "wm": p["wm"], "bm": p["bm"],
+        "kv": kv, "qr": qr, "q": qr[:, :HEAD], "k": kv[:, :HEAD], "v": kv[:, HEAD:], "r": qr[:, HEAD:], "wc": p["wc"], "bc": p["bc"], "wm": p["wm"], "bm": p["bm"],
         "near": np.where(_GAP >= 0, p["near"][np.maximum(_GAP, 0)], -1e9).astype(np.float32), "place": place,
     }
 
 
 def _by_symbol(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of the rows of each symbol."""
+    """Sums of the rows of each symbol; ``rows`` ends with a row of zeros more."""
     order = np.argsort(ids, kind="stable")
-    ids = ids[order]
+    ids = ids.take(order)
     cut = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])
+    sizes = np.diff(cut, append=ids.size)
+    # eight rows at a time, filled up with the row of zeros: sums of equal length are far cheaper than of unequal ones
+    eights = -(-sizes // 8)
+    starts = np.cumsum(eights) - eights
+    index = np.full(8 * int(eights.sum()), len(rows) - 1)
+    index[np.arange(ids.size) + np.repeat(8 * starts - cut, sizes)] = order
+    sums = np.einsum("ijk->ik", rows.take(index, 0).reshape(-1, 8, rows.shape[1]))
     out = np.zeros((CLASSES * MEMBERS, rows.shape[1]), np.float32)
-    out[ids[cut]] = np.add.reduceat(rows.take(order, 0), cut, axis=0)
+    out[ids[cut]] = sums[starts]
+    many = np.flatnonzero(eights > 1)
+    if many.size:
+        size = eights[many]
+        out[ids[cut[many]]] = np.add.reduceat(sums[np.repeat(eights > 1, eights)], np.cumsum(size) - size, axis=0)
     return out
 
 
 def _gradients(p: dict[str, np.ndarray], t: dict[str, np.ndarray], before: np.ndarray, now: np.ndarray, first: np.ndarray, targets: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of the mean loss over the real targets of windows: blocks of inputs ``now`` and the blocks before them."""
     g, n = {}, len(now)
-    ids = np.concatenate([before, now], axis=1).reshape(-1)
-    one = now.reshape(-1)
-    q, k, v = t["q"].take(one, 0).reshape(n, BLOCK, HEAD), t["k"].take(ids, 0).reshape(n, 2 * BLOCK, HEAD), t["v"].take(ids, 0).reshape(n, 2 * BLOCK, HIDDEN)
+    ids = np.concatenate([before, now], axis=1)
+    kv, qr = t["kv"].take(ids, 0), t["qr"].take(now, 0)
+    q, k, v = qr[:, :, :HEAD], kv[:, :, :HEAD], kv[:, :, HEAD:]
     a = q @ k.transpose(0, 2, 1)
     a += t["near"]
     a[first, :, :BLOCK] = -1e9
     _exp(a)
-    a /= _sums(a).reshape(n, BLOCK, 1)
-    z = (a @ v).reshape(-1, HIDDEN)
-    z += t["r"].take(one, 0)
+    a *= (1 / _sums(a)).reshape(n, BLOCK, 1)
+    z = a @ v
+    z += qr[:, :, HEAD:]
     np.maximum(z, 0, out=z)
+    z = z.reshape(-1, HIDDEN)
     live = np.flatnonzero(real.reshape(-1))
     spot = t["place"].take(targets.reshape(-1).take(live))
     order = np.argsort((spot // MEMBERS).astype(np.uint8), kind="stable")
-    live, spot = live[order], spot[order]
-    cls, member, rows = spot // MEMBERS, spot % MEMBERS, np.arange(spot.size)
+    live, spot = live.take(order), spot.take(order)
+    cls, member = spot // MEMBERS, spot % MEMBERS
     ends = np.searchsorted(cls, np.arange(CLASSES + 1))
-    h, scale = z.take(live, 0), np.float32(1 / max(1, spot.size))
+    most = int(np.diff(ends).max(initial=0))
+    h, scale, ones = z.take(live, 0), np.float32(1 / max(1, spot.size)), np.ones(max(1, spot.size), np.float32)
     y = h @ p["wc"]
     y += p["bc"]
     _exp(y)
     y *= (scale / _sums(y))[:, None]
-    y[rows, cls] -= scale
-    g["wc"], g["bc"] = h.T @ y, y.sum(0)
+    y.reshape(-1)[np.arange(spot.size) * CLASSES + cls] -= scale
+    g["wc"], g["bc"] = h.T @ y, ones[: spot.size] @ y
     gh = y @ p["wc"].T
-    m = np.empty((spot.size, MEMBERS), np.float32)
-    for c in range(CLASSES):
-        np.matmul(h[ends[c] : ends[c + 1]], p["wm"][c], out=m[ends[c] : ends[c + 1]])
-        m[ends[c] : ends[c + 1]] += p["bm"][c]
-    _exp(m)
-    m *= (scale / _sums(m))[:, None]
-    m[rows, member] -= scale
     g["wm"], g["bm"] = np.zeros_like(p["wm"]), np.zeros_like(p["bm"])
+    room, at = np.empty((most, MEMBERS), np.float32), np.arange(most) * MEMBERS
     for c in range(CLASSES):
         lo, hi = ends[c], ends[c + 1]
         if hi > lo:
-            np.matmul(h[lo:hi].T, m[lo:hi], out=g["wm"][c])
-            m[lo:hi].sum(0, out=g["bm"][c])
-            gh[lo:hi] += m[lo:hi] @ p["wm"][c].T
+            m = np.matmul(h[lo:hi], p["wm"][c], out=room[: hi - lo])
+            m += p["bm"][c]
+            _exp(m)
+            m *= (scale / _sums(m))[:, None]
+            m.reshape(-1)[at[: hi - lo] + member[lo:hi]] -= scale
+            np.matmul(h[lo:hi].T, m, out=g["wm"][c])
+            np.matmul(ones[: hi - lo], m, out=g["bm"][c])
+            gh[lo:hi] += m @ p["wm"][c].T
     gh *= h > 0
-    gz = np.zeros_like(z)
-    gz[live] = gh
-    gw = gz.reshape(n, BLOCK, HIDDEN)
+    gqr, gkv = np.zeros((n * BLOCK + 1, HEAD + HIDDEN), np.float32), np.empty((2 * n * BLOCK + 1, HEAD + HIDDEN), np.float32)
+    gkv[-1] = 0
+    gqr[live, HEAD:] = gh
+    own, both = gqr[:-1].reshape(n, BLOCK, -1), gkv[:-1].reshape(n, 2 * BLOCK, -1)
+    gw = own[:, :, HEAD:]
     ga = gw @ v.transpose(0, 2, 1)
     ga -= _sums(ga * a).reshape(n, BLOCK, 1)
     ga *= a
-    gk, gv, gq = ga.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ gw, ga @ k
-    g["near"] = np.bincount(np.maximum(_GAP, 0).ravel(), np.where(_GAP >= 0, ga.sum(0), 0).ravel(), 2 * BLOCK).astype(np.float32)
-    both = _by_symbol(ids, np.concatenate([gk.reshape(-1, HEAD), gv.reshape(-1, HIDDEN)], axis=1))
-    own = _by_symbol(one, np.concatenate([gq.reshape(-1, HEAD), gz], axis=1))
-    gk, gv, gq, gr = both[:, :HEAD], both[:, HEAD:], own[:, :HEAD] * _ROOT, own[:, HEAD:]
-    g["wk"], g["wv"], g["wq"], g["wr"], g["b"] = p["e"].T @ gk, p["e"].T @ gv, p["e"].T @ gq, p["e"].T @ gr, gr.sum(0)
-    g["e"] = gk @ p["wk"].T + gv @ p["wv"].T + gq @ p["wq"].T + gr @ p["wr"].T
+    np.matmul(ga, k, out=own[:, :, :HEAD])
+    np.matmul(ga.transpose(0, 2, 1), q, out=both[:, :, :HEAD])
+    np.matmul(a.transpose(0, 2, 1), gw, out=both[:, :, HEAD:])
+    g["near"] = np.bincount(np.maximum(_GAP, 0).ravel(), np.where(_GAP >= 0, (np.ones(n, np.float32) @ ga.reshape(n, -1)).reshape(_GAP.shape), 0).ravel(), 2 * BLOCK).astype(np.float32)
+    both, own = _by_symbol(ids.reshape(-1), gkv), _by_symbol(now.reshape(-1), gqr)
+    own[:, :HEAD] *= _ROOT
+    down, up = p["e"].T @ both, p["e"].T @ own
+    g["wk"], g["wv"], g["wq"], g["wr"], g["b"] = down[:, :HEAD], down[:, HEAD:], up[:, :HEAD], up[:, HEAD:], own[:, HEAD:].sum(0)
+    g["e"] = both @ np.concatenate([p["wk"], p["wv"]], axis=1).T + own @ np.concatenate([p["wq"], p["wr"]], axis=1).T
     return g
 
 
@@ -308,20 +382,37 @@ def fit(p: dict[str, np.ndarray], place: np.ndarray, texts: list[np.ndarray], le
     if not usable.size:
         return 0
     one_thread()
+    keep_memory()
     steps = max(steps, -(-usable.size // WINDOWS))
     rng = np.random.default_rng(seed)
-    m1, m2 = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
+    # the weights are views of one array, so that a step of Adam is a few operations on all of them
+    cuts = np.cumsum([x.size for x in p.values()])[:-1]
+    x = np.concatenate([w.reshape(-1) for w in p.values()])
+    w = {k: v.reshape(p[k].shape) for k, v in zip(p, np.split(x, cuts), strict=True)}
+    m1, m2, room = np.zeros_like(x), np.zeros_like(x), np.empty_like(x)
     deck = np.empty(0, np.int64)
     for step in range(1, steps + 1):
         while deck.size < min(WINDOWS, usable.size):
             deck = np.concatenate([deck, rng.permutation(usable)])
         pick, deck = deck[:WINDOWS], deck[WINDOWS:]
-        g = _gradients(p, fold(p, place), inputs[pick - 1], inputs[pick], first[pick], targets[pick], real[pick])
+        found = _gradients(w, fold(w, place), inputs.take(pick - 1, 0, mode="wrap"), inputs.take(pick, 0), first.take(pick), targets.take(pick, 0), real.take(pick, 0))
+        g = np.concatenate([found[k].reshape(-1) for k in p])
         rate = np.float32(RATE * min(1, step / 20) * (1 - 0.95 * (done + part * step / steps)))
-        for key, x in p.items():
-            m1[key] += np.float32(0.1) * (g[key] - m1[key])
-            m2[key] += np.float32(0.01) * (g[key] * g[key] - m2[key])
-            x -= rate * (m1[key] / np.float32(1 - 0.9**step)) / (np.sqrt(m2[key] / np.float32(1 - 0.99**step)) + np.float32(1e-7))
+        np.subtract(g, m1, out=room)
+        room *= np.float32(0.1)
+        m1 += room
+        g *= g
+        g -= m2
+        g *= np.float32(0.01)
+        m2 += g
+        np.sqrt(m2, out=room)
+        room *= np.float32((1 - 0.99**step) ** -0.5)
+        room += np.float32(1e-7)
+        np.divide(m1, room, out=room)
+        room *= rate / np.float32(1 - 0.9**step)
+        x -= room
+    for k in p:
+        p[k][...] = w[k]
     return int(real.sum())
 
 
@@ -343,7 +434,7 @@ def train(texts: list[list[bytes]], ranks_path: str, *, steps: int = STEPS, seed
     """Fit the attention model to texts given as words, in this process."""
     seen: Counter[int] = Counter()
     for w, n in Counter(chain.from_iterable(texts)).items():
-        for x in pieces_of(w, ranks_path):
+        for x in subwords_of([w], ranks_path)[0].tolist():
             seen[x] += n
     model = bare_model(seen, ranks_path)
     flat = [np.frombuffer(b"".join([*map(model.symbols, words), np.int16(END).tobytes()]), np.int16) for words in texts] or [np.array([END], np.int16)]
@@ -366,34 +457,37 @@ def train_on_all(learn: DataFrame, counts: DataFrame, ranks_path: str, mix_of: C
     size = CLASSES * MEMBERS
 
     def subwords(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[int] = Counter()
+        seen = np.zeros(0, np.int64)
         for b in batches:
-            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for x in pieces_of(w, ranks_path) if w else ():
-                    seen[x] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["piece", "n"])
+            b = b.filter(pc.greater(pc.binary_length(b.column(0)), 0))
+            if b.num_rows:
+                pieces, sizes = subwords_of(_list(b.column(0)), ranks_path)
+                order = np.argsort(pieces, kind="stable")
+                first = np.flatnonzero(np.diff(pieces[order], prepend=-1))
+                found = pieces[order[first]]
+                if found[-1] >= seen.size:
+                    seen = np.concatenate([seen, np.zeros(int(found[-1]) + 1 - seen.size, np.int64)])
+                seen[found] += np.add.reduceat(np.repeat(b.column(1).to_numpy(), sizes)[order], first)
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["piece", "n"])
 
     seen = counts.select("word", "c").mapInArrow(subwords, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     model = bare_model({r["piece"]: r["n"] for r in seen.collect()}, ranks_path)  # at most two for each rank
     told = sc.broadcast(model)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, bytes] = {}
-        end = np.int16(END).tobytes()
+        lexicon = Lexicon(told.value)
         for b in batches:
-            if len(cache) > _CACHE_WORDS:
-                cache.clear()
+            words, at, lengths = split_words(b.column(1))
+            flat, _, sizes = with_ends(*lexicon.symbols(lexicon.number(_list(words))[at]), lengths)
+            data, stops = flat.tobytes(), 2 * np.cumsum(sizes)
             os, parts, leads, runs = [], [], [], []
-            for o, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = words_of(x)
-                for w in set(words).difference(cache):
-                    cache[w] = told.value.symbols(w)
-                ids = b"".join([*map(cache.__getitem__, words), end])
-                for n, at in enumerate(range(0, len(ids), 2 * RUN)):
+            for o, lo, hi in zip(b.column(0).to_pylist(), (stops - 2 * sizes).tolist(), stops.tolist(), strict=True):
+                for n, start_at in enumerate(range(lo, hi, 2 * RUN)):
                     os.append(o)
                     parts.append(n)
-                    leads.append(LEAD if at else 0)
-                    runs.append(ids[at - 2 * leads[-1] : at + 2 * RUN])
+                    leads.append(LEAD if n else 0)
+                    runs.append(data[start_at - 2 * leads[-1] : min(hi, start_at + 2 * RUN)])
             yield pa.RecordBatch.from_arrays([pa.array(os, pa.int64()), pa.array(parts, pa.int64()), pa.array(leads, pa.int64()), pa.array(runs, pa.binary())], names=["o", "part", "lead", "ids"])
 
     runs = staged(learn.select("_o", "_text").mapInArrow(coded, "o long, part long, lead long, ids binary"), "lm-symbols")
@@ -465,22 +559,40 @@ class Lexicon:
 
     def _clear(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.flat, self.ends, self.known = np.empty(0, np.int16), np.zeros(1, np.int64), np.empty(0, np.int64)
+        self.flat, self.ends, self.known, self.uses = np.empty(0, np.int16), np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def number(self, words: list[bytes]) -> np.ndarray:
-        """The words' numbers, good until the next call."""
-        used = set(words)
-        if len(self.place) + len(used) > _CACHE_WORDS:
+    def _forget(self) -> None:
+        """Keep the words that came up in more than one call, unless they are most of them."""
+        kept = np.flatnonzero(self.uses > 1)
+        if 2 * kept.size > _CACHE_WORDS:
             self._clear()
-        fresh = list(used.difference(self.place))
-        if fresh:
-            coded = [self.model.symbols(w) for w in fresh]
-            self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
-            sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 2
-            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(coded), np.int16)])
+            return
+        flat, sizes = self.symbols(kept)
+        words = list(self.place)
+        self.place = {words[i]: n for n, i in enumerate(kept.tolist())}
+        self.flat, self.ends, self.known, self.uses = flat, np.concatenate([[0], np.cumsum(sizes)]), self.known[kept], np.ones(kept.size, np.int64)
+
+    def number(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of distinct words, good until the next call."""
+        find = self.place.get
+        out = np.array([find(w, -1) for w in words], np.int64)
+        fresh = np.flatnonzero(out < 0)
+        if fresh.size and self.place and len(self.place) + fresh.size > _CACHE_WORDS:
+            self._forget()
+            find = self.place.get
+            out = np.array([find(w, -1) for w in words], np.int64)
+            fresh = np.flatnonzero(out < 0)
+        if fresh.size:
+            new = [words[i] for i in fresh.tolist()]
+            out[fresh] = np.arange(len(self.place), len(self.place) + len(new))
+            self.place.update(zip(new, out[fresh].tolist(), strict=True))
+            flat, sizes = self.model.coded(new)
+            self.flat = np.concatenate([self.flat, flat])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-            self.known = np.concatenate([self.known, np.fromiter((self.counts.get(w, -1) for w in fresh), np.int64, len(fresh))])
-        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            self.known = np.concatenate([self.known, np.fromiter((self.counts.get(w, -1) for w in new), np.int64, len(new))])
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+        self.uses[out] += 1
+        return out
 
     def symbols(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbols of words one after the other, and how many each has."""
@@ -502,25 +614,31 @@ class Scorer:
 
     def __init__(self, model: Model, counts: dict[bytes, int] | None = None):
         one_thread()
+        keep_memory()
         self.model, self.lexicon = model, Lexicon(model, counts)
 
-    def flat(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Natural log probabilities of the words and the end of each text, one text after the other, and the counts that the lexicon has for them (ends: 0)."""
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        numbers = self.lexicon.number(list(chain.from_iterable(texts)))
+    def flat(self, words: list[bytes], at: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Natural log probabilities of the words and the end of each text, one text after the other, and the counts that the lexicon has for them (ends: 0).
+
+        Texts come as distinct words, the place among them of each word, and the words of each text.
+        """
+        numbers = self.lexicon.number(words)[at]
         known = np.insert(self.lexicon.known[numbers], np.cumsum(lengths), 0)
         # runs of texts of about so many words at a time, so that windows stay in the processor's cache
-        stops, lps, at = np.cumsum(lengths), [], 0
-        while at < len(texts):
-            begin = int(stops[at] - lengths[at])
-            upto = max(at + 1, int(np.searchsorted(stops, begin + 16_000, "right")))
-            lps.append(self._run(*with_ends(*self.lexicon.symbols(numbers[begin : int(stops[upto - 1])]), lengths[at:upto])))
-            at = upto
+        stops, lps, text = np.cumsum(lengths), [], 0
+        while text < len(lengths):
+            begin = int(stops[text] - lengths[text])
+            upto = max(text + 1, int(np.searchsorted(stops, begin + 16_000, "right")))
+            lps.append(self._run(*with_ends(*self.lexicon.symbols(numbers[begin : int(stops[upto - 1])]), lengths[text:upto])))
+            text = upto
         return np.concatenate(lps or [np.empty(0)]), known
 
     def tokens(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         """For each text the natural log probabilities of its words and of its end."""
-        return np.split(self.flat(texts)[0], np.cumsum([len(x) + 1 for x in texts])[:-1]) if texts else []
+        place: dict[bytes, int] = {}
+        at = np.array([place.setdefault(w, len(place)) for w in chain.from_iterable(texts)], np.int64)
+        lengths = np.array([len(x) for x in texts], np.int64)
+        return np.split(self.flat(list(place), at, lengths)[0], np.cumsum(lengths + 1)[:-1]) if texts else []
 
     def _run(self, symbols: np.ndarray, sizes: np.ndarray, text_sizes: np.ndarray) -> np.ndarray:
         inputs, first, targets, where = windows(np.split(symbols, np.cumsum(text_sizes)[:-1]))
@@ -567,36 +685,40 @@ def score(docs: DataFrame, ranks_path: str, *, doc_id: str = "doc_id", text: str
     keep = own
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter[bytes] = Counter()
+        held: list[pa.RecordBatch] = []
         ends = 0
 
-        def flush() -> pa.RecordBatch:
-            rows = pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
-            c.clear()
-            return rows
+        def summed() -> pa.RecordBatch:
+            if len(held) == 1:
+                return held[0]
+            t = pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            return pa.RecordBatch.from_arrays([t.column("word").combine_chunks(), t.column("n_sum").combine_chunks()], names=["word", "n"])
 
         for b in batches:
-            for x in b.column(0).to_pylist():
-                c.update(words_of(x))
-                ends += 1
-            if len(c) > _COUNT_WORDS:
-                yield flush()
-        if c:
-            yield flush()
+            words, at, lengths = split_words(b.column(0))
+            held.append(pa.RecordBatch.from_arrays([words, pa.array(np.bincount(at, minlength=len(words)))], names=["word", "n"]))
+            ends += len(lengths)
+            if sum(x.num_rows for x in held) > _COUNT_WORDS:
+                held = [summed()]
+                if held[0].num_rows > _COUNT_WORDS // 2:
+                    yield held.pop()
+        if held:
+            yield summed()
         if ends:  # the empty word stands for the ends: no word is empty
             yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([ends], pa.int64())], names=["word", "n"])
 
     learn = src.where(~F.col("held_out"))
     counts = staged(learn.select("_text").mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # the least count of a head word, from word counts by a sixteenth of an octave: a few hundred rows, and no sort of all words
+    # the least count of a head word, from word counts by a sixteenth of an octave: a few hundred rows, and no sort of all words; the ends are always among them
     short = counts.where(F.length("word") <= HEAD_BYTES).withColumn("step", F.floor(F.log2("c") * 16))
     room, least = HEAD_WORDS, None
     for r in sorted(short.groupBy("step").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):
         if (room := room - r["n"]) < 0:
             break
         least = r["step"]
-    top = short.where(F.lit(False) if least is None else F.col("step") >= least).select("word", "c").toArrow()
+    frequent = F.lit(False) if least is None else F.col("step") >= least
+    top = short.where(frequent | (F.length("word") == 0)).select("word", "c").toArrow()
     head = dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True))
     below = total + 0.1 * (distinct + 1)
 
@@ -609,13 +731,12 @@ def score(docs: DataFrame, ranks_path: str, *, doc_id: str = "doc_id", text: str
             known = held_head.value
             scorer = Scorer(told.value, known)
             for b in batches:
-                texts = [words_of(x) for x in b.column(0).to_pylist()]
-                if texts:
-                    lp, c = scorer.flat(texts)
-                    c[np.cumsum([len(x) + 1 for x in texts]) - 1] = known.get(b"", 0)
-                    flat = [w for words in texts for w in [*words, b""]]
-                    far = [w if n < 0 else None for w, n in zip(flat, c.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(far, pa.binary()), pa.array(c, pa.int64()), pa.array(lp)], names=["word", "near", "lp"])
+                if b.num_rows:
+                    words, at, lengths = split_words(b.column(0))
+                    lp, c = scorer.flat(_list(words), at, lengths)
+                    c[np.cumsum(lengths + 1) - 1] = known.get(b"", 0)
+                    far = words.take(pa.array(np.insert(at, np.cumsum(lengths), 0), mask=c >= 0))
+                    yield pa.RecordBatch.from_arrays([far, pa.array(c, pa.int64()), pa.array(lp)], names=["word", "near", "lp"])
 
         def slopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros(len(MIXES))
@@ -639,10 +760,10 @@ def score(docs: DataFrame, ranks_path: str, *, doc_id: str = "doc_id", text: str
         for b in batches:
             if not b.num_rows:
                 continue
-            texts = [words_of(x) for x in b.column(b.num_columns - 1).to_pylist()]
-            rids = b.column(b.num_columns - 2).to_pylist()
-            lp, c = scorer.flat(texts)
-            stops = np.cumsum([len(x) + 1 for x in texts])
+            words, at, lengths = split_words(b.column(b.num_columns - 1))
+            rids = b.column(b.num_columns - 2).to_numpy()
+            lp, c = scorer.flat(_list(words), at, lengths)
+            stops = np.cumsum(lengths + 1)
             c[stops - 1] = known.get(b"", 0)
             near = c >= 0
             share = (np.maximum(c, 0) + 0.1) / below
@@ -652,16 +773,16 @@ def score(docs: DataFrame, ranks_path: str, *, doc_id: str = "doc_id", text: str
             figures = [np.diff(np.concatenate([[0], stops])), np.add.reduceat((c > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(full, starts)]
             far = np.flatnonzero(~near)
             of = np.searchsorted(stops, far, "right")
-            far_rid, far_lp = [rids[t] for t in of.tolist()], lp[far]
-            far_word = [texts[t][i] for t, i in zip(of.tolist(), (far - starts[of]).tolist(), strict=True)]
+            far_rid, far_lp = rids[of], lp[far]
+            far_word = words.take(pa.array(at[far - of]))  # before a text lie the ends of those before it
             n = len(rids)
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-2], pa.array(rids, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.float64()), *map(pa.array, figures)], names=names
             )
-            if far_rid:
+            if far.size:
                 k = len(far_rid)
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.nulls(k, c.type) for c in b.columns[:-2]), pa.array(far_rid, pa.int64()), pa.array(far_word, pa.binary()), pa.array(far_lp, pa.float64()), *(pa.nulls(k, pa.int64()),) * 2, *(pa.nulls(k, pa.float64()),) * 2], names=names
+                    [*(pa.nulls(k, c.type) for c in b.columns[:-2]), pa.array(far_rid, pa.int64()), far_word, pa.array(far_lp, pa.float64()), *(pa.nulls(k, pa.int64()),) * 2, *(pa.nulls(k, pa.float64()),) * 2], names=names
                 )
 
     ready = src.select(*[F.col(f"`{c}`") for c in keep], "held_out", F.monotonically_increasing_id().alias("_rid"), "_text")

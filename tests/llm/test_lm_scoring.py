@@ -1,11 +1,13 @@
 """Language-model scores against counts and a plain forward pass."""
 
 import random
+import resource
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from gridloom.llm import lm_scoring, queries
@@ -164,3 +166,60 @@ def test_op3_query(spark, sf_dir):
         tokens = [*docs[r["doc_id"]], b""]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(tokens), sum(c[w] > 0 for w in tokens), total)
         assert np.isclose(r["base_score"], sum(np.log10((c[w] + 0.1) / below) for w in tokens)) and np.isfinite(r["score"])
+
+
+def test_columns_split_as_texts_do():
+    texts = [None, "", " \t\n", "One two\x0btwo\x0cthree ", " É ÀB c d ", "a", " lead", "\x1cfs\x85nel"]
+    words, at, lengths = lm_scoring.split_words(pa.array(texts))
+    assert len(set(words.to_pylist())) == len(words)
+    flat = iter(words.take(pa.array(at)).to_pylist())
+    assert [[next(flat) for _ in range(n)] for n in lengths] == [lm_scoring.words_of(x) for x in texts]
+    assert next(flat, None) is None
+    assert [len(x) for x in lm_scoring.split_words(pa.array([], pa.string()))] == [0, 0, 0]
+
+
+def test_words_coded_together_are_their_subwords(model, monkeypatch):
+    words = [w.encode() for w in ("the", "über", "日本語x", "a", "mat,mat", "zqzqzq")]
+    ids, raw = lm_scoring._merger(RANKS)
+
+    def plain(word):
+        out, last = [], len(ids(word)) - 1
+        for n, i in enumerate(ids(word)):
+            s = model.pieces.get(2 * i + (n == last))
+            out += [s] if s is not None else [*raw[i][:-1], raw[i][-1] + 256 * (n == last)]
+        return out
+
+    lexicon = lm_scoring.Lexicon(model)
+    monkeypatch.setattr(lm_scoring, "_CACHE_WORDS", 5)  # words are forgotten between calls
+    for some in (words[:3], words[2:5], words[2:], words):
+        flat, sizes = lexicon.symbols(lexicon.number(some))
+        assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [plain(w) for w in some]
+
+
+def test_sums_by_symbol():
+    rng = np.random.default_rng(3)
+    ids = np.minimum(rng.zipf(1.3, 5000) - 1, 2047).astype(np.int16)
+    rows = np.concatenate([rng.normal(size=(5000, 6)), np.zeros((1, 6))]).astype(np.float32)
+    want = np.zeros((2048, 6))
+    np.add.at(want, ids, rows[:-1])
+    assert np.allclose(lm_scoring._by_symbol(ids, rows), want, atol=1e-3)
+
+
+def test_steps_of_training_reuse_their_memory():
+    texts = [np.random.default_rng(5).integers(0, 2048, 8 * 3000).astype(np.int16)]
+    p, place = lm_scoring.start(np.ones((2048, 2048), np.float32))
+    lm_scoring.fit(p, place, texts, [0], steps=5)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    lm_scoring.fit(p, place, texts, [0], steps=20)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before < 20 * 1000
+
+
+def test_ends_count_though_many_words_are_more_frequent(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "HEAD_WORDS", 2)
+    docs = spark.createDataFrame([(i, "a b " * 40 + f"w{i}") for i in range(30)], "doc_id long, text string")
+    rows = lm_scoring.score(docs, RANKS, steps=2).collect()
+    total, known = rows[0]["train_tokens"], [r for r in rows if not r["held_out"]]
+    share = lambda c: np.log10((c + 0.1) / (total + 0.1 * (len(known) + 4)))
+    for r in rows:
+        assert r["n_known"] == 82 - r["held_out"]
+        assert np.isclose(r["base_score"], 80 * share(40 * len(known)) + share(len(known)) + share(0 if r["held_out"] else 1))
