@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyarrow.fs import FileSystem
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,8 +155,16 @@ def _pointer(spark: SparkSession, path: str) -> tuple[int, dict | None]:
 def _stored(spark: SparkSession, path: str, manifest: DataFrame, batch: str) -> DataFrame:
     """The rows of the runs that a manifest names, damaged and absent files left out, with the run of each in _run."""
     runs = [r["run"] for r in manifest.where("rows > 0").select("run").distinct().collect()]
-    options = {"ignoreCorruptFiles": "true", "ignoreMissingFiles": "true"}
-    return spark.read.options(**options).parquet(*[f"{path}/runs/{r}" for r in sorted(runs)]) if runs else manifest.select(F.col("batch").alias(batch), F.col("run").alias("_run")).limit(0)
+    reader = spark.read.options(ignoreCorruptFiles="true", ignoreMissingFiles="true")
+    paths = [f"{path}/runs/{r}" for r in sorted(runs)]
+    # one file tells the columns, and all of them if that one is damaged
+    for merged in ("false", "true") if paths else ():
+        try:
+            return reader.option("mergeSchema", merged).parquet(*paths)
+        except AnalysisException as e:
+            if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
+    return manifest.select(F.col("batch").alias(batch), F.col("run").alias("_run")).limit(0)
 
 
 def _batch_digests(rows: DataFrame, batch: str) -> DataFrame:

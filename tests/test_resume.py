@@ -53,6 +53,19 @@ def test_batches_are_computed_once_and_damaged_ones_again(spark, tmp_path):
     assert len(log) == 4 and set(log[-1]) & lost and set(log[-1]) != {f"b{i}" for i in range(6)}
 
 
+def test_any_or_every_file_may_be_damaged(spark, tmp_path):
+    path, log = f"file://{tmp_path}/t", []
+    want = content(publish.resume_batches(spark, plan_of(spark, 3), computed(log), path, version="1"))
+    for cut in (lambda files: files[:1], lambda files: files):  # Spark takes the columns from the first file
+        for victim in cut(sorted(glob.glob(f"{tmp_path}/t/runs/*/part-*.parquet"))):
+            with open(victim, "r+b") as f:
+                f.truncate(os.path.getsize(victim) // 2)
+        for crc in glob.glob(f"{tmp_path}/t/runs/*/.*.crc"):
+            os.remove(crc)
+        assert content(publish.resume_batches(spark, plan_of(spark, 3), computed(log), path, version="1")) == want
+    assert log[-1] == ["b0", "b1", "b2"]
+
+
 def test_stale_batches_are_an_error(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     publish.resume_batches(spark, plan_of(spark, 2), computed([]), path, version="1")
