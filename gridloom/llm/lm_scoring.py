@@ -99,7 +99,7 @@ def one_thread() -> None:
 
 @lru_cache(maxsize=1)
 def keep_memory() -> None:
-    """Let the C library hand freed arrays of up to 32 MB out again: given back and fetched anew at each step, they cost as much in page faults as the arithmetic on them."""
+    """Let the C library hand freed arrays of up to 32 MB out again: given back and fetched anew at each step, they can cost as much in page faults as the arithmetic on them."""
     library = ctypes.CDLL(None)
     if hasattr(library, "mallopt"):
         library.mallopt(-3, 1 << 25)  # M_MMAP_THRESHOLD
