@@ -4,6 +4,9 @@ A word's anagram value is the sum of a power of its letters, so words of the sam
 has a value that differs by a letter's power or by the difference of two. Two words meet where their values agree after each gives up at most one
 letter: both give one up for an exchange, the longer one for an addition or a removal. Which letters stand where is checked beside the values, by a
 hash of the order of what is left, so that an anagram class of any size is dealt out over all tasks; each pair that meets is then compared letter by letter.
+
+All joins are sort-merge joins: the compressed file of the words is taken for the size of whatever is made from it, and a few MB of it are hundreds of MB
+of probes, which Spark would broadcast.
 """
 
 from __future__ import annotations
@@ -104,9 +107,9 @@ def near_words(words: DataFrame) -> DataFrame:
     p, q = probes.alias("p"), probes.alias("q")
     met = (F.col("p.value") == F.col("q.value")) & (F.col("p.letter_order") == F.col("q.letter_order")) & (F.col("p.id") < F.col("q.id"))
     kinds = (F.col("p.kind") + F.col("q.kind")).isin(_EXCHANGED * 2, _REMOVED + _WHOLE) & ((F.col("p.kind") == _EXCHANGED) == (F.col("q.kind") == _EXCHANGED))
-    pairs = p.join(q, met & kinds).select(F.col("p.id").alias("u"), F.col("q.id").alias("v"))
+    pairs = p.join(q.hint("merge"), met & kinds).select(F.col("p.id").alias("u"), F.col("q.id").alias("v"))
     a, b = words.select(F.col("id").alias("u"), F.col("word").alias("a")), words.select(F.col("id").alias("v"), F.col("word").alias("b"))
-    return pairs.join(a, "u").join(b, "v").where(F.levenshtein("a", "b", 1) == 1).select("u", "v")
+    return pairs.join(a.hint("merge"), "u").join(b.hint("merge"), "v").where(F.levenshtein("a", "b", 1) == 1).select("u", "v")
 
 
 def follow(steps: DataFrame) -> DataFrame:
@@ -114,7 +117,7 @@ def follow(steps: DataFrame) -> DataFrame:
     now = staged(steps.select("word", F.col("form").alias("root")), "spelling-steps")
     while True:
         further = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        joined = staged(now.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spelling-steps")
+        joined = staged(now.join(further.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spelling-steps")
         if joined.where("moved").isEmpty():
             return joined.select("word", "root")
         now = joined.select("word", "root")
@@ -130,11 +133,11 @@ def variants(counts: DataFrame, *, dominance: int = DOMINANCE) -> DataFrame:
     pairs = staged(near_words(words), "spelling-pairs")
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     other = words.select(F.col("id").alias("v"), F.struct((-F.col("n")).alias("less"), "word").alias("near"))
-    best = both.join(other, "v").groupBy("u").agg(F.count("*").alias("n_near"), F.min("near").alias("near"))
+    best = both.join(other.hint("merge"), "v").groupBy("u").agg(F.count("*").alias("n_near"), F.min("near").alias("near"))
     takes = -F.col("near.less") >= dominance * F.col("n")
-    found = words.join(best, F.col("id") == F.col("u"), "left").select(
+    found = words.join(best.hint("merge"), F.col("id") == F.col("u"), "left").select(
         "word", F.when(takes, F.col("near.word")).alias("form"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(takes, -F.col("near.less")).alias("form_n")
     )
     found = staged(found, "spelling-forms")
     roots = follow(found.where("form IS NOT NULL"))
-    return found.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -103,3 +103,20 @@ def test_probes_agree_with_the_words_they_reach(word):
     whole = lambda w: {(r["value"], r["letter_order"]) for r in spelling._expanded(np.array([1]), [w]).to_pylist() if r["kind"] == spelling._WHOLE}
     shorter = {word[:i] + word[i + 1 :] for i in range(len(word))} - {""}
     assert all(whole(s) <= probe(word) for s in shorter) and len(probe(word)) == max(len(shorter), 1)
+
+
+def test_no_join_is_broadcast(spark, monkeypatch):
+    plans, staged = [], spelling.staged
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def noted(df, name):
+        plans.append((name, plan(df)))
+        return staged(df, name)
+
+    monkeypatch.setattr(spelling, "staged", noted)
+    out = spelling.variants(spark.createDataFrame([("north", 8), ("nort", 4), ("norths", 2), ("other", 5)], "word string, n long"))
+    plans.append(("result", plan(out)))
+    assert len(plans) >= 6
+    for name, p in plans:
+        assert "BroadcastHashJoin" not in p, name
+    assert {(r["word"], r["root"]) for r in out.collect()} == {("north", "north"), ("nort", "north"), ("norths", "north"), ("other", "other")}
