@@ -15,6 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -27,6 +28,10 @@ CHUNK, OVERLAP = 16_384, 256
 #: A boundary this near the end of a chunk that is not the text's last may move when more text follows.
 UNSURE = 4
 _CACHE_PIECES = 250_000
+#: Ids, or bytes of text, that a worker turns into Python objects and sends back at a time; a single row may be longer.
+SPAN = 1_000_000
+#: Rows of a file of long texts' ids: Spark reads up to 4,096 rows of a file at once, with three numbers and spare room for each id.
+FILE_ROWS = 128
 #: What a chunk sends to the stitching of its text.
 SEAMS = ("ids", "head", "head_ids", "tail", "tail_ids")
 
@@ -126,6 +131,18 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32, copy=False)))
 
 
+def in_spans(batch: pa.RecordBatch, sizes: pa.Array, most: int = SPAN) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows whose sizes sum up to ``most``, or a row alone that is larger."""
+    lo = held = 0
+    for hi, n in enumerate(sizes.to_pylist()):
+        if hi > lo and held + n > most:
+            yield batch.slice(lo, hi - lo)
+            lo, held = hi, 0
+        held += n
+    if batch.num_rows > lo:
+        yield batch.slice(lo)
+
+
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``docs`` without the text but with ids (array of int) and decoded (binary, what the ids decode to).
 
@@ -141,9 +158,10 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str =
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(ranks_path, pattern)
-        for b in batches:
-            ids = [code.encode(x) for x in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], _lists(ids), pa.array([code.decode(x) for x in ids], pa.binary())], names=[*kept, "ids", "decoded"])
+        for batch in batches:
+            for b in in_spans(batch, pc.binary_length(batch.column(batch.num_columns - 1))):
+                ids = [code.encode(x) for x in b.column(b.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], _lists(ids), pa.array([code.decode(x) for x in ids], pa.binary())], names=[*kept, "ids", "decoded"])
 
     is_long = F.char_length(data) > chunk + overlap
     result = ", ".join([*fields, "ids array<int>", "decoded binary"])
@@ -152,8 +170,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str =
     def cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "k", "last", "part"]
         for b in batches:
-            for name, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                parts = cut(x, chunk, overlap)
+            for name, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                parts = cut(x.as_py(), chunk, overlap)
                 for lo in range(0, len(parts), 64):
                     some = parts[lo : lo + 64]
                     ks = range(lo, lo + len(some))
@@ -174,16 +192,17 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str =
 
     def decoding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(ranks_path, pattern)
-        for b in batches:
-            ids = b.column(b.num_columns - 1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([code.decode(np.asarray(x)) for x in ids.to_pylist()], pa.binary())], names=[*kept, "ids", "decoded"])
+        for batch in batches:
+            for b in in_spans(batch, batch.column(batch.num_columns - 1).value_lengths()):
+                decoded = [code.decode(x.values.to_numpy()) for x in b.column(b.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(decoded, pa.binary())], names=[*kept, "ids", "decoded"])
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     far = src.where(is_long).withColumn(key, F.sha2(data, 256))
     once = far.groupBy(key).agg(F.first(data).alias(data))
     parts = once.mapInArrow(cutting, "key string, k int, last boolean, part string").repartition(n, "key", "k")
     coded = parts.mapInArrow(encoding, "key string, k int, " + ", ".join(f"{c} array<int>" for c in SEAMS))
-    done = staged(coded.groupBy("key").applyInPandas(joining, f"`{found_key}` string, ids array<int>"), "bpe-ids")
+    done = staged(coded.groupBy("key").applyInPandas(joining, f"`{found_key}` string, ids array<int>"), "bpe-ids", file_rows=FILE_ROWS)
     columns = [F.col(f"`{c}`") for c in kept]
     met = far.select(*columns, key).join(done.where("ids IS NOT NULL"), F.col(key) == F.col(found_key)).select(*columns, "ids")
     out = short.unionByName(met.mapInArrow(decoding, result))

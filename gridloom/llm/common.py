@@ -31,11 +31,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a cut in the lineage that outlives executors."""
+def staged(df: DataFrame, name: str, *, file_rows: int = 0) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: a cut in the lineage that outlives executors. ``file_rows`` bounds the rows of a file, and of what is read at once."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", file_rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
